@@ -167,3 +167,146 @@ def flagship(spark, sf_dir):
     """The minimum slice: scan three tables, two left joins, top 10."""
     from ..sources.tables import Bank
     return lists.recent_activity(Bank(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- 2.4 aggregations
+from ..operators import metrics  # noqa: E402
+from .registry import AS_OF_EVENTS, AS_OF_TXN  # noqa: E402
+
+
+@register("dashboard_summary", """
+SELECT (SELECT COUNT(*) FROM customers) AS total_customers,
+ (SELECT COUNT(*) FROM accounts) AS total_accounts,
+ (SELECT COUNT(*) FROM transactions) AS total_transactions,
+ (SELECT COUNT(*) FROM loans) AS total_loans,
+ (SELECT CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) FROM transactions WHERE status = 'COMPLETED') AS total_revenue,
+ (SELECT COUNT(*) FROM branch_performance) AS total_branches,
+ (SELECT COUNT(*) FROM loans WHERE status = 'ACTIVE') AS active_loans,
+ (SELECT COUNT(*) FROM transactions WHERE risk_factor = 'HIGH' AND status = 'COMPLETED') AS high_risk_transactions""")
+def _dashboard_summary(b):
+    return metrics.dashboard_summary(b)
+
+
+@register("status_predicates", """
+SELECT * FROM transactions WHERE risk_factor = 'HIGH' AND status = 'COMPLETED'""")
+def _status_predicates(b):
+    return b.transactions.filter((F.col("risk_factor") == "HIGH") & (F.col("status") == "COMPLETED"))
+
+
+@register("daily_transactions", f"""
+SELECT strftime(timestamp, '%Y-%m-%d') AS date, COUNT(*) AS count, CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS amount
+FROM transactions WHERE timestamp >= CAST(DATE '{AS_OF_TXN}' - INTERVAL 7 DAY AS TIMESTAMP)
+GROUP BY 1 ORDER BY 1""")
+def _daily_transactions(b):
+    return metrics.daily_transactions(b, AS_OF_TXN)
+
+
+@register("monthly_revenue", f"""
+SELECT strftime(timestamp, '%Y-%m') AS month, CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS revenue,
+ COUNT(*) AS transactions
+FROM transactions WHERE timestamp >= CAST(DATE '{AS_OF_TXN}' - INTERVAL 6 MONTH AS TIMESTAMP)
+GROUP BY 1 ORDER BY 1""")
+def _monthly_revenue(b):
+    return metrics.monthly_revenue(b, AS_OF_TXN)
+
+
+@register("relative_time_filter", f"""
+SELECT * FROM transactions WHERE timestamp >= CAST(DATE '{AS_OF_TXN}' - INTERVAL 1 MONTH AS TIMESTAMP)""")
+def _relative_time_filter(b):
+    from ..functions.scalars import since
+    return b.transactions.filter(since("timestamp", AS_OF_TXN, "month", 1))
+
+
+DAILY_BRANCH_SQL = """
+SELECT CAST(t.timestamp AS DATE) AS transaction_date, c.branch_name, COUNT(t.transaction_id) AS daily_count,
+ CAST(SUM(t.amount) AS DECIMAL(38,2)) AS daily_amount
+FROM transactions t JOIN accounts a ON t.account_number = a.account_number
+JOIN customers c ON a.customer_id = c.customer_id GROUP BY 1, 2"""
+
+
+@register("daily_branch_volume", DAILY_BRANCH_SQL)
+def _daily_branch_volume(b):
+    return metrics.daily_branch_volume(b)
+
+
+@register("daily_branch_join", """
+SELECT t.transaction_id, t.account_number, t.amount, t.timestamp, c.branch_name
+FROM transactions t JOIN accounts a ON t.account_number = a.account_number
+JOIN customers c ON a.customer_id = c.customer_id""")
+def _daily_branch_join(b):
+    return metrics.daily_branch_join(b)
+
+
+@register("daily_amount", """
+SELECT CAST(timestamp AS DATE) AS transaction_date, CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS daily_amount
+FROM transactions GROUP BY 1""")
+def _daily_amount(b):
+    return metrics.daily_amount(b)
+
+
+@register("amount_by_type", """
+SELECT CAST(SUM(amount) AS DECIMAL(38,2)) AS total_amount, transaction_type FROM transactions GROUP BY 2""")
+def _amount_by_type(b):
+    return metrics.amount_by_type(b)
+
+
+@register("branch_deposit_task", """
+SELECT 'BR-SV' AS branch_id, 'Silicon Valley Branch' AS branch_name, CAST(SUM(balance) AS DECIMAL(38,2)) AS total_deposits
+FROM accounts WHERE status = 'ACTIVE'""")
+def _branch_deposit_task(b):
+    return metrics.branch_deposit_task(b)
+
+
+@register("customer_deposit_totals", """
+SELECT c.name, CAST(SUM(t.amount) AS DECIMAL(38,2)) AS total_deposits FROM customers c
+JOIN accounts a ON c.customer_id = a.customer_id JOIN transactions t ON a.account_number = t.account_number
+WHERE LOWER(c.name) LIKE '%customer#00000%' GROUP BY c.name ORDER BY total_deposits DESC""")
+def _customer_deposit_totals(b):
+    return metrics.customer_deposit_totals(b, "Customer#00000")
+
+
+@register("credits_month", f"""
+SELECT CAST(COALESCE(SUM(credits_used), 0) AS DECIMAL(38,4)) AS credit_usage_month FROM usage_log
+WHERE start_time >= CAST(DATE '{AS_OF_EVENTS}' - INTERVAL 1 MONTH AS TIMESTAMP)""")
+def _credits_month(b):
+    return metrics.credits_month(b, AS_OF_EVENTS)
+
+
+@register("storage_gb_week", f"""
+SELECT CAST(CAST(COALESCE(SUM(bytes), 0) AS DECIMAL(38,0)) / 1073741824 AS DECIMAL(38,10)) AS storage_gb_used
+FROM storage_log WHERE usage_date >= DATE '{AS_OF_EVENTS}' - INTERVAL 7 DAY""")
+def _storage_gb_week(b):
+    return metrics.storage_gb_week(b, AS_OF_EVENTS)
+
+
+@register("loan_recovery", """
+SELECT category, risk_rating, COUNT(*) AS loans, CAST(SUM(amount) AS DECIMAL(38,2)) AS total_amount,
+ CAST(SUM(recovered_amount) AS DECIMAL(38,2)) AS total_recovered,
+ CAST(SUM(remaining_balance) AS DECIMAL(38,2)) AS total_remaining,
+ CAST(ROUND(CAST(SUM(recovered_amount) AS DOUBLE) / CAST(SUM(amount) AS DOUBLE), 6) AS DECIMAL(12,6)) AS recovery_rate
+FROM loans GROUP BY 1, 2""")
+def _loan_recovery(b):
+    return metrics.loan_recovery(b)
+
+
+@register("branch_kpi_rollup", """
+WITH cpb AS (SELECT branch_name, COUNT(*) AS customer_count FROM customers GROUP BY 1),
+lpb AS (SELECT c.branch_name, COUNT(*) AS active_loans FROM loans l JOIN customers c ON l.customer_id = c.customer_id
+        WHERE l.status = 'ACTIVE' GROUP BY 1),
+dpb AS (SELECT c.branch_name, SUM(a.balance) AS total_deposits FROM accounts a JOIN customers c ON a.customer_id = c.customer_id
+        WHERE a.status = 'ACTIVE' GROUP BY 1),
+tpb AS (SELECT c.branch_name, COUNT(*) AS transaction_count,
+        SUM(CASE WHEN t.status = 'COMPLETED' THEN t.amount END) AS total_revenue
+        FROM transactions t JOIN accounts a ON t.account_number = a.account_number
+        JOIN customers c ON a.customer_id = c.customer_id GROUP BY 1)
+SELECT b.branch_id, b.branch_name, b.city, b.manager,
+ CAST(COALESCE(cpb.customer_count, 0) AS BIGINT) AS customer_count,
+ CAST(COALESCE(lpb.active_loans, 0) AS BIGINT) AS active_loans,
+ CAST(COALESCE(dpb.total_deposits, 0) AS DECIMAL(38,2)) AS total_deposits,
+ CAST(COALESCE(tpb.total_revenue, 0) AS DECIMAL(38,2)) AS total_revenue,
+ CAST(COALESCE(tpb.transaction_count, 0) AS BIGINT) AS transaction_count
+FROM branch_performance b LEFT JOIN cpb ON b.branch_name = cpb.branch_name
+LEFT JOIN lpb ON b.branch_name = lpb.branch_name LEFT JOIN dpb ON b.branch_name = dpb.branch_name
+LEFT JOIN tpb ON b.branch_name = tpb.branch_name""")
+def _branch_kpi_rollup(b):
+    return metrics.branch_kpi_rollup(b)
