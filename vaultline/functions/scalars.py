@@ -48,7 +48,7 @@ def dateadd(unit: str, n, c) -> Column:
     if unit == "month":
         return F.add_months(c, n)
     if unit == "minute":
-        return F.timestampadd("MINUTE", F.lit(n), c)
+        return F.timestamp_add("MINUTE", F.lit(n), c)
     raise ValueError(f"unsupported unit {unit}")
 
 

@@ -310,3 +310,149 @@ LEFT JOIN lpb ON b.branch_name = lpb.branch_name LEFT JOIN dpb ON b.branch_name
 LEFT JOIN tpb ON b.branch_name = tpb.branch_name""")
 def _branch_kpi_rollup(b):
     return metrics.branch_kpi_rollup(b)
+
+
+# ---------------------------------------------------------------- 2.6 grid
+from ..operators import grid  # noqa: E402
+from ..functions import scalars as S  # noqa: E402
+
+
+@register("grid_sort", """
+SELECT customer_id, name, segment FROM customers ORDER BY name DESC NULLS LAST, customer_id LIMIT 6""")
+def _grid_sort(b):
+    return grid.grid_sort(b.customers.select("customer_id", "name", "segment"), "name", False,
+                          "customer_id").limit(6)
+
+
+@register("grid_page", """
+SELECT alert_id, customer_id, alert_type, risk_score, status FROM fraud_alerts
+ORDER BY risk_score DESC NULLS LAST, alert_id LIMIT 6 OFFSET 12""")
+def _grid_page(b):
+    a = b.fraud_alerts.select("alert_id", "customer_id", "alert_type", "risk_score", "status")
+    return grid.grid_page(a, "risk_score", False, 3, "alert_id")
+
+
+@register("grid_page_count", """
+SELECT COUNT(*) AS rows, CAST(greatest(ceil(COUNT(*) / 6), 1) AS BIGINT) AS pages
+FROM loans WHERE UPPER(category) = 'AUTO'""")
+def _grid_page_count(b):
+    return grid.grid_page_count(b.loans.filter(F.upper("category") == "AUTO"))
+
+
+@register("multi_key_sort", """
+SELECT user_name, role_name, query_id, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time FROM query_log
+ORDER BY user_name, role_name, query_id LIMIT 100""")
+def _multi_key_sort(b):
+    q = b.query_log.select("user_name", "role_name", "query_id", S.to_char("start_time", "YYYY-MM-DD HH24:MI:SS")
+                           .alias("start_time"))
+    return q.orderBy("user_name", "role_name", "query_id").limit(100)
+
+
+# ---------------------------------------------------------------- 2.2 projections
+@register("project_alias", """
+SELECT customer_id AS id, name, email, phone, segment, lifetime_value, branch_name AS branch, risk_score,
+ strftime(joined_date, '%Y-%m-%d') AS joined_date FROM customers""")
+def _project_alias(b):
+    from ..operators.lists import CUSTOMER_COLUMNS
+    return b.customers.select(*CUSTOMER_COLUMNS())
+
+
+# ---------------------------------------------------------------- 2.8 scalar functions
+def _fn(name, sql_cols, table, spark_cols):
+    register(name, f"SELECT {sql_cols} FROM {table}")(lambda b: b.table(table).select(*spark_cols()))
+
+
+_fn("fn_coalesce", "transaction_id, COALESCE(merchant_name, 'Unknown') AS merchant", "transactions",
+    lambda: ["transaction_id", F.coalesce("merchant_name", F.lit("Unknown")).alias("merchant")])
+_fn("fn_upper_lower", "customer_id, UPPER(name) AS name_upper, LOWER(email) AS email_lower", "customers",
+    lambda: ["customer_id", F.upper("name").alias("name_upper"), F.lower("email").alias("email_lower")])
+_fn("fn_like", "customer_id, LOWER(email) LIKE '%.00000001_@%' AS matches", "customers",
+    lambda: ["customer_id", F.lower("email").like("%.00000001_@%").alias("matches")])
+_fn("fn_concat", "customer_id, name || ' / ' || phone AS contact, concat(name, ' <', email, '>') AS mailbox",
+    "customers",
+    lambda: ["customer_id", F.concat("name", F.lit(" / "), "phone").alias("contact"),
+             F.concat("name", F.lit(" <"), "email", F.lit(">")).alias("mailbox")])
+_fn("fn_right", "customer_id, right(phone, 4) AS last4, right(segment, 40) AS whole", "customers",
+    lambda: ["customer_id", F.right("phone", F.lit(4)).alias("last4"), F.right("segment", F.lit(40)).alias("whole")])
+_fn("fn_regexp_replace",
+    "customer_id, regexp_replace(name, '^(.).*(.)$', '\\1*****\\2') AS masked_name, "
+    "regexp_replace(email, '(?i)^[A-Z0-9._%+-]+@', '*****@') AS masked_email, "
+    "regexp_replace(phone, '^[0-9]*([0-9]{4})$', '***-***-\\1') AS masked_phone", "customers",
+    lambda: ["customer_id", S.mask_name("name").alias("masked_name"), S.mask_email("email").alias("masked_email"),
+             S.mask_digits_keep_last4("phone").alias("masked_phone")])
+_fn("fn_trim", "customer_id, trim('  ' || name || ' ') AS name", "customers",
+    lambda: ["customer_id", F.trim(F.concat(F.lit("  "), "name", F.lit(" "))).alias("name")])
+_fn("fn_digits_only",
+    "customer_id, CASE WHEN regexp_replace('+1-' || phone, '[^0-9]', '', 'g') = '' THEN NULL "
+    "ELSE regexp_replace('+1-' || phone, '[^0-9]', '', 'g') END AS phone_digits", "customers",
+    lambda: ["customer_id", S.digits_only(F.concat(F.lit("+1-"), "phone")).alias("phone_digits")])
+_fn("fn_to_char",
+    "transaction_id, strftime(timestamp, '%Y-%m-%d') AS d, strftime(timestamp, '%Y-%m') AS m, "
+    "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS ts", "transactions",
+    lambda: ["transaction_id", S.to_char("timestamp", "YYYY-MM-DD").alias("d"),
+             S.to_char("timestamp", "YYYY-MM").alias("m"),
+             S.to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("ts")])
+_fn("fn_to_date",
+    "loan_id, CAST(strptime(strftime(next_due_date, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) AS due", "loans",
+    lambda: ["loan_id", S.to_date_fmt(S.to_char("next_due_date", "YYYY-MM-DD"), "YYYY-MM-DD").alias("due")])
+_fn("fn_dateadd",
+    "transaction_id, CAST(CAST(timestamp AS DATE) + INTERVAL 7 DAY AS DATE) AS plus_week, "
+    "CAST(CAST(timestamp AS DATE) - INTERVAL 6 MONTH AS DATE) AS minus_6_months, "
+    "timestamp - INTERVAL 600 MINUTE AS minus_600_minutes", "transactions",
+    lambda: ["transaction_id", S.dateadd("day", 7, F.to_date("timestamp")).alias("plus_week"),
+             S.dateadd("month", -6, F.to_date("timestamp")).alias("minus_6_months"),
+             S.dateadd("minute", -600, "timestamp").alias("minus_600_minutes")])
+_fn("fn_trunc_day", "transaction_id, CAST(timestamp AS DATE) AS day", "transactions",
+    lambda: ["transaction_id", S.trunc_day("timestamp").alias("day")])
+_fn("fn_case",
+    "query_id, CASE WHEN role_name IN ('BANKING_ADMIN', 'BANKING_DATA_ENGINEER') THEN 'FULL' ELSE 'MASKED' END AS access",
+    "query_log",
+    lambda: ["query_id", F.when(F.col("role_name").isin("BANKING_ADMIN", "BANKING_DATA_ENGINEER"), "FULL")
+             .otherwise("MASKED").alias("access")])
+_fn("fn_in", "customer_id, segment IN ('GOLD', 'PLATINUM') AS premium", "customers",
+    lambda: ["customer_id", F.col("segment").isin("GOLD", "PLATINUM").alias("premium")])
+_fn("fn_arith",
+    "query_id, CAST(CAST(total_elapsed_time AS DECIMAL(20,3)) / 1000 AS DECIMAL(20,3)) AS elapsed_s", "query_log",
+    lambda: ["query_id", (F.col("total_elapsed_time").cast("decimal(20,3)") / 1000).cast("decimal(20,3)")
+             .alias("elapsed_s")])
+_fn("fn_estimated_tax", "transaction_id, CAST(amount * 0.15 AS DECIMAL(20,4)) AS estimated_tax", "transactions",
+    lambda: ["transaction_id", (F.col("amount") * F.lit(0.15).cast("decimal(3,2)")).cast("decimal(20,4)")
+             .alias("estimated_tax")])
+_fn("fn_cast_number", "loan_id, CAST(amount AS DOUBLE) AS amount, CAST(term_months AS DOUBLE) AS term", "loans",
+    lambda: ["loan_id", F.col("amount").cast("double").alias("amount"), F.col("term_months").cast("double")
+             .alias("term")])
+
+
+def _usd_sql(x, d):
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN round({x}, {d}) < 0 "
+            f"THEN '-$' || format('{{:,.{d}f}}', CAST(abs(round({x}, {d})) AS DOUBLE)) "
+            f"ELSE '$' || format('{{:,.{d}f}}', CAST(abs(round({x}, {d})) AS DOUBLE)) END")
+
+
+_fn("fn_format_usd", f"customer_id, {_usd_sql('lifetime_value', 0)} AS ltv_text, "
+    f"{_usd_sql('lifetime_value', 2)} AS ltv_cents", "customers",
+    lambda: ["customer_id", S.format_usd("lifetime_value", 0).alias("ltv_text"),
+             S.format_usd("lifetime_value", 2).alias("ltv_cents")])
+_fn("fn_signed_amount",
+    "transaction_id, CASE WHEN transaction_type = 'DEPOSIT' THEN amount ELSE -amount END AS signed_amount",
+    "transactions", lambda: ["transaction_id", S.signed_amount("amount", "transaction_type").alias("signed_amount")])
+_fn("fn_risk_band_customer",
+    "customer_id, CASE WHEN risk_score > 75 THEN 'HIGH' WHEN risk_score > 40 THEN 'MEDIUM' ELSE 'LOW' END AS band",
+    "customers", lambda: ["customer_id", S.risk_band_customer("risk_score").alias("band")])
+_fn("fn_risk_band_alert",
+    "alert_id, CASE WHEN risk_score >= 75 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band",
+    "fraud_alerts", lambda: ["alert_id", S.risk_band_alert("risk_score").alias("band")])
+_fn("fn_growth_sign", "branch_id, CASE WHEN growth_rate >= 0 THEN 'UP' ELSE 'DOWN' END AS trend",
+    "branch_performance", lambda: ["branch_id", S.growth_sign("growth_rate").alias("trend")])
+_fn("fn_default",
+    "transaction_id, COALESCE(NULLIF(merchant_name, ''), 'N/A') AS merchant, COALESCE(NULLIF(status, ''), 'COMPLETED') AS status",
+    "transactions",
+    lambda: ["transaction_id", S.default_if_blank("merchant_name", "N/A").alias("merchant"),
+             S.default_if_blank("status", "COMPLETED").alias("status")])
+
+
+@register("fn_now")
+def _fn_now(b):
+    """CURRENT_DATE / CURRENT_TIMESTAMP defaults (non-deterministic: row check only)."""
+    return b.records.select("id", F.coalesce("updated_at", F.localtimestamp()).alias("updated_at"),
+                            F.current_date().alias("today"))
