@@ -456,3 +456,136 @@ def _fn_now(b):
     """CURRENT_DATE / CURRENT_TIMESTAMP defaults (non-deterministic: row check only)."""
     return b.records.select("id", F.coalesce("updated_at", F.localtimestamp()).alias("updated_at"),
                             F.current_date().alias("today"))
+
+
+# ---------------------------------------------------------------- 2.11 governance
+from ..operators import governance as G  # noqa: E402
+from . import workspace as W  # noqa: E402
+
+
+@register("secure_customer_view", """
+SELECT customer_id, regexp_replace(name, '^(.).*(.)$', '\\1*****\\2') AS masked_name,
+ regexp_replace(email, '(?i)^[A-Z0-9._%+-]+@', '*****@') AS masked_email, segment, lifetime_value, branch_name,
+ risk_score, joined_date FROM customers""")
+def _secure_customer_view(b):
+    return G.secure_customer_view(b.customers)
+
+
+@register("mask_phone", """
+SELECT customer_id, name, '***-***-' || right(phone, 4) AS phone FROM customers""")
+def _mask_phone(b):
+    return G.apply_phone_mask(b.customers.select("customer_id", "name", "phone"), "BANKING_ANALYST")
+
+
+@register("mask_ssn", """
+SELECT customer_id, '***-**-' || right(phone, 4) AS phone FROM customers""")
+def _mask_ssn(b):
+    """SSN policy (prefix ***-**-, roles ADMIN/COMPLIANCE) on the only national
+    number column of the data, for a role outside the list."""
+    return G.apply_ssn_mask(b.customers.select("customer_id", "phone"), "BANKING_ANALYST", "phone")
+
+
+USER_BRANCHES_SQL = """(SELECT DISTINCT q.user_name, c.branch_name FROM query_log q
+  JOIN customers c ON c.customer_id = 'CUS' || substr(q.user_name, 2))"""
+
+
+def _user_branches(b):
+    """user -> branch: user u<k> works at the branch of customer CUS<k>."""
+    users = b.query_log.select("user_name").distinct()
+    c = b.customers.select("customer_id", "branch_name")
+    return users.join(c, F.concat(F.lit("CUS"), F.substring("user_name", 2, 100)) == c.customer_id, "inner") \
+        .select("user_name", "branch_name").distinct()
+
+
+@register("row_policy", f"""
+SELECT * FROM customers WHERE branch_name IN (SELECT branch_name FROM {USER_BRANCHES_SQL} ub WHERE user_name = 'u7')""")
+def _row_policy(b):
+    return G.row_policy(b.customers, "BANKING_ANALYST", "branch_name", user="u7", user_branches=_user_branches(b))
+
+
+ROLE_CLOSURE_SQL = """
+WITH RECURSIVE edges(child, parent) AS (VALUES ('BANKING_BUSINESS_USER', 'BANKING_ANALYST'),
+  ('BANKING_ANALYST', 'BANKING_DATA_ENGINEER'), ('BANKING_DATA_ENGINEER', 'BANKING_ADMIN'), ('BANKING_ADMIN', 'SYSADMIN')),
+closure(role, effective_role, depth) AS (
+  SELECT child, child, 0 FROM edges UNION SELECT parent, parent, 0 FROM edges
+  UNION ALL SELECT c.role, e.parent, c.depth + 1 FROM closure c JOIN edges e ON c.effective_role = e.child)
+SELECT u.user_name, u.role_name, c.effective_role, c.depth
+FROM (SELECT DISTINCT user_name, role_name FROM query_log) u JOIN closure c ON c.role = u.role_name"""
+
+
+@register("role_closure", ROLE_CLOSURE_SQL)
+def _role_closure(b):
+    return G.effective_roles(b.query_log, G.role_closure(b.spark))
+
+
+@register("roles_report", """
+WITH parents(role, parent) AS (VALUES ('BANKING_BUSINESS_USER', 'BANKING_ANALYST'),
+  ('BANKING_ANALYST', 'BANKING_DATA_ENGINEER'), ('BANKING_DATA_ENGINEER', 'BANKING_ADMIN'), ('BANKING_ADMIN', 'SYSADMIN'))
+SELECT q.role_name AS role, p.parent, COUNT(DISTINCT q.user_name) AS users_count, COUNT(*) AS queries_count
+FROM query_log q LEFT JOIN parents p ON p.role = q.role_name GROUP BY q.role_name, p.parent
+ORDER BY role LIMIT 50""")
+def _roles_report(b):
+    return G.roles_report(b.query_log, b.spark)
+
+
+@register("query_history", f"""
+SELECT query_id AS id, query_text, user_name AS user, role_name AS role,
+ strftime(start_time, '%Y-%m-%d %H:%M:%S') AS timestamp, total_elapsed_time AS duration_ms,
+ CAST(CAST(total_elapsed_time AS DECIMAL(20,3)) / 1000 AS DECIMAL(20,3)) AS duration_s, execution_status AS status
+FROM query_log WHERE start_time >= CAST(DATE '{AS_OF_EVENTS}' - INTERVAL 7 DAY AS TIMESTAMP)
+ORDER BY start_time DESC NULLS FIRST, query_id LIMIT 20""")
+def _query_history(b):
+    return G.query_history(b.query_log, AS_OF_EVENTS)
+
+
+GUARD_SQL = """CASE WHEN role_name = 'BANKING_BUSINESS_USER' THEN false
+ WHEN role_name = 'BANKING_ANALYST' THEN
+  (upper(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', ''))) LIKE 'SELECT%'
+   OR upper(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', ''))) LIKE 'SHOW%')
+ ELSE true END"""
+
+
+@register("read_only_guard", f"""
+SELECT query_id, role_name, query_text, {GUARD_SQL} AS allowed FROM query_log""")
+def _read_only_guard(b):
+    return b.query_log.select("query_id", "role_name", "query_text",
+                              G.read_only_guard("role_name", "query_text").alias("allowed"))
+
+
+@register("access_audit", f"""
+WITH v AS (SELECT *, upper(regexp_extract(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', '')),
+   '^([A-Za-z]+)', 1)) AS verb FROM query_log),
+a AS (SELECT *, CASE verb WHEN 'SELECT' THEN 'read' WHEN 'SHOW' THEN 'read' WHEN 'INSERT' THEN 'create'
+   WHEN 'UPDATE' THEN 'update' WHEN 'MERGE' THEN 'update' WHEN 'DELETE' THEN 'delete' ELSE 'update' END AS action FROM v)
+SELECT role_name, action, 'sql' AS resource, query_id, user_name, query_text,
+ CASE WHEN role_name = 'BANKING_ADMIN' THEN true
+      WHEN role_name = 'BANKING_DATA_ENGINEER' THEN action <> 'delete'
+      WHEN role_name = 'BANKING_ANALYST' THEN action = 'read'
+      ELSE false END AS permitted,
+ {GUARD_SQL} AS guard_allowed
+FROM a""")
+def _access_audit(b):
+    return G.access_audit(b.query_log, b.spark)
+
+
+@register("sql_workspace", """
+SELECT transaction_type, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(38,2)) AS total FROM transactions
+WHERE status = 'COMPLETED' AND amount > 1000 GROUP BY transaction_type""")
+def _sql_workspace(b):
+    return W.sql_workspace(b, "SELECT transaction_type, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(38,2)) AS total "
+                              "FROM transactions WHERE status = ? AND amount > ? GROUP BY transaction_type;",
+                           ["COMPLETED", 1000], role="BANKING_ANALYST")
+
+
+@register("udf_estimated_tax", """
+SELECT transaction_id, CAST(amount AS DOUBLE) * 0.15 AS estimated_tax FROM transactions""")
+def _udf_estimated_tax(b):
+    W.register_estimated_tax(b.spark)
+    b.register_views(["transactions"])
+    return b.spark.sql("SELECT transaction_id, calculate_estimated_tax(CAST(amount AS DOUBLE)) AS estimated_tax "
+                       "FROM transactions")
+
+
+@register("credit_risk", "SELECT customer_id, CAST(risk_score AS DOUBLE) * 1.25 AS credit_risk FROM customers")
+def _credit_risk(b):
+    return b.customers.select("customer_id", S.credit_risk("risk_score").alias("credit_risk"))

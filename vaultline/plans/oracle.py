@@ -88,6 +88,8 @@ def with_views(body: str) -> str:
     """Prefix an oracle query with the banking views as CTEs."""
     ctes = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in VIEWS.items())
     body = body.strip().rstrip(";")
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         # merge a query's own CTEs after the views
         return f"WITH {ctes},\n{body[5:]}"
