@@ -589,3 +589,214 @@ def _udf_estimated_tax(b):
 @register("credit_risk", "SELECT customer_id, CAST(risk_score AS DOUBLE) * 1.25 AS credit_risk FROM customers")
 def _credit_risk(b):
     return b.customers.select("customer_id", S.credit_risk("risk_score").alias("credit_risk"))
+
+
+# ---------------------------------------------------------------- 2.9 mutations
+from ..operators import changes as C  # noqa: E402
+from ..sources import batches as B  # noqa: E402
+
+
+def _req(*cols):
+    return " AND ".join(f"{c} IS NOT NULL AND CAST({c} AS VARCHAR) <> ''" for c in cols)
+
+
+def _hid(prefix, *exprs):
+    return f"'{prefix}' || upper(substr(sha256(concat_ws('|', {', '.join(exprs)})), 1, 12))"
+
+
+CUSTOMERS_BATCH_SQL = """SELECT s_name AS name,
+ CASE WHEN s_acctbal < 0 THEN NULL ELSE lower(replace(s_name, '#', '.')) || '@supplier.example.com' END AS email,
+ '+1-555-' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS phone, CASE WHEN s_acctbal > 5000 THEN 'GOLD' END AS segment,
+ s_acctbal AS lifetime_value, CAST(NULL AS VARCHAR) AS branch_name, CAST(NULL AS INT) AS risk_score FROM supplier"""
+
+
+@register("insert_customers", f"""
+WITH v AS (SELECT * FROM ({CUSTOMERS_BATCH_SQL}) b WHERE {_req('name', 'email')})
+SELECT * FROM customers UNION ALL
+SELECT {_hid('CUS', 'name', 'email')}, name, email,
+ CASE WHEN regexp_replace(phone, '[^0-9]', '', 'g') = '' THEN NULL ELSE regexp_replace(phone, '[^0-9]', '', 'g') END,
+ COALESCE(NULLIF(segment, ''), 'BRONZE'), COALESCE(CAST(lifetime_value AS DECIMAL(15,2)), 0),
+ COALESCE(NULLIF(branch_name, ''), 'Main Branch'), COALESCE(risk_score, 0), DATE '{AS_OF_TXN}' FROM v""")
+def _insert_customers(b):
+    return C.insert_customers(b.customers, B.customers_batch(b), AS_OF_TXN).next
+
+
+@register("insert_customers_rejects", f"""
+SELECT {_hid('CUS', 'name', 'email')} AS change_key, 'missing required field' AS reason
+FROM ({CUSTOMERS_BATCH_SQL}) b WHERE NOT ({_req('name', 'email')})""")
+def _insert_customers_rejects(b):
+    return C.insert_customers(b.customers, B.customers_batch(b), AS_OF_TXN).rejects
+
+
+@register("insert_accounts", f"""
+WITH b AS (SELECT 'SUP' || CAST(s_suppkey AS VARCHAR) AS account_number, 'CUS' || CAST(s_suppkey * 20 AS VARCHAR) AS customer_id,
+  CASE WHEN s_acctbal < 0 THEN NULL ELSE 'SAVINGS' END AS account_type, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS status
+  FROM supplier),
+v AS (SELECT * FROM b WHERE {_req('account_number', 'customer_id', 'account_type')}
+      AND customer_id IN (SELECT customer_id FROM customers))
+SELECT * FROM accounts UNION ALL
+SELECT account_number, customer_id, account_type, COALESCE(CAST(balance AS DECIMAL(15,2)), 0),
+ COALESCE(NULLIF(status, ''), 'ACTIVE') FROM v""")
+def _insert_accounts(b):
+    return C.insert_accounts(b.accounts, B.accounts_batch(b), b.customers).next
+
+
+@register("insert_transactions", f"""
+WITH b AS (SELECT 'EV' || CAST(event_id AS VARCHAR) AS source_id, 'ACC' || CAST(user_id AS VARCHAR) AS account_number,
+  CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type) END AS transaction_type, value AS amount, ts FROM events),
+v AS (SELECT * FROM b WHERE {_req('account_number', 'transaction_type', 'amount')}
+      AND account_number IN (SELECT account_number FROM accounts))
+SELECT * FROM transactions UNION ALL
+SELECT {_hid('TX', 'source_id')}, account_number, CAST(amount AS DECIMAL(15,2)), transaction_type, 'USD', '', '', 'LOW',
+ 'COMPLETED', ts FROM v""")
+def _insert_transactions(b):
+    return C.insert_transactions(b.transactions, B.transactions_batch(b), b.accounts).next
+
+
+@register("insert_loans", f"""
+WITH v AS (SELECT * FROM orders WHERE o_orderstatus = 'P' AND 'CUS' || CAST(o_custkey AS VARCHAR) IN (SELECT customer_id FROM customers))
+SELECT * FROM loans UNION ALL
+SELECT {_hid('LOAN', "'P' || CAST(o_orderkey AS VARCHAR)")}, 'CUS' || CAST(o_custkey AS VARCHAR),
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'HOME' WHEN '2-HIGH' THEN 'AUTO' WHEN '3-MEDIUM' THEN 'PERSONAL'
+  WHEN '4-NOT SPECIFIED' THEN 'BUSINESS' ELSE 'EDUCATION' END,
+ CAST(o_totalprice AS DECIMAL(15,2)), CAST(5.5 AS DECIMAL(5,2)), 36, CAST(0 AS DECIMAL(15,2)),
+ CAST(o_totalprice AS DECIMAL(15,2)), CAST(0 AS DECIMAL(15,2)), CAST(DATE '{AS_OF_TXN}' + 30 AS DATE), 'A', 'ACTIVE' FROM v""")
+def _insert_loans(b):
+    return C.insert_loans(b.loans, B.loans_batch(b), b.customers, AS_OF_TXN).next
+
+
+@register("insert_branches", f"""
+WITH b AS (SELECT s_name || ' Branch' AS branch_name, n_name AS city, 'Manager ' || CAST(s_suppkey AS VARCHAR) AS manager,
+  s_acctbal AS total_deposits FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+v AS (SELECT * FROM b WHERE {_req('branch_name', 'city', 'manager')})
+SELECT * FROM branch_performance UNION ALL
+SELECT {_hid('BR', 'branch_name', 'city', 'manager')}, branch_name, city, manager, 0, 0,
+ COALESCE(CAST(total_deposits AS DECIMAL(15,2)), 0), 0, 0, 0 FROM v""")
+def _insert_branches(b):
+    return C.insert_branches(b.branch_performance, B.branches_batch(b)).next
+
+
+ALERTS_BATCH_SQL = """SELECT 'EV' || CAST(event_id AS VARCHAR) AS source_id, 'TX' || CAST(event_id AS VARCHAR) AS transaction_id,
+ 'CUS' || CAST(user_id * 11 AS VARCHAR) AS customer_id, value AS amount, ts FROM events WHERE event_type = 'purchase'"""
+
+
+@register("insert_fraud_alerts", f"""
+WITH v AS (SELECT * FROM ({ALERTS_BATCH_SQL}) b WHERE customer_id IN (SELECT customer_id FROM customers))
+SELECT * FROM fraud_alerts UNION ALL
+SELECT {_hid('AL', 'source_id')}, transaction_id, customer_id, CAST(amount AS DECIMAL(15,2)), 'HIGH_VALUE', ts, 50, 'OPEN', ''
+FROM v""")
+def _insert_fraud_alerts(b):
+    return C.insert_fraud_alerts(b.fraud_alerts, B.alerts_batch(b), b.customers).next
+
+
+@register("fk_exists", f"""
+SELECT {_hid('AL', 'source_id')} AS change_key, 'parent not found: customer_id' AS reason
+FROM ({ALERTS_BATCH_SQL}) b WHERE customer_id NOT IN (SELECT customer_id FROM customers)""")
+def _fk_exists(b):
+    """Rejected side of the parent check (left anti join) of an alert batch."""
+    return C.insert_fraud_alerts(b.fraud_alerts, B.alerts_batch(b), b.customers).rejects
+
+
+NOW_TS = "2024-02-01 09:30:00"
+
+
+@register("upsert_records", f"""
+WITH b AS (
+  SELECT 'rec-' || CAST(page_id AS VARCHAR) AS id, url AS name, 'page' || CAST(page_id AS VARCHAR) || '@example.com' AS email,
+   'en' AS details FROM pages WHERE contains(url, '/en/')
+  UNION ALL
+  SELECT 'rec-b' || CAST(item_id AS VARCHAR), 'item ' || CAST(item_id AS VARCHAR), 'item' || CAST(item_id AS VARCHAR) || '@example.com',
+   CAST(NULL AS VARCHAR) FROM benchmark),
+v AS (SELECT * FROM b WHERE {_req('name', 'email')})
+SELECT * FROM records WHERE id NOT IN (SELECT id FROM v)
+UNION ALL
+SELECT v.id, v.name, v.email, COALESCE(v.details, ''), COALESCE(r.created_at, TIMESTAMP '{NOW_TS}'), TIMESTAMP '{NOW_TS}'
+FROM v LEFT JOIN records r ON r.id = v.id""")
+def _upsert_records(b):
+    return C.upsert_records(b.records, B.records_batch(b), NOW_TS).next
+
+
+@register("update_by_key", f"""
+WITH c AS (SELECT 'TX' || CAST(event_id AS VARCHAR) AS transaction_id, 'ACC' || CAST(user_id AS VARCHAR) AS account_number,
+  CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type) END AS transaction_type, value AS amount,
+  CASE WHEN event_type = 'purchase' THEN 'PENDING' END AS status FROM events),
+f AS (SELECT c.*, t.timestamp AS old_ts FROM c JOIN transactions t ON t.transaction_id = c.transaction_id
+      WHERE {_req('c.account_number', 'c.transaction_type', 'c.amount')}
+      AND c.account_number IN (SELECT account_number FROM accounts))
+SELECT * FROM transactions WHERE transaction_id NOT IN (SELECT transaction_id FROM f)
+UNION ALL
+SELECT transaction_id, account_number, CAST(amount AS DECIMAL(15,2)), transaction_type, 'EUR', '', '', 'LOW',
+ COALESCE(NULLIF(status, ''), 'COMPLETED'), old_ts FROM f""")
+def _update_by_key(b):
+    return C.update_transactions(b.transactions, B.transaction_changes(b), b.accounts).next
+
+
+@register("update_loans_keep_due", f"""
+WITH c AS (SELECT 'LOAN' || CAST(o_orderkey AS VARCHAR) AS loan_id, o_totalprice AS amount,
+  CASE WHEN o_orderstatus = 'O' THEN strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d')
+       WHEN o_orderstatus = 'F' THEN 'null' END AS next_due_date FROM orders),
+r AS (SELECT c.*, l.customer_id, l.next_due_date AS old_due FROM c JOIN loans l ON l.loan_id = c.loan_id
+      WHERE l.customer_id IN (SELECT customer_id FROM customers))
+SELECT * FROM loans WHERE loan_id NOT IN (SELECT loan_id FROM r)
+UNION ALL
+SELECT loan_id, customer_id, 'PERSONAL', CAST(amount AS DECIMAL(15,2)), CAST(7.25 AS DECIMAL(5,2)), 48, CAST(0 AS DECIMAL(15,2)),
+ CAST(amount AS DECIMAL(15,2)), CAST(0 AS DECIMAL(15,2)),
+ CASE WHEN next_due_date IS NOT NULL AND trim(next_due_date) <> '' AND trim(next_due_date) <> 'null'
+  THEN CAST(strptime(trim(next_due_date), '%Y-%m-%d') AS DATE) ELSE old_due END, 'A', 'ACTIVE' FROM r""")
+def _update_loans_keep_due(b):
+    return C.update_loans(b.loans, B.loan_changes(b), b.customers).next
+
+
+@register("delete_cascade", """
+SELECT * FROM transactions WHERE account_number NOT IN (SELECT account_number FROM accounts WHERE status = 'FROZEN')""")
+def _delete_cascade(b):
+    """Delete the FROZEN accounts; their transactions go with them."""
+    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
+    keys = b.accounts.filter(F.col("status") == "FROZEN").select("account_number")
+    return C.delete_cascade(tables, "accounts", keys)["transactions"]
+
+
+@register("orphan_report", """
+SELECT 'accounts' AS child_table, 'customer_id' AS column, 'customers' AS parent_table,
+  (SELECT COUNT(*) FROM accounts WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM customers)) AS orphans
+UNION ALL SELECT 'transactions', 'account_number', 'accounts',
+  (SELECT COUNT(*) FROM transactions WHERE account_number IS NOT NULL AND account_number NOT IN (SELECT account_number FROM accounts))
+UNION ALL SELECT 'loans', 'customer_id', 'customers',
+  (SELECT COUNT(*) FROM loans WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM customers))
+UNION ALL SELECT 'fraud_alerts', 'transaction_id', 'transactions',
+  (SELECT COUNT(*) FROM fraud_alerts WHERE transaction_id IS NOT NULL AND transaction_id NOT IN (SELECT transaction_id FROM transactions))
+UNION ALL SELECT 'fraud_alerts', 'customer_id', 'customers',
+  (SELECT COUNT(*) FROM fraud_alerts WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM customers))""")
+def _orphan_report(b):
+    return C.orphan_report({n: b.table(n) for n in ("customers", "accounts", "transactions", "loans", "fraud_alerts")})
+
+
+def _pk_sql(table, col, kind):
+    dup = (f"(SELECT COALESCE(SUM(n), 0) FROM (SELECT COUNT(*) AS n FROM {table} WHERE {col} IS NOT NULL "
+           f"GROUP BY {col} HAVING COUNT(*) > 1))")
+    nulls = f"(SELECT COUNT(*) FROM {table} WHERE {col} IS NULL)"
+    v = {"primary_key": f"{dup} + {nulls}", "unique": dup, "not_null": nulls}[kind]
+    return f"SELECT '{table}' AS table_name, '{kind}' AS check_kind, '{col}' AS column, CAST({v} AS BIGINT) AS violations"
+
+
+_KEY_CHECKS = [("customers", "customer_id", "primary_key"), ("accounts", "account_number", "primary_key"),
+               ("transactions", "transaction_id", "primary_key"), ("loans", "loan_id", "primary_key"),
+               ("records", "id", "primary_key"), ("branch_performance", "branch_id", "primary_key"),
+               ("fraud_alerts", "alert_id", "primary_key"), ("customers", "email", "unique"),
+               ("branch_performance", "branch_name", "unique"), ("customers", "name", "not_null"),
+               ("transactions", "amount", "not_null"), ("records", "email", "not_null")]
+
+
+@register("key_constraints_report", "\nUNION ALL\n".join(_pk_sql(*c) for c in _KEY_CHECKS))
+def _key_constraints_report(b):
+    return C.key_constraints_report({n: b.table(n) for n in ("customers", "accounts", "transactions", "loans",
+                                                             "records", "branch_performance", "fraud_alerts")})
+
+
+@register("promo_upgrade", """
+SELECT customer_id, name, email, phone, CASE WHEN lifetime_value > 9000 THEN 'PLATINUM' ELSE segment END AS segment,
+ CAST(CASE WHEN lifetime_value > 9000 THEN lifetime_value + 100000 ELSE lifetime_value END AS DECIMAL(15,2)) AS lifetime_value,
+ branch_name, risk_score, joined_date FROM customers""")
+def _promo_upgrade(b):
+    ids = b.customers.filter(F.col("lifetime_value") > 9000).select("customer_id")
+    return C.promo_upgrade(b.customers, ids)
