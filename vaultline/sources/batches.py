@@ -126,3 +126,14 @@ def records_batch(bank: Bank) -> DataFrame:
         F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit("@example.com")).alias("email"),
         F.lit(None).cast("string").alias("details"))
     return pages.unionByName(items)
+
+
+def account_change_log(bank: Bank) -> DataFrame:
+    """Balance change log of accounts ACC<user>: signup inserts, errors
+    delete, every other event updates the balance."""
+    e = bank.raw("events")
+    return e.select(
+        prefixed("ACC", "user_id").alias("account_number"),
+        case_map(F.col("event_type"), {"signup": "INSERT", "error": "DELETE"}, "UPDATE").alias("op"),
+        F.col("value").cast("decimal(15,2)").alias("balance"),
+        F.col("ts").alias("change_ts"), F.col("event_id").alias("_seq"))

@@ -164,19 +164,7 @@ class Bank:
     # -- fraud_alerts --------------------------------------------------
     @cached_property
     def fraud_alerts(self) -> DataFrame:
-        e = self.raw("events").filter(F.col("event_type") == "error")
-        key = F.col("event_id")
-        return e.select(
-            prefixed("AL", key).alias("alert_id"),
-            prefixed("TX", key).alias("transaction_id"),
-            prefixed("CUS", F.col("user_id")).alias("customer_id"),
-            money(F.col("value")).alias("amount"),
-            case_map(key % 4, {0: "VELOCITY_LIMIT", 1: "HIGH_VALUE", 2: "GEOGRAPHIC_ANOMALY"},
-                     "DUPLICATE_TX").alias("alert_type"),
-            F.col("ts").alias("timestamp"),
-            (key % 101).cast("int").alias("risk_score"),
-            case_map(key % 4, {0: "OPEN", 1: "INVESTIGATING", 2: "DISMISSED"}, "CONFIRMED").alias("status"),
-            F.col("props").alias("details"))
+        return alerts_from_events(self.raw("events"))
 
     # -- records -------------------------------------------------------
     @cached_property
@@ -251,3 +239,20 @@ def event_transactions(events: DataFrame) -> DataFrame:
         prefixed("Merchant ", k % 40).alias("merchant_name"),
         prefixed("City ", k % 5).alias("location"),
         F.col("ts").alias("timestamp"))
+
+
+def alerts_from_events(events: DataFrame) -> DataFrame:
+    """Error events read as fraud alerts (batch or streaming input)."""
+    e = events.filter(F.col("event_type") == "error")
+    key = F.col("event_id")
+    return e.select(
+        prefixed("AL", key).alias("alert_id"),
+        prefixed("TX", key).alias("transaction_id"),
+        prefixed("CUS", F.col("user_id")).alias("customer_id"),
+        money(F.col("value")).alias("amount"),
+        case_map(key % 4, {0: "VELOCITY_LIMIT", 1: "HIGH_VALUE", 2: "GEOGRAPHIC_ANOMALY"},
+                 "DUPLICATE_TX").alias("alert_type"),
+        F.col("ts").alias("timestamp"),
+        (key % 101).cast("int").alias("risk_score"),
+        case_map(key % 4, {0: "OPEN", 1: "INVESTIGATING", 2: "DISMISSED"}, "CONFIRMED").alias("status"),
+        F.col("props").alias("details"))
