@@ -80,10 +80,12 @@ def fraud_geographic(tx: DataFrame, minutes: int = 60) -> DataFrame:
                       F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
 
 
-def fraud_duplicate(tx: DataFrame, minutes: int = 30) -> DataFrame:
+def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2) -> DataFrame:
     """Same account, amount and merchant as a transaction at most
-    ``minutes`` earlier."""
-    p = previous_within(tx, ["account_number", "amount", "merchant_name"], minutes, ["transaction_id"])
+    ``minutes`` earlier. Amounts are compared rounded to ``amount_scale``
+    decimals (2 = exact cents; 0 = whole currency units)."""
+    t = tx.withColumn("_amount_key", F.round("amount", amount_scale))
+    p = previous_within(t, ["account_number", "_amount_key", "merchant_name"], minutes, ["transaction_id"])
     hit = p.filter(F.col("prev_transaction_id").isNotNull())
     return hit.select("transaction_id", "account_number", "amount", "merchant_name",
                       F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",

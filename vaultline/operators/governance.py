@@ -123,14 +123,27 @@ def roles_report(query_log: DataFrame, spark: SparkSession, k: int = 50) -> Data
 
 
 def grants_report(grants: DataFrame, k: int = 100) -> DataFrame:
-    """privilege, object_type, object_name, grantee sorted by grantee, type."""
-    return (grants.select("privilege", F.col("granted_on").alias("object_type"),
-                          F.col("name").alias("object_name"), F.col("grantee_name").alias("grantee"))
-            .orderBy("grantee", "object_type").limit(k))
+    """privilege, object_type, object_name, grantee sorted by grantee, type
+    (privilege and object break ties, so the first k are deterministic)."""
+    return (grants.select("privilege", "object_type", "object_name", "grantee")
+            .orderBy("grantee", "object_type", "privilege", "object_name").limit(k))
 
 
 def setup_grants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SETUP_GRANTS, "privilege string, granted_on string, name string, grantee_name string")
+    return spark.createDataFrame(SETUP_GRANTS, "privilege string, object_type string, object_name string, grantee string")
+
+
+TABLE_REF = r"(?i)(FROM|INTO|UPDATE)\s+([A-Za-z_]+)"
+
+
+def observed_grants(query_log: DataFrame) -> DataFrame:
+    """Privileges in use: (statement verb, table, role) of every logged
+    statement that names a table, distinct (a hash aggregate)."""
+    obj = F.regexp_extract("query_text", TABLE_REF, 2)
+    return (query_log.filter(obj != "")
+            .select(statement_verb("query_text").alias("privilege"), F.lit("TABLE").alias("object_type"),
+                    F.upper(obj).alias("object_name"), F.col("role_name").alias("grantee"))
+            .distinct())
 
 
 # -- query log reports ----------------------------------------------------
@@ -200,3 +213,12 @@ def access_audit(query_log: DataFrame, spark: SparkSession) -> DataFrame:
     return (q.join(F.broadcast(m), ["role_name", "action", "resource"], "left")
             .withColumn("permitted", F.coalesce("permitted", F.lit(False)))
             .withColumn("guard_allowed", read_only_guard("role_name", "query_text")))
+
+
+def permission_usage(query_log: DataFrame, spark: SparkSession) -> DataFrame:
+    """The permission matrix over the logged statements: (role, action,
+    resource, allowed) with the number of attempts. Partial counts per task
+    before the shuffle; the matrix itself is a broadcast literal."""
+    a = access_audit(query_log, spark)
+    return (a.groupBy(F.col("role_name").alias("role"), "action", "resource", F.col("permitted").alias("allowed"))
+            .agg(F.count(F.lit(1)).alias("attempts")))

@@ -1,0 +1,296 @@
+"""Registered queries, part two: fraud rules, table versions, loads, sinks,
+streams and the remaining governance reports.
+
+The streaming entries run their job to completion with
+``trigger(availableNow=True)`` over the events file (read in place as a file
+stream), checkpointed under the shared checkpoint root, and return the sink
+read back; their oracle is the batch SQL of the same rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import fraud as FR
+from ..operators import governance as G
+from ..operators import versions as V
+from ..operators.joins import account_branch_map
+from ..session import scratch_path
+from ..sources import batches as B
+from ..sources import ingest as I
+from ..sources import sinks as SK
+from ..streaming import jobs as J
+from .catalog import DAILY_BRANCH_SQL
+from .registry import register
+
+# Parameters of the registered forms (ours: the reference names the rules
+# but fixes no threshold).
+HIGH_VALUE = 250
+VELOCITY = dict(window="1 hour", slide="10 minutes", max_count=2)
+GEO_MINUTES = 60
+DUP_MINUTES, DUP_SCALE = 1440, 0
+AS_OF_1, AS_OF_2 = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
+LOAD_NOW = "2001-08-01 00:00:00"
+
+# ---------------------------------------------------------------- 2.12 fraud rules (batch)
+
+HIGH_VALUE_SQL = f"""
+SELECT transaction_id, account_number, amount, timestamp, 'HIGH_VALUE' AS alert_type
+FROM event_transactions WHERE amount >= {HIGH_VALUE}"""
+
+VELOCITY_SQL = """
+WITH w AS (SELECT account_number, amount,
+   time_bucket(INTERVAL 10 MINUTE, timestamp) - to_minutes(CAST(k * 10 AS BIGINT)) AS window_start
+ FROM event_transactions, range(0, 6) r(k))
+SELECT account_number, window_start, window_start + INTERVAL 1 HOUR AS window_end, COUNT(*) AS tx_count,
+ CAST(SUM(amount) AS DECIMAL(38,2)) AS total_amount, 'VELOCITY_LIMIT' AS alert_type
+FROM w GROUP BY account_number, window_start HAVING COUNT(*) > 2"""
+
+SECONDS = "CAST(floor(epoch_us(timestamp) / 1000000) AS BIGINT)"
+
+GEO_SQL = f"""
+WITH s AS (SELECT *, {SECONDS} AS sec FROM event_transactions),
+l AS (SELECT *, lag(sec) OVER w AS psec, lag(location) OVER w AS ploc, lag(transaction_id) OVER w AS pid FROM s
+ WINDOW w AS (PARTITION BY account_number ORDER BY timestamp, transaction_id))
+SELECT transaction_id, account_number, location, ploc AS previous_location, pid AS previous_transaction_id,
+ sec - psec AS gap_seconds, 'GEOGRAPHIC_ANOMALY' AS alert_type
+FROM l WHERE psec IS NOT NULL AND sec - psec <= {GEO_MINUTES * 60} AND location <> ploc"""
+
+DUP_SQL = f"""
+WITH s AS (SELECT *, {SECONDS} AS sec FROM event_transactions),
+l AS (SELECT *, lag(sec) OVER w AS psec, lag(transaction_id) OVER w AS pid FROM s
+ WINDOW w AS (PARTITION BY account_number, round(amount, {DUP_SCALE}), merchant_name ORDER BY timestamp, transaction_id))
+SELECT transaction_id, account_number, amount, merchant_name, pid AS duplicate_of, sec - psec AS gap_seconds,
+ 'DUPLICATE_TX' AS alert_type
+FROM l WHERE psec IS NOT NULL AND sec - psec <= {DUP_MINUTES * 60}"""
+
+
+@register("fraud_high_value", HIGH_VALUE_SQL)
+def _fraud_high_value(b):
+    return FR.fraud_high_value(b.event_transactions, HIGH_VALUE)
+
+
+@register("fraud_velocity", VELOCITY_SQL)
+def _fraud_velocity(b):
+    return FR.fraud_velocity(b.event_transactions, **VELOCITY)
+
+
+@register("fraud_geographic", GEO_SQL)
+def _fraud_geographic(b):
+    return FR.fraud_geographic(b.event_transactions, GEO_MINUTES)
+
+
+@register("fraud_duplicate", DUP_SQL)
+def _fraud_duplicate(b):
+    return FR.fraud_duplicate(b.event_transactions, DUP_MINUTES, DUP_SCALE)
+
+
+# ---------------------------------------------------------------- 2.10 streaming
+
+def _events(b):
+    return J.event_stream(b.spark, b.sf_dir)
+
+
+def _account_branch(b):
+    return account_branch_map(b.accounts, b.customers)
+
+
+@register("fraud_velocity_stream", VELOCITY_SQL)
+def _fraud_velocity_stream(b):
+    s = J.fraud_velocity_stream(_events(b), **VELOCITY)
+    return J.run_keyed(b.spark, s, "fraud_velocity", ["account_number", "window_start"])
+
+
+@register("fraud_geographic_stream", GEO_SQL)
+def _fraud_geographic_stream(b):
+    return J.run_append(b.spark, J.fraud_geographic_stream(_events(b), GEO_MINUTES), "fraud_geographic")
+
+
+@register("fraud_duplicate_stream", DUP_SQL)
+def _fraud_duplicate_stream(b):
+    s = J.fraud_duplicate_stream(_events(b), DUP_MINUTES, DUP_SCALE)
+    return J.run_append(b.spark, s, "fraud_duplicate")
+
+
+@register("high_risk_stream", """
+SELECT f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount, f.risk_score
+FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id WHERE f.risk_score > 80""")
+def _high_risk_stream(b):
+    return J.run_append(b.spark, J.high_risk_stream(_events(b), b.customers, 80), "high_risk")
+
+
+TX_BRANCH_FROM = """FROM event_transactions t JOIN accounts a ON t.account_number = a.account_number
+ JOIN customers c ON a.customer_id = c.customer_id"""
+
+
+@register("live_daily_branch", f"""
+SELECT CAST(t.timestamp AS DATE) AS transaction_date, c.branch_name, COUNT(*) AS daily_count,
+ CAST(SUM(t.amount) AS DECIMAL(38,2)) AS daily_amount {TX_BRANCH_FROM} GROUP BY 1, 2""")
+def _live_daily_branch(b):
+    s = J.live_daily_branch(_events(b), _account_branch(b))
+    return J.run_keyed(b.spark, s, "live_daily_branch", ["transaction_date", "branch_name"])
+
+
+@register("hourly_consolidate", f"""
+SELECT c.branch_name, date_trunc('hour', t.timestamp) AS hour_start, COUNT(*) AS transaction_count,
+ CAST(SUM(t.amount) AS DECIMAL(38,2)) AS total_amount {TX_BRANCH_FROM} GROUP BY 1, 2""")
+def _hourly_consolidate(b):
+    s = J.hourly_consolidate(_events(b), _account_branch(b))
+    return J.run_keyed(b.spark, s, "hourly_consolidate", ["branch_name", "hour_start"])
+
+
+# ---------------------------------------------------------------- 2.12 table versions
+
+CHANGE_LOG_SQL = """SELECT concat('ACC', CAST(user_id AS VARCHAR)) AS account_number,
+ CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op,
+ CAST(value AS DECIMAL(15,2)) AS balance, ts AS change_ts, event_id AS _seq FROM events"""
+
+
+def _as_of_sql(as_of):
+    return f"""SELECT account_number, balance, change_ts AS last_change_ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_number ORDER BY change_ts DESC, _seq DESC) AS rn
+  FROM ({CHANGE_LOG_SQL}) log WHERE change_ts <= TIMESTAMP '{as_of}') r WHERE rn = 1 AND op <> 'DELETE'"""
+
+
+def _as_of(b, as_of):
+    return V.table_as_of(B.account_change_log(b), "account_number", as_of)
+
+
+@register("table_as_of", _as_of_sql(AS_OF_2))
+def _table_as_of(b):
+    return _as_of(b, AS_OF_2)
+
+
+@register("cdc_changes", f"""
+WITH o AS ({_as_of_sql(AS_OF_1)}), n AS ({_as_of_sql(AS_OF_2)})
+SELECT COALESCE(o.account_number, n.account_number) AS account_number,
+ CASE WHEN o.account_number IS NULL THEN 'INSERT' WHEN n.account_number IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
+ o.balance AS old_balance, o.last_change_ts AS old_last_change_ts, n.balance AS new_balance,
+ n.last_change_ts AS new_last_change_ts
+FROM o FULL OUTER JOIN n ON o.account_number = n.account_number
+WHERE o.account_number IS NULL OR n.account_number IS NULL OR o.balance IS DISTINCT FROM n.balance
+ OR o.last_change_ts IS DISTINCT FROM n.last_change_ts""")
+def _cdc_changes(b):
+    return V.cdc_changes(_as_of(b, AS_OF_1), _as_of(b, AS_OF_2), "account_number", ["balance", "last_change_ts"])
+
+
+@register("clone_table", _as_of_sql(AS_OF_2))
+def _clone_table(b):
+    return V.clone_table(_as_of(b, AS_OF_2), scratch_path(b.spark, "clone_accounts"))
+
+
+# ---------------------------------------------------------------- 2.1 / 2.2 sinks and shapes
+
+@register("camel_case_columns", """
+SELECT transaction_id AS "transactionId", account_number AS "accountNumber", amount,
+ transaction_type AS "transactionType", currency, merchant_name AS "merchantName", location,
+ risk_factor AS "riskFactor", status, timestamp FROM transactions""")
+def _camel_case_columns(b):
+    return SK.camel_case_columns(b.transactions)
+
+
+@register("json_rows", """
+SELECT CAST(json_object('customerId', customer_id, 'name', name, 'email', email, 'phone', phone,
+ 'segment', segment, 'lifetimeValue', CAST(lifetime_value AS DOUBLE), 'branchName', branch_name,
+ 'riskScore', risk_score, 'joinedDate', joined_date) AS VARCHAR) AS json FROM customers""")
+def _json_rows(b):
+    c = b.customers.withColumn("lifetime_value", F.col("lifetime_value").cast("double"))
+    return SK.json_rows(c)
+
+
+@register("refresh_daily_branch", DAILY_BRANCH_SQL)
+def _refresh_daily_branch(b):
+    return SK.refresh_daily_branch(b, scratch_path(b.spark, "daily_branch"))
+
+
+# ---------------------------------------------------------------- 2.1 file loads
+
+def _load_inputs(b):
+    """Customers written by Spark as the files of a load: a CSV with some
+    malformed amounts, a JSON and a PARQUET copy, and a CSV with an extra
+    column the destination lacks."""
+    root = scratch_path(b.spark, "stage")
+    c = b.customers
+    bad = F.substring("customer_id", 4, 20).cast("bigint") % 50 == 0
+    as_text = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns])
+    as_text.withColumn("lifetime_value", F.when(bad, F.lit("n/a")).otherwise(F.col("lifetime_value"))) \
+        .write.option("header", True).csv(f"{root}/customers_csv")
+    c.write.json(f"{root}/customers_json")
+    c.write.parquet(f"{root}/customers_parquet")
+    as_text.withColumn("nickname", F.col("name")).write.option("header", True).csv(f"{root}/customers_extra_csv")
+    return [(f"{root}/customers_csv", "CSV"), (f"{root}/customers_json", "JSON"),
+            (f"{root}/customers_parquet", "PARQUET"), (f"{root}/customers_extra_csv", "CSV")]
+
+
+GOOD_CSV = "CAST(substr(customer_id, 4) AS BIGINT) % 50 <> 0"
+
+
+@register("copy_into", f"SELECT * FROM customers WHERE {GOOD_CSV}")
+def _copy_into(b):
+    path, fmt = _load_inputs(b)[0]
+    df = I.copy_into(b.spark, path, fmt, b.customers.schema)
+    return df.filter(F.col(I.CORRUPT).isNull()).drop(I.CORRUPT, "_file")
+
+
+@register("copy_into_schema_check", f"""
+SELECT * FROM customers WHERE {GOOD_CSV} UNION ALL SELECT * FROM customers UNION ALL SELECT * FROM customers""")
+def _copy_into_schema_check(b):
+    """All four files; the one with a foreign column loads nothing."""
+    good, _ = I.load_files(b.spark, _load_inputs(b), b.customers.schema, now=LOAD_NOW)
+    return good
+
+
+def _log_sql(name, fmt, status, rows, errors, message):
+    lid = f"'LD-' || upper(substr(sha256(concat_ws('|', '{name}', '{fmt}', '{LOAD_NOW}')), 1, 8))"
+    return (f"SELECT '{name}' AS file_name, '{fmt}' AS file_format, '@BANKING_STAGE' AS stage, '{status}' AS status, "
+            f"CAST({rows} AS BIGINT) AS rows_loaded, CAST({errors} AS BIGINT) AS errors, {message} AS message, "
+            f"{lid} AS load_id, TIMESTAMP '{LOAD_NOW}' AS loaded_at")
+
+
+@register("load_history", "\nUNION ALL\n".join([
+    _log_sql("customers_csv", "CSV", "LOADED", f"(SELECT COUNT(*) FROM customers WHERE {GOOD_CSV})",
+             f"(SELECT COUNT(*) FROM customers WHERE NOT ({GOOD_CSV}))", "CAST(NULL AS VARCHAR)"),
+    _log_sql("customers_json", "JSON", "LOADED", "(SELECT COUNT(*) FROM customers)", "0", "CAST(NULL AS VARCHAR)"),
+    _log_sql("customers_parquet", "PARQUET", "LOADED", "(SELECT COUNT(*) FROM customers)", "0",
+             "CAST(NULL AS VARCHAR)"),
+    _log_sql("customers_extra_csv", "CSV", "FAILED", "0", "0", "'field nickname not found in destination'")]))
+def _load_history(b):
+    _, log = I.load_files(b.spark, _load_inputs(b), b.customers.schema, now=LOAD_NOW)
+    return log
+
+
+# ---------------------------------------------------------------- 2.11 governance reports
+
+OBSERVED_GRANTS_SQL = """SELECT DISTINCT upper(regexp_extract(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', '')),
+   '^([A-Za-z]+)', 1)) AS privilege, 'TABLE' AS object_type,
+ upper(regexp_extract(query_text, '(?i)(FROM|INTO|UPDATE)\\s+([A-Za-z_]+)', 2)) AS object_name, role_name AS grantee
+FROM query_log WHERE regexp_extract(query_text, '(?i)(FROM|INTO|UPDATE)\\s+([A-Za-z_]+)', 2) <> ''"""
+
+
+def _grants_values_sql():
+    rows = ", ".join(f"('{p}', '{t}', '{n}', '{g}')" for p, t, n, g in G.SETUP_GRANTS)
+    return f"SELECT * FROM (VALUES {rows}) v(privilege, object_type, object_name, grantee)"
+
+
+@register("grants_report", f"""
+SELECT * FROM ({_grants_values_sql()} UNION {OBSERVED_GRANTS_SQL}) g
+ORDER BY grantee, object_type, privilege, object_name LIMIT 100""")
+def _grants_report(b):
+    grants = G.setup_grants(b.spark).unionByName(G.observed_grants(b.query_log)).distinct()
+    return G.grants_report(grants)
+
+
+@register("permission_matrix", """
+WITH v AS (SELECT *, upper(regexp_extract(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', '')),
+   '^([A-Za-z]+)', 1)) AS verb FROM query_log),
+a AS (SELECT role_name, CASE verb WHEN 'SELECT' THEN 'read' WHEN 'SHOW' THEN 'read' WHEN 'INSERT' THEN 'create'
+   WHEN 'UPDATE' THEN 'update' WHEN 'MERGE' THEN 'update' WHEN 'DELETE' THEN 'delete' ELSE 'update' END AS action FROM v)
+SELECT role_name AS role, action, 'sql' AS resource,
+ CASE WHEN role_name = 'BANKING_ADMIN' THEN true
+      WHEN role_name = 'BANKING_DATA_ENGINEER' THEN action <> 'delete'
+      WHEN role_name = 'BANKING_ANALYST' THEN action = 'read'
+      ELSE false END AS allowed,
+ COUNT(*) AS attempts
+FROM a GROUP BY 1, 2, 3, 4""")
+def _permission_matrix(b):
+    return G.permission_usage(b.query_log, b.spark)

@@ -54,4 +54,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the catalog modules fills the registry.
-    from . import catalog  # noqa: F401
+    from . import catalog, catalog_jobs  # noqa: F401
