@@ -229,7 +229,7 @@ GOOD_CSV = "CAST(substr(customer_id, 4) AS BIGINT) % 50 <> 0"
 def _copy_into(b):
     path, fmt = _load_inputs(b)[0]
     df = I.copy_into(b.spark, path, fmt, b.customers.schema)
-    return df.filter(F.col(I.CORRUPT).isNull()).drop(I.CORRUPT, "_file")
+    return I.good_rows(df, b.customers.schema)
 
 
 @register("copy_into_schema_check", f"""

@@ -8,6 +8,9 @@ queries use. The rules are the fixed mapping of FIXTURES.md (DuckDB spelling:
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+
 # Mapping of the driver's tables to the banking tables.
 VIEWS = {
     "customers": """
@@ -94,3 +97,39 @@ def with_views(body: str) -> str:
         # merge a query's own CTEs after the views
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# -- comparing a Spark result with the oracle's ---------------------------
+
+def duckdb_tables(sf_dir: str):
+    """A DuckDB connection with the driver's raw tables as views."""
+    import duckdb
+
+    from ..sources.tables import RAW_TABLES
+    con = duckdb.connect()
+    for t in RAW_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        return round(v, 6)
+    if isinstance(v, decimal.Decimal):
+        return str(v.normalize()) if v == v.to_integral() else format(v.normalize(), "f")
+    if isinstance(v, (dt.datetime, dt.date)):
+        return v.isoformat()
+    if isinstance(v, dict):
+        return tuple((k, norm(x)) for k, x in sorted(v.items()))
+    if hasattr(v, "asDict"):
+        return norm(v.asDict())
+    if isinstance(v, (list, tuple)):
+        return tuple(norm(x) for x in v)
+    return v
+
+
+def canon(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return [cols[i] for i in order], sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)

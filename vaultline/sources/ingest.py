@@ -60,6 +60,21 @@ def copy_into(spark: SparkSession, path: str, fmt: str, target: T.StructType, sk
     return df.withColumn("_file", F.input_file_name())
 
 
+def good_rows(df: DataFrame, target: T.StructType) -> DataFrame:
+    """Rows that parsed, under the target schema.
+
+    The predicate also names every target column through a hash that the
+    optimizer cannot fold away (``greatest(0, h) >= 0`` is always true).
+    A bare ``_corrupt_record IS NULL`` would let a count prune the scan to
+    that column alone, which Spark refuses, and with CSV column pruning a
+    bad value in an unread column would go unnoticed. So each row is parsed
+    whole, without caching the input.
+    """
+    cols = [F.col(f.name) for f in target.fields]
+    parsed = F.greatest(F.lit(0).cast("bigint"), F.xxhash64(*cols)) >= 0
+    return df.filter(F.col(CORRUPT).isNull() & parsed).select(*[f.name for f in target.fields])
+
+
 def load_files(spark: SparkSession, files, target: T.StructType, stage: str = "@BANKING_STAGE",
                now: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Load several (path, format) files. Returns (good rows, load log).
@@ -79,7 +94,7 @@ def load_files(spark: SparkSession, files, target: T.StructType, stage: str = "@
                                               log_schema))
             continue
         df = copy_into(spark, path, fmt, target)
-        loaded.append(df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"))
+        loaded.append(good_rows(df, target))
         # the good-row count names every target column (a struct is never
         # NULL), so the scan does not read the corrupt column alone
         good_row = F.when(F.col(CORRUPT).isNull(), F.struct(*[F.col(f.name) for f in target.fields]))
