@@ -6,6 +6,11 @@ join neither adds nor removes child rows, so the top-k can be taken first
 and only the k winners are enriched. The big parent tables are then read
 once through a broadcast semi join against at most k keys (a bound set by
 the limit itself), instead of being shuffled against the whole child table.
+
+The top-k feeds several branches of such a plan (the semi joins and the
+final join). Spark does not reuse a ``TakeOrderedAndProject`` across
+branches, so each would scan and sort the fact table again; ``pin`` runs it
+once and keeps its k rows in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -13,6 +18,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+
+def pin(bounded: DataFrame) -> DataFrame:
+    """Compute a result bounded by construction (a top-k, a limit) once and
+    keep it as a checkpoint in the cluster's shared checkpoint folder. Later
+    plans read its rows instead of recomputing it, and the lineage is cut,
+    so a lost executor does not rerun the scan."""
+    ensure_checkpoint_dir(bounded.sparkSession)
+    return bounded.checkpoint(eager=True)
+
 
 def lookup_by_keys(parent: DataFrame, keys: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     """Rows of ``parent`` whose key occurs in the small ``keys`` frame.
@@ -32,7 +48,8 @@ def customer_names_for_accounts(accounts: DataFrame, customers: DataFrame, top:
     Output has one row per matching account; customers are probed with the
     (bounded) customer ids of those accounts only.
     """
-    acc = lookup_by_keys(accounts.select("account_number", "customer_id"), top, account_col, "account_number")
+    # at most one account per key of ``top``; it feeds two joins, so pin it
+    acc = pin(lookup_by_keys(accounts.select("account_number", "customer_id"), top, account_col, "account_number"))
     cust = lookup_by_keys(customers.select("customer_id", "name"), acc, "customer_id")
     return acc.join(cust, "customer_id", "left").select("account_number", F.col("name").alias("_customer_name"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import all_of, contains_any, like_any, norm_param, optional_eq, to_char
-from .joins import enrich_customer_name, enrich_customer_name_direct, lookup_by_keys
+from .joins import enrich_customer_name, enrich_customer_name_direct, lookup_by_keys, pin
 
 
 def _where(df: DataFrame, pred) -> DataFrame:
@@ -56,7 +56,7 @@ def txn_enriched(bank, tx_type=None, risk=None, k: int = 200, search: str | None
         enriched = enriched.filter(contains_any(["transaction_id", "account_number", "customer_name",
                                                  "merchant_name"], search))
         return _txn_out(top_k(enriched, NEWEST_FIRST(), k), TXN_COLUMNS())
-    top = top_k(t, NEWEST_FIRST(), k)
+    top = pin(top_k(t, NEWEST_FIRST(), k))
     return _txn_out(enrich_customer_name(top, bank.accounts, bank.customers), TXN_COLUMNS())
 
 
@@ -72,7 +72,7 @@ def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
 
 def recent_activity(bank, k: int = 10) -> DataFrame:
     """Dashboard feed: newest k transactions with customer name."""
-    top = top_k(bank.transactions, NEWEST_FIRST(), k)
+    top = pin(top_k(bank.transactions, NEWEST_FIRST(), k))
     e = enrich_customer_name(top, bank.accounts, bank.customers)
     return e.select(F.col("transaction_id").alias("id"), F.col("transaction_type").alias("type"),
                     "customer_name", "amount",
@@ -85,7 +85,7 @@ def recent_activity(bank, k: int = 10) -> DataFrame:
 def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
     """Loans with customer name, ORDER BY next_due_date ASC NULLS LAST."""
     l = _where(bank.loans, all_of(optional_eq("category", category), optional_eq("risk_rating", rating)))
-    top = top_k(l, [F.col("next_due_date").asc_nulls_last(), F.col("loan_id").asc()], k)
+    top = pin(top_k(l, [F.col("next_due_date").asc_nulls_last(), F.col("loan_id").asc()], k))
     e = enrich_customer_name_direct(top, bank.customers)
     return e.select(F.col("loan_id").alias("id"), "customer_id", "customer_name", "category", "amount",
                     "interest_rate", "term_months", "emi", "remaining_balance",
@@ -96,7 +96,7 @@ def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
 # -- fraud alerts ---------------------------------------------------------
 
 def fraud_alerts_list(bank, k: int = 200) -> DataFrame:
-    top = top_k(bank.fraud_alerts, [F.col("timestamp").desc_nulls_first(), F.col("alert_id").asc()], k)
+    top = pin(top_k(bank.fraud_alerts, [F.col("timestamp").desc_nulls_first(), F.col("alert_id").asc()], k))
     e = enrich_customer_name_direct(top, bank.customers)
     return e.select(F.col("alert_id").alias("id"), "transaction_id", "customer_name", "amount",
                     F.col("alert_type").alias("type"),
@@ -177,7 +177,7 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
     The accounts of only those k customers are read (broadcast semi join on
     k ids, replacing the reference's IN list) and grouped per customer.
     """
-    top = customers_page(bank, search, segment, k)
+    top = pin(customers_page(bank, search, segment, k))
     acc = lookup_by_keys(bank.accounts, top, "customer_id")
     nested = acc.groupBy("customer_id").agg(F.sort_array(F.collect_list(ACCOUNT_STRUCT())).alias("accounts"))
     empty = F.array().cast("array<struct<account_number:string,type:string,balance:decimal(15,2),status:string>>")
@@ -188,7 +188,7 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
 def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
     """Exploded form of the nested result: one row per (customer, account),
     customers without accounts kept once with NULL account columns."""
-    top = customers_page(bank, search, segment, k)
+    top = pin(customers_page(bank, search, segment, k))
     acc = lookup_by_keys(bank.accounts, top, "customer_id").select(
         "customer_id", "account_number", F.col("account_type").alias("account_type"),
         F.col("balance"), F.col("status").alias("account_status"))
@@ -219,6 +219,6 @@ def point_lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def in_list_filter(bank, k: int = 200) -> DataFrame:
     """Accounts of the first page of customers (``customer_id IN (...)``)."""
-    top = customers_page(bank, None, None, k)
+    top = pin(customers_page(bank, None, None, k))
     return lookup_by_keys(bank.accounts, top, "customer_id").select(
         "account_number", F.col("account_type").alias("type"), "balance", "status", "customer_id")
