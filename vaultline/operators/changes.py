@@ -87,15 +87,40 @@ def _insert(base: DataFrame, shaped: DataFrame, rejects: DataFrame, table: str)
 def _update(base: DataFrame, changes: DataFrame, table: str, key: str, shape, keep=(),
             required=(), fks=()) -> Changed:
     """Whole-row replace of matched keys; ``shape(df)`` maps a validated change
-    (joined with the stored ``keep`` columns, prefixed ``old_``) to table rows."""
+    (with the stored ``keep`` columns, prefixed ``old_``) to table rows.
+
+    One full outer join of the base with the latest valid change per key,
+    the physical shape of a MERGE: the base is read and shuffled once, and
+    every output comes from that join (base only -> kept, both -> replaced,
+    change only -> rejected "not found"). The shapers select the key column
+    by name, so the stored row and the match flag ride through them inside
+    the key column and are unpacked afterwards.
+    """
     latest = latest_per_key(changes, key)
     valid, rejects = validate(latest, key, required, fks)
-    stored = base.select(key, *[F.col(c).alias(f"old_{c}") for c in keep])
-    found = valid.join(stored, key, "inner")
-    not_found = _reject(valid.join(base.select(key), key, "left_anti"), "not found", key)
-    updated = _conform(shape(found), table)
-    kept = base.join(found.select(key), key, "left_anti")
-    return Changed(_conform(kept, table).unionByName(updated), rejects.unionByName(not_found), updated)
+    schema = schemas.BY_NAME[table]
+    base_c = _conform(base, table)
+    change_cols = [c for c in valid.columns if c != key]
+    j = (base_c.select(F.col(key).alias("_k"), F.struct(*base_c.columns).alias("_old"))
+         .join(valid.select(F.col(key).alias("_k"), F.struct(*change_cols).alias("_new")), "_k", "full_outer"))
+    hit = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    flat = j.select(F.struct(F.col("_k").alias("k"), F.col("_old").alias("old"), hit.alias("hit")).alias(key),
+                    *[F.col(f"_new.{c}").alias(c) for c in change_cols],
+                    *[F.col(f"_old.{c}").alias(f"old_{c}") for c in keep])
+    shaped = shape(flat)
+    row = F.col(key)
+
+    def pick(f):
+        if f.name == key:
+            return row["k"].cast(f.dataType).alias(key)
+        return F.when(row["hit"], F.col(f.name).cast(f.dataType)).otherwise(row["old"][f.name]).alias(f.name)
+
+    stored = shaped.filter(row["old"].isNotNull())
+    nxt = stored.select(*[pick(f) for f in schema.fields])
+    updated = stored.filter(row["hit"]).select(*[pick(f) for f in schema.fields])
+    not_found = j.filter(F.col("_old").isNull()).select(
+        F.col("_k").cast("string").alias("change_key"), F.lit("not found").alias("reason"))
+    return Changed(nxt, rejects.unionByName(not_found), updated)
 
 
 # -- customers ------------------------------------------------------------

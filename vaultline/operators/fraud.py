@@ -10,7 +10,7 @@ copied, as a *ghost*, into the next bucket. A row's true predecessor
 within m minutes lies in its own bucket or the one before, and both are
 present in its partition; a predecessor further back is farther than m
 minutes and cannot qualify anyway. The result is exact, at the price of
-reading each row twice.
+shuffling each row twice (the copies come from one scan).
 """
 
 from __future__ import annotations
@@ -52,10 +52,12 @@ def previous_within(tx: DataFrame, keys, minutes: int, carry) -> DataFrame:
     Ordering is (timestamp, transaction_id). Partitioned by keys + bucket.
     """
     width = minutes * 60
-    base = tx.withColumn("_sec", _seconds("timestamp")).withColumn("_b", F.floor(F.col("_sec") / width))
-    own = base.withColumn("_ghost", F.lit(False))
-    ghost = base.withColumn("_b", F.col("_b") + 1).withColumn("_ghost", F.lit(True))
-    both = own.unionByName(ghost)
+    base = tx.withColumn("_sec", _seconds("timestamp")).withColumn("_b0", F.floor(F.col("_sec") / width))
+    # each row in its own bucket and, as a ghost, in the next one (one scan)
+    copies = F.array(F.struct(F.col("_b0").alias("b"), F.lit(False).alias("g")),
+                     F.struct((F.col("_b0") + 1).alias("b"), F.lit(True).alias("g")))
+    both = (base.withColumn("_x", F.explode(copies))
+            .withColumn("_b", F.col("_x.b")).withColumn("_ghost", F.col("_x.g")).drop("_x", "_b0"))
     w = Window.partitionBy(*keys, "_b").orderBy("timestamp", "transaction_id")
     prev = both.select(
         "*",
