@@ -92,7 +92,8 @@ def _events(b):
 
 
 def _account_branch(b):
-    return account_branch_map(b.accounts, b.customers)
+    """The account -> branch map, stored once for the stream's lookups."""
+    return SK.materialize(account_branch_map(b.accounts, b.customers), "account_branch")
 
 
 @register("fraud_velocity_stream", VELOCITY_SQL)
@@ -116,7 +117,8 @@ def _fraud_duplicate_stream(b):
 SELECT f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount, f.risk_score
 FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id WHERE f.risk_score > 80""")
 def _high_risk_stream(b):
-    return J.run_append(b.spark, J.high_risk_stream(_events(b), b.customers, 80), "high_risk")
+    names = SK.materialize(b.customers.select("customer_id", "name"), "customer_names")
+    return J.run_append(b.spark, J.high_risk_stream(_events(b), names, 80), "high_risk")
 
 
 TX_BRANCH_FROM = """FROM event_transactions t JOIN accounts a ON t.account_number = a.account_number

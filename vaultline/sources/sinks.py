@@ -25,6 +25,20 @@ def json_rows(df: DataFrame, camel: bool = True) -> DataFrame:
     return d.select(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a parquet table in a fresh folder under the
+    shared checkpoint root and return it read back.
+
+    Used for lookup maps that a stream joins on every micro-batch: the
+    stream then reads a narrow stored table instead of re-running the joins
+    that derive it, and the lineage is cut (a lost executor rereads files).
+    """
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     camel_case_columns(df).write.mode("errorifexists").json(path)
 

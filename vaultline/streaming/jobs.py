@@ -37,7 +37,7 @@ EVENTS_SCHEMA = T.StructType([
 # ---------------------------------------------------------------- sources
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
-                 max_bytes_per_trigger: str | None = None) -> DataFrame:
+                 max_bytes_per_trigger: int | None = 256 * 1024 * 1024) -> DataFrame:
     """The events table as a file stream (fixed schema, no inference).
 
     ``name`` is a glob inside ``folder``: new files matching it are picked
@@ -46,7 +46,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     """
     r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", name)
     if max_bytes_per_trigger:
-        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
+        r = r.option("maxBytesPerTrigger", str(int(max_bytes_per_trigger)))
     return r.parquet(folder)
 
 
@@ -150,10 +150,17 @@ def fraud_velocity_stream(events: DataFrame, window: str = "1 hour", slide: str
         F.lit("VELOCITY_LIMIT").alias("alert_type"))
 
 
-def _previous_within_fn(minutes: int, carry: list[str], out_cols: list[str]):
-    """Per key: each row with the previous row of the key if that row is at
-    most ``minutes`` earlier. State is the key's last row (seconds, id,
-    carried values); it times out ``minutes`` after the last event time."""
+EPOCH = pd.Timestamp("1970-01-01")
+
+
+def _previous_within_fn(minutes: int, sub_keys: list[str], carry: list[str], out_cols: list[str]):
+    """Per account: each row with the previous row of the same sub-key (the
+    rest of the rule's key) if that row is at most ``minutes`` earlier.
+
+    The state is, per sub-key, the last event (seconds and carried values),
+    kept only while it is younger than the window, so it is bounded by time.
+    Within a batch the sub-keys are handled by vectorised pandas group
+    shifts, one Python call per account and batch."""
     width = minutes * 60
 
     def fn(key, pdfs, state):
@@ -163,43 +170,58 @@ def _previous_within_fn(minutes: int, carry: list[str], out_cols: list[str]):
         df = pd.concat(list(pdfs), ignore_index=True)
         if df.empty:
             return
-        ts = pd.to_datetime(df["timestamp"])
-        df["_sec"] = ((ts - pd.Timestamp("1970-01-01")) // pd.Timedelta(seconds=1)).astype("int64")
+        df["_sec"] = ((pd.to_datetime(df["timestamp"]) - EPOCH) // pd.Timedelta(seconds=1)).astype("int64")
         df = df.sort_values(["timestamp", "transaction_id"], kind="stable").reset_index(drop=True)
-        prev = {c: df[c].shift(1) for c in ["_sec", *carry]}
+        sk = pd.Series("", index=df.index)
+        for k in sub_keys:
+            sk = sk + "|" + df[k].astype(str)
+        df["_sk"] = sk
+        grouped = df.groupby("_sk", sort=False)
+        prev = {c: grouped[c].shift(1).astype(object) for c in ["_sec", *carry]}
+        old = {}
         if state.exists:
-            last = state.get
-            prev["_sec"].iloc[0] = last[0]
-            for i, c in enumerate(carry):
-                prev[c].iloc[0] = last[1 + i]
-        gap = df["_sec"] - prev["_sec"]
+            st = state.get
+            old = {k: (st[1][i], *[st[2 + j][i] for j in range(len(carry))]) for i, k in enumerate(st[0])}
+            first = prev["_sec"].isna()
+            for i in df.index[first]:
+                hit = old.get(df.at[i, "_sk"])
+                if hit is not None:
+                    prev["_sec"].at[i] = hit[0]
+                    for j, c in enumerate(carry):
+                        prev[c].at[i] = hit[1 + j]
+        gap = df["_sec"] - pd.to_numeric(prev["_sec"])
         near = gap.notna() & (gap <= width)
         for c in carry:
             df[f"prev_{c}"] = prev[c].where(near, None)
         df["gap_seconds"] = gap.where(near).astype("Int64")
-        tail = df.iloc[-1]
-        state.update(tuple([int(tail["_sec"]), *[tail[c] for c in carry]]))
-        state.setTimeoutTimestamp(max((int(tail["_sec"]) + width) * 1000, state.getCurrentWatermarkMs() + 1))
+        # next state: last event per sub-key, old ones kept while inside the window
+        latest = df["_sec"].max()
+        for _, r in grouped.tail(1).iterrows():
+            old[r["_sk"]] = (int(r["_sec"]), *[r[c] for c in carry])
+        live = {k: v for k, v in old.items() if v[0] >= latest - width}
+        ks = list(live)
+        state.update((ks, [live[k][0] for k in ks], *[[live[k][1 + j] for k in ks] for j in range(len(carry))]))
+        state.setTimeoutTimestamp(max((int(latest) + width) * 1000, state.getCurrentWatermarkMs() + 1))
         yield df[out_cols]
 
     return fn
 
 
 def previous_within_stream(tx: DataFrame, keys, minutes: int, carry, out_schema: T.StructType,
-                           delay: str = "10 minutes") -> DataFrame:
-    """Streaming form of ``operators.fraud.previous_within``.
+                           delay: str = "10 minutes", sub_keys=()) -> DataFrame:
+    """Streaming form of ``operators.fraud.previous_within``, grouped by
+    ``keys`` (the account) with the rest of the rule's key in ``sub_keys``.
 
-    A group holds the key's rows of one micro-batch (bounded by the
-    trigger size), plus one state row. Rows later than the key's last
-    seen event are compared in event-time order; a row arriving after a
-    newer one of its key is compared with that newer row (streams do not
-    rewrite history)."""
+    A group holds one account's rows of one micro-batch (bounded by the
+    trigger size) plus its state. A row arriving after a newer one of its
+    key is compared with that newer row (streams do not rewrite history)."""
     carry = list(carry)
-    state_fields = [T.StructField("last_sec", T.LongType())] + [
-        T.StructField(f"last_{c}", tx.schema[c].dataType) for c in carry]
-    fn = _previous_within_fn(minutes, carry, [f.name for f in out_schema.fields])
+    state_schema = T.StructType(
+        [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("secs", T.ArrayType(T.LongType()))]
+        + [T.StructField(f"last_{c}", T.ArrayType(T.StringType())) for c in carry])
+    fn = _previous_within_fn(minutes, list(sub_keys), carry, [f.name for f in out_schema.fields])
     return tx.groupBy(*keys).applyInPandasWithState(
-        fn, out_schema, T.StructType(state_fields), "append", GroupStateTimeout.EventTimeTimeout)
+        fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _tx_stream_for_state(events: DataFrame, delay: str) -> DataFrame:
@@ -228,8 +250,8 @@ def fraud_duplicate_stream(events: DataFrame, minutes: int = 30, amount_scale: i
         T.StructField("transaction_id", T.StringType()), T.StructField("account_number", T.StringType()),
         T.StructField("amount", T.DecimalType(15, 2)), T.StructField("merchant_name", T.StringType()),
         T.StructField("prev_transaction_id", T.StringType()), T.StructField("gap_seconds", T.LongType())])
-    p = previous_within_stream(tx, ["account_number", "_amount_key", "merchant_name"], minutes,
-                               ["transaction_id"], schema, delay)
+    p = previous_within_stream(tx, ["account_number"], minutes, ["transaction_id"], schema, delay,
+                               sub_keys=["_amount_key", "merchant_name"])
     hit = p.filter(F.col("prev_transaction_id").isNotNull())
     return hit.select("transaction_id", "account_number", "amount", "merchant_name",
                       F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
