@@ -104,9 +104,8 @@ def _as_events(spark, rows, folder):
                               "value double, props string").coalesce(1).write.parquet(folder)
 
 
-def test_geographic_stream_equals_batch_over_two_batches(spark, tmp_path):
-    """Two files arriving one after the other: the state carries each
-    account's last event into the second micro-batch."""
+def _two_file_stream(spark, tmp_path):
+    """Two files arriving one after the other (split on the rule's order)."""
     rows = sorted(_fixture(), key=lambda r: (r[6], r[0]))
     src = str(tmp_path / "in")
     os.makedirs(src)
@@ -116,15 +115,31 @@ def test_geographic_stream_equals_batch_over_two_batches(spark, tmp_path):
         f = [x for x in os.listdir(tmp_path / part) if x.endswith(".parquet")][0]
         os.link(tmp_path / part / f, f"{src}/events-{i}.parquet")
     stream = spark.readStream.schema(J.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    out = J.run_append(spark, J.fraud_geographic_stream(stream, 60), "test_geo",
-                       path=str(tmp_path / "sink"))
-    batch = FR.fraud_geographic(
-        J.event_transactions(spark.read.parquet(src)), 60)
+    return src, stream
+
+
+def test_geographic_stream_equals_batch_over_two_batches(spark, tmp_path):
+    """The state carries each account's last event into the second batch."""
+    src, stream = _two_file_stream(spark, tmp_path)
+    out = J.run_append(spark, J.fraud_geographic_stream(stream, 60), "test_geo", path=str(tmp_path / "sink"))
+    batch = FR.fraud_geographic(J.event_transactions(spark.read.parquet(src)), 60)
     cols = ["transaction_id", "previous_transaction_id", "gap_seconds"]
     assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     assert out.count() > 0
 
 
+@pytest.mark.parametrize("scale", [2, 0])
+def test_duplicate_stream_equals_batch_over_two_batches(spark, tmp_path, scale):
+    """Several sub-keys per account live in the state between batches."""
+    src, stream = _two_file_stream(spark, tmp_path)
+    out = J.run_append(spark, J.fraud_duplicate_stream(stream, 600, scale), "test_dup",
+                       path=str(tmp_path / "sink"))
+    batch = FR.fraud_duplicate(J.event_transactions(spark.read.parquet(src)), 600, scale)
+    cols = ["transaction_id", "duplicate_of", "gap_seconds"]
+    assert sorted(out.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+    assert out.count() > 0
+
+
 def test_previous_within_partitions_by_bucket(tx):
     """The hot account is split by time bucket: the window is partitioned
     by (key, bucket), never by the account alone."""
