@@ -176,6 +176,16 @@ def _cdc_changes(b):
     return V.cdc_changes(_as_of(b, AS_OF_1), _as_of(b, AS_OF_2), "account_number", ["balance", "last_change_ts"])
 
 
+@register("cdc_stream", _as_of_sql("9999-12-31 00:00:00"))
+def _cdc_stream(b):
+    """The change log consumed as a stream; the current table is the last
+    change per key over all compacted batches, deletes dropped."""
+    log = B.account_changes_from(_events(b))
+    data = J.run_cdc(b.spark, log, "cdc_accounts", "account_number")
+    compacted = b.spark.read.schema(log.schema).parquet(data).drop("_batch")
+    return V.table_as_of(compacted, "account_number", "9999-12-31 00:00:00")
+
+
 @register("clone_table", _as_of_sql(AS_OF_2))
 def _clone_table(b):
     return V.clone_table(_as_of(b, AS_OF_2), scratch_path(b.spark, "clone_accounts"))

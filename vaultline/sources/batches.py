@@ -131,8 +131,12 @@ def records_batch(bank: Bank) -> DataFrame:
 def account_change_log(bank: Bank) -> DataFrame:
     """Balance change log of accounts ACC<user>: signup inserts, errors
     delete, every other event updates the balance."""
-    e = bank.raw("events")
-    return e.select(
+    return account_changes_from(bank.raw("events"))
+
+
+def account_changes_from(events: DataFrame) -> DataFrame:
+    """The change-log shape over events (batch or streaming)."""
+    return events.select(
         prefixed("ACC", "user_id").alias("account_number"),
         case_map(F.col("event_type"), {"signup": "INSERT", "error": "DELETE"}, "UPDATE").alias("op"),
         F.col("value").cast("decimal(15,2)").alias("balance"),

@@ -256,3 +256,32 @@ def fraud_duplicate_stream(events: DataFrame, minutes: int = 30, amount_scale: i
     return hit.select("transaction_id", "account_number", "amount", "merchant_name",
                       F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
                       F.lit("DUPLICATE_TX").alias("alert_type"))
+
+
+# ---------------------------------------------------------------- change data capture
+
+def compacting_sink(path: str, key: str, ts: str = "change_ts", seq: str = "_seq"):
+    """``foreachBatch`` writer for a change log: the batch's last change per
+    key (a ``max(struct)`` aggregate, no state store) into
+    ``path/_batch=<id>``; a replayed batch rewrites its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        payload = [c for c in batch.columns if c not in (key, ts, seq)]
+        last = batch.groupBy(key).agg(F.max(F.struct(ts, seq, *payload)).alias("_w"))
+        (last.select(key, *[F.col(f"_w.{c}").alias(c) for c in (ts, seq, *payload)])
+         .withColumn("_batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(path))
+    return write
+
+
+def run_cdc(spark: SparkSession, changes: DataFrame, name: str, key: str, path: str | None = None,
+            trigger=None) -> str:
+    """Consume a change-log stream since its checkpoint (the warehouse's
+    STREAM object: each run reads only rows not read before) into a
+    compacting sink. Returns the sink folder."""
+    out = path or scratch_path(spark, name)
+    q = (changes.writeStream.option("checkpointLocation", f"{out}/_checkpoint")
+         .trigger(**(trigger or {"availableNow": True}))
+         .foreachBatch(compacting_sink(f"{out}/data", key)).start())
+    q.awaitTermination()
+    return f"{out}/data"
