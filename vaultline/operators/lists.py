@@ -171,18 +171,34 @@ def ACCOUNT_STRUCT():
                     F.col("balance"), F.col("status"))
 
 
-def customer_accounts_nested(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
+# Most accounts one nested row carries; a customer with more is split over
+# several rows (``accounts_part``), so no array grows without bound.
+MAX_ACCOUNTS_PER_ROW = 10000
+
+
+def customer_accounts_nested(bank, search: str | None = None, segment=None, k: int = 200,
+                             max_per_row: int = MAX_ACCOUNTS_PER_ROW) -> DataFrame:
     """First k customers, each with the array of its accounts ([] if none).
 
     The accounts of only those k customers are read (broadcast semi join on
-    k ids, replacing the reference's IN list) and grouped per customer.
+    k ids, replacing the reference's IN list) and grouped per customer. The
+    per-customer counts (at most k rows, broadcast) decide how many parts a
+    customer's accounts are hashed into; ordinary customers get one row,
+    part 0, exactly as the reference's payload.
     """
     top = pin(customers_page(bank, search, segment, k))
     acc = lookup_by_keys(bank.accounts, top, "customer_id")
-    nested = acc.groupBy("customer_id").agg(F.sort_array(F.collect_list(ACCOUNT_STRUCT())).alias("accounts"))
+    counts = acc.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(max_per_row))
+    part = F.when(F.col("_n") > max_per_row,
+                  F.pmod(F.xxhash64("account_number"), parts)).otherwise(F.lit(0)).cast("int")
+    nested = (acc.join(F.broadcast(counts), "customer_id", "inner")
+              .groupBy("customer_id", part.alias("accounts_part"))
+              .agg(F.sort_array(F.collect_list(ACCOUNT_STRUCT())).alias("accounts")))
     empty = F.array().cast("array<struct<account_number:string,type:string,balance:decimal(15,2),status:string>>")
     return (top.join(nested, "customer_id", "left")
-            .select(*CUSTOMER_COLUMNS(), F.coalesce(F.col("accounts"), empty).alias("accounts")))
+            .select(*CUSTOMER_COLUMNS(), F.coalesce(F.col("accounts_part"), F.lit(0)).alias("accounts_part"),
+                    F.coalesce(F.col("accounts"), empty).alias("accounts")))
 
 
 def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:

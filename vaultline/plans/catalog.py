@@ -131,6 +131,7 @@ WITH top AS (
   SELECT * FROM customers WHERE UPPER(segment) = 'GOLD' ORDER BY name NULLS LAST, customer_id LIMIT 200)
 SELECT t.customer_id AS id, t.name, t.email, t.phone, t.segment, t.lifetime_value, t.branch_name AS branch,
  t.risk_score, strftime(t.joined_date, '%Y-%m-%d') AS joined_date,
+ 0 AS accounts_part,
  COALESCE(string_agg(a.account_number || ':' || a.account_type || ':' || CAST(a.balance AS VARCHAR) || ':' || a.status,
    ';' ORDER BY a.account_number, a.account_type, a.balance, a.status), '') AS accounts,
  CAST(count(a.account_number) AS BIGINT) AS n_accounts
