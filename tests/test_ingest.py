@@ -31,3 +31,12 @@ def test_camel_case():
     assert SK.camel_case("TRANSACTION_ID") == "transactionId"
     assert SK.camel_case("customer name") == "customerName"
     assert SK.camel_case("amount") == "amount"
+
+
+def test_json_with_foreign_key_is_refused(spark, bank, tmp_path):
+    c = bank.customers
+    c.withColumn("nickname", F.col("name")).write.json(str(tmp_path / "x_json"))
+    msgs = I.schema_check(spark, str(tmp_path / "x_json"), "JSON", c.schema)
+    assert msgs == ["field nickname not found in destination"]
+    assert I.schema_check(spark, str(tmp_path / "x_json"), "JSON",
+                          c.withColumn("nickname", F.col("name")).schema) == []
