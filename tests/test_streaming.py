@@ -90,3 +90,22 @@ def test_cdc_stream_reads_only_new_changes(spark, bank, tmp_path):
     got = table_as_of(stored.drop("_batch"), "account_number", "9999-12-31 00:00:00")
     want = table_as_of(account_changes_from(ev), "account_number", "9999-12-31 00:00:00")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_hourly_deposits_rerun_is_idempotent(spark, bank, tmp_path):
+    from vaultline.sources.batches import account_changes_from
+
+    ab = account_branch_map(bank.accounts, bank.customers)
+    root = str(tmp_path / "hourly")
+
+    def run(hour):
+        log = account_changes_from(J.event_stream(spark, SF_SMALL))
+        return J.hourly_deposits(spark, log, ab, "account_number", hour, root)
+
+    first = sorted(run("2024-01-30 00:00:00").collect())
+    again = sorted(run("2024-01-30 00:00:00").collect())  # same hour re-run: replaced, not repeated
+    assert first == again and len(first) > 0
+    run("2024-01-30 01:00:00")
+    table = spark.read.parquet(f"{root}/rollup")
+    assert table.select("run_hour").distinct().count() == 2
+    assert table.count() == 2 * len(first)

@@ -31,6 +31,7 @@ GEO_MINUTES = 60
 DUP_MINUTES, DUP_SCALE = 1440, 0
 AS_OF_1, AS_OF_2 = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
 LOAD_NOW = "2001-08-01 00:00:00"
+RUN_HOUR = "2024-01-30 00:00:00"
 
 # ---------------------------------------------------------------- 2.12 fraud rules (batch)
 
@@ -158,6 +159,18 @@ def _as_of(b, as_of):
     return V.table_as_of(B.account_change_log(b), "account_number", as_of)
 
 
+@register("hourly_deposits", f"""
+WITH cur AS ({_as_of_sql("9999-12-31 00:00:00")})
+SELECT c.branch_name, CAST(SUM(cur.balance) AS DECIMAL(38,2)) AS total_deposits, COUNT(*) AS accounts
+FROM cur JOIN accounts a ON cur.account_number = a.account_number
+ JOIN customers c ON a.customer_id = c.customer_id GROUP BY 1""")
+def _hourly_deposits(b):
+    """The hourly deposit task: live balances per branch, keyed by run hour."""
+    log = B.account_changes_from(_events(b))
+    return J.hourly_deposits(b.spark, log, _account_branch(b), "account_number", RUN_HOUR,
+                             scratch_path(b.spark, "hourly_deposits"))
+
+
 @register("table_as_of", _as_of_sql(AS_OF_2))
 def _table_as_of(b):
     return _as_of(b, AS_OF_2)

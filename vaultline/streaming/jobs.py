@@ -285,3 +285,24 @@ def run_cdc(spark: SparkSession, changes: DataFrame, name: str, key: str, path:
          .foreachBatch(compacting_sink(f"{out}/data", key)).start())
     q.awaitTermination()
     return f"{out}/data"
+
+
+def hourly_deposits(spark: SparkSession, changes: DataFrame, account_branch: DataFrame, key: str,
+                    run_hour: str, root: str, balance: str = "balance") -> DataFrame:
+    """The hourly task's body as an idempotent job: consume the account
+    change log since the last run (compacting sink), then write total
+    deposits of the live accounts per branch into the ``run_hour``
+    partition (dynamic overwrite: a re-run of the same hour replaces its
+    rows instead of repeating them). Returns the rows of this run."""
+    from ..operators.versions import table_as_of
+    data = run_cdc(spark, changes, "deposits", key, path=f"{root}/changes")
+    compacted = spark.read.schema(changes.schema).parquet(data).drop("_batch")
+    current = table_as_of(compacted, key, "9999-12-31 00:00:00")
+    rollup = (current.join(account_branch, key, "inner").groupBy("branch_name")
+              .agg(F.sum(balance).cast("decimal(38,2)").alias("total_deposits"),
+                   F.count(F.lit(1)).alias("accounts"))
+              .withColumn("run_hour", F.lit(run_hour).cast("timestamp_ntz")))
+    (rollup.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_hour").parquet(f"{root}/rollup"))
+    out = spark.read.schema(rollup.schema).parquet(f"{root}/rollup")
+    return out.filter(F.col("run_hour") == F.lit(run_hour).cast("timestamp_ntz")).drop("run_hour")
