@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import since, to_char
+from ..functions.scalars import dateadd, since, to_char
 from .joins import account_branch_map
 
 MONEY_SUM = "decimal(38,2)"
@@ -26,6 +26,17 @@ def count_if(pred) -> F.Column:
     return F.count(F.when(pred, F.lit(1)))
 
 
+def recent(df: DataFrame, ts: str, as_of: str, unit: str, n: int,
+           day_partition: str = "transaction_date") -> DataFrame:
+    """Rows with ``ts >= DATEADD(unit, -n, as_of)``. On a table partitioned
+    by day the implied day predicate (``day >= start``, exact because the
+    bound is midnight) is added as well, so the scan prunes partitions."""
+    out = df.filter(since(ts, as_of, unit, n))
+    if day_partition in df.columns:
+        out = out.filter(F.col(day_partition) >= dateadd(unit, -n, F.lit(as_of).cast("date")))
+    return out
+
+
 # -- dashboard ------------------------------------------------------------
 
 def dashboard_summary(bank) -> DataFrame:
@@ -59,7 +70,7 @@ def dashboard_summary(bank) -> DataFrame:
 def daily_transactions(bank, as_of: str, days: int = 7) -> DataFrame:
     """Count and amount per day for the last ``days`` days (days without
     rows are absent, as in the reference)."""
-    t = bank.transactions.filter(since("timestamp", as_of, "day", days))
+    t = recent(bank.transactions, "timestamp", as_of, "day", days)
     g = t.groupBy(F.to_date("timestamp").alias("_d")).agg(
         F.count(F.lit(1)).alias("count"), money_sum("amount").alias("amount"))
     return g.select(to_char("_d", "YYYY-MM-DD").alias("date"), "count", "amount").orderBy("date")
@@ -68,7 +79,7 @@ def daily_transactions(bank, as_of: str, days: int = 7) -> DataFrame:
 def monthly_revenue(bank, as_of: str, months: int = 6) -> DataFrame:
     """Revenue and count per month over the last ``months`` months; all
     statuses count here (the summary counts COMPLETED only)."""
-    t = bank.transactions.filter(since("timestamp", as_of, "month", months))
+    t = recent(bank.transactions, "timestamp", as_of, "month", months)
     g = t.groupBy(F.trunc(F.to_date("timestamp"), "month").alias("_m")).agg(
         money_sum("amount").alias("revenue"), F.count(F.lit(1)).alias("transactions"))
     return g.select(to_char("_m", "YYYY-MM").alias("month"), "revenue", "transactions").orderBy("month")

@@ -19,9 +19,10 @@ from ..session import scratch_path
 from ..sources import batches as B
 from ..sources import ingest as I
 from ..sources import sinks as SK
+from ..sources import stored as ST
 from ..streaming import jobs as J
 from .catalog import DAILY_BRANCH_SQL
-from .registry import register
+from .registry import AS_OF_TXN, register
 
 # Parameters of the registered forms (ours: the reference names the rules
 # but fixes no threshold).
@@ -319,3 +320,30 @@ SELECT role_name AS role, action, 'sql' AS resource,
 FROM a GROUP BY 1, 2, 3, 4""")
 def _permission_matrix(b):
     return G.permission_usage(b.query_log, b.spark)
+
+
+# ---------------------------------------------------------------- 2.1 stored layout
+
+def _stored(b, names):
+    """The banking tables in the stored layout (fixed schemas, transactions
+    partitioned by day), written from the data into a fresh folder."""
+    root = scratch_path(b.spark, "stored")
+    ST.write_tables(b, root, names)
+    return ST.StoredBank(b.spark, root)
+
+
+@register("scan_stored_table", "SELECT *, CAST(timestamp AS DATE) AS transaction_date FROM transactions")
+def _scan_stored_table(b):
+    """scan(name): the stored table read with its fixed schema."""
+    return _stored(b, ["transactions"]).transactions
+
+
+@register("daily_transactions_stored", f"""
+SELECT strftime(timestamp, '%Y-%m-%d') AS date, COUNT(*) AS count, CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS amount
+FROM transactions WHERE timestamp >= CAST(DATE '{AS_OF_TXN}' - INTERVAL 7 DAY AS TIMESTAMP)
+GROUP BY 1 ORDER BY 1""")
+def _daily_transactions_stored(b):
+    """The dashboard's 7-day series on the stored layout: the window becomes
+    a partition filter, so only the last days' folders are read."""
+    from ..operators import metrics
+    return metrics.daily_transactions(_stored(b, ["transactions"]), AS_OF_TXN)
