@@ -42,3 +42,13 @@ def test_nested_accounts_top_k_first(spark):
     out = lists.customer_accounts_nested(b, k=2, max_per_row=10000)
     assert sorted(r.id for r in out.collect()) == ["CUS0", "CUS1"]
     assert out.filter(F.col("id") == "CUS0").first().accounts_part == 0
+
+
+def test_lookup_by_keys_same_rows_on_both_sides_of_the_cap(spark):
+    from vaultline.operators.joins import lookup_by_keys, pin
+    b = _bank(spark)
+    keys = pin(b.customers.select("customer_id").limit(3))
+    small = lookup_by_keys(b.accounts, keys, "customer_id")
+    big = lookup_by_keys(b.accounts, keys, "customer_id", max_keys=0)
+    assert sorted(small.collect()) == sorted(big.collect())
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()

@@ -30,15 +30,25 @@ def pin(bounded: DataFrame) -> DataFrame:
     return bounded.checkpoint(eager=True)
 
 
-def lookup_by_keys(parent: DataFrame, keys: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
+# Most keys a lookup broadcasts; a larger key set is joined the way Spark
+# chooses from its size (a shuffle join beyond the broadcast threshold).
+BROADCAST_MAX_KEYS = 100_000
+
+
+def lookup_by_keys(parent: DataFrame, keys: DataFrame, key: str, parent_key: str | None = None,
+                   max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
     """Rows of ``parent`` whose key occurs in the small ``keys`` frame.
 
-    ``keys`` must be bounded by construction (a top-k or limit result); it
-    is broadcast, so the parent is scanned with a hash probe and no shuffle.
+    ``keys`` is a pinned, bounded frame (a top-k or its lookup), so counting
+    it reads its few stored rows. Under ``max_keys`` the keys are broadcast
+    and the parent is scanned with a hash probe and no shuffle; above it
+    the semi join is left to Spark's planner.
     """
     parent_key = parent_key or key
     k = keys.select(F.col(key).alias(parent_key)).dropna().distinct()
-    return parent.join(F.broadcast(k), parent_key, "left_semi")
+    if keys.count() <= max_keys:
+        return parent.join(F.broadcast(k), parent_key, "left_semi")
+    return parent.join(k, parent_key, "left_semi")
 
 
 def customer_names_for_accounts(accounts: DataFrame, customers: DataFrame, top: DataFrame,

@@ -182,7 +182,7 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
 
     The accounts of only those k customers are read (broadcast semi join on
     k ids, replacing the reference's IN list) and grouped per customer. The
-    per-customer counts (at most k rows, broadcast) decide how many parts a
+    per-customer counts (at most k rows) decide how many parts a
     customer's accounts are hashed into; ordinary customers get one row,
     part 0, exactly as the reference's payload.
     """
@@ -192,7 +192,7 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
     parts = F.ceil(F.col("_n") / F.lit(max_per_row))
     part = F.when(F.col("_n") > max_per_row,
                   F.pmod(F.xxhash64("account_number"), parts)).otherwise(F.lit(0)).cast("int")
-    nested = (acc.join(F.broadcast(counts), "customer_id", "inner")
+    nested = (acc.join(counts, "customer_id", "inner")
               .groupBy("customer_id", part.alias("accounts_part"))
               .agg(F.sort_array(F.collect_list(ACCOUNT_STRUCT())).alias("accounts")))
     empty = F.array().cast("array<struct<account_number:string,type:string,balance:decimal(15,2),status:string>>")
