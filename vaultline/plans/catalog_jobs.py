@@ -324,11 +324,22 @@ def _permission_matrix(b):
 
 # ---------------------------------------------------------------- 2.1 stored layout
 
+_STORED: dict = {}
+
+
 def _stored(b, names):
     """The banking tables in the stored layout (fixed schemas, transactions
-    partitioned by day), written from the data into a fresh folder."""
-    root = scratch_path(b.spark, "stored")
-    ST.write_tables(b, root, names)
+    partitioned by day), written from the data once per data folder and
+    session, then shared by the queries that read it."""
+    import os
+
+    from ..session import local_dir
+    key = (id(b.spark), b.sf_dir, tuple(names))
+    root = _STORED.get(key)
+    if root is None or (not root.startswith(("s3", "gs", "abfs", "hdfs")) and not os.path.exists(local_dir(root))):
+        root = scratch_path(b.spark, "stored")
+        ST.write_tables(b, root, names)
+        _STORED[key] = root
     return ST.StoredBank(b.spark, root)
 
 

@@ -48,11 +48,13 @@ def refresh_daily_branch(bank, path: str, transactions: DataFrame | None = None)
 
     Dynamic partition overwrite replaces only the days present in the new
     result, so refreshing a slice of days (a filtered ``transactions``)
-    leaves the other days of the table untouched. The aggregate has one row
-    per (day, branch), so it is repartitioned by day before the write: one
-    file per day instead of one per (task, day).
+    leaves the other days of the table untouched. The aggregate has at most
+    one row per (day, branch), so no day can be skewed: it is hash
+    partitioned by day over the shuffle partitions before the write, one
+    file per day instead of one per (task, day), written in parallel.
     """
     agg = daily_branch_volume(bank, transactions)
-    (agg.repartition("transaction_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    n = int(bank.spark.conf.get("spark.sql.shuffle.partitions"))
+    (agg.repartition(n, "transaction_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("transaction_date").parquet(path))
     return bank.spark.read.schema(agg.schema).parquet(path)
