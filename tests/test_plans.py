@@ -1,0 +1,50 @@
+"""Scale properties of the physical plans, kept from regressing."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as E
+
+from .conftest import SF_SMALL
+
+Q = E.queries()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _scans(plan: str, first_col: str) -> int:
+    return plan.count(f"FileScan parquet [{first_col}")
+
+
+@pytest.mark.parametrize("name", ["recent_activity", "txn_enriched", "loans_list", "fraud_alerts_list"])
+def test_list_top_k_is_pinned_not_recomputed(spark, name):
+    """The final plan reads the pinned top-k, never the fact table again."""
+    plan = _plan(Q[name](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" not in plan
+    assert _scans(plan, "o_orderkey") == 0 and _scans(plan, "l_orderkey") == 0
+
+
+def test_bulk_update_reads_the_base_once(spark):
+    plan = _plan(Q["update_by_key"](spark, SF_SMALL))
+    assert _scans(plan, "o_orderkey") == 1
+    assert _scans(plan, "event_id") == 1
+
+
+@pytest.mark.parametrize("name", ["fraud_geographic", "fraud_duplicate"])
+def test_fraud_windows_scan_events_once_and_partition_by_bucket(spark, name):
+    plan = _plan(Q[name](spark, SF_SMALL))
+    assert _scans(plan, "event_id") == 1
+    assert "hashpartitioning(account_number" in plan and "_b" in plan
+
+
+def test_stored_time_window_prunes_partitions(spark):
+    plan = _plan(Q["daily_transactions_stored"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(transaction_date" in plan
+
+
+def test_lookups_broadcast_the_bounded_keys(spark):
+    plan = _plan(Q["customer_accounts_nested"](spark, SF_SMALL))
+    assert "BroadcastExchange" in plan
