@@ -109,3 +109,14 @@ def test_hourly_deposits_rerun_is_idempotent(spark, bank, tmp_path):
     table = spark.read.parquet(f"{root}/rollup")
     assert table.select("run_hour").distinct().count() == 2
     assert table.count() == 2 * len(first)
+
+
+def test_dynamic_table_runs_on_a_processing_time_trigger(spark, bank, tmp_path):
+    s = J.high_risk_stream(J.event_stream(spark, SF_SMALL), bank.customers, 80)
+    q = J.start_stream(spark, s, "t_dyn", path=str(tmp_path / "dyn"), trigger={"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.read.parquet(str(tmp_path / "dyn" / "data"))
+    assert out.count() == bank.fraud_alerts.filter(F.col("risk_score") > 80).count()

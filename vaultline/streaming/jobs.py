@@ -75,17 +75,29 @@ def read_latest(spark: SparkSession, path: str, keys, schema: T.StructType) -> D
     return w.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys=None, trigger=None,
-         path: str | None = None) -> tuple[str, T.StructType]:
-    """Start ``stream`` into a fresh folder and wait for it (availableNow by
-    default). Returns (output folder, output schema)."""
+# The dynamic table's declared lag: a long-running job's default trigger.
+DYNAMIC_TABLE_TRIGGER = {"processingTime": "1 minute"}
+
+
+def start_stream(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", keys=None,
+                 trigger=None, path: str | None = None):
+    """Start ``stream`` into ``path`` (a fresh folder under the shared
+    checkpoint root by default) and return the running ``StreamingQuery``.
+    Append jobs write parquet; keyed jobs write through ``keyed_sink``."""
     out = path or scratch_path(spark, name)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
-    w = w.trigger(**(trigger or {"availableNow": True}))
+    w = w.trigger(**(trigger or DYNAMIC_TABLE_TRIGGER)).queryName(f"{name}-{out.rsplit('-', 1)[-1]}")
     if keys:
-        q = w.foreachBatch(keyed_sink(f"{out}/data")).start()
-    else:
-        q = w.format("parquet").start(f"{out}/data")
+        return w.foreachBatch(keyed_sink(f"{out}/data")).start()
+    return w.format("parquet").start(f"{out}/data")
+
+
+def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str, keys=None, trigger=None,
+         path: str | None = None) -> tuple[str, T.StructType]:
+    """Run ``stream`` to the end of its input (availableNow by default) and
+    wait for it. Returns (output folder, output schema)."""
+    out = path or scratch_path(spark, name)
+    q = start_stream(spark, stream, name, mode, keys, trigger or {"availableNow": True}, out)
     q.awaitTermination()
     return out, stream.schema
 
