@@ -52,3 +52,23 @@ def test_lookup_by_keys_same_rows_on_both_sides_of_the_cap(spark):
     big = lookup_by_keys(b.accounts, keys, "customer_id", max_keys=0)
     assert sorted(small.collect()) == sorted(big.collect())
     assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_search_by_matching_accounts_equals_whole_table_enrichment(bank):
+    from vaultline.functions.scalars import contains_any
+    cols = ["transaction_id", "account_number", "customer_name", "merchant_name"]
+    for text in ["er#00000012", "Customer#0000001", "merchant 3", "acc12", "nk", "zzz"]:
+        fast = lists.txn_enriched(bank, search=text, k=50).collect()
+        full = lists.enrich_all_customer_names(bank.transactions, bank).filter(contains_any(cols, text))
+        want = lists._txn_out(lists.top_k(full, lists.NEWEST_FIRST(), 50), lists.TXN_COLUMNS()).collect()
+        assert sorted(fast) == sorted(want), text
+
+
+def test_enriched_lists_come_back_in_order_by_order(bank):
+    ra = lists.recent_activity(bank, 10).collect()
+    for a, b in zip(ra, ra[1:]):
+        assert a.timestamp > b.timestamp or (a.timestamp == b.timestamp and a.id < b.id)
+    ln = lists.loans_list(bank, k=50).collect()
+    dues = [r.next_due_date for r in ln]
+    present = [d for d in dues if d is not None]
+    assert present == sorted(present) and dues[:len(present)] == present

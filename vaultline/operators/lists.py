@@ -23,6 +23,12 @@ def _txn_out(df: DataFrame, cols) -> DataFrame:
     return df.select(*cols)
 
 
+def _newest_first_out(df: DataFrame) -> DataFrame:
+    """The k output rows back in ORDER BY order (the enrichment join does
+    not keep it); the text timestamp sorts like the time it shows."""
+    return df.orderBy(F.col("timestamp").desc_nulls_first(), F.col("id").asc())
+
+
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
     """ORDER BY ... LIMIT k (planned as TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(k)
@@ -46,18 +52,28 @@ def NEWEST_FIRST():
 def txn_enriched(bank, tx_type=None, risk=None, k: int = 200, search: str | None = None) -> DataFrame:
     """Transactions with customer name, optional type/risk filters, newest k.
 
-    ``search`` is the grid search (id, account, customer, merchant); it needs
-    the customer name, so with a search the join runs before the top-k.
+    ``search`` is the grid search (id, account, customer, merchant). The
+    customer-name part is answered by the accounts whose customer's name
+    matches (usually few, so Spark broadcasts them), not by joining every
+    transaction to the name map; only the k winners are enriched. When the
+    text is part of 'Unknown', transactions without a known customer match
+    too, and the whole-table enrichment runs instead (exact either way).
     """
     t = _where(bank.transactions, all_of(optional_eq("transaction_type", tx_type),
                                          optional_eq("risk_factor", risk)))
-    if search:
+    if search and search.lower() in "unknown":
         enriched = enrich_all_customer_names(t, bank)
         enriched = enriched.filter(contains_any(["transaction_id", "account_number", "customer_name",
                                                  "merchant_name"], search))
-        return _txn_out(top_k(enriched, NEWEST_FIRST(), k), TXN_COLUMNS())
+        return _newest_first_out(_txn_out(top_k(enriched, NEWEST_FIRST(), k), TXN_COLUMNS()))
+    if search:
+        named = bank.customers.filter(contains_any(["name"], search)).select("customer_id")
+        hits = (bank.accounts.select("account_number", "customer_id").join(named, "customer_id", "left_semi")
+                .select("account_number").distinct().withColumn("_name_hit", F.lit(True)))
+        own = contains_any(["transaction_id", "account_number", "merchant_name"], search)
+        t = t.join(hits, "account_number", "left").filter(own | F.col("_name_hit").isNotNull()).drop("_name_hit")
     top = pin(top_k(t, NEWEST_FIRST(), k))
-    return _txn_out(enrich_customer_name(top, bank.accounts, bank.customers), TXN_COLUMNS())
+    return _newest_first_out(_txn_out(enrich_customer_name(top, bank.accounts, bank.customers), TXN_COLUMNS()))
 
 
 def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
@@ -74,10 +90,9 @@ def recent_activity(bank, k: int = 10) -> DataFrame:
     """Dashboard feed: newest k transactions with customer name."""
     top = pin(top_k(bank.transactions, NEWEST_FIRST(), k))
     e = enrich_customer_name(top, bank.accounts, bank.customers)
-    return e.select(F.col("transaction_id").alias("id"), F.col("transaction_type").alias("type"),
-                    "customer_name", "amount",
-                    to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"),
-                    "status", "risk_factor")
+    return _newest_first_out(e.select(
+        F.col("transaction_id").alias("id"), F.col("transaction_type").alias("type"), "customer_name", "amount",
+        to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"), "status", "risk_factor"))
 
 
 # -- loans ----------------------------------------------------------------
@@ -90,7 +105,8 @@ def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
     return e.select(F.col("loan_id").alias("id"), "customer_id", "customer_name", "category", "amount",
                     "interest_rate", "term_months", "emi", "remaining_balance",
                     to_char("next_due_date", "YYYY-MM-DD").alias("next_due_date"),
-                    "status", "risk_rating", "recovered_amount")
+                    "status", "risk_rating", "recovered_amount") \
+        .orderBy(F.col("next_due_date").asc_nulls_last(), F.col("id").asc())
 
 
 # -- fraud alerts ---------------------------------------------------------
@@ -101,7 +117,7 @@ def fraud_alerts_list(bank, k: int = 200) -> DataFrame:
     return e.select(F.col("alert_id").alias("id"), "transaction_id", "customer_name", "amount",
                     F.col("alert_type").alias("type"),
                     to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"),
-                    "risk_score", "status", "details")
+                    "risk_score", "status", "details").transform(_newest_first_out)
 
 
 def high_risk_alerts(bank, threshold: int = 80) -> DataFrame:
@@ -198,7 +214,8 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
     empty = F.array().cast("array<struct<account_number:string,type:string,balance:decimal(15,2),status:string>>")
     return (top.join(nested, "customer_id", "left")
             .select(*CUSTOMER_COLUMNS(), F.coalesce(F.col("accounts_part"), F.lit(0)).alias("accounts_part"),
-                    F.coalesce(F.col("accounts"), empty).alias("accounts")))
+                    F.coalesce(F.col("accounts"), empty).alias("accounts"))
+            .orderBy(F.col("name").asc_nulls_last(), F.col("id").asc(), F.col("accounts_part").asc()))
 
 
 def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
