@@ -116,3 +116,35 @@ def test_latest_per_key_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, _seq long, v string").repartition(8)
     got = {r.k: r.v for r in C.latest_per_key(df, "k").collect()}
     assert got == {"K1": "v2999", "K2": "a"}
+
+
+def test_versions_chain_of_bulk_changes(spark, bank, tmp_path):
+    """Insert, then update on the written version: each step reads the
+    previous committed version and writes a new one."""
+    from vaultline.operators import versions as V
+    root = str(tmp_path / "accounts")
+    V.write_version(bank.accounts, root)
+    batch = spark.createDataFrame([("NEW-1", "CUS1", "SAVINGS", 10.0, None)],
+                                  "account_number string, customer_id string, account_type string, "
+                                  "balance double, status string")
+    V.write_version(C.insert_accounts(V.read_current(spark, root), batch, bank.customers).next, root)
+    upd = spark.createDataFrame([("NEW-1", 1, "CUS1", "SAVINGS", 99.0, "FROZEN")],
+                                "account_number string, _seq long, customer_id string, account_type string, "
+                                "balance double, status string")
+    V.write_version(C.update_accounts(V.read_current(spark, root), upd, bank.customers).next, root)
+    cur = V.read_current(spark, root)
+    row = cur.filter(F.col("account_number") == "NEW-1").first()
+    assert (row.balance, row.status) == (decimal.Decimal("99.00"), "FROZEN")
+    assert cur.count() == bank.accounts.count() + 1
+    assert sorted(p.name for p in tmp_path.joinpath("accounts", "data").iterdir()) == ["v=1", "v=2", "v=3"]
+
+
+def test_uncommitted_version_is_never_current(spark, bank, tmp_path):
+    from vaultline.operators import versions as V
+    root = str(tmp_path / "t")
+    V.write_version(bank.branch_performance, root)
+    # a job that died after writing data but before its commit record
+    bank.branch_performance.limit(1).write.parquet(f"{root}/data/v=2")
+    assert V.read_current(spark, root).count() == bank.branch_performance.count()
+    V.write_version(bank.branch_performance.limit(3), root)   # the retry takes v=2 over
+    assert V.read_current(spark, root).count() == 3
