@@ -133,11 +133,16 @@ def customer_deposit_totals(bank, name_text: str) -> DataFrame:
     """Generated query: SUM(amount) of all transaction types per customer
     name, names LIKE %text%, largest first.
 
-    Transactions are aggregated per account before the joins."""
-    per_acc = bank.transactions.groupBy("account_number").agg(F.sum("amount").alias("_s"))
+    The name filter picks the accounts first; transactions are reduced to
+    those accounts with a semi join (Spark broadcasts the account set when
+    it is small), then summed per account before the joins, so the
+    aggregation shuffles only the matching customers' rows."""
     c = bank.customers.filter(F.lower("name").like(f"%{name_text.lower()}%")).select("customer_id", "name")
-    a = bank.accounts.select("account_number", "customer_id")
-    j = c.join(a, "customer_id", "inner").join(per_acc, "account_number", "inner")
+    acc = bank.accounts.select("account_number", "customer_id").join(c, "customer_id", "inner")
+    tx = bank.transactions.select("account_number", "amount").join(
+        acc.select("account_number"), "account_number", "left_semi")
+    per_acc = tx.groupBy("account_number").agg(F.sum("amount").alias("_s"))
+    j = acc.join(per_acc, "account_number", "inner")
     return (j.groupBy("name").agg(F.sum("_s").cast(MONEY_SUM).alias("total_deposits"))
             .orderBy(F.col("total_deposits").desc_nulls_first(), F.col("name")))
 
