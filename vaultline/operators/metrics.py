@@ -133,7 +133,13 @@ def customer_deposit_totals(bank, name_text: str) -> DataFrame:
     """Generated query: SUM(amount) of all transaction types per customer
     name, names LIKE %text%, largest first.
 
-    Transactions are aggregated per account before the joins."""
+    Transactions are aggregated per account before the joins (partial
+    aggregation per task). When the name filter is selective and the fact
+    is large, Spark's runtime bloom filter on the join
+    (``spark.sql.optimizer.runtime.bloomFilter.enabled``) prunes the fact
+    rows of other accounts before that aggregation. An explicit semi join
+    first would shuffle the whole fact whenever the filter matches many
+    customers."""
     per_acc = bank.transactions.groupBy("account_number").agg(F.sum("amount").alias("_s"))
     c = bank.customers.filter(F.lower("name").like(f"%{name_text.lower()}%")).select("customer_id", "name")
     a = bank.accounts.select("account_number", "customer_id")
