@@ -7,7 +7,6 @@ import decimal
 import random
 from types import SimpleNamespace
 
-from pyspark.sql import functions as F
 
 from vaultline.operators import metrics as M
 
