@@ -344,13 +344,18 @@ def delete_cascade(tables: dict, table: str, keys: DataFrame) -> dict:
 # -- data quality ---------------------------------------------------------
 
 def orphan_report(tables: dict) -> DataFrame:
-    """Rows whose foreign key names no parent, per declared foreign key."""
+    """Rows whose foreign key names no parent, per declared foreign key.
+
+    Child rows are first counted per key value (partial aggregation: a hot
+    key collapses inside each task), so the anti join against the parent
+    keys sees each distinct value once instead of every child row."""
     parts = []
     for child, col, parent in schemas.FOREIGN_KEYS:
         pk = schemas.PRIMARY_KEYS[parent]
-        c = tables[child].filter(F.col(col).isNotNull())
-        orphans = c.join(tables[parent].select(F.col(pk).alias(col)), col, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
+        per_key = (tables[child].filter(F.col(col).isNotNull())
+                   .groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
+        orphans = per_key.join(tables[parent].select(F.col(pk).alias(col)), col, "left_anti")
+        parts.append(orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphans")).select(
             F.lit(child).alias("child_table"), F.lit(col).alias("column"), F.lit(parent).alias("parent_table"),
             "orphans"))
     return reduce(DataFrame.unionByName, parts)
