@@ -120,3 +120,18 @@ def test_dynamic_table_runs_on_a_processing_time_trigger(spark, bank, tmp_path):
         q.stop()
     out = spark.read.parquet(str(tmp_path / "dyn" / "data"))
     assert out.count() == bank.fraud_alerts.filter(F.col("risk_score") > 80).count()
+
+
+def test_stream_windows_follow_the_event_clock_in_any_session_time_zone(spark, bank, tmp_path):
+    ab = account_branch_map(bank.accounts, bank.customers)
+    want = sorted(daily_branch_volume(bank, event_transactions(spark.read.parquet(f"{SF_SMALL}/events.parquet")))
+                  .select("transaction_date", "branch_name", "daily_count", "daily_amount").collect())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        out = J.run_keyed(spark, J.live_daily_branch(J.event_stream(spark, SF_SMALL), ab), "t_tz",
+                          ["transaction_date", "branch_name"], path=str(tmp_path / "tz"))
+        got = sorted(out.select("transaction_date", "branch_name", "daily_count", "daily_amount").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == want

@@ -14,7 +14,8 @@ batch after an executor or driver loss rewrites the same folder
 replaces MERGE, which plain parquet tables do not have.
 
 Event time: the test data is ``timestamp_ntz``; ``withWatermark`` needs a
-``timestamp``, so jobs cast first (session time zone UTC).
+``timestamp``, so jobs convert it first without reading it in the session
+time zone (``ntz_to_instant``), and convert window bounds back.
 """
 
 from __future__ import annotations
@@ -50,9 +51,25 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return r.parquet(folder)
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c) -> F.Column:
+    """The instant whose UTC clock reads the NTZ value. A cast would read it
+    in the session time zone; this is the same in every session, so windows
+    align to the event's own clock (midnight is midnight)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c))
+
+
+def instant_to_ntz(c) -> F.Column:
+    """Inverse of ``ntz_to_instant`` (UTC clock of the instant, as NTZ)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
 def with_event_time(df: DataFrame, column: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
-    """Cast the NTZ event time to ``timestamp`` and declare the watermark."""
-    return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """Turn the NTZ event time into a ``timestamp`` (time-zone free, see
+    ``ntz_to_instant``) and declare the watermark on it."""
+    return df.withColumn(column, ntz_to_instant(F.col(column))).withWatermark(column, delay)
 
 
 # ---------------------------------------------------------------- keyed sink
@@ -135,7 +152,8 @@ def live_daily_branch(events: DataFrame, account_branch: DataFrame, delay: str =
     tx = _tx_with_branch(events, account_branch, delay)
     g = tx.groupBy(F.window("timestamp", "1 day").alias("w"), "branch_name").agg(
         F.count(F.lit(1)).alias("daily_count"), F.sum("amount").cast("decimal(38,2)").alias("daily_amount"))
-    return g.select(F.to_date("w.start").alias("transaction_date"), "branch_name", "daily_count", "daily_amount")
+    return g.select(F.to_date(instant_to_ntz(F.col("w.start"))).alias("transaction_date"), "branch_name",
+                    "daily_count", "daily_amount")
 
 
 def hourly_consolidate(events: DataFrame, account_branch: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -144,7 +162,7 @@ def hourly_consolidate(events: DataFrame, account_branch: DataFrame, delay: str
     tx = _tx_with_branch(events, account_branch, delay)
     g = tx.groupBy("branch_name", F.window("timestamp", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
-    return g.select("branch_name", F.col("w.start").cast("timestamp_ntz").alias("hour_start"),
+    return g.select("branch_name", instant_to_ntz(F.col("w.start")).alias("hour_start"),
                     "transaction_count", "total_amount")
 
 
@@ -157,8 +175,8 @@ def fraud_velocity_stream(events: DataFrame, window: str = "1 hour", slide: str
     g = tx.groupBy("account_number", F.window("timestamp", window, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("tx_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
     return g.filter(F.col("tx_count") > max_count).select(
-        "account_number", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "tx_count", "total_amount",
+        "account_number", instant_to_ntz(F.col("w.start")).alias("window_start"),
+        instant_to_ntz(F.col("w.end")).alias("window_end"), "tx_count", "total_amount",
         F.lit("VELOCITY_LIMIT").alias("alert_type"))
 
 
@@ -238,7 +256,7 @@ def previous_within_stream(tx: DataFrame, keys, minutes: int, carry, out_schema:
 
 def _tx_stream_for_state(events: DataFrame, delay: str) -> DataFrame:
     tx = event_transactions(events)
-    return (tx.withColumn("_et", F.col("timestamp").cast("timestamp")).withWatermark("_et", delay))
+    return tx.withColumn("_et", ntz_to_instant(F.col("timestamp"))).withWatermark("_et", delay)
 
 
 def fraud_geographic_stream(events: DataFrame, minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
