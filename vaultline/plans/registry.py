@@ -35,6 +35,7 @@ def register(name: str, sql: str | None = None):
             return fn(Bank(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__wrapped__ = fn
         _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = with_views(sql)
