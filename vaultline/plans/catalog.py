@@ -732,6 +732,49 @@ def _update_by_key(b):
     return C.update_transactions(b.transactions, B.transaction_changes(b), b.accounts).next
 
 
+def _latest_sql(changes, key):
+    return f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY _seq DESC) AS rn
+  FROM ({changes}) x) y WHERE rn = 1)"""
+
+
+ACCOUNT_CHANGES_SQL = """SELECT 'ACC' || CAST(user_id AS VARCHAR) AS account_number, event_id AS _seq,
+ 'CUS' || CAST(user_id AS VARCHAR) AS customer_id, 'CHECKING' AS account_type, value AS balance,
+ CASE WHEN value < 10 THEN 'DORMANT' END AS status FROM events WHERE event_type = 'click'"""
+
+
+@register("update_by_key_accounts", f"""
+WITH l AS {_latest_sql(ACCOUNT_CHANGES_SQL, 'account_number')},
+f AS (SELECT l.* FROM l JOIN accounts a ON a.account_number = l.account_number
+      WHERE {_req('l.customer_id', 'l.account_type')} AND l.customer_id IN (SELECT customer_id FROM customers))
+SELECT * FROM accounts WHERE account_number NOT IN (SELECT account_number FROM f)
+UNION ALL
+SELECT account_number, customer_id, account_type, CAST(balance AS DECIMAL(15,2)), COALESCE(NULLIF(status, ''), 'ACTIVE')
+FROM f""")
+def _update_by_key_accounts(b):
+    """Account handler's update as a bulk job: latest change per key,
+    parent check, 'not found' for unknown accounts."""
+    return C.update_accounts(b.accounts, B.account_changes(b), b.customers).next
+
+
+CUSTOMER_CHANGES_SQL = """SELECT 'CUS' || CAST(user_id AS VARCHAR) AS customer_id, event_id AS _seq,
+ 'User ' || CAST(user_id AS VARCHAR) AS name, 'u' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
+ CASE WHEN value > 50 THEN 'GOLD' END AS segment, value AS lifetime_value FROM events WHERE event_type = 'signup'"""
+
+
+@register("update_by_key_customers", f"""
+WITH l AS {_latest_sql(CUSTOMER_CHANGES_SQL, 'customer_id')},
+f AS (SELECT l.*, cu.joined_date AS old_jd FROM l JOIN customers cu ON cu.customer_id = l.customer_id
+      WHERE {_req('l.name', 'l.email')})
+SELECT * FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM f)
+UNION ALL
+SELECT customer_id, name, email, CAST(NULL AS VARCHAR), COALESCE(NULLIF(segment, ''), 'BRONZE'),
+ CAST(lifetime_value AS DECIMAL(15,2)), 'Main Branch', 0, old_jd FROM f""")
+def _update_by_key_customers(b):
+    """Customer handler's update as a bulk job: defaults as on insert, the
+    stored joined date kept."""
+    return C.update_customers(b.customers, B.customer_changes(b)).next
+
+
 @register("update_loans_keep_due", f"""
 WITH c AS (SELECT 'LOAN' || CAST(o_orderkey AS VARCHAR) AS loan_id, o_totalprice AS amount,
   CASE WHEN o_orderstatus = 'O' THEN strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d')

@@ -67,6 +67,30 @@ def transaction_changes(bank: Bank) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.lit("PENDING")).alias("status"))
 
 
+def account_changes(bank: Bank) -> DataFrame:
+    """Whole-row account replacements: every click event restates account
+    ACC<user> (several changes per key; the latest event wins)."""
+    e = bank.raw("events").filter(F.col("event_type") == "click")
+    return e.select(
+        prefixed("ACC", "user_id").alias("account_number"), F.col("event_id").alias("_seq"),
+        prefixed("CUS", "user_id").alias("customer_id"), F.lit("CHECKING").alias("account_type"),
+        F.col("value").alias("balance"),
+        F.when(F.col("value") < 10, F.lit("DORMANT")).alias("status"))
+
+
+def customer_changes(bank: Bank) -> DataFrame:
+    """Whole-row customer replacements from signup events (CUS<user>)."""
+    e = bank.raw("events").filter(F.col("event_type") == "signup")
+    return e.select(
+        prefixed("CUS", "user_id").alias("customer_id"), F.col("event_id").alias("_seq"),
+        prefixed("User ", "user_id").alias("name"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+        F.lit(None).cast("string").alias("phone"),
+        F.when(F.col("value") > 50, F.lit("GOLD")).alias("segment"),
+        F.col("value").alias("lifetime_value"), F.lit(None).cast("string").alias("branch_name"),
+        F.lit(None).cast("int").alias("risk_score"))
+
+
 def loans_batch(bank: Bank) -> DataFrame:
     o = bank.raw("orders").filter(F.col("o_orderstatus") == "P")
     return o.select(
