@@ -800,6 +800,25 @@ def _delete_cascade(b):
     return C.delete_cascade(tables, "accounts", keys)["transactions"]
 
 
+@register("delete_cascade_transactions", """
+SELECT * FROM fraud_alerts WHERE transaction_id NOT IN (SELECT transaction_id FROM transactions WHERE status = 'FAILED')""")
+def _delete_cascade_transactions(b):
+    """Delete the FAILED transactions; their fraud alerts go with them."""
+    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
+    keys = b.transactions.filter(F.col("status") == "FAILED").select("transaction_id")
+    return C.delete_cascade(tables, "transactions", keys)["fraud_alerts"]
+
+
+@register("delete_cascade_customers", """
+SELECT * FROM accounts WHERE customer_id NOT IN (SELECT customer_id FROM customers WHERE risk_score > 95)""")
+def _delete_cascade_customers(b):
+    """Delete the customers above risk 95; their accounts go with them (one
+    level: their transactions stay, shown as 'Unknown' by the lists)."""
+    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
+    keys = b.customers.filter(F.col("risk_score") > 95).select("customer_id")
+    return C.delete_cascade(tables, "customers", keys)["accounts"]
+
+
 @register("orphan_report", """
 SELECT 'accounts' AS child_table, 'customer_id' AS column, 'customers' AS parent_table,
   (SELECT COUNT(*) FROM accounts WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM customers)) AS orphans
