@@ -255,3 +255,20 @@ def in_list_filter(bank, k: int = 200) -> DataFrame:
     top = pin(customers_page(bank, None, None, k))
     return lookup_by_keys(bank.accounts, top, "customer_id").select(
         "account_number", F.col("account_type").alias("type"), "balance", "status", "customer_id")
+
+
+# -- management grids -----------------------------------------------------
+
+def fraud_alerts_grid(bank, search: str | None) -> DataFrame:
+    """The fraud-alert grid over the whole table: customer name joined (left,
+    'Unknown'), case-insensitive substring search over the grid's columns,
+    default order (risk score, highest first; alert id breaks ties)."""
+    from . import grid
+    names = bank.customers.select("customer_id", F.col("name").alias("_n"))
+    e = (bank.fraud_alerts.join(names, "customer_id", "left")
+         .withColumn("customer_name", F.coalesce(F.col("_n"), F.lit("Unknown"))).drop("_n"))
+    hits = grid.grid_search(e, search, grid.GRID_SEARCH_COLUMNS["fraud_alerts"])
+    column, ascending = grid.GRID_DEFAULT_SORT["fraud_alerts"]
+    return grid.grid_sort(hits, column, ascending, key="alert_id").select(
+        F.col("alert_id").alias("id"), "transaction_id", "customer_name", "amount",
+        F.col("alert_type").alias("type"), "risk_score", "status", "details")

@@ -61,6 +61,18 @@ def _grid_search(b):
     return lists.txn_enriched(b, search="Merchant 1")
 
 
+@register("grid_search_alerts", """
+SELECT f.alert_id AS id, f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount,
+ f.alert_type AS type, f.risk_score, f.status, f.details
+FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id
+WHERE contains(lower(COALESCE(f.alert_id, '')), 'velocity') OR contains(lower(COALESCE(f.transaction_id, '')), 'velocity')
+   OR contains(lower(COALESCE(c.name, 'Unknown')), 'velocity') OR contains(lower(COALESCE(f.alert_type, '')), 'velocity')
+   OR contains(lower(COALESCE(f.details, '')), 'velocity') OR contains(lower(COALESCE(f.status, '')), 'velocity')
+ORDER BY f.risk_score DESC NULLS LAST, f.alert_id""")
+def _grid_search_alerts(b):
+    return lists.fraud_alerts_grid(b, "Velocity")
+
+
 @register("loans_list", """
 SELECT l.loan_id AS id, l.customer_id, COALESCE(c.name, 'Unknown') AS customer_name, l.category, l.amount,
  l.interest_rate, l.term_months, l.emi, l.remaining_balance, strftime(l.next_due_date, '%Y-%m-%d') AS next_due_date,
