@@ -8,8 +8,9 @@ rules, applied to a whole DataFrame of changes at once:
 * parent key absent       -> reject ``parent not found`` (left anti join)
 * update of an absent key -> reject ``not found``
 * several changes of one key -> the latest (largest ``_seq``) wins, picked
-  with a ``max(struct(_seq, ...))`` hash aggregate, so a hot key is
-  combined map-side instead of sorted in one task.
+  with a ``max(struct(_seq, ...))`` aggregate. Its partial step combines a
+  hot key inside each task before the shuffle, so the key never lands in one
+  task whole.
 
 Plain parquet has no MERGE, so the next version is ``base`` minus the
 replaced keys plus the new rows (anti join + union); callers write it to a

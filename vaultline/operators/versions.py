@@ -5,7 +5,8 @@ ordered change log (key, op, payload, change_ts, _seq):
 
 * ``table_as_of``  -- last change per key at or before ``as_of``, deletes
   dropped. The winner is picked by a ``max(struct(change_ts, _seq, ...))``
-  hash aggregate (partial aggregation, no per-key sort in one task).
+  aggregate with a partial step in each task (no window over a whole key in
+  one task).
 * ``cdc_changes``  -- full outer join of two versions on the key,
   classified INSERT / UPDATE / DELETE; unchanged rows are dropped.
 * ``clone_table``  -- a full copy written to a new path (a real copy, not

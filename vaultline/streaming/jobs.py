@@ -85,7 +85,7 @@ def keyed_sink(path: str):
 
 def read_latest(spark: SparkSession, path: str, keys, schema: T.StructType) -> DataFrame:
     """Current table of a keyed sink: the value of the highest batch per key
-    (a hash aggregate on the keys, partial aggregation per task)."""
+    (an aggregate on the keys with a partial step in each task)."""
     values = [f.name for f in schema.fields if f.name not in keys]
     df = spark.read.schema(T.StructType(schema.fields + [T.StructField("_batch", T.LongType())])).parquet(path)
     w = df.groupBy(*keys).agg(F.max(F.struct("_batch", *values)).alias("_v"))
