@@ -48,3 +48,11 @@ def test_stored_time_window_prunes_partitions(spark):
 def test_lookups_broadcast_the_bounded_keys(spark):
     plan = _plan(Q["customer_accounts_nested"](spark, SF_SMALL))
     assert "BroadcastExchange" in plan
+
+
+def test_stream_triggers_join_nothing(spark):
+    """Lookups happen when a sink is read, not in every micro-batch."""
+    from vaultline.streaming import jobs as J
+    ev = J.event_stream(spark, SF_SMALL)
+    for s in (J.daily_account_volume(ev), J.hourly_account_volume(ev), J.high_risk_alerts_stream(ev)):
+        assert "Join" not in s._jdf.queryExecution().analyzed().toString()

@@ -46,8 +46,7 @@ def test_live_daily_branch_two_batches_equals_batch(spark, bank, tmp_path):
     src = _split_events(spark, tmp_path)
     stream = spark.readStream.schema(J.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     ab = account_branch_map(bank.accounts, bank.customers)
-    out = J.run_keyed(spark, J.live_daily_branch(stream, ab), "t_daily", ["transaction_date", "branch_name"],
-                      path=str(tmp_path / "sink"))
+    out = J.live_daily_branch(spark, stream, ab, path=str(tmp_path / "sink"))
     tx = event_transactions(spark.read.parquet(src))
     want = daily_branch_volume(bank, tx)
     cols = ["transaction_date", "branch_name", "daily_count", "daily_amount"]
@@ -57,8 +56,7 @@ def test_live_daily_branch_two_batches_equals_batch(spark, bank, tmp_path):
 
 
 def test_high_risk_stream(spark, bank, tmp_path):
-    s = J.high_risk_stream(J.event_stream(spark, SF_SMALL), bank.customers, 80)
-    out = J.run_append(spark, s, "t_hr", path=str(tmp_path / "hr"))
+    out = J.high_risk_stream(spark, J.event_stream(spark, SF_SMALL), bank.customers, 80, path=str(tmp_path / "hr"))
     assert out.columns == ["transaction_id", "customer_name", "amount", "risk_score"]
     assert out.filter(F.col("risk_score") <= 80).count() == 0
     assert out.count() == bank.fraud_alerts.filter(F.col("risk_score") > 80).count()
@@ -112,7 +110,7 @@ def test_hourly_deposits_rerun_is_idempotent(spark, bank, tmp_path):
 
 
 def test_dynamic_table_runs_on_a_processing_time_trigger(spark, bank, tmp_path):
-    s = J.high_risk_stream(J.event_stream(spark, SF_SMALL), bank.customers, 80)
+    s = J.high_risk_alerts_stream(J.event_stream(spark, SF_SMALL), 80)
     q = J.start_stream(spark, s, "t_dyn", path=str(tmp_path / "dyn"), trigger={"processingTime": "1 second"})
     try:
         q.processAllAvailable()
@@ -129,8 +127,7 @@ def test_stream_windows_follow_the_event_clock_in_any_session_time_zone(spark, b
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
-        out = J.run_keyed(spark, J.live_daily_branch(J.event_stream(spark, SF_SMALL), ab), "t_tz",
-                          ["transaction_date", "branch_name"], path=str(tmp_path / "tz"))
+        out = J.live_daily_branch(spark, J.event_stream(spark, SF_SMALL), ab, path=str(tmp_path / "tz"))
         got = sorted(out.select("transaction_date", "branch_name", "daily_count", "daily_amount").collect())
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

@@ -94,8 +94,8 @@ def _events(b):
 
 
 def _account_branch(b):
-    """The account -> branch map, stored once for the stream's lookups."""
-    return SK.materialize(account_branch_map(b.accounts, b.customers), "account_branch")
+    """The account -> branch map (joined once, when a rollup is read)."""
+    return account_branch_map(b.accounts, b.customers)
 
 
 @register("fraud_velocity_stream", VELOCITY_SQL)
@@ -119,8 +119,7 @@ def _fraud_duplicate_stream(b):
 SELECT f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount, f.risk_score
 FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id WHERE f.risk_score > 80""")
 def _high_risk_stream(b):
-    names = SK.materialize(b.customers.select("customer_id", "name"), "customer_names")
-    return J.run_append(b.spark, J.high_risk_stream(_events(b), names, 80), "high_risk")
+    return J.high_risk_stream(b.spark, _events(b), b.customers, 80)
 
 
 TX_BRANCH_FROM = """FROM event_transactions t JOIN accounts a ON t.account_number = a.account_number
@@ -131,16 +130,14 @@ TX_BRANCH_FROM = """FROM event_transactions t JOIN accounts a ON t.account_numbe
 SELECT CAST(t.timestamp AS DATE) AS transaction_date, c.branch_name, COUNT(*) AS daily_count,
  CAST(SUM(t.amount) AS DECIMAL(38,2)) AS daily_amount {TX_BRANCH_FROM} GROUP BY 1, 2""")
 def _live_daily_branch(b):
-    s = J.live_daily_branch(_events(b), _account_branch(b))
-    return J.run_keyed(b.spark, s, "live_daily_branch", ["transaction_date", "branch_name"])
+    return J.live_daily_branch(b.spark, _events(b), _account_branch(b))
 
 
 @register("hourly_consolidate", f"""
 SELECT c.branch_name, date_trunc('hour', t.timestamp) AS hour_start, COUNT(*) AS transaction_count,
  CAST(SUM(t.amount) AS DECIMAL(38,2)) AS total_amount {TX_BRANCH_FROM} GROUP BY 1, 2""")
 def _hourly_consolidate(b):
-    s = J.hourly_consolidate(_events(b), _account_branch(b))
-    return J.run_keyed(b.spark, s, "hourly_consolidate", ["branch_name", "hour_start"])
+    return J.hourly_consolidate(b.spark, _events(b), _account_branch(b))
 
 
 # ---------------------------------------------------------------- 2.12 table versions

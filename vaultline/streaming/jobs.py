@@ -131,39 +131,76 @@ def run_keyed(spark: SparkSession, stream: DataFrame, name: str, keys, **kw) ->
 
 # ---------------------------------------------------------------- jobs
 
-def high_risk_stream(events: DataFrame, customers: DataFrame, threshold: int = 80) -> DataFrame:
-    """The one-minute dynamic table: alerts with risk_score > threshold and
-    the customer's name (stream-static left join; 'Unknown' if none)."""
+def high_risk_alerts_stream(events: DataFrame, threshold: int = 80) -> DataFrame:
+    """Alerts with risk_score > threshold, as they arrive (keys only: the
+    customer's name is joined when the table is read, not per trigger)."""
     a = alerts_from_events(events).filter(F.col("risk_score") > threshold)
+    return a.select("transaction_id", "customer_id", "amount", "risk_score")
+
+
+def with_customer_names(alerts: DataFrame, customers: DataFrame) -> DataFrame:
+    """The dynamic table's columns: customer name by left join ('Unknown')."""
     names = customers.select("customer_id", F.col("name").alias("_n"))
-    return (a.join(names, "customer_id", "left")
+    return (alerts.join(names, "customer_id", "left")
             .select("transaction_id", F.coalesce("_n", F.lit("Unknown")).alias("customer_name"),
                     "amount", "risk_score"))
 
 
-def _tx_with_branch(events: DataFrame, account_branch: DataFrame, delay: str) -> DataFrame:
+def high_risk_stream(spark: SparkSession, events: DataFrame, customers: DataFrame, threshold: int = 80,
+                     path: str | None = None, trigger=None) -> DataFrame:
+    """The one-minute dynamic table. The stream appends the high-risk alerts;
+    names are joined in the batch read, so no trigger shuffles the
+    customer table (a stream-static left join could not broadcast it)."""
+    alerts = run_append(spark, high_risk_alerts_stream(events, threshold), "high_risk", path=path, trigger=trigger)
+    return with_customer_names(alerts, customers)
+
+
+def _account_window_volume(events: DataFrame, width: str, delay: str, time_col: str, count_col: str,
+                           sum_col: str, as_date: bool) -> DataFrame:
+    """Count and amount per (event-time window, account): no join in the
+    stream, so a trigger never shuffles the account -> branch map."""
     tx = with_event_time(event_transactions(events), "timestamp", delay)
-    return tx.join(account_branch, "account_number", "inner")
+    g = tx.groupBy(F.window("timestamp", width).alias("w"), "account_number").agg(
+        F.count(F.lit(1)).alias(count_col), F.sum("amount").cast("decimal(38,2)").alias(sum_col))
+    start = instant_to_ntz(F.col("w.start"))
+    return g.select((F.to_date(start) if as_date else start).alias(time_col), "account_number", count_col, sum_col)
+
+
+def daily_account_volume(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    return _account_window_volume(events, "1 day", delay, "transaction_date", "daily_count", "daily_amount", True)
+
+
+def hourly_account_volume(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    return _account_window_volume(events, "1 hour", delay, "hour_start", "transaction_count", "total_amount",
+                                  False)
+
+
+def rollup_by_branch(partials: DataFrame, account_branch: DataFrame, time_col: str, count_col: str,
+                     sum_col: str) -> DataFrame:
+    """Per-account partials summed per (time, branch): one batch join at
+    read time, after the partials were combined per account."""
+    return (partials.join(account_branch, "account_number", "inner")
+            .groupBy(time_col, "branch_name")
+            .agg(F.sum(count_col).cast("bigint").alias(count_col), F.sum(sum_col).cast("decimal(38,2)").alias(sum_col)))
 
 
-def live_daily_branch(events: DataFrame, account_branch: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The materialized daily branch aggregate kept current: count and sum
-    per (day, branch), state dropped once the watermark passes the day."""
-    tx = _tx_with_branch(events, account_branch, delay)
-    g = tx.groupBy(F.window("timestamp", "1 day").alias("w"), "branch_name").agg(
-        F.count(F.lit(1)).alias("daily_count"), F.sum("amount").cast("decimal(38,2)").alias("daily_amount"))
-    return g.select(F.to_date(instant_to_ntz(F.col("w.start"))).alias("transaction_date"), "branch_name",
-                    "daily_count", "daily_amount")
+def live_daily_branch(spark: SparkSession, events: DataFrame, account_branch: DataFrame, delay: str = "1 day",
+                      path: str | None = None, trigger=None) -> DataFrame:
+    """The materialized daily branch aggregate kept current. The stream keeps
+    per-(day, account) counts and sums in a keyed sink (state dropped once
+    the watermark passes the day); the branch totals are summed on read."""
+    part = run_keyed(spark, daily_account_volume(events, delay), "live_daily_branch",
+                     ["transaction_date", "account_number"], path=path, trigger=trigger)
+    return rollup_by_branch(part, account_branch, "transaction_date", "daily_count", "daily_amount")
 
 
-def hourly_consolidate(events: DataFrame, account_branch: DataFrame, delay: str = "1 hour") -> DataFrame:
+def hourly_consolidate(spark: SparkSession, events: DataFrame, account_branch: DataFrame, delay: str = "1 hour",
+                       path: str | None = None, trigger=None) -> DataFrame:
     """The hourly task as an idempotent keyed rollup: per (branch, hour)
     transaction count and amount (the reference's INSERT repeats one key)."""
-    tx = _tx_with_branch(events, account_branch, delay)
-    g = tx.groupBy("branch_name", F.window("timestamp", "1 hour").alias("w")).agg(
-        F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
-    return g.select("branch_name", instant_to_ntz(F.col("w.start")).alias("hour_start"),
-                    "transaction_count", "total_amount")
+    part = run_keyed(spark, hourly_account_volume(events, delay), "hourly_consolidate",
+                     ["hour_start", "account_number"], path=path, trigger=trigger)
+    return rollup_by_branch(part, account_branch, "hour_start", "transaction_count", "total_amount")
 
 
 def fraud_velocity_stream(events: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
