@@ -8,6 +8,8 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from vaultline.operators import fraud as FR
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,3 +47,30 @@ def test_geographic_equals_brute_force(spark, ev, minutes):
     got = {r.transaction_id: (r.previous_transaction_id, r.gap_seconds)
            for r in FR.fraud_geographic(df, minutes).collect()}
     assert got == _brute(rows, minutes)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ev=events, minutes=st.sampled_from([1, 60]), parts=st.sampled_from([3, 17]))
+def test_ranged_equals_brute_force(spark, ev, minutes, parts):
+    rows = [(f"TX{i:03d}", acc, T0 + dt.timedelta(seconds=s, milliseconds=ms), loc)
+            for i, (acc, s, ms, loc) in enumerate(ev)]
+    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
+    p = FR.previous_within_ranged(df, ["account_number"], minutes, ["location", "transaction_id"], partitions=parts)
+    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
+    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
+    assert got == _brute(rows, minutes)
+
+
+def test_ranged_splits_one_hot_bucket(spark):
+    """Nearly all rows on one account inside one minute: the range
+    partitioner spreads that key over many partitions, result exact."""
+    rows = [(f"TX{i:04d}", "HOT" if i % 10 else f"ACC{i}", T0 + dt.timedelta(milliseconds=37 * i),
+             f"City {i % 3}") for i in range(1500)]
+    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
+    p = FR.previous_within_ranged(df, ["account_number"], 1, ["location", "transaction_id"], partitions=12)
+    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
+    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
+    assert got == _brute(rows, 1) and len(got) > 1000
+    spread = (df.repartitionByRange(12, "account_number", "timestamp", "transaction_id")
+              .filter(F.col("account_number") == "HOT").select(F.spark_partition_id()).distinct().count())
+    assert spread > 6

@@ -3,14 +3,21 @@
 Thresholds and windows are parameters (the reference names the alert
 types but computes none of them).
 
-The "previous transaction of the same account within m minutes" rules are
-partitioned by (account, time bucket of width m) instead of by account
-alone, so one hot account is spread over many tasks: every row is also
-copied, as a *ghost*, into the next bucket. A row's true predecessor
-within m minutes lies in its own bucket or the one before, and both are
-present in its partition; a predecessor further back is farther than m
-minutes and cannot qualify anyway. The result is exact, at the price of
-shuffling each row twice (the copies come from one scan).
+The "previous transaction of the same account within m minutes" rules
+need, per key, the previous row in time. Partitioning by account alone
+would put a hot account in one task. Two exact layouts avoid that:
+
+* ranged: rows are range partitioned on (key, time, id), so a hot
+  key, or a hot stretch of time, is cut into balanced partitions. The
+  previous row is found within (key, partition). The first row of each such
+  group takes the key's last row from its previous partition, out of a small
+  per-(key, partition) table.
+* bucket (default): partition by (key, time bucket of width m); every row is also
+  copied, as a *ghost*, into the next bucket. A row's predecessor within m
+  minutes lies in its own bucket or the one before, and both are present in
+  its partition. One shuffle of each row twice, exact for any input, but a
+  single hot bucket still lands in one task. The ranged layout needs an
+  input read in a fixed order (see ``previous_within_ranged``).
 """
 
 from __future__ import annotations
@@ -45,12 +52,26 @@ def fraud_velocity(tx: DataFrame, window: str = "1 hour", slide: str = "10 minut
         "tx_count", "total_amount", F.lit("VELOCITY_LIMIT").alias("alert_type"))
 
 
-def previous_within(tx: DataFrame, keys, minutes: int, carry) -> DataFrame:
+def previous_within(tx: DataFrame, keys, minutes: int, carry, method: str = "bucket",
+                    partitions: int | None = None) -> DataFrame:
     """Each row with the values ``carry`` of the previous row of the same
-    ``keys`` when that row is at most ``minutes`` earlier (else NULL).
-
-    Ordering is (timestamp, transaction_id). Partitioned by keys + bucket.
+    ``keys`` when that row is at most ``minutes`` earlier (else NULL), plus
+    ``gap_seconds``. Ordering is (timestamp, transaction_id).
+
+    ``method="bucket"`` (default) is exact for any input and splits a hot
+    key by time bucket, but a single hot bucket lands in one task.
+    ``method="ranged"`` stays balanced even then; it needs an input whose
+    partitions are read in a fixed order (a file scan), see
+    ``previous_within_ranged``.
     """
+    if method == "bucket":
+        return previous_within_bucketed(tx, keys, minutes, carry)
+    return previous_within_ranged(tx, keys, minutes, carry, partitions)
+
+
+def previous_within_bucketed(tx: DataFrame, keys, minutes: int, carry) -> DataFrame:
+    """``previous_within`` partitioned by keys + time bucket of width
+    ``minutes``, with ghost rows (see the module notes)."""
     width = minutes * 60
     base = tx.withColumn("_sec", _seconds("timestamp")).withColumn("_b0", F.floor(F.col("_sec") / width))
     # each row in its own bucket and, as a ghost, in the next one (one scan)
@@ -71,10 +92,49 @@ def previous_within(tx: DataFrame, keys, minutes: int, carry) -> DataFrame:
     return out
 
 
-def fraud_geographic(tx: DataFrame, minutes: int = 60) -> DataFrame:
+def previous_within_ranged(tx: DataFrame, keys, minutes: int, carry, partitions: int | None = None) -> DataFrame:
+    """Same result as ``previous_within``, exact under any skew, even one
+    key with a third of all rows inside one window of ``minutes``.
+
+    Rows are range partitioned on (keys, time, id), so Spark's range
+    partitioner cuts a hot key, or a hot stretch of time, into balanced
+    partitions. The previous row is taken within (key, range partition), a
+    group no larger than one partition. The first row of such a group takes
+    the last row of the same key in its previous partition, from a small
+    per-(key, partition) table. The boundary join is null-safe, like the
+    window's own grouping.
+
+    Precondition: the partition ids come from ``spark_partition_id`` in two
+    branches of the plan, which Spark cannot share (the expression is not
+    deterministic). They agree because range sampling is seeded and the
+    input is read in a fixed order; use this on a file scan or a written
+    table, not on the output of a shuffle.
+    """
+    width = minutes * 60
+    n = partitions or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["timestamp", "transaction_id"]
+    base = tx.withColumn("_sec", _seconds("timestamp"))
+    ranged = base.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    inner = ranged.select("*", F.lag(F.struct("_sec", *carry)).over(w).alias("_prev"))
+    last = ranged.groupBy(*keys, "_pid").agg(F.max(F.struct(
+        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], "_sec", *carry)).alias("_last"))
+    before = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_k_pid"),
+                         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid")).alias("_before"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_pid") == F.col("_k_pid")]
+    j = inner.join(before, cond, "left")
+    prev = F.coalesce(F.col("_prev"), F.struct(*[F.col(f"_before.{c}").alias(c) for c in ["_sec", *carry]]))
+    j = j.withColumn("_p", prev)
+    near = (F.col("_sec") - F.col("_p._sec")) <= width
+    return j.select(*tx.columns,
+                    *[F.when(near, F.col(f"_p.{c}")).alias(f"prev_{c}") for c in carry],
+                    F.when(near, F.col("_sec") - F.col("_p._sec")).alias("gap_seconds"))
+
+
+def fraud_geographic(tx: DataFrame, minutes: int = 60, method: str = "bucket") -> DataFrame:
     """Location differs from the account's previous transaction within
     ``minutes``."""
-    p = previous_within(tx, ["account_number"], minutes, ["location", "transaction_id"])
+    p = previous_within(tx, ["account_number"], minutes, ["location", "transaction_id"], method)
     hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
     return hit.select("transaction_id", "account_number", "location",
                       F.col("prev_location").alias("previous_location"),
@@ -82,12 +142,12 @@ def fraud_geographic(tx: DataFrame, minutes: int = 60) -> DataFrame:
                       F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
 
 
-def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2) -> DataFrame:
+def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2, method: str = "bucket") -> DataFrame:
     """Same account, amount and merchant as a transaction at most
     ``minutes`` earlier. Amounts are compared rounded to ``amount_scale``
     decimals (2 = exact cents; 0 = whole currency units)."""
     t = tx.withColumn("_amount_key", F.round("amount", amount_scale))
-    p = previous_within(t, ["account_number", "_amount_key", "merchant_name"], minutes, ["transaction_id"])
+    p = previous_within(t, ["account_number", "_amount_key", "merchant_name"], minutes, ["transaction_id"], method)
     hit = p.filter(F.col("prev_transaction_id").isNotNull())
     return hit.select("transaction_id", "account_number", "amount", "merchant_name",
                       F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
