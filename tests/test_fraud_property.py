@@ -74,3 +74,35 @@ def test_ranged_splits_one_hot_bucket(spark):
     spread = (df.repartitionByRange(12, "account_number", "timestamp", "transaction_id")
               .filter(F.col("account_number") == "HOT").select(F.spark_partition_id()).distinct().count())
     assert spread > 6
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ev=events, minutes=st.sampled_from([1, 60]), budget=st.sampled_from([2, 7, 1000]))
+def test_adaptive_equals_brute_force(spark, ev, minutes, budget):
+    rows = [(f"TX{i:03d}", acc, T0 + dt.timedelta(seconds=s, milliseconds=ms), loc)
+            for i, (acc, s, ms, loc) in enumerate(ev)]
+    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
+    p = FR.previous_within_adaptive(df, ["account_number"], minutes, ["location", "transaction_id"],
+                                    rows_per_group=budget)
+    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
+    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
+    assert got == _brute(rows, minutes)
+
+
+def test_adaptive_splits_one_hot_bucket_and_keeps_null_keys(spark):
+    """Nearly all rows on one account inside one minute, plus a NULL
+    sub-key: the hot key is cut into many segments, the result is exact."""
+    rows = [(f"TX{i:04d}", "HOT" if i % 10 else f"ACC{i}", T0 + dt.timedelta(milliseconds=37 * i),
+             f"City {i % 3}") for i in range(1500)]
+    df = spark.createDataFrame([(t, a, None, "X", None if i % 2 else "M", loc, ts)
+                                for i, (t, a, ts, loc) in enumerate(rows)], SCHEMA)
+    p = FR.previous_within_adaptive(df, ["account_number"], 1, ["location", "transaction_id"], rows_per_group=100)
+    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
+    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
+    assert got == _brute(rows, 1) and len(got) > 1000
+    # duplicate-style key with a NULL part agrees with the bucketed layout
+    k = ["account_number", "merchant_name"]
+    a = FR.previous_within_adaptive(df, k, 1, ["transaction_id"], rows_per_group=50)
+    b = FR.previous_within_bucketed(df, k, 1, ["transaction_id"])
+    cols = ["transaction_id", "prev_transaction_id", "gap_seconds"]
+    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())

@@ -34,10 +34,13 @@ def test_bulk_update_reads_the_base_once(spark):
 
 
 @pytest.mark.parametrize("name", ["fraud_geographic", "fraud_duplicate"])
-def test_fraud_windows_scan_events_once_and_partition_by_bucket(spark, name):
+def test_fraud_windows_partition_by_key_and_segment(spark, name):
+    """The previous-event window groups by (key, time segment), never by the
+    key alone; the input is read once for the rows and once (pruned) for
+    the segment boundaries, and each row is shuffled once."""
     plan = _plan(Q[name](spark, SF_SMALL))
-    assert _scans(plan, "event_id") == 1
-    assert "hashpartitioning(account_number" in plan and "_b" in plan
+    assert _scans(plan, "event_id") == 2
+    assert "hashpartitioning(account_number" in plan and "_seg" in plan
 
 
 def test_stored_time_window_prunes_partitions(spark):

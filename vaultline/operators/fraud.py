@@ -5,19 +5,20 @@ types but computes none of them).
 
 The "previous transaction of the same account within m minutes" rules
 need, per key, the previous row in time. Partitioning by account alone
-would put a hot account in one task. Two exact layouts avoid that:
-
-* ranged: rows are range partitioned on (key, time, id), so a hot
-  key, or a hot stretch of time, is cut into balanced partitions. The
-  previous row is found within (key, partition). The first row of each such
-  group takes the key's last row from its previous partition, out of a small
-  per-(key, partition) table.
-* bucket (default): partition by (key, time bucket of width m); every row is also
+would put a hot account in one task. Three exact layouts avoid that:
+
+* adaptive (default): keys with more rows than a budget are cut into time
+  segments sized from their own count and span (a small pinned table); the
+  previous row is found within (key, segment), and the first row of a
+  segment takes the key's last row from its previous segment. Segments are
+  a pure function of the row, so the layout is exact for any input.
+* bucket: partition by (key, time bucket of width m); every row is also
   copied, as a *ghost*, into the next bucket. A row's predecessor within m
-  minutes lies in its own bucket or the one before, and both are present in
-  its partition. One shuffle of each row twice, exact for any input, but a
-  single hot bucket still lands in one task. The ranged layout needs an
-  input read in a fixed order (see ``previous_within_ranged``).
+  minutes lies in its own bucket or the one before. One shuffle of each row
+  twice, but a single hot bucket still lands in one task.
+* ranged: range partitioning on (key, time, id) with the same boundary
+  fill; it needs an input read in a fixed order (see
+  ``previous_within_ranged``).
 """
 
 from __future__ import annotations
@@ -52,20 +53,24 @@ def fraud_velocity(tx: DataFrame, window: str = "1 hour", slide: str = "10 minut
         "tx_count", "total_amount", F.lit("VELOCITY_LIMIT").alias("alert_type"))
 
 
-def previous_within(tx: DataFrame, keys, minutes: int, carry, method: str = "bucket",
+def previous_within(tx: DataFrame, keys, minutes: int, carry, method: str = "adaptive",
                     partitions: int | None = None) -> DataFrame:
     """Each row with the values ``carry`` of the previous row of the same
     ``keys`` when that row is at most ``minutes`` earlier (else NULL), plus
     ``gap_seconds``. Ordering is (timestamp, transaction_id).
 
-    ``method="bucket"`` (default) is exact for any input and splits a hot
-    key by time bucket, but a single hot bucket lands in one task.
-    ``method="ranged"`` stays balanced even then; it needs an input whose
-    partitions are read in a fixed order (a file scan), see
+    ``method="adaptive"`` (default) is exact for any input and cuts every
+    key above a row budget into time segments sized from its own count, so
+    a hot key or a hot bucket is spread over tasks (only rows sharing one
+    timestamp cannot be cut). ``method="bucket"`` shuffles once (each row
+    twice) and splits a hot key by fixed buckets of width ``minutes``.
+    ``method="ranged"`` needs an input read in a fixed order, see
     ``previous_within_ranged``.
     """
     if method == "bucket":
         return previous_within_bucketed(tx, keys, minutes, carry)
+    if method == "adaptive":
+        return previous_within_adaptive(tx, keys, minutes, carry)
     return previous_within_ranged(tx, keys, minutes, carry, partitions)
 
 
@@ -131,7 +136,59 @@ def previous_within_ranged(tx: DataFrame, keys, minutes: int, carry, partitions:
                     F.when(near, F.col("_sec") - F.col("_p._sec")).alias("gap_seconds"))
 
 
-def fraud_geographic(tx: DataFrame, minutes: int = 60, method: str = "bucket") -> DataFrame:
+# Most rows one (key, segment) group of the adaptive layout should hold.
+ADAPTIVE_ROWS_PER_GROUP = 2_000_000
+
+
+def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
+                             rows_per_group: int = ADAPTIVE_ROWS_PER_GROUP) -> DataFrame:
+    """Same result as ``previous_within``, exact for any input and balanced
+    under any skew that spreads over time.
+
+    Keys with more than ``rows_per_group`` rows (counted with a partial
+    aggregate) are cut into time segments: a key's span divided into
+    ceil(rows / rows_per_group) equal slices, from a small pinned table of
+    hot keys. Every other key is one segment. The previous row is taken
+    within (key, segment). The first row of a segment takes the key's last
+    row from its previous segment (a per-(key, segment) table and a lag over
+    segments). ``_seg`` is a pure function of the row and the pinned table,
+    so every branch of the plan computes the same segments.
+    """
+    from .joins import pin
+
+    width = minutes * 60
+    order = ["timestamp", "transaction_id"]
+    base = tx.withColumn("_sec", _seconds("timestamp"))
+    stats = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_sec").alias("_lo"),
+                                     F.max("_sec").alias("_hi"))
+             .filter(F.col("_n") > rows_per_group))
+    slices = F.ceil(F.col("_n") / F.lit(rows_per_group))
+    hot = pin(stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
+                           ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w")))
+    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    # at most (rows / rows_per_group) hot keys: broadcast only below the lookup cap
+    from .joins import BROADCAST_MAX_KEYS
+    hot_side = F.broadcast(hot) if hot.count() <= BROADCAST_MAX_KEYS else hot
+    seg = F.when(F.col("_w").isNull(), F.lit(0)).otherwise(F.floor((F.col("_sec") - F.col("_lo")) / F.col("_w")))
+    r = (base.join(hot_side, on, "left").withColumn("_seg", seg.cast("long"))
+         .drop(*[f"_h_{k}" for k in keys], "_lo", "_w"))
+    w = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    inner = r.select("*", F.lag(F.struct("_sec", *carry)).over(w).alias("_prev"))
+    last = r.groupBy(*keys, "_seg").agg(F.max(F.struct(
+        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], "_sec", *carry)).alias("_last"))
+    before = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"),
+                         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_before"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_seg") == F.col("_k_seg")]
+    j = inner.join(before, cond, "left")
+    j = j.withColumn("_p", F.coalesce(F.col("_prev"), F.struct(
+        *[F.col(f"_before.{c}").alias(c) for c in ["_sec", *carry]])))
+    near = (F.col("_sec") - F.col("_p._sec")) <= width
+    return j.select(*tx.columns,
+                    *[F.when(near, F.col(f"_p.{c}")).alias(f"prev_{c}") for c in carry],
+                    F.when(near, F.col("_sec") - F.col("_p._sec")).alias("gap_seconds"))
+
+
+def fraud_geographic(tx: DataFrame, minutes: int = 60, method: str = "adaptive") -> DataFrame:
     """Location differs from the account's previous transaction within
     ``minutes``."""
     p = previous_within(tx, ["account_number"], minutes, ["location", "transaction_id"], method)
@@ -142,7 +199,7 @@ def fraud_geographic(tx: DataFrame, minutes: int = 60, method: str = "bucket") -
                       F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
 
 
-def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2, method: str = "bucket") -> DataFrame:
+def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2, method: str = "adaptive") -> DataFrame:
     """Same account, amount and merchant as a transaction at most
     ``minutes`` earlier. Amounts are compared rounded to ``amount_scale``
     decimals (2 = exact cents; 0 = whole currency units)."""
