@@ -8,7 +8,7 @@ need, per key, the previous row in time. Partitioning by account alone
 would put a hot account in one task. Three exact layouts avoid that:
 
 * adaptive (default): keys with more rows than a budget are cut into time
-  segments sized from their own count and span (a small pinned table); the
+  segments sized from their own count and span (exact aggregates); the
   previous row is found within (key, segment), and the first row of a
   segment takes the key's last row from its previous segment. Segments are
   a pure function of the row, so the layout is exact for any input.
@@ -147,15 +147,13 @@ def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
 
     Keys with more than ``rows_per_group`` rows (counted with a partial
     aggregate) are cut into time segments: a key's span divided into
-    ceil(rows / rows_per_group) equal slices, from a small pinned table of
-    hot keys. Every other key is one segment. The previous row is taken
+    ceil(rows / rows_per_group) equal slices, from a small table of hot
+    keys. Every other key is one segment. The previous row is taken
     within (key, segment). The first row of a segment takes the key's last
     row from its previous segment (a per-(key, segment) table and a lag over
-    segments). ``_seg`` is a pure function of the row and the pinned table,
-    so every branch of the plan computes the same segments.
+    segments). ``_seg`` is a pure function of the row and of exact per-key
+    aggregates, so every branch of the plan computes the same segments.
     """
-    from .joins import pin
-
     width = minutes * 60
     order = ["timestamp", "transaction_id"]
     base = tx.withColumn("_sec", _seconds("timestamp"))
@@ -163,12 +161,13 @@ def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
                                      F.max("_sec").alias("_hi"))
              .filter(F.col("_n") > rows_per_group))
     slices = F.ceil(F.col("_n") / F.lit(rows_per_group))
-    hot = pin(stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
-                           ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w")))
+    # exact aggregates (count, min, max), so every evaluation gives the same
+    # segments; at most rows / rows_per_group keys, so AQE broadcasts the
+    # table from its measured size when it is small
+    hot = stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
+                       ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w"))
     on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    # at most (rows / rows_per_group) hot keys: broadcast only below the lookup cap
-    from .joins import BROADCAST_MAX_KEYS
-    hot_side = F.broadcast(hot) if hot.count() <= BROADCAST_MAX_KEYS else hot
+    hot_side = hot
     seg = F.when(F.col("_w").isNull(), F.lit(0)).otherwise(F.floor((F.col("_sec") - F.col("_lo")) / F.col("_w")))
     r = (base.join(hot_side, on, "left").withColumn("_seg", seg.cast("long"))
          .drop(*[f"_h_{k}" for k in keys], "_lo", "_w"))
