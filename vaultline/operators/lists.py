@@ -23,10 +23,17 @@ def _txn_out(df: DataFrame, cols) -> DataFrame:
     return df.select(*cols)
 
 
+def sorted_small(df: DataFrame, *order) -> DataFrame:
+    """Total order of a result bounded by k rows: one partition sorted in
+    place. A global ``orderBy`` would add a range exchange and its sampling
+    job for at most k rows."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def _newest_first_out(df: DataFrame) -> DataFrame:
     """The k output rows back in ORDER BY order (the enrichment join does
     not keep it); the text timestamp sorts like the time it shows."""
-    return df.orderBy(F.col("timestamp").desc_nulls_first(), F.col("id").asc())
+    return sorted_small(df, F.col("timestamp").desc_nulls_first(), F.col("id").asc())
 
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:
@@ -106,7 +113,7 @@ def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
                     "interest_rate", "term_months", "emi", "remaining_balance",
                     to_char("next_due_date", "YYYY-MM-DD").alias("next_due_date"),
                     "status", "risk_rating", "recovered_amount") \
-        .orderBy(F.col("next_due_date").asc_nulls_last(), F.col("id").asc())
+        .transform(lambda d: sorted_small(d, F.col("next_due_date").asc_nulls_last(), F.col("id").asc()))
 
 
 # -- fraud alerts ---------------------------------------------------------
@@ -215,7 +222,8 @@ def customer_accounts_nested(bank, search: str | None = None, segment=None, k: i
     return (top.join(nested, "customer_id", "left")
             .select(*CUSTOMER_COLUMNS(), F.coalesce(F.col("accounts_part"), F.lit(0)).alias("accounts_part"),
                     F.coalesce(F.col("accounts"), empty).alias("accounts"))
-            .orderBy(F.col("name").asc_nulls_last(), F.col("id").asc(), F.col("accounts_part").asc()))
+            .transform(lambda d: sorted_small(d, F.col("name").asc_nulls_last(), F.col("id").asc(),
+                                              F.col("accounts_part").asc())))
 
 
 def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
