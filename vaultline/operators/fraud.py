@@ -147,8 +147,8 @@ def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
 
     Keys with more than ``rows_per_group`` rows (counted with a partial
     aggregate) are cut into time segments: a key's span divided into
-    ceil(rows / rows_per_group) equal slices, from a small table of hot
-    keys. Every other key is one segment. The previous row is taken
+    ceil(rows / rows_per_group) equal slices, from a small pinned table of
+    hot keys. Every other key is one segment. The previous row is taken
     within (key, segment). The first row of a segment takes the key's last
     row from its previous segment (a per-(key, segment) table and a lag over
     segments). ``_seg`` is a pure function of the row and of exact per-key
@@ -162,10 +162,12 @@ def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
              .filter(F.col("_n") > rows_per_group))
     slices = F.ceil(F.col("_n") / F.lit(rows_per_group))
     # exact aggregates (count, min, max), so every evaluation gives the same
-    # segments; at most rows / rows_per_group keys, so AQE broadcasts the
-    # table from its measured size when it is small
-    hot = stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
-                       ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w"))
+    # segments. Pinned: the table (at most rows / rows_per_group keys) is
+    # computed once instead of once per branch that reads the segments, and
+    # AQE broadcasts it from its measured size when it is small.
+    from .joins import pin
+    hot = pin(stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
+                           ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w")))
     on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
     hot_side = hot
     seg = F.when(F.col("_w").isNull(), F.lit(0)).otherwise(F.floor((F.col("_sec") - F.col("_lo")) / F.col("_w")))
