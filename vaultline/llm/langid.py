@@ -62,7 +62,7 @@ class Model:
 
     def _logs(self, counts: dict):
         k = len(self.langs)
-        c = np.array(list(counts.values()), np.float64).reshape(-1, k)
+        c = np.array(list(counts.values()), np.float64).reshape(len(counts), k)
         total = c.sum(0) + 0.5 * (len(c) + 1)
         return {g: i for i, g in enumerate(counts)}, np.log((c + 0.5) / total)
 
