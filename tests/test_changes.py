@@ -118,33 +118,35 @@ def test_latest_per_key_hot_key(spark):
     assert got == {"K1": "v2999", "K2": "a"}
 
 
-def test_versions_chain_of_bulk_changes(spark, bank, tmp_path):
-    """Insert, then update on the written version: each step reads the
-    previous committed version and writes a new one."""
-    from vaultline.operators import versions as V
-    root = str(tmp_path / "accounts")
-    V.write_version(bank.accounts, root)
-    batch = spark.createDataFrame([("NEW-1", "CUS1", "SAVINGS", 10.0, None)],
-                                  "account_number string, customer_id string, account_type string, "
-                                  "balance double, status string")
-    V.write_version(C.insert_accounts(V.read_current(spark, root), batch, bank.customers).next, root)
-    upd = spark.createDataFrame([("NEW-1", 1, "CUS1", "SAVINGS", 99.0, "FROZEN")],
-                                "account_number string, _seq long, customer_id string, account_type string, "
-                                "balance double, status string")
-    V.write_version(C.update_accounts(V.read_current(spark, root), upd, bank.customers).next, root)
-    cur = V.read_current(spark, root)
-    row = cur.filter(F.col("account_number") == "NEW-1").first()
-    assert (row.balance, row.status) == (decimal.Decimal("99.00"), "FROZEN")
-    assert cur.count() == bank.accounts.count() + 1
-    assert sorted(p.name for p in tmp_path.joinpath("accounts", "data").iterdir()) == ["v=1", "v=2", "v=3"]
-
-
-def test_uncommitted_version_is_never_current(spark, bank, tmp_path):
-    from vaultline.operators import versions as V
-    root = str(tmp_path / "t")
-    V.write_version(bank.branch_performance, root)
-    # a job that died after writing data but before its commit record
-    bank.branch_performance.limit(1).write.parquet(f"{root}/data/v=2")
-    assert V.read_current(spark, root).count() == bank.branch_performance.count()
-    V.write_version(bank.branch_performance.limit(3), root)   # the retry takes v=2 over
-    assert V.read_current(spark, root).count() == 3
+ACCOUNT_CHANGES = ("account_number string, _seq long, customer_id string, account_type string, balance double, "
+                   "status string")
+
+
+def test_invalid_change_after_a_valid_one_does_not_undo_it(spark, bank):
+    """The handlers' sequence: the first change applies, the second and third are refused."""
+    upd = spark.createDataFrame([("ACC1", 1, "CUS1", "SAVINGS", 111.0, None), ("ACC1", 2, "CUS1", None, 222.0, None),
+                                 ("ACC1", 3, "CUS-NOPE", "SAVINGS", 333.0, None), ("GHOST", 1, "CUS1", "SAVINGS", 1.0, None),
+                                 ("GHOST", 2, "CUS1", "SAVINGS", 2.0, None)], ACCOUNT_CHANGES)
+    res = C.update_accounts(bank.accounts, upd, bank.customers)
+    assert res.next.filter("account_number = 'ACC1'").first().balance == decimal.Decimal("111.00")
+    assert sorted(r.reason for r in res.rejects.collect()) == [
+        "missing required field", "not found", "not found", "parent not found: customer_id"]
+    assert [r.account_number for r in res.accepted.collect()] == ["ACC1"]
+    assert res.next.count() == bank.accounts.count()
+
+
+def test_insert_twice_adds_once(spark, bank):
+    batch = spark.createDataFrame([("NEW-1", "CUS1", "SAVINGS", 1.0, None), ("NEW-1", "CUS1", "SAVINGS", 1.0, None),
+                                   ("NEW-2", "CUS1", "SAVINGS", 2.0, None), ("ACC1", "CUS1", "SAVINGS", 2.0, None)],
+                                  "account_number string, customer_id string, account_type string, balance double, status string")
+    one = C.insert_accounts(bank.accounts, batch, bank.customers)
+    assert sorted(r.account_number for r in one.accepted.collect()) == ["NEW-1", "NEW-2"]
+    assert sorted((r.change_key, r.reason) for r in one.rejects.collect()) == [("ACC1", "duplicate key"), ("NEW-1", "duplicate key")]
+    two = C.insert_accounts(one.next, batch, bank.customers)
+    assert two.next.count() == one.next.count() and two.rejects.count() == 4 and two.accepted.count() == 0
+
+
+def test_ids_do_not_join_parts_alike(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None)], "x string, y string")
+    ids = [r[0] for r in df.select(C.hash_id("T", "x", "y")).collect()]
+    assert len(set(ids)) == 4 and all(len(i) == 65 for i in ids)

@@ -5,16 +5,17 @@
 rules, applied to a whole DataFrame of changes at once:
 
 * required fields missing -> reject ``missing required field``
-* parent key absent       -> reject ``parent not found`` (left anti join)
+* parent key absent       -> reject ``parent not found`` (left join flag)
+* insert of a stored or repeated key -> reject ``duplicate key``
 * update of an absent key -> reject ``not found``
-* several changes of one key -> the latest (largest ``_seq``) wins, picked
-  with a ``max(struct(_seq, ...))`` aggregate. Its partial step combines a
-  hot key inside each task before the shuffle, so the key never lands in one
-  task whole.
-
-Plain parquet has no MERGE, so the next version is ``base`` minus the
-replaced keys plus the new rows (anti join + union); callers write it to a
-new path, never over the one being read.
+* several changes of one key -> the latest valid one (largest ``_seq``) wins,
+  picked with a ``max(struct(_seq, ...))`` aggregate. Its partial step
+  combines a hot key inside each task before the shuffle, so the key never
+  lands in one task whole.
+
+Plain parquet has no MERGE, so the next version comes from one full outer
+join of the base with the changes; callers write it to a new path, never
+over the one being read.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ class Changed:
 
 
 def hash_id(prefix: str, *cols) -> Column:
-    """Deterministic id from source columns (replaces the random ids)."""
-    txt = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(txt, 256), 1, 12)))
+    """Deterministic id from source columns (replaces the random ids): the
+    full digest over length-prefixed parts, so no two part lists join alike."""
+    parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
+    txt = F.concat(*[F.coalesce(F.concat(F.char_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
+    return F.concat(F.lit(prefix), F.upper(F.sha2(txt, 256)))
 
 
 def _missing(c: str) -> Column:
@@ -47,32 +50,37 @@ def _missing(c: str) -> Column:
     return col.isNull() | (col.cast("string") == "")
 
 
-def _reject(df: DataFrame, reason: str, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias("change_key"), F.lit(reason).alias("reason"))
+def _reject(df: DataFrame, reason, key: str) -> DataFrame:
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    return df.select(F.col(key).cast("string").alias("change_key"), reason.alias("reason"))
 
 
 def validate(batch: DataFrame, key: str, required=(), fks=()) -> tuple[DataFrame, DataFrame]:
-    """Split a batch into (valid rows, rejects(change_key, reason))."""
-    rejects = []
+    """Split a batch into (valid rows, rejects(change_key, reason)).
+
+    Every parent is read once: a left join flags the match, and both outputs
+    come from the flagged rows. The first failed rule names the reason."""
+    columns, flagged, reason = batch.columns, batch, F.lit(None).cast("string")
+    for i, (col, parent, parent_key) in reversed(list(enumerate(fks))):
+        keys = parent.select(F.col(parent_key).alias(f"_p{i}")).distinct()
+        flagged = flagged.join(keys, F.col(col) == F.col(f"_p{i}"), "left")
+        reason = F.when(F.col(f"_p{i}").isNull(), F.lit(f"parent not found: {col}")).otherwise(reason)
     if required:
         miss = reduce(lambda a, b: a | b, [_missing(c) for c in required])
-        rejects.append(_reject(batch.filter(miss), "missing required field", key))
-        batch = batch.filter(~miss)
-    for col, parent, parent_key in fks:
-        p = parent.select(F.col(parent_key).alias(col))
-        rejects.append(_reject(batch.join(p, col, "left_anti"), f"parent not found: {col}", key))
-        batch = batch.join(p, col, "left_semi")
-    empty = batch.sparkSession.createDataFrame([], "change_key string, reason string")
-    return batch, reduce(DataFrame.unionByName, rejects, empty)
-
-
-def latest_per_key(changes: DataFrame, key: str, seq: str = "_seq") -> DataFrame:
-    """Keep the change with the largest ``seq`` for every key."""
-    if seq not in changes.columns:
-        return changes
+        reason = F.when(miss, F.lit("missing required field")).otherwise(reason)
+    flagged = flagged.withColumn("_reason", reason)
+    return (flagged.filter(F.col("_reason").isNull()).select(*columns),
+            _reject(flagged.filter(F.col("_reason").isNotNull()), F.col("_reason"), key))
+
+
+def latest_per_key(changes: DataFrame, key: str, seq: str = "_seq", count: str | None = None) -> DataFrame:
+    """Keep the change with the largest ``seq`` for every key (without a
+    sequence, the largest row); ``count`` names a column for how many there were."""
     others = [c for c in changes.columns if c not in (key, seq)]
-    packed = changes.groupBy(key).agg(F.max(F.struct(seq, *others)).alias("_w"))
-    return packed.select(key, *[F.col(f"_w.{c}").alias(c) for c in [seq] + others])
+    order = [seq] if seq in changes.columns else []
+    n = [F.count(F.lit(1)).alias(count)] if count else []
+    packed = changes.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("_w"), *n)
+    return packed.select(key, *[F.col(f"_w.{c}").alias(c) for c in order + others], *([count] if count else []))
 
 
 def _conform(df: DataFrame, table: str) -> DataFrame:
@@ -81,8 +89,27 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def _insert(base: DataFrame, shaped: DataFrame, rejects: DataFrame, table: str) -> Changed:
-    shaped = _conform(shaped, table)
-    return Changed(_conform(base, table).unionByName(shaped), rejects, shaped)
+    """Add rows whose key is new. A key that is stored already, or that comes
+    several times in the batch, is rejected (of equal keys in the batch one
+    row is taken), so a batch applied twice adds nothing the second time."""
+    pk = schemas.PRIMARY_KEYS[table]
+    one = latest_per_key(_conform(shaped, table), pk, count="_n")
+    stored = base.select(F.col(pk).cast(schemas.BY_NAME[table][pk].dataType).alias("_stored")).distinct()
+    j = one.join(stored, F.col(pk) == F.col("_stored"), "left")
+    fresh = _conform(j.filter(F.col("_stored").isNull()), table)
+    again = F.col("_n") - F.when(F.col("_stored").isNull(), 1).otherwise(0)
+    dups = _reject(j.select(pk, F.explode(F.array_repeat(F.lit("duplicate key"), again.cast("int"))).alias("_r")), F.col("_r"), pk)
+    return Changed(_conform(base, table).unionByName(fresh), rejects.unionByName(dups), fresh)
+
+
+def _merge(base: DataFrame, latest: DataFrame, table: str, key: str) -> DataFrame:
+    """One full outer join of the base with one change per key, the shape of
+    a MERGE: the base is read and shuffled once. ``_old`` and ``_new`` are
+    the two rows as structs, null where a side has none."""
+    change_cols = [c for c in latest.columns if c != key]
+    base_c = _conform(base, table)
+    return (base_c.select(F.col(key).alias("_k"), F.struct(*base_c.columns).alias("_old"))
+            .join(latest.select(F.col(key).alias("_k"), F.struct(*change_cols).alias("_new")), "_k", "full_outer"))
 
 
 def _update(base: DataFrame, changes: DataFrame, table: str, key: str, shape, keep=(),
@@ -90,38 +117,28 @@ def _update(base: DataFrame, changes: DataFrame, table: str, key: str, shape, ke
     """Whole-row replace of matched keys; ``shape(df)`` maps a validated change
     (with the stored ``keep`` columns, prefixed ``old_``) to table rows.
 
-    One full outer join of the base with the latest valid change per key,
-    the physical shape of a MERGE: the base is read and shuffled once, and
-    every output comes from that join (base only -> kept, both -> replaced,
-    change only -> rejected "not found"). The shapers select the key column
-    by name, so the stored row and the match flag ride through them inside
-    the key column and are unpacked afterwards.
+    Changes apply in sequence: an invalid one is rejected and leaves the row
+    as the valid ones before it made it. So all changes are validated first,
+    the last valid one per key wins, and every invalid change is rejected, as
+    is every change of a key that is not stored ("not found").
     """
-    latest = latest_per_key(changes, key)
-    valid, rejects = validate(latest, key, required, fks)
+    valid, rejects = validate(changes, key, required, fks)
     schema = schemas.BY_NAME[table]
-    base_c = _conform(base, table)
-    change_cols = [c for c in valid.columns if c != key]
-    j = (base_c.select(F.col(key).alias("_k"), F.struct(*base_c.columns).alias("_old"))
-         .join(valid.select(F.col(key).alias("_k"), F.struct(*change_cols).alias("_new")), "_k", "full_outer"))
+    j = _merge(base, latest_per_key(valid, key, count="_n"), table, key)
     hit = F.col("_old").isNotNull() & F.col("_new").isNotNull()
-    flat = j.select(F.struct(F.col("_k").alias("k"), F.col("_old").alias("old"), hit.alias("hit")).alias(key),
-                    *[F.col(f"_new.{c}").alias(c) for c in change_cols],
-                    *[F.col(f"_old.{c}").alias(f"old_{c}") for c in keep])
-    shaped = shape(flat)
-    row = F.col(key)
-
-    def pick(f):
-        if f.name == key:
-            return row["k"].cast(f.dataType).alias(key)
-        return F.when(row["hit"], F.col(f.name).cast(f.dataType)).otherwise(row["old"][f.name]).alias(f.name)
-
-    stored = shaped.filter(row["old"].isNotNull())
-    nxt = stored.select(*[pick(f) for f in schema.fields])
-    updated = stored.filter(row["hit"]).select(*[pick(f) for f in schema.fields])
-    not_found = j.filter(F.col("_old").isNull()).select(
-        F.col("_k").cast("string").alias("change_key"), F.lit("not found").alias("reason"))
-    return Changed(nxt, rejects.unionByName(not_found), updated)
+    flat = j.filter(hit).select(F.col("_k").alias(key), "_new.*", *[F.col(f"_old.{c}").alias(f"old_{c}") for c in keep])
+    change_cols = [c for c in valid.columns if c != key]
+    wide = j.filter(F.col("_old").isNotNull()).select(
+        F.struct(F.col("_k").alias("k"), F.col("_old").alias("old"), hit.alias("hit")).alias(key),
+        *[F.col(f"_new.{c}").alias(c) for c in change_cols], *[F.col(f"_old.{c}").alias(f"old_{c}") for c in keep])
+    row, shaped = F.col(key), shape(wide)
+    nxt = shaped.select(*[
+        row["k"].cast(f.dataType).alias(f.name) if f.name == key else
+        F.when(row["hit"], F.col(f.name).cast(f.dataType)).otherwise(row["old"][f.name]).alias(f.name)
+        for f in schema.fields])
+    unknown = j.filter(F.col("_old").isNull()).select(
+        "_k", F.explode(F.array_repeat(F.lit("not found"), F.col("_new._n").cast("int"))).alias("_r"))
+    return Changed(nxt, rejects.unionByName(_reject(unknown, F.col("_r"), "_k")), _conform(shape(flat), table))
 
 
 # -- customers ------------------------------------------------------------
@@ -232,11 +249,10 @@ def insert_loans(base: DataFrame, batch: DataFrame, customers: DataFrame, as_of:
 def update_loans(base: DataFrame, changes: DataFrame, customers: DataFrame) -> Changed:
     """Loan update: a missing customer id comes from the stored row; a
     missing, blank or 'null' due date keeps the stored date."""
-    latest = latest_per_key(changes, "loan_id")
     stored = base.select("loan_id", F.col("customer_id").alias("_old_c"))
     # resolve the customer before validation; unknown loans without a
     # customer id are "not found" in the reference, as here (old is NULL)
-    resolved = (latest.join(stored, "loan_id", "left")
+    resolved = (changes.join(stored, "loan_id", "left")
                 .withColumn("customer_id", F.coalesce(F.nullif(F.col("customer_id"), F.lit("")), F.col("_old_c")))
                 .drop("_old_c"))
     missing_cust = resolved.filter(F.col("customer_id").isNull())
@@ -306,16 +322,16 @@ def update_fraud_alerts(base: DataFrame, changes: DataFrame, customers: DataFram
 def upsert_records(base: DataFrame, batch: DataFrame, now: str) -> Changed:
     """Need name and email; details ''; updated_at = now on insert and
     update; created_at = now for new ids, kept for existing ones."""
-    latest = latest_per_key(batch, "id")
-    valid, rejects = validate(latest, "id", ["name", "email"])
-    stored = base.select("id", F.col("created_at").alias("_created"))
+    valid, rejects = validate(batch, "id", ["name", "email"])
+    j = _merge(base, latest_per_key(valid, "id"), "records", "id")
     ts = F.lit(now).cast("timestamp_ntz")
-    rows = (valid.join(stored, "id", "left")
-            .select("id", "name", "email", F.coalesce(F.col("details"), F.lit("")).alias("details"),
-                    F.coalesce(F.col("_created"), ts).alias("created_at"), ts.alias("updated_at")))
-    rows = _conform(rows, "records")
-    kept = base.join(rows.select("id"), "id", "left_anti")
-    return Changed(_conform(kept, "records").unionByName(rows), rejects, rows)
+    new = {"id": F.col("_k"), "name": F.col("_new.name"), "email": F.col("_new.email"),
+           "details": F.coalesce(F.col("_new.details"), F.lit("")),
+           "created_at": F.coalesce(F.col("_old.created_at"), ts), "updated_at": ts}
+    changed = F.col("_new").isNotNull()
+    nxt = j.select(*[F.when(changed, v).otherwise(F.col(f"_old.{c}")).alias(c) for c, v in new.items()])
+    rows = j.filter(changed).select(*[v.alias(c) for c, v in new.items()])
+    return Changed(_conform(nxt, "records"), rejects, _conform(rows, "records"))
 
 
 # -- deletes --------------------------------------------------------------

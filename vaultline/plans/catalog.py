@@ -614,7 +614,8 @@ def _req(*cols):
 
 
 def _hid(prefix, *exprs):
-    return f"'{prefix}' || upper(substr(sha256(concat_ws('|', {', '.join(exprs)})), 1, 12))"
+    parts = " || ".join(f"coalesce(CAST(length({e}) AS VARCHAR) || ':' || {e}, '-')" for e in exprs)
+    return f"'{prefix}' || upper(sha256({parts}))"
 
 
 CUSTOMERS_BATCH_SQL = """SELECT s_name AS name,
@@ -750,14 +751,40 @@ def _latest_sql(changes, key):
 
 
 ACCOUNT_CHANGES_SQL = """SELECT 'ACC' || CAST(user_id AS VARCHAR) AS account_number, event_id AS _seq,
- 'CUS' || CAST(user_id AS VARCHAR) AS customer_id, 'CHECKING' AS account_type, value AS balance,
- CASE WHEN value < 10 THEN 'DORMANT' END AS status FROM events WHERE event_type = 'click'"""
+ 'CUS' || CAST(user_id AS VARCHAR) AS customer_id, CASE WHEN event_id % 3 <> 0 THEN 'CHECKING' END AS account_type,
+ value AS balance, CASE WHEN value < 10 THEN 'DORMANT' END AS status FROM events WHERE event_type = 'click'"""
+
+
+def _reason_sql(required, fks):
+    """The first failed rule of a change, NULL for a valid one."""
+    miss = f"WHEN NOT coalesce({_req(*required)}, false) THEN 'missing required field'" if required else ""
+    parents = " ".join(f"WHEN {c} NOT IN (SELECT {k} FROM {t}) THEN 'parent not found: {c}'" for c, t, k in fks)
+    return f"CASE {miss} {parents} END"
+
+
+def _valid_sql(changes, rules):
+    return f"SELECT * FROM ({changes}) c0 WHERE {_reason_sql(*rules)} IS NULL"
+
+
+def _rejects_sql(changes, rules, key, base=None):
+    """Every invalid change, and every valid one whose key is not stored."""
+    sql = f"SELECT {key} AS change_key, {_reason_sql(*rules)} AS reason FROM ({changes}) c0 WHERE {_reason_sql(*rules)} IS NOT NULL"
+    if base:
+        sql += (f" UNION ALL SELECT {key}, 'not found' FROM ({_valid_sql(changes, rules)}) c1 "
+                f"WHERE {key} NOT IN (SELECT {key} FROM {base})")
+    return sql
+
+
+_ACCOUNT_RULES = (["customer_id", "account_type"], [("customer_id", "customers", "customer_id")])
+_CUSTOMER_RULES = (["name", "email"], [])
+_BRANCH_RULES = (["branch_name", "city", "manager"], [])
+_ALERT_RULES = (["transaction_id", "customer_id", "amount", "alert_type"], [("customer_id", "customers", "customer_id")])
+_TX_RULES = (["account_number", "transaction_type", "amount"], [("account_number", "accounts", "account_number")])
 
 
 @register("update_by_key_accounts", f"""
-WITH l AS {_latest_sql(ACCOUNT_CHANGES_SQL, 'account_number')},
-f AS (SELECT l.* FROM l JOIN accounts a ON a.account_number = l.account_number
-      WHERE {_req('l.customer_id', 'l.account_type')} AND l.customer_id IN (SELECT customer_id FROM customers))
+WITH l AS {_latest_sql(_valid_sql(ACCOUNT_CHANGES_SQL, _ACCOUNT_RULES), 'account_number')},
+f AS (SELECT l.* FROM l JOIN accounts a ON a.account_number = l.account_number)
 SELECT * FROM accounts WHERE account_number NOT IN (SELECT account_number FROM f)
 UNION ALL
 SELECT account_number, customer_id, account_type, CAST(balance AS DECIMAL(15,2)), COALESCE(NULLIF(status, ''), 'ACTIVE')
@@ -769,14 +796,14 @@ def _update_by_key_accounts(b):
 
 
 CUSTOMER_CHANGES_SQL = """SELECT 'CUS' || CAST(user_id AS VARCHAR) AS customer_id, event_id AS _seq,
- 'User ' || CAST(user_id AS VARCHAR) AS name, 'u' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
+ 'User ' || CAST(user_id AS VARCHAR) AS name,
+ CASE WHEN event_id % 4 <> 0 THEN 'u' || CAST(user_id AS VARCHAR) || '@example.com' END AS email,
  CASE WHEN value > 50 THEN 'GOLD' END AS segment, value AS lifetime_value FROM events WHERE event_type = 'signup'"""
 
 
 @register("update_by_key_customers", f"""
-WITH l AS {_latest_sql(CUSTOMER_CHANGES_SQL, 'customer_id')},
-f AS (SELECT l.*, cu.joined_date AS old_jd FROM l JOIN customers cu ON cu.customer_id = l.customer_id
-      WHERE {_req('l.name', 'l.email')})
+WITH l AS {_latest_sql(_valid_sql(CUSTOMER_CHANGES_SQL, _CUSTOMER_RULES), 'customer_id')},
+f AS (SELECT l.*, cu.joined_date AS old_jd FROM l JOIN customers cu ON cu.customer_id = l.customer_id)
 SELECT * FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM f)
 UNION ALL
 SELECT customer_id, name, email, CAST(NULL AS VARCHAR), COALESCE(NULLIF(segment, ''), 'BRONZE'),
@@ -787,6 +814,93 @@ def _update_by_key_customers(b):
     return C.update_customers(b.customers, B.customer_changes(b)).next
 
 
+@register("update_accounts_rejects", _rejects_sql(ACCOUNT_CHANGES_SQL, _ACCOUNT_RULES, "account_number", "accounts"))
+def _update_accounts_rejects(b):
+    """Every account change that was refused, with the first failed rule."""
+    return C.update_accounts(b.accounts, B.account_changes(b), b.customers).rejects
+
+
+@register("update_customers_rejects", _rejects_sql(CUSTOMER_CHANGES_SQL, _CUSTOMER_RULES, "customer_id", "customers"))
+def _update_customers_rejects(b):
+    return C.update_customers(b.customers, B.customer_changes(b)).rejects
+
+
+TX_CHANGES_SQL = """SELECT 'TX' || CAST(event_id AS VARCHAR) AS transaction_id, 'ACC' || CAST(user_id AS VARCHAR) AS account_number,
+ CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type) END AS transaction_type, value AS amount FROM events"""
+
+
+@register("update_transactions_rejects", _rejects_sql(TX_CHANGES_SQL, _TX_RULES, "transaction_id", "transactions"))
+def _update_transactions_rejects(b):
+    return C.update_transactions(b.transactions, B.transaction_changes(b), b.accounts).rejects
+
+
+BRANCH_CHANGES_SQL = """SELECT 'BR' || CAST(s_nationkey + CASE WHEN s_suppkey % 10 = 0 THEN 100 ELSE 0 END AS VARCHAR) AS branch_id,
+ s_suppkey AS _seq, s_name || ' Branch' AS branch_name, 'City ' || CAST(s_nationkey AS VARCHAR) AS city,
+ CASE WHEN s_acctbal >= 0 THEN 'Manager ' || CAST(s_suppkey AS VARCHAR) END AS manager, s_acctbal AS total_deposits FROM supplier"""
+
+
+@register("update_branches", f"""
+WITH l AS {_latest_sql(_valid_sql(BRANCH_CHANGES_SQL, _BRANCH_RULES), 'branch_id')},
+f AS (SELECT l.* FROM l JOIN branch_performance p ON p.branch_id = l.branch_id)
+SELECT * FROM branch_performance WHERE branch_id NOT IN (SELECT branch_id FROM f)
+UNION ALL
+SELECT branch_id, branch_name, city, manager, 0, 7, CAST(total_deposits AS DECIMAL(15,2)), 0, 0, 0 FROM f""")
+def _update_branches(b):
+    """Branch handler's update as a bulk job: several changes per branch,
+    some of them invalid after a valid one."""
+    return C.update_branches(b.branch_performance, B.branch_changes(b)).next
+
+
+@register("update_branches_rejects", _rejects_sql(BRANCH_CHANGES_SQL, _BRANCH_RULES, "branch_id", "branch_performance"))
+def _update_branches_rejects(b):
+    return C.update_branches(b.branch_performance, B.branch_changes(b)).rejects
+
+
+ALERT_CHANGES_SQL = """SELECT 'AL' || CAST(event_id AS VARCHAR) AS alert_id, event_id * 2 + turn AS _seq,
+ 'TX' || CAST(event_id AS VARCHAR) AS transaction_id,
+ CASE WHEN turn = 1 AND event_id % 5 = 0 THEN 'CUS-NOPE' ELSE 'CUS' || CAST(user_id * 11 AS VARCHAR) END AS customer_id,
+ CASE WHEN turn = 0 OR event_id % 2 = 0 THEN value + turn END AS amount, 'HIGH_VALUE' AS alert_type,
+ CASE WHEN turn = 0 THEN 'CONFIRMED' END AS status
+ FROM events, (SELECT unnest([0, 1]) AS turn) t WHERE event_type IN ('error', 'view')"""
+
+
+@register("update_fraud_alerts", f"""
+WITH l AS {_latest_sql(_valid_sql(ALERT_CHANGES_SQL, _ALERT_RULES), 'alert_id')},
+f AS (SELECT l.*, a.timestamp AS old_ts FROM l JOIN fraud_alerts a ON a.alert_id = l.alert_id)
+SELECT * FROM fraud_alerts WHERE alert_id NOT IN (SELECT alert_id FROM f)
+UNION ALL
+SELECT alert_id, transaction_id, customer_id, CAST(amount AS DECIMAL(15,2)), alert_type, old_ts, 50,
+ COALESCE(NULLIF(status, ''), 'OPEN'), '' FROM f""")
+def _update_fraud_alerts(b):
+    """Alert handler's update as a bulk job; the stored time is kept."""
+    return C.update_fraud_alerts(b.fraud_alerts, B.alert_changes(b), b.customers).next
+
+
+@register("update_fraud_alerts_rejects", _rejects_sql(ALERT_CHANGES_SQL, _ALERT_RULES, "alert_id", "fraud_alerts"))
+def _update_fraud_alerts_rejects(b):
+    return C.update_fraud_alerts(b.fraud_alerts, B.alert_changes(b), b.customers).rejects
+
+
+@register("insert_accounts_rejects", _rejects_sql("""SELECT 'SUP' || CAST(s_suppkey AS VARCHAR) AS account_number,
+ 'CUS' || CAST(s_suppkey * 20 AS VARCHAR) AS customer_id, CASE WHEN s_acctbal < 0 THEN NULL ELSE 'SAVINGS' END AS account_type
+ FROM supplier""", (["account_number", "customer_id", "account_type"], [("customer_id", "customers", "customer_id")]),
+    "account_number"))
+def _insert_accounts_rejects(b):
+    return C.insert_accounts(b.accounts, B.accounts_batch(b), b.customers).rejects
+
+
+@register("insert_accounts_twice_rejects", _rejects_sql("""SELECT 'SUP' || CAST(s_suppkey AS VARCHAR) AS account_number,
+ 'CUS' || CAST(s_suppkey * 20 AS VARCHAR) AS customer_id, CASE WHEN s_acctbal < 0 THEN NULL ELSE 'SAVINGS' END AS account_type
+ FROM supplier""", (["account_number", "customer_id", "account_type"], [("customer_id", "customers", "customer_id")]),
+    "account_number") + """
+UNION ALL SELECT 'SUP' || CAST(s_suppkey AS VARCHAR), 'duplicate key' FROM supplier
+WHERE s_acctbal >= 0 AND 'CUS' || CAST(s_suppkey * 20 AS VARCHAR) IN (SELECT customer_id FROM customers)""")
+def _insert_accounts_twice_rejects(b):
+    """The same batch applied again: every row it added is a duplicate now."""
+    once = C.insert_accounts(b.accounts, B.accounts_batch(b), b.customers).next
+    return C.insert_accounts(once, B.accounts_batch(b), b.customers).rejects
+
+
 @register("update_loans_keep_due", f"""
 WITH c AS (SELECT 'LOAN' || CAST(o_orderkey AS VARCHAR) AS loan_id, o_totalprice AS amount,
   CASE WHEN o_orderstatus = 'O' THEN strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d')

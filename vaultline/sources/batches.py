@@ -73,7 +73,8 @@ def account_changes(bank: Bank) -> DataFrame:
     e = bank.raw("events").filter(F.col("event_type") == "click")
     return e.select(
         prefixed("ACC", "user_id").alias("account_number"), F.col("event_id").alias("_seq"),
-        prefixed("CUS", "user_id").alias("customer_id"), F.lit("CHECKING").alias("account_type"),
+        prefixed("CUS", "user_id").alias("customer_id"),
+        F.when(F.col("event_id") % 3 != 0, F.lit("CHECKING")).alias("account_type"),  # else invalid: type missing
         F.col("value").alias("balance"),
         F.when(F.col("value") < 10, F.lit("DORMANT")).alias("status"))
 
@@ -84,7 +85,8 @@ def customer_changes(bank: Bank) -> DataFrame:
     return e.select(
         prefixed("CUS", "user_id").alias("customer_id"), F.col("event_id").alias("_seq"),
         prefixed("User ", "user_id").alias("name"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")))
+         .alias("email"),  # else invalid: email missing
         F.lit(None).cast("string").alias("phone"),
         F.when(F.col("value") > 50, F.lit("GOLD")).alias("segment"),
         F.col("value").alias("lifetime_value"), F.lit(None).cast("string").alias("branch_name"),
@@ -130,6 +132,36 @@ def branches_batch(bank: Bank) -> DataFrame:
         F.lit(None).cast("bigint").alias("transaction_count"), F.lit(None).cast("double").alias("growth_rate"))
 
 
+def branch_changes(bank: Bank) -> DataFrame:
+    """Every supplier restates its nation's branch (BR<nation>); those with a
+    negative balance leave the manager out (invalid)."""
+    s = bank.raw("supplier")
+    return s.select(
+        prefixed("BR", F.col("s_nationkey") + F.when(F.col("s_suppkey") % 10 == 0, 100).otherwise(0)).alias("branch_id"),
+        F.col("s_suppkey").alias("_seq"), F.concat(F.col("s_name"), F.lit(" Branch")).alias("branch_name"),
+        prefixed("City ", "s_nationkey").alias("city"),
+        F.when(F.col("s_acctbal") >= 0, prefixed("Manager ", "s_suppkey")).alias("manager"),
+        F.lit(None).cast("bigint").alias("customer_count"), F.lit(7).cast("bigint").alias("active_loans"),
+        F.col("s_acctbal").alias("total_deposits"), F.lit(None).cast("double").alias("total_revenue"),
+        F.lit(None).cast("bigint").alias("transaction_count"), F.lit(None).cast("double").alias("growth_rate"))
+
+
+def alert_changes(bank: Bank) -> DataFrame:
+    """Two restatements of every alert: the first confirms it, the second,
+    later one lacks the amount (invalid) for every other alert and names an
+    unknown customer for every fifth; views name alerts that do not exist."""
+    e = bank.raw("events").filter(F.col("event_type").isin("error", "view"))
+    two = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    k, late = F.col("event_id"), F.col("turn") == 1
+    return two.select(
+        prefixed("AL", "event_id").alias("alert_id"), (k * 2 + F.col("turn")).alias("_seq"),
+        prefixed("TX", "event_id").alias("transaction_id"),
+        F.when(late & (k % 5 == 0), F.lit("CUS-NOPE")).otherwise(prefixed("CUS", F.col("user_id") * 11)).alias("customer_id"),
+        F.when(~late | (k % 2 == 0), F.col("value") + F.col("turn")).alias("amount"), F.lit("HIGH_VALUE").alias("alert_type"),
+        F.lit(None).cast("int").alias("risk_score"), F.when(~late, F.lit("CONFIRMED")).alias("status"),
+        F.lit(None).cast("string").alias("details"))
+
+
 def alerts_batch(bank: Bank) -> DataFrame:
     e = bank.raw("events").filter(F.col("event_type") == "purchase")
     return e.select(
