@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,33 +54,40 @@ class WordEncoder:
         self.sep = self.tok.token_to_id(_SEPARATOR)
         self.closes = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._ids(m.decode()).tobytes() for m in (b"", b".", b",")}
         self.seen: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, simple, plain = {}, [], []
+        out, bases, plain = {}, {}, []
         for w in words:
             t = w.decode()
             if _SIMPLE.fullmatch(t):
-                simple.append(t)
+                # letters are one pre-token, in lower case, and a mark after them is another
+                mark = w[-1:] if t[-1] in ".," else b""
+                base = w[:-1].lower() if mark else w.lower()
+                if base in self.seen:
+                    out[w] = self.seen[base] + self.marks[mark]
+                else:
+                    bases.setdefault(base, []).append((w, mark))
             elif "<|" in t:
                 out[w] = self._ids(t).tobytes()
             else:
                 plain.append(w)
-        # letters with at most one mark after them are one or two pre-tokens, each closed by one word-end piece
-        for at in range(0, len(simple), 5_000):
-            part = simple[at:at + 5_000]
-            ids = self._ids(" ".join(part))
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            last = np.cumsum([1 + (t[-1] in ".,") for t in part]) - 1
-            if len(ends) != last[-1] + 1:  # not the vocabulary this rule is for
-                plain += [t.encode() for t in part]
+        todo = list(bases)
+        for at in range(0, len(todo), 5_000):
+            part = todo[at:at + 5_000]
+            ids = self._ids(b" ".join(part).decode())
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()  # one word-end piece closes each pre-token
+            if len(ends) != len(part):  # not the vocabulary this rule is for
+                plain += [w for base in part for w, _ in bases[base]]
                 continue
-            cuts = ends[last].tolist()
-            for t, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                out[t.encode()] = ids[a:b].tobytes()
+            for base, i, j in zip(part, [0, *ends], ends, strict=False):
+                out[base] = ids[i:j].tobytes()
+                for w, mark in bases[base]:
+                    out[w] = out[base] + self.marks[mark]
         for at in range(0, len(plain), 5_000):
             part = plain[at:at + 5_000]
             ids = self._ids(_SEPARATOR.join(w.decode() for w in part))
@@ -102,18 +110,21 @@ class WordEncoder:
         return [b"".join(map(seen.__getitem__, d)) for d in docs]
 
 
+@lru_cache(1)
+def encoder(name: str) -> WordEncoder:
+    """One per Python worker: the words a task has seen serve the worker's next tasks."""
+    return WordEncoder(name)
+
+
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document row."""
     end = np.array([end_id], "<u4").tobytes()
-    made: list[WordEncoder] = []
 
     def run(batch):
-        if not made:
-            made.append(WordEncoder(tokenizer))
         texts = batch.column(2).to_pylist()
         for at in range(0, len(texts), 500):
             rows = {c: [] for c in (KEY_D, KEY_H, "piece", "start", "length", "ids_crc32")}
-            for j, ids in enumerate(made[0].encode(texts[at:at + 500])):
+            for j, ids in enumerate(encoder(tokenizer).encode(texts[at:at + 500])):
                 ids += end
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[s:s + 4 * capacity]
