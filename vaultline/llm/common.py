@@ -46,12 +46,23 @@ def id_or_null(col) -> F.Column:
     return F.when(col != F.lit(NO_ID), col)
 
 
+BATCH_BYTES = 8 * 1024 * 1024
+_BATCH_CONF, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_CONF, _SPARK_DEFAULT) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
     """``fn`` turns each Arrow batch into column dicts (arrays or lists).
 
-    Types come from ``schema``; the batch size is Spark's
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), so memory is bounded.
+    Types come from ``schema``. Batches hold at most
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes (plus one row), which
+    bounds a worker's memory; where nobody set it, ``BATCH_BYTES`` is used.
     """
+    small_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

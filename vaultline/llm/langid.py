@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, small_batches
 
 UNDETERMINED = "und"
 MAX_DOCS = 4_000      # labelled documents per language that are learned from
@@ -193,4 +193,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([t is not None and m.predict(t)[0] != UNDETERMINED for t in texts], pa.bool_()))
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

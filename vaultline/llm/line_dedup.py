@@ -4,13 +4,14 @@
    aggregate (their first position and how often they occur).
 2. A line's signature is one-permutation MinHash over its character shingles
    (empty bins are filled from other bins), cut into bands. At a similarity
-   of 0.8 two lines share at least one of 9 bands of 4 rows with probability
-   0.991, above 0.9 with 0.9999.
-3. Lines of a band bucket are compared with two leaders of the bucket, picked
-   by a hash that differs per bucket, so a large bucket gives a linear number
-   of pairs; leaders come from a partial aggregate and meet the rows in an
-   equi-join that Spark can split. Lines that match neither leader meet again
-   in finer buckets, which add one more shared band each round.
+   of 0.8 two lines share at least one of 7 bands of 3 rows with probability
+   0.993, at 0.9 with 0.9999.
+3. Lines of a band bucket are compared with two leaders of the bucket, its
+   lowest and highest by a hash, so a large bucket gives a linear number of
+   pairs, and a group's buckets mostly give the same ones; leaders come from a
+   partial aggregate and meet the rows in an equi-join that Spark can split.
+   Lines that match neither leader meet again in finer buckets, which add one
+   more shared band each round.
 4. Pairs are verified by exact Jaccard similarity on the lines' shingle sets.
 5. Verified links go through distributed connected components, and each
    component keeps the line that comes first (doc_id, then line number).
@@ -34,7 +35,7 @@ from .components import connected
 
 SHINGLE = 8
 SIMILARITY = 0.8
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 7, 3
 _CHUNK = 1_000_000  # characters hashed at a time
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -104,29 +105,57 @@ def _id128(line: str) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def line_rows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(l1, l2, key, line_no, bands) of every line that is not blank; a batch
-    carries the bands of a repeated line once."""
+def _lines_of(batch, most: int = 1000):
+    """Parts of a batch: (key values, line numbers, lines) of lines that are not blank."""
+    d, h, texts = (batch.column(i).to_pylist() for i in range(3))
+    for at in range(0, len(texts), most):
+        ds, hs, numbers, lines = [], [], [], []
+        for j, t in enumerate(texts[at:at + most], at):
+            split = t.split("\n")
+            keep = [no for no, x in enumerate(split) if x and not x.isspace()]
+            ds += [d[j]] * len(keep)
+            hs += [h[j]] * len(keep)
+            numbers += keep
+            lines += [split[no] for no in keep]
+        yield ds, hs, numbers, lines
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(l1, l2, key, line_no) of every line that is not blank."""
+    def run(batch):
+        for ds, hs, numbers, lines in _lines_of(batch):
+            ids = np.array([_id128(x) for x in lines], np.int64).reshape(-1, 2)
+            yield {"l1": ids[:, 0], "l2": ids[:, 1], KEY_D: ds, KEY_H: hs, "line_no": numbers}
+    return map_arrow(doc_texts(docs), run, f"l1 long, l2 long, {KEY_D} long, {KEY_H} long, line_no int")
+
+
+def distinct_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(l1, l2, first, last, b0, b1, ...): every distinct line with its first
+    and last place and its band keys. Lines repeated within a part of a batch
+    leave it once."""
+    names = [f"b{i}" for i in range(BANDS)]
+
     def run(batch):
-        d, h = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = batch.column(2).to_pylist()
-        for at in range(0, len(texts), 1000):
-            rows = {c: [] for c in ("l1", "l2", KEY_D, KEY_H, "line_no")}
-            new: dict[str, int] = {}
-            slots = []
-            for j, t in enumerate(texts[at:at + 1000], at):
-                for no, line in enumerate(t.split("\n")):
-                    if not line or line.isspace():
-                        continue
-                    slots.append(new.setdefault(line, len(new)) if line not in new else -1)
-                    l1, l2 = _id128(line)
-                    for c, v in (("l1", l1), ("l2", l2), (KEY_D, d[j]), (KEY_H, h[j]), ("line_no", no)):
-                        rows[c].append(v)
-            keys = band_keys(list(new), k) if new else None
-            rows["bands"] = [keys[s] if s >= 0 else None for s in slots]
-            yield rows
-    return map_arrow(doc_texts(docs), run,
-                     f"l1 long, l2 long, {KEY_D} long, {KEY_H} long, line_no int, bands array<long>")
+        for ds, hs, numbers, lines in _lines_of(batch):
+            low: dict[str, list] = {}
+            for x, d, h, no in zip(lines, ds, hs, numbers, strict=True):
+                at = (d, h, no)
+                got = low.setdefault(x, [at, at])
+                if at < got[0]:
+                    got[0] = at
+                elif at > got[1]:
+                    got[1] = at
+            ids = np.array([_id128(x) for x in low], np.int64).reshape(-1, 2)
+            keys = band_keys(list(low), k) if low else np.empty((0, BANDS), np.int64)
+            cols = {"l1": ids[:, 0], "l2": ids[:, 1], **{n: np.ascontiguousarray(keys[:, i]) for i, n in enumerate(names)}}
+            for j, name in enumerate(("first", "last")):
+                cols[name] = [dict(zip((KEY_D, KEY_H, "line_no"), v[j], strict=True)) for v in low.values()]
+            yield cols
+    place = f"struct<{KEY_D}:long,{KEY_H}:long,line_no:int>"
+    rows = map_arrow(doc_texts(docs), run, f"l1 long, l2 long, first {place}, last {place}, "
+                     + ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("l1", "l2").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                        *[F.max(n).alias(n) for n in names])
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,30 +175,33 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """``pairs`` (a, b, ...) with ``same``: exact Jaccard similarity is at least ``least``."""
-    both = (pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    both = (pairs.join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
+            .join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
     def run(batch):
-        kept: dict[str, frozenset] = {}
+        kept: dict[str, frozenset] = {}  # the last leader's shingles: its pairs mostly come together
         same = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            # a set has at most as many shingles as the line has places, and at least those of its share
             if x not in kept:
                 kept = {x: shingles(x, k)}
-            same.append(jaccard(kept[x], shingles(y, k)) >= least)
+            same.append(len(kept[x]) * least <= max(1, len(y) - k + 1) and jaccard(kept[x], shingles(y, k)) >= least)
         return {"a": batch.column(0), "b": batch.column(1), "same": same}
     return map_arrow(both, run, "a long, b long, same boolean")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
     """Verified links (a, b) between the distinct ``lines`` (line, first, bands)."""
-    member = scratch.save(lines.select("line", F.posexplode("bands").alias("upto", "bucket")), "bands0")
+    bands = F.array(*[F.col(f"b{i}") for i in range(BANDS)])
+    member = lines.select("line", F.posexplode(bands).alias("upto", "bucket"))
     found, texts, turn = None, None, 0
     while True:
-        pick = F.xxhash64("line", "bucket")
+        pick = F.xxhash64("line")
         leaders = (member.groupBy("bucket").agg(F.min_by("line", pick).alias("a1"), F.max_by("line", pick).alias("a2"))
                    .where("a1 != a2"))
         joined = scratch.save(member.join(leaders, "bucket"), f"joined{turn}")
-        scratch.drop(f"bands{turn}")
+        if turn:
+            scratch.drop(f"bands{turn}")
         if texts is None:
             wanted = joined.select("line").distinct().join(lines.select("line", "first.*"), "line")
             texts = scratch.save(_texts_of(docs, wanted).dropDuplicates(["line"]), "texts")
@@ -186,7 +218,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, leas
             lo, hi = pair(x)
             rest = rest.join(ok, (lo == F.col("p")) & (hi == F.col("q")), "left_anti")
         turn += 1
-        finer = (rest.select("line", "bucket", "upto").join(lines.select("line", "bands"), "line")
+        finer = (rest.select("line", "bucket", "upto").join(lines.select("line", bands.alias("bands")), "line")
                  .select("line", "bucket", "upto", F.posexplode("bands").alias("next", "band")).where("next > upto")
                  .select("line", F.col("next").alias("upto"), F.xxhash64("bucket", "band").alias("bucket")))
         member = scratch.save(finer, f"bands{turn}")
@@ -198,12 +230,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, leas
 def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """(key, gone): the numbers of the lines to remove from each document."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    rows = scratch.save(line_rows(docs, k), "rows")
-    pos = F.struct(KEY_D, KEY_H, "line_no")
-    distinct = rows.groupBy("l1", "l2").agg(F.min(pos).alias("first"), F.max(pos).alias("last"),
-                                            F.max("bands").alias("bands"))
-    lines = scratch.save(distinct.withColumn("line", F.monotonically_increasing_id()), "lines")
-    links = near_lines(docs, lines.select("line", "first", "bands"), scratch, k, least)
+    lines = scratch.save(distinct_lines(docs, k).withColumn("line", F.monotonically_increasing_id()), "lines")
+    links = near_lines(docs, lines, scratch, k, least)
     parts = scratch.save(connected(links, scratch), "parts")
     ids = lines.select("l1", "l2", "line", "first", (F.col("first") != F.col("last")).alias("twice"))
     in_part = ids.join(parts.withColumnRenamed("node", "line"), "line").select("l1", "l2", "root", "first")
@@ -212,7 +240,9 @@ def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scrat
     exact = (ids.where("twice").join(parts.select(F.col("node").alias("line")), "line", "left_anti")
              .select("l1", "l2", F.col("first").alias("keep")))
     keep = scratch.save(fuzzy.unionByName(exact), "keep")
-    gone = rows.select("l1", "l2", *KEYS, "line_no").join(keep, ["l1", "l2"]).where(pos != F.col("keep"))
+    scratch.drop("lines", "texts")
+    pos = F.struct(KEY_D, KEY_H, "line_no")
+    gone = places(docs).join(keep, ["l1", "l2"]).where(pos != F.col("keep"))
     return scratch.save(gone.groupBy(*KEYS).agg(F.collect_set("line_no").alias("gone")), "gone")
 
 

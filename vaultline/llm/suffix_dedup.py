@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, id_or_null, map_arrow
+from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, id_or_null, map_arrow, small_batches
 
 LENGTH = 100
 ANCHOR = 32              # bytes, a power of two
@@ -271,6 +271,7 @@ def _sorted_shards(parts: DataFrame, length: int) -> DataFrame:
                 size += len(r[6])
         if rows:
             yield pa.RecordBatch.from_pydict(solve(rows), schema=arrow)
+    small_batches(parts.sparkSession)
     together = parts.repartition("h", "shard").sortWithinPartitions("h", "shard")
     return together.select("h", "shards", "shard", *KEYS, "a", "part").mapInArrow(
         run, ", ".join(f"{c} long" for c in names))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, map_arrow, small_batches
 
 MIN_BYTES = 1000
 FRAME_BYTES = 128 * 1024
@@ -170,6 +170,7 @@ def write_bundles(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES
 
     schema = StructType.fromDDL("bundle string, content binary, "
                                 "index array<struct<page_id:long,frame:int,offset:long,length:long>>")
+    small_batches(pages.sparkSession)
     rows = _decided(pages, min_bytes).select("page_id", "url", "payload", "digest", "n", "first")
     return scratch.save(rows.mapInArrow(batches, schema), "bundles")
 
