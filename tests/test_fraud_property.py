@@ -1,4 +1,4 @@
-"""Property: the bucketed 'previous event within m minutes' equals brute
+"""Property: the segmented 'previous event within m minutes' equals brute
 force for any events, window width and key skew."""
 
 from __future__ import annotations
@@ -49,60 +49,48 @@ def test_geographic_equals_brute_force(spark, ev, minutes):
     assert got == _brute(rows, minutes)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(ev=events, minutes=st.sampled_from([1, 60]), parts=st.sampled_from([3, 17]))
-def test_ranged_equals_brute_force(spark, ev, minutes, parts):
-    rows = [(f"TX{i:03d}", acc, T0 + dt.timedelta(seconds=s, milliseconds=ms), loc)
-            for i, (acc, s, ms, loc) in enumerate(ev)]
-    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
-    p = FR.previous_within_ranged(df, ["account_number"], minutes, ["location", "transaction_id"], partitions=parts)
-    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
-    assert got == _brute(rows, minutes)
-
-
-def test_ranged_splits_one_hot_bucket(spark):
-    """Nearly all rows on one account inside one minute: the range
-    partitioner spreads that key over many partitions, result exact."""
-    rows = [(f"TX{i:04d}", "HOT" if i % 10 else f"ACC{i}", T0 + dt.timedelta(milliseconds=37 * i),
-             f"City {i % 3}") for i in range(1500)]
-    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
-    p = FR.previous_within_ranged(df, ["account_number"], 1, ["location", "transaction_id"], partitions=12)
+def _alerts(p):
     hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
-    assert got == _brute(rows, 1) and len(got) > 1000
-    spread = (df.repartitionByRange(12, "account_number", "timestamp", "transaction_id")
-              .filter(F.col("account_number") == "HOT").select(F.spark_partition_id()).distinct().count())
-    assert spread > 6
+    return {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(ev=events, minutes=st.sampled_from([1, 60]), budget=st.sampled_from([2, 7, 1000]))
-def test_adaptive_equals_brute_force(spark, ev, minutes, budget):
+def test_segments_equal_brute_force(spark, ev, minutes, budget):
     rows = [(f"TX{i:03d}", acc, T0 + dt.timedelta(seconds=s, milliseconds=ms), loc)
             for i, (acc, s, ms, loc) in enumerate(ev)]
     df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in rows], SCHEMA)
-    p = FR.previous_within_adaptive(df, ["account_number"], minutes, ["location", "transaction_id"],
-                                    rows_per_group=budget)
-    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
-    assert got == _brute(rows, minutes)
+    p = FR.previous_within(df, ["account_number"], minutes, ["location", "transaction_id"], rows_per_group=budget)
+    assert _alerts(p) == _brute(rows, minutes)
+
 
+def _burst(n=3000):
+    """One row five years earlier, then everything within an hour on one account."""
+    rows = [("TX-old", "HOT", T0 - dt.timedelta(days=5 * 365), "City 9")]
+    return rows + [(f"TX{i:04d}", "HOT" if i % 10 else f"ACC{i}", T0 + dt.timedelta(milliseconds=1200 * i), f"City {i % 3}")
+                   for i in range(n)]
 
-def test_adaptive_splits_one_hot_bucket_and_keeps_null_keys(spark):
-    """Nearly all rows on one account inside one minute, plus a NULL
-    sub-key: the hot key is cut into many segments, the result is exact."""
-    rows = [(f"TX{i:04d}", "HOT" if i % 10 else f"ACC{i}", T0 + dt.timedelta(milliseconds=37 * i),
-             f"City {i % 3}") for i in range(1500)]
+
+def test_a_burst_after_one_old_row_is_cut_by_row_count(spark):
+    rows, budget = _burst(), 100
     df = spark.createDataFrame([(t, a, None, "X", None if i % 2 else "M", loc, ts)
                                 for i, (t, a, ts, loc) in enumerate(rows)], SCHEMA)
-    p = FR.previous_within_adaptive(df, ["account_number"], 1, ["location", "transaction_id"], rows_per_group=100)
-    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    got = {r.transaction_id: (r.prev_transaction_id, r.gap_seconds) for r in hit.collect()}
-    assert got == _brute(rows, 1) and len(got) > 1000
-    # duplicate-style key with a NULL part agrees with the bucketed layout
-    k = ["account_number", "merchant_name"]
-    a = FR.previous_within_adaptive(df, k, 1, ["transaction_id"], rows_per_group=50)
-    b = FR.previous_within_bucketed(df, k, 1, ["transaction_id"])
-    cols = ["transaction_id", "prev_transaction_id", "gap_seconds"]
+    p = FR.previous_within(df, ["account_number"], 1, ["location", "transaction_id"], rows_per_group=budget)
+    got = _alerts(p)
+    assert got == _brute(rows, 1) and len(got) > 2000
+    base = df.withColumn("_us", F.timestamp_diff("MICROSECOND", F.lit(FR.EPOCH).cast("timestamp_ntz"), F.col("timestamp")))
+    cuts = FR._hot_cuts(base, "account_number", budget)
+    sized = (base.join(cuts, base.account_number == cuts._hot).withColumn(
+        "seg", F.size(F.filter("_cuts", lambda c: c < F.col("_us")))).groupBy("_hot", "seg").count())
+    assert sized.agg(F.max("count")).first()[0] <= budget and sized.count() >= 27
+    # a key with a NULL part agrees with the plan without hot accounts
+    k, cols = ["account_number", "merchant_name"], ["transaction_id", "prev_transaction_id", "gap_seconds"]
+    a = FR.previous_within(df, k, 1, ["transaction_id"], rows_per_group=50)
+    b = FR.previous_within(df, k, 1, ["transaction_id"])
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+
+
+def test_ordinary_accounts_need_one_exchange(spark):
+    df = spark.createDataFrame([(t, a, None, "X", "M", loc, ts) for t, a, ts, loc in _burst(50)], SCHEMA)
+    plan = FR.fraud_geographic(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

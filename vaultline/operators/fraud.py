@@ -5,20 +5,9 @@ types but computes none of them).
 
 The "previous transaction of the same account within m minutes" rules
 need, per key, the previous row in time. Partitioning by account alone
-would put a hot account in one task. Three exact layouts avoid that:
-
-* adaptive (default): keys with more rows than a budget are cut into time
-  segments sized from their own count and span (exact aggregates); the
-  previous row is found within (key, segment), and the first row of a
-  segment takes the key's last row from its previous segment. Segments are
-  a pure function of the row, so the layout is exact for any input.
-* bucket: partition by (key, time bucket of width m); every row is also
-  copied, as a *ghost*, into the next bucket. A row's predecessor within m
-  minutes lies in its own bucket or the one before. One shuffle of each row
-  twice, but a single hot bucket still lands in one task.
-* ranged: range partitioning on (key, time, id) with the same boundary
-  fill; it needs an input read in a fixed order (see
-  ``previous_within_ranged``).
+would put a hot account in one task, so accounts with more rows than a
+budget are cut into segments of about equal row count (see
+``previous_within``); all others need one exchange.
 """
 
 from __future__ import annotations
@@ -53,160 +42,98 @@ def fraud_velocity(tx: DataFrame, window: str = "1 hour", slide: str = "10 minut
         "tx_count", "total_amount", F.lit("VELOCITY_LIMIT").alias("alert_type"))
 
 
-def previous_within(tx: DataFrame, keys, minutes: int, carry, method: str = "adaptive",
-                    partitions: int | None = None) -> DataFrame:
+# Most rows one (key, segment) group should hold.
+ROWS_PER_GROUP = 2_000_000
+
+
+def _hot_cuts(base: DataFrame, key: str, budget: int) -> DataFrame | None:
+    """(_hot, _cuts) for every value of ``key`` with more than ``budget`` rows,
+    or None if there is none. ``_cuts`` are times that part its rows into
+    slices of about half the budget by row count (quantile sketches, merged
+    from partial ones), however the rows lie in time. The table is pinned, so
+    all branches of a plan see the same cuts; it has at most rows / budget
+    values, and its arrays together at most about 2 * rows / budget cuts per value."""
+    from .joins import pin
+    sizes = pin(base.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > budget)
+                .select(F.col(key).alias("_hot"), "_n"))
+    most = sizes.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    slices = -(-2 * most // budget)
+    hot = base.join(sizes, F.col(key).eqNullSafe(F.col("_hot")))
+    cuts = F.percentile_approx("_us", [i / slices for i in range(1, slices)], 100 * slices)
+    return pin(hot.groupBy("_hot").agg(cuts.alias("_cuts")))
+
+
+def previous_within(tx: DataFrame, keys, minutes: int, carry, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Each row with the values ``carry`` of the previous row of the same
     ``keys`` when that row is at most ``minutes`` earlier (else NULL), plus
-    ``gap_seconds``. Ordering is (timestamp, transaction_id).
-
-    ``method="adaptive"`` (default) is exact for any input and cuts every
-    key above a row budget into time segments sized from its own count, so
-    a hot key or a hot bucket is spread over tasks (only rows sharing one
-    timestamp cannot be cut). ``method="bucket"`` shuffles once (each row
-    twice) and splits a hot key by fixed buckets of width ``minutes``.
-    ``method="ranged"`` needs an input read in a fixed order, see
-    ``previous_within_ranged``.
-    """
-    if method == "bucket":
-        return previous_within_bucketed(tx, keys, minutes, carry)
-    if method == "adaptive":
-        return previous_within_adaptive(tx, keys, minutes, carry)
-    return previous_within_ranged(tx, keys, minutes, carry, partitions)
-
-
-def previous_within_bucketed(tx: DataFrame, keys, minutes: int, carry) -> DataFrame:
-    """``previous_within`` partitioned by keys + time bucket of width
-    ``minutes``, with ghost rows (see the module notes)."""
-    width = minutes * 60
-    base = tx.withColumn("_sec", _seconds("timestamp")).withColumn("_b0", F.floor(F.col("_sec") / width))
-    # each row in its own bucket and, as a ghost, in the next one (one scan)
-    copies = F.array(F.struct(F.col("_b0").alias("b"), F.lit(False).alias("g")),
-                     F.struct((F.col("_b0") + 1).alias("b"), F.lit(True).alias("g")))
-    both = (base.withColumn("_x", F.explode(copies))
-            .withColumn("_b", F.col("_x.b")).withColumn("_ghost", F.col("_x.g")).drop("_x", "_b0"))
-    w = Window.partitionBy(*keys, "_b").orderBy("timestamp", "transaction_id")
-    prev = both.select(
-        "*",
-        F.lag("_sec").over(w).alias("_prev_sec"),
-        *[F.lag(c).over(w).alias(f"prev_{c}") for c in carry])
-    near = (F.col("_sec") - F.col("_prev_sec")) <= width
-    out = prev.filter(~F.col("_ghost"))
-    out = out.select(*[c for c in tx.columns],
-                     *[F.when(near, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in carry],
-                     F.when(near, F.col("_sec") - F.col("_prev_sec")).alias("gap_seconds"))
-    return out
-
-
-def previous_within_ranged(tx: DataFrame, keys, minutes: int, carry, partitions: int | None = None) -> DataFrame:
-    """Same result as ``previous_within``, exact under any skew, even one
-    key with a third of all rows inside one window of ``minutes``.
-
-    Rows are range partitioned on (keys, time, id), so Spark's range
-    partitioner cuts a hot key, or a hot stretch of time, into balanced
-    partitions. The previous row is taken within (key, range partition), a
-    group no larger than one partition. The first row of such a group takes
-    the last row of the same key in its previous partition, from a small
-    per-(key, partition) table. The boundary join is null-safe, like the
-    window's own grouping.
-
-    Precondition: the partition ids come from ``spark_partition_id`` in two
-    branches of the plan, which Spark cannot share (the expression is not
-    deterministic). They agree because range sampling is seeded and the
-    input is read in a fixed order; use this on a file scan or a written
-    table, not on the output of a shuffle.
+    ``gap_seconds``. Ordering is (timestamp, transaction_id). Exact for any input.
+
+    The first key (the account) decides what is hot: a rule's whole key is at
+    least as fine. Without a hot account there is one exchange, the window's.
+    With some, their rows are numbered by segment, the previous row is found
+    within (keys, segment), and the first row of a segment takes the keys'
+    last row from the segment before, from a table of hot rows alone. Only
+    rows that share one timestamp can't be parted.
     """
-    width = minutes * 60
-    n = partitions or int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["timestamp", "transaction_id"]
-    base = tx.withColumn("_sec", _seconds("timestamp"))
-    ranged = base.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy(*keys, "_pid").orderBy(*order)
-    inner = ranged.select("*", F.lag(F.struct("_sec", *carry)).over(w).alias("_prev"))
-    last = ranged.groupBy(*keys, "_pid").agg(F.max(F.struct(
-        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], "_sec", *carry)).alias("_last"))
-    before = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_k_pid"),
-                         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_pid")).alias("_before"))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_pid") == F.col("_k_pid")]
-    j = inner.join(before, cond, "left")
-    prev = F.coalesce(F.col("_prev"), F.struct(*[F.col(f"_before.{c}").alias(c) for c in ["_sec", *carry]]))
-    j = j.withColumn("_p", prev)
+    width, order = minutes * 60, ["timestamp", "transaction_id"]
+    base = tx.withColumn("_sec", _seconds("timestamp")).withColumn(
+        "_us", F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("timestamp")))
+    hot = _hot_cuts(base, keys[0], rows_per_group)
+    if hot is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        j = base.withColumn("_p", F.lag(F.struct("_sec", *carry)).over(w))
+    else:
+        seg = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_us"))), F.lit(0))
+        r = base.join(hot, F.col(keys[0]).eqNullSafe(F.col("_hot")), "left").withColumn("_seg", seg)
+        r = r.withColumn("_is_hot", F.col("_cuts").isNotNull()).drop("_hot", "_cuts")
+        inner = r.withColumn("_prev", F.lag(F.struct("_sec", *carry)).over(Window.partitionBy(*keys, "_seg").orderBy(*order)))
+        last = r.filter("_is_hot").groupBy(*keys, "_seg").agg(F.max(F.struct(
+            *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], "_sec", *carry)).alias("_last"))
+        before = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"),
+                             F.lag("_last").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_before"))
+        cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_seg") == F.col("_k_seg")]
+        j = inner.join(before, cond, "left").withColumn("_p", F.coalesce(F.col("_prev"), F.struct(
+            *[F.col(f"_before.{c}").alias(c) for c in ["_sec", *carry]])))
     near = (F.col("_sec") - F.col("_p._sec")) <= width
     return j.select(*tx.columns,
                     *[F.when(near, F.col(f"_p.{c}")).alias(f"prev_{c}") for c in carry],
                     F.when(near, F.col("_sec") - F.col("_p._sec")).alias("gap_seconds"))
 
 
-# Most rows one (key, segment) group of the adaptive layout should hold.
-ADAPTIVE_ROWS_PER_GROUP = 2_000_000
+def geographic_alerts(previous: DataFrame) -> DataFrame:
+    """Alerts from rows with ``prev_location``: the location changed."""
+    hit = previous.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
+    return hit.select("transaction_id", "account_number", "location",
+                      F.col("prev_location").alias("previous_location"),
+                      F.col("prev_transaction_id").alias("previous_transaction_id"), "gap_seconds",
+                      F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
 
 
-def previous_within_adaptive(tx: DataFrame, keys, minutes: int, carry,
-                             rows_per_group: int = ADAPTIVE_ROWS_PER_GROUP) -> DataFrame:
-    """Same result as ``previous_within``, exact for any input and balanced
-    under any skew that spreads over time.
+def duplicate_alerts(previous: DataFrame) -> DataFrame:
+    hit = previous.filter(F.col("prev_transaction_id").isNotNull())
+    return hit.select("transaction_id", "account_number", "amount", "merchant_name",
+                      F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
+                      F.lit("DUPLICATE_TX").alias("alert_type"))
 
-    Keys with more than ``rows_per_group`` rows (counted with a partial
-    aggregate) are cut into time segments: a key's span divided into
-    ceil(rows / rows_per_group) equal slices, from a small pinned table of
-    hot keys. Every other key is one segment. The previous row is taken
-    within (key, segment). The first row of a segment takes the key's last
-    row from its previous segment (a per-(key, segment) table and a lag over
-    segments). ``_seg`` is a pure function of the row and of exact per-key
-    aggregates, so every branch of the plan computes the same segments.
-    """
-    width = minutes * 60
-    order = ["timestamp", "transaction_id"]
-    base = tx.withColumn("_sec", _seconds("timestamp"))
-    stats = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_sec").alias("_lo"),
-                                     F.max("_sec").alias("_hi"))
-             .filter(F.col("_n") > rows_per_group))
-    slices = F.ceil(F.col("_n") / F.lit(rows_per_group))
-    # exact aggregates (count, min, max), so every evaluation gives the same
-    # segments. Pinned: the table (at most rows / rows_per_group keys) is
-    # computed once instead of once per branch that reads the segments, and
-    # AQE broadcasts it from its measured size when it is small.
-    from .joins import pin
-    hot = pin(stats.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_lo",
-                           ((F.col("_hi") - F.col("_lo") + 1) / slices).alias("_w")))
-    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    hot_side = hot
-    seg = F.when(F.col("_w").isNull(), F.lit(0)).otherwise(F.floor((F.col("_sec") - F.col("_lo")) / F.col("_w")))
-    r = (base.join(hot_side, on, "left").withColumn("_seg", seg.cast("long"))
-         .drop(*[f"_h_{k}" for k in keys], "_lo", "_w"))
-    w = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    inner = r.select("*", F.lag(F.struct("_sec", *carry)).over(w).alias("_prev"))
-    last = r.groupBy(*keys, "_seg").agg(F.max(F.struct(
-        *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], "_sec", *carry)).alias("_last"))
-    before = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_seg").alias("_k_seg"),
-                         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_before"))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_seg") == F.col("_k_seg")]
-    j = inner.join(before, cond, "left")
-    j = j.withColumn("_p", F.coalesce(F.col("_prev"), F.struct(
-        *[F.col(f"_before.{c}").alias(c) for c in ["_sec", *carry]])))
-    near = (F.col("_sec") - F.col("_p._sec")) <= width
-    return j.select(*tx.columns,
-                    *[F.when(near, F.col(f"_p.{c}")).alias(f"prev_{c}") for c in carry],
-                    F.when(near, F.col("_sec") - F.col("_p._sec")).alias("gap_seconds"))
+
+def with_amount_key(tx: DataFrame, amount_scale: int) -> DataFrame:
+    return tx.withColumn("_amount_key", F.round("amount", amount_scale))
 
 
-def fraud_geographic(tx: DataFrame, minutes: int = 60, method: str = "adaptive") -> DataFrame:
+GEOGRAPHIC_KEYS, GEOGRAPHIC_CARRY = ["account_number"], ["location", "transaction_id"]
+DUPLICATE_KEYS, DUPLICATE_CARRY = ["account_number", "_amount_key", "merchant_name"], ["transaction_id"]
+
+
+def fraud_geographic(tx: DataFrame, minutes: int = 60) -> DataFrame:
     """Location differs from the account's previous transaction within
     ``minutes``."""
-    p = previous_within(tx, ["account_number"], minutes, ["location", "transaction_id"], method)
-    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    return hit.select("transaction_id", "account_number", "location",
-                      F.col("prev_location").alias("previous_location"),
-                      F.col("prev_transaction_id").alias("previous_transaction_id"), "gap_seconds",
-                      F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
+    return geographic_alerts(previous_within(tx, GEOGRAPHIC_KEYS, minutes, GEOGRAPHIC_CARRY))
 
 
-def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2, method: str = "adaptive") -> DataFrame:
+def fraud_duplicate(tx: DataFrame, minutes: int = 30, amount_scale: int = 2) -> DataFrame:
     """Same account, amount and merchant as a transaction at most
     ``minutes`` earlier. Amounts are compared rounded to ``amount_scale``
     decimals (2 = exact cents; 0 = whole currency units)."""
-    t = tx.withColumn("_amount_key", F.round("amount", amount_scale))
-    p = previous_within(t, ["account_number", "_amount_key", "merchant_name"], minutes, ["transaction_id"], method)
-    hit = p.filter(F.col("prev_transaction_id").isNotNull())
-    return hit.select("transaction_id", "account_number", "amount", "merchant_name",
-                      F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
-                      F.lit("DUPLICATE_TX").alias("alert_type"))
+    return duplicate_alerts(previous_within(with_amount_key(tx, amount_scale), DUPLICATE_KEYS, minutes, DUPLICATE_CARRY))

@@ -47,41 +47,3 @@ def clone_table(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-# -- table versions on storage ---------------------------------------------
-# A table folder holds ``data/v=<n>`` version folders and a ``commits`` log.
-# A version becomes current only when its one-row commit record is appended,
-# after its data was written, so a failed or half-written job never becomes
-# current. Writers never touch the folder they read, and each write cuts the
-# lineage of a chain of bulk changes.
-
-def _last_version(spark, table_root: str) -> int:
-    try:
-        log = spark.read.schema("v bigint, committed_at timestamp").json(f"{table_root}/commits")
-        row = log.agg(F.max("v").alias("v")).first()
-    except Exception:  # noqa: BLE001 - no commit log yet
-        return 0
-    return int(row.v) if row is not None and row.v is not None else 0
-
-
-def write_version(df: DataFrame, table_root: str) -> DataFrame:
-    """Write ``df`` as the next version of the table and return it read back."""
-    spark = df.sparkSession
-    root = table_root.rstrip("/")
-    n = _last_version(spark, root) + 1
-    # a folder left by a failed attempt at ``n`` was never committed, so no
-    # reader sees it; overwriting it makes the retry safe
-    df.write.mode("overwrite").parquet(f"{root}/data/v={n}")
-    (spark.range(1).select(F.lit(n).cast("bigint").alias("v"), F.current_timestamp().alias("committed_at"))
-     .write.mode("append").json(f"{root}/commits"))
-    return spark.read.schema(df.schema).parquet(f"{root}/data/v={n}")
-
-
-def read_current(spark, table_root: str, schema=None) -> DataFrame:
-    """The newest committed version of the table."""
-    root = table_root.rstrip("/")
-    n = _last_version(spark, root)
-    if n == 0:
-        raise FileNotFoundError(f"no committed version under {root}")
-    r = spark.read.schema(schema) if schema is not None else spark.read
-    return r.parquet(f"{root}/data/v={n}")

@@ -100,19 +100,17 @@ def _account_branch(b):
 
 @register("fraud_velocity_stream", VELOCITY_SQL)
 def _fraud_velocity_stream(b):
-    s = J.fraud_velocity_stream(_events(b), **VELOCITY)
-    return J.run_keyed(b.spark, s, "fraud_velocity", ["account_number", "window_start"])
+    return J.fraud_velocity_stream(b.spark, _events(b), **VELOCITY)
 
 
 @register("fraud_geographic_stream", GEO_SQL)
 def _fraud_geographic_stream(b):
-    return J.run_append(b.spark, J.fraud_geographic_stream(_events(b), GEO_MINUTES), "fraud_geographic")
+    return J.fraud_geographic_stream(b.spark, _events(b), GEO_MINUTES)[0]
 
 
 @register("fraud_duplicate_stream", DUP_SQL)
 def _fraud_duplicate_stream(b):
-    s = J.fraud_duplicate_stream(_events(b), DUP_MINUTES, DUP_SCALE)
-    return J.run_append(b.spark, s, "fraud_duplicate")
+    return J.fraud_duplicate_stream(b.spark, _events(b), DUP_MINUTES, DUP_SCALE)[0]
 
 
 @register("high_risk_stream", """

@@ -13,19 +13,25 @@ batch after an executor or driver loss rewrites the same folder
 (idempotent), and readers take the row of the highest batch per key. This
 replaces MERGE, which plain parquet tables do not have.
 
-Event time: the test data is ``timestamp_ntz``; ``withWatermark`` needs a
-``timestamp``, so jobs convert it first without reading it in the session
-time zone (``ntz_to_instant``), and convert window bounds back.
+Order of arrival: a table of many files arrives in order of file time, not
+of event time. The rollups and the velocity rule therefore keep no stream
+state and no watermark: each micro-batch writes its own partial counts and
+sums, and reading adds up all batches, which is exact in any order. The
+previous-event rules compare a row with the newest earlier one of its key; a
+row that arrives after a newer one of its key can't be judged any more and is
+named in a rejects table, never dropped in silence.
+
+Event times stay ``timestamp_ntz``, so windows follow the event's own clock
+in any session time zone.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators import fraud
 from ..session import scratch_path
 from ..sources.tables import alerts_from_events, event_transactions
 
@@ -51,27 +57,6 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     return r.parquet(folder)
 
 
-EPOCH_NTZ = "1970-01-01 00:00:00"
-
-
-def ntz_to_instant(c) -> F.Column:
-    """The instant whose UTC clock reads the NTZ value. A cast would read it
-    in the session time zone; this is the same in every session, so windows
-    align to the event's own clock (midnight is midnight)."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c))
-
-
-def instant_to_ntz(c) -> F.Column:
-    """Inverse of ``ntz_to_instant`` (UTC clock of the instant, as NTZ)."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
-
-
-def with_event_time(df: DataFrame, column: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
-    """Turn the NTZ event time into a ``timestamp`` (time-zone free, see
-    ``ntz_to_instant``) and declare the watermark on it."""
-    return df.withColumn(column, ntz_to_instant(F.col(column))).withWatermark(column, delay)
-
-
 # ---------------------------------------------------------------- keyed sink
 
 def keyed_sink(path: str):
@@ -92,6 +77,29 @@ def read_latest(spark: SparkSession, path: str, keys, schema: T.StructType) -> D
     return w.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def partials_sink(path: str, keys, sums):
+    """``foreachBatch`` writer: the batch's sums per key into its own folder.
+    A replayed batch rewrites its folder, so nothing counts twice."""
+    write = keyed_sink(path)
+    return lambda batch, batch_id: write(batch.groupBy(*keys).agg(*sums), batch_id)
+
+
+def read_sums(spark: SparkSession, path: str, keys, sums, schema: T.StructType) -> DataFrame:
+    """The rollup: ``sums`` (column names) added up over all batches."""
+    df = spark.read.schema(schema).parquet(path)
+    return df.groupBy(*keys).agg(*[F.sum(c).cast(schema[c].dataType).alias(c) for c in sums])
+
+
+def run_partials(spark: SparkSession, rows: DataFrame, name: str, keys, sums, schema: T.StructType, trigger=None,
+                 path: str | None = None) -> DataFrame:
+    """Roll up ``rows`` to the end of the input; (keys, sums) over all batches."""
+    out = path or scratch_path(spark, name)
+    q = (rows.writeStream.option("checkpointLocation", f"{out}/_checkpoint").trigger(**(trigger or {"availableNow": True}))
+         .foreachBatch(partials_sink(f"{out}/data", keys, sums)).start())
+    q.awaitTermination()
+    return read_sums(spark, f"{out}/data", keys, [f.name for f in schema.fields if f.name not in keys], schema)
+
+
 # The dynamic table's declared lag: a long-running job's default trigger.
 DYNAMIC_TABLE_TRIGGER = {"processingTime": "1 minute"}
 
@@ -155,24 +163,15 @@ def high_risk_stream(spark: SparkSession, events: DataFrame, customers: DataFram
     return with_customer_names(alerts, customers)
 
 
-def _account_window_volume(events: DataFrame, width: str, delay: str, time_col: str, count_col: str,
-                           sum_col: str, as_date: bool) -> DataFrame:
-    """Count and amount per (event-time window, account): no join in the
-    stream, so a trigger never shuffles the account -> branch map."""
-    tx = with_event_time(event_transactions(events), "timestamp", delay)
-    g = tx.groupBy(F.window("timestamp", width).alias("w"), "account_number").agg(
-        F.count(F.lit(1)).alias(count_col), F.sum("amount").cast("decimal(38,2)").alias(sum_col))
-    start = instant_to_ntz(F.col("w.start"))
-    return g.select((F.to_date(start) if as_date else start).alias(time_col), "account_number", count_col, sum_col)
-
-
-def daily_account_volume(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    return _account_window_volume(events, "1 day", delay, "transaction_date", "daily_count", "daily_amount", True)
-
-
-def hourly_account_volume(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return _account_window_volume(events, "1 hour", delay, "hour_start", "transaction_count", "total_amount",
-                                  False)
+def _volume_by_account(spark: SparkSession, events: DataFrame, bucket, bucket_type: T.DataType, name: str, time_col: str,
+                       count_col: str, sum_col: str, path=None, trigger=None) -> DataFrame:
+    """Count and amount per (time bucket, account): no join in the stream, so
+    a trigger never shuffles the account -> branch map."""
+    tx = event_transactions(events).withColumn(time_col, bucket)
+    schema = T.StructType([T.StructField(time_col, bucket_type), T.StructField("account_number", T.StringType()),
+                           T.StructField(count_col, T.LongType()), T.StructField(sum_col, T.DecimalType(38, 2))])
+    sums = [F.count(F.lit(1)).alias(count_col), F.sum("amount").cast("decimal(38,2)").alias(sum_col)]
+    return run_partials(spark, tx, name, [time_col, "account_number"], sums, schema, trigger, path)
 
 
 def rollup_by_branch(partials: DataFrame, account_branch: DataFrame, time_col: str, count_col: str,
@@ -184,145 +183,121 @@ def rollup_by_branch(partials: DataFrame, account_branch: DataFrame, time_col: s
             .agg(F.sum(count_col).cast("bigint").alias(count_col), F.sum(sum_col).cast("decimal(38,2)").alias(sum_col)))
 
 
-def live_daily_branch(spark: SparkSession, events: DataFrame, account_branch: DataFrame, delay: str = "1 day",
+def live_daily_branch(spark: SparkSession, events: DataFrame, account_branch: DataFrame,
                       path: str | None = None, trigger=None) -> DataFrame:
     """The materialized daily branch aggregate kept current. The stream keeps
-    per-(day, account) counts and sums in a keyed sink (state dropped once
-    the watermark passes the day); the branch totals are summed on read."""
-    part = run_keyed(spark, daily_account_volume(events, delay), "live_daily_branch",
-                     ["transaction_date", "account_number"], path=path, trigger=trigger)
+    per-(day, account) partial counts and sums; the branch totals are summed on read."""
+    part = _volume_by_account(spark, events, F.to_date("timestamp"), T.DateType(), "live_daily_branch", "transaction_date",
+                              "daily_count", "daily_amount", path, trigger)
     return rollup_by_branch(part, account_branch, "transaction_date", "daily_count", "daily_amount")
 
 
-def hourly_consolidate(spark: SparkSession, events: DataFrame, account_branch: DataFrame, delay: str = "1 hour",
+def hourly_consolidate(spark: SparkSession, events: DataFrame, account_branch: DataFrame,
                        path: str | None = None, trigger=None) -> DataFrame:
     """The hourly task as an idempotent keyed rollup: per (branch, hour)
     transaction count and amount (the reference's INSERT repeats one key)."""
-    part = run_keyed(spark, hourly_account_volume(events, delay), "hourly_consolidate",
-                     ["hour_start", "account_number"], path=path, trigger=trigger)
+    hour = F.date_trunc("HOUR", "timestamp").cast("timestamp_ntz")
+    part = _volume_by_account(spark, events, hour, T.TimestampNTZType(), "hourly_consolidate", "hour_start",
+                              "transaction_count", "total_amount", path, trigger)
     return rollup_by_branch(part, account_branch, "hour_start", "transaction_count", "total_amount")
 
 
-def fraud_velocity_stream(events: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
-                          max_count: int = 2, delay: str = "10 minutes") -> DataFrame:
-    """Sliding-window count per account; rows whose count passed
-    ``max_count`` (update mode: an alert appears as soon as it fires and is
-    refreshed while its window is open)."""
-    tx = with_event_time(event_transactions(events), "timestamp", delay)
-    g = tx.groupBy("account_number", F.window("timestamp", window, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("tx_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
-    return g.filter(F.col("tx_count") > max_count).select(
-        "account_number", instant_to_ntz(F.col("w.start")).alias("window_start"),
-        instant_to_ntz(F.col("w.end")).alias("window_end"), "tx_count", "total_amount",
-        F.lit("VELOCITY_LIMIT").alias("alert_type"))
+def fraud_velocity_stream(spark: SparkSession, events: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
+                          max_count: int = 2, path: str | None = None, trigger=None) -> DataFrame:
+    """Sliding-window count per account over all batches; windows whose count
+    passed ``max_count``."""
+    tx = event_transactions(events).select("account_number", "amount", F.window("timestamp", window, slide).alias("w")) \
+        .select("account_number", "amount", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
+    ntz = T.TimestampNTZType()
+    schema = T.StructType([T.StructField("account_number", T.StringType()), T.StructField("window_start", ntz),
+                           T.StructField("window_end", ntz), T.StructField("tx_count", T.LongType()),
+                           T.StructField("total_amount", T.DecimalType(38, 2))])
+    sums = [F.count(F.lit(1)).alias("tx_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount")]
+    out = run_partials(spark, tx, "fraud_velocity", ["account_number", "window_start", "window_end"], sums, schema, trigger, path)
+    return out.filter(F.col("tx_count") > max_count).withColumn("alert_type", F.lit("VELOCITY_LIMIT"))
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def previous_event_sink(path: str, keys, minutes: int, carry, alerts):
+    """``foreachBatch`` writer of a previous-event rule (``alerts`` maps rows
+    with ``prev_*`` and ``gap_seconds`` to alerts).
+
+    State is a table, ``last/v=<batch>``: the newest row of every key, kept
+    while it is younger than twice the rule's width below the newest event.
+    A batch's rows meet it by the rule's whole key. Rows older than their
+    key's newest row, or older than one width below the newest event (their
+    key may have left the state), go to ``rejects``; the others get their
+    previous row from the batch and the state together, so gaps are never
+    negative and the state never goes back. All three outputs are written per
+    batch and rewritten when a batch is replayed; only the state of the batch
+    before is read."""
+    width = minutes * 60
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, state = batch.sparkSession, f"{path}/last/v={batch_id}"
+        cols = list(dict.fromkeys(["transaction_id", "timestamp", *keys, *carry, *batch.columns]))
+        rows = batch.select(*cols).persist()
+        held = list(dict.fromkeys(["transaction_id", "timestamp", *keys, *carry]))
+        if batch_id:
+            last = spark.read.schema(T.StructType([rows.schema[c] for c in held])).parquet(f"{path}/last/v={batch_id - 1}")
+        else:
+            last = rows.select(*held).limit(0)
+        newest = last.agg(F.max("timestamp")).first()[0]
+        old = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                          F.struct("timestamp", "transaction_id").alias("_newest"))
+        j = rows.join(old, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+        late = F.coalesce(F.struct("timestamp", "transaction_id") < F.col("_newest"), F.lit(False))
+        if newest is not None:
+            horizon = F.timestamp_add("SECOND", F.lit(-width), F.lit(newest).cast("timestamp_ntz"))
+            late = late | (F.col("timestamp") < horizon)
+        out = {"rejects": j.filter(late).select(*cols, F.lit("late").alias("reason"))}
+        fresh = j.filter(~late).select(*cols)
+        both = fresh.withColumn("_seed", F.lit(False)).unionByName(
+            last.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
+        out["alerts"] = alerts(fraud.previous_within(both, keys, minutes, carry).filter(~F.col("_seed")))
+        for name, df in out.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}/_batch={batch_id}")  # also when it is empty: it has the schema
+        top = both.agg(F.max("timestamp")).first()[0]
+        order = F.struct("timestamp", "transaction_id", *[c for c in held if c not in ("timestamp", "transaction_id", *keys)])
+        young = both.groupBy(*keys).agg(F.max(order).alias("_w")).select(
+            *[F.col(c) if c in keys else F.col(f"_w.{c}").alias(c) for c in held])
+        if top is not None:
+            young = young.filter(F.col("timestamp") >= F.timestamp_add("SECOND", F.lit(-2 * width), F.lit(top).cast("timestamp_ntz")))
+        young.write.mode("overwrite").parquet(state)
+        rows.unpersist()
+        if batch_id >= 2:
+            _drop_folder(spark, f"{path}/last/v={batch_id - 2}")
+    return write
 
 
-EPOCH = pd.Timestamp("1970-01-01")
+def run_previous_rule(spark: SparkSession, tx: DataFrame, name: str, keys, minutes: int, carry, alerts, path=None,
+                      trigger=None) -> tuple[DataFrame, DataFrame]:
+    """Run a previous-event rule to the end of its input: (alerts, rejects)."""
+    out = path or scratch_path(spark, name)
+    q = (tx.writeStream.option("checkpointLocation", f"{out}/_checkpoint").trigger(**(trigger or {"availableNow": True}))
+         .foreachBatch(previous_event_sink(out, list(keys), minutes, list(carry), alerts)).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/alerts").drop("_batch"), spark.read.parquet(f"{out}/rejects").drop("_batch")
 
 
-def _previous_within_fn(minutes: int, sub_keys: list[str], carry: list[str], out_cols: list[str]):
-    """Per account: each row with the previous row of the same sub-key (the
-    rest of the rule's key) if that row is at most ``minutes`` earlier.
+def fraud_geographic_stream(spark: SparkSession, events: DataFrame, minutes: int = 60, path: str | None = None,
+                            trigger=None) -> tuple[DataFrame, DataFrame]:
+    """(alerts, rejects) of the geographic rule over the stream."""
+    tx = event_transactions(events).select("transaction_id", "timestamp", "account_number", "location")
+    return run_previous_rule(spark, tx, "fraud_geographic", fraud.GEOGRAPHIC_KEYS, minutes, fraud.GEOGRAPHIC_CARRY,
+                             fraud.geographic_alerts, path, trigger)
 
-    The state is, per sub-key, the last event (seconds and carried values),
-    kept only while it is younger than the window, so it is bounded by time.
-    Within a batch the sub-keys are handled by vectorised pandas group
-    shifts, one Python call per account and batch."""
-    width = minutes * 60
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        df = pd.concat(list(pdfs), ignore_index=True)
-        if df.empty:
-            return
-        df["_sec"] = ((pd.to_datetime(df["timestamp"]) - EPOCH) // pd.Timedelta(seconds=1)).astype("int64")
-        df = df.sort_values(["timestamp", "transaction_id"], kind="stable").reset_index(drop=True)
-        sk = pd.Series("", index=df.index)
-        for k in sub_keys:
-            sk = sk + "|" + df[k].astype(str)
-        df["_sk"] = sk
-        grouped = df.groupby("_sk", sort=False)
-        prev = {c: grouped[c].shift(1).astype(object) for c in ["_sec", *carry]}
-        old = {}
-        if state.exists:
-            st = state.get
-            old = {k: (st[1][i], *[st[2 + j][i] for j in range(len(carry))]) for i, k in enumerate(st[0])}
-            first = prev["_sec"].isna()
-            for i in df.index[first]:
-                hit = old.get(df.at[i, "_sk"])
-                if hit is not None:
-                    prev["_sec"].at[i] = hit[0]
-                    for j, c in enumerate(carry):
-                        prev[c].at[i] = hit[1 + j]
-        gap = df["_sec"] - pd.to_numeric(prev["_sec"])
-        near = gap.notna() & (gap <= width)
-        for c in carry:
-            df[f"prev_{c}"] = prev[c].where(near, None)
-        df["gap_seconds"] = gap.where(near).astype("Int64")
-        # next state: last event per sub-key, old ones kept while inside the window
-        latest = df["_sec"].max()
-        for _, r in grouped.tail(1).iterrows():
-            old[r["_sk"]] = (int(r["_sec"]), *[r[c] for c in carry])
-        live = {k: v for k, v in old.items() if v[0] >= latest - width}
-        ks = list(live)
-        state.update((ks, [live[k][0] for k in ks], *[[live[k][1 + j] for k in ks] for j in range(len(carry))]))
-        state.setTimeoutTimestamp(max((int(latest) + width) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield df[out_cols]
-
-    return fn
-
-
-def previous_within_stream(tx: DataFrame, keys, minutes: int, carry, out_schema: T.StructType,
-                           delay: str = "10 minutes", sub_keys=()) -> DataFrame:
-    """Streaming form of ``operators.fraud.previous_within``, grouped by
-    ``keys`` (the account) with the rest of the rule's key in ``sub_keys``.
-
-    A group holds one account's rows of one micro-batch (bounded by the
-    trigger size) plus its state. A row arriving after a newer one of its
-    key is compared with that newer row (streams do not rewrite history)."""
-    carry = list(carry)
-    state_schema = T.StructType(
-        [T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("secs", T.ArrayType(T.LongType()))]
-        + [T.StructField(f"last_{c}", T.ArrayType(T.StringType())) for c in carry])
-    fn = _previous_within_fn(minutes, list(sub_keys), carry, [f.name for f in out_schema.fields])
-    return tx.groupBy(*keys).applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _tx_stream_for_state(events: DataFrame, delay: str) -> DataFrame:
-    tx = event_transactions(events)
-    return tx.withColumn("_et", ntz_to_instant(F.col("timestamp"))).withWatermark("_et", delay)
-
-
-def fraud_geographic_stream(events: DataFrame, minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
-    tx = _tx_stream_for_state(events, delay)
-    schema = T.StructType([
-        T.StructField("transaction_id", T.StringType()), T.StructField("account_number", T.StringType()),
-        T.StructField("location", T.StringType()), T.StructField("prev_location", T.StringType()),
-        T.StructField("prev_transaction_id", T.StringType()), T.StructField("gap_seconds", T.LongType())])
-    p = previous_within_stream(tx, ["account_number"], minutes, ["location", "transaction_id"], schema, delay)
-    hit = p.filter(F.col("prev_location").isNotNull() & (F.col("location") != F.col("prev_location")))
-    return hit.select("transaction_id", "account_number", "location",
-                      F.col("prev_location").alias("previous_location"),
-                      F.col("prev_transaction_id").alias("previous_transaction_id"), "gap_seconds",
-                      F.lit("GEOGRAPHIC_ANOMALY").alias("alert_type"))
-
-
-def fraud_duplicate_stream(events: DataFrame, minutes: int = 30, amount_scale: int = 2,
-                           delay: str = "10 minutes") -> DataFrame:
-    tx = _tx_stream_for_state(events, delay).withColumn("_amount_key", F.round("amount", amount_scale))
-    schema = T.StructType([
-        T.StructField("transaction_id", T.StringType()), T.StructField("account_number", T.StringType()),
-        T.StructField("amount", T.DecimalType(15, 2)), T.StructField("merchant_name", T.StringType()),
-        T.StructField("prev_transaction_id", T.StringType()), T.StructField("gap_seconds", T.LongType())])
-    p = previous_within_stream(tx, ["account_number"], minutes, ["transaction_id"], schema, delay,
-                               sub_keys=["_amount_key", "merchant_name"])
-    hit = p.filter(F.col("prev_transaction_id").isNotNull())
-    return hit.select("transaction_id", "account_number", "amount", "merchant_name",
-                      F.col("prev_transaction_id").alias("duplicate_of"), "gap_seconds",
-                      F.lit("DUPLICATE_TX").alias("alert_type"))
+def fraud_duplicate_stream(spark: SparkSession, events: DataFrame, minutes: int = 30, amount_scale: int = 2,
+                           path: str | None = None, trigger=None) -> tuple[DataFrame, DataFrame]:
+    """(alerts, rejects) of the duplicate rule over the stream."""
+    tx = event_transactions(events).select("transaction_id", "timestamp", "account_number", "amount", "merchant_name")
+    return run_previous_rule(spark, fraud.with_amount_key(tx, amount_scale), "fraud_duplicate", fraud.DUPLICATE_KEYS, minutes,
+                             fraud.DUPLICATE_CARRY, fraud.duplicate_alerts, path, trigger)
 
 
 # ---------------------------------------------------------------- change data capture
@@ -354,6 +329,43 @@ def run_cdc(spark: SparkSession, changes: DataFrame, name: str, key: str, path:
     return f"{out}/data"
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete version folders ``v=<n>`` of ``path``, ascending."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    done = [s.getPath() for s in fs.listStatus(p)]
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(q.getName()[2:]) for q in done if q.getName().startswith("v=") and fs.exists(make(q, "_SUCCESS")))
+
+
+def compacted_state(spark: SparkSession, data: str, snapshots: str, schema: T.StructType, key: str, ts: str = "change_ts",
+                    seq: str = "_seq") -> DataFrame:
+    """The last change per key (deletes kept as such) as a snapshot table.
+
+    ``snapshots/v=<batch>`` holds the state up to that batch of the change
+    sink ``data``. A run reads the newest snapshot and only the batches after
+    it, and writes the next snapshot; older ones are dropped."""
+    have = _versions(spark, snapshots)
+    since = have[-1] if have else -1
+    new = spark.read.schema(T.StructType(schema.fields + [T.StructField("_batch", T.LongType())])).parquet(data) \
+        .filter(F.col("_batch") > since)
+    upto = new.agg(F.max("_batch")).first()[0]
+    if upto is None:
+        return spark.read.schema(schema).parquet(f"{snapshots}/v={since}")
+    rows = new.drop("_batch")
+    if have:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{snapshots}/v={since}"))
+    payload = [f.name for f in schema.fields if f.name not in (key, ts, seq)]
+    last = rows.groupBy(key).agg(F.max(F.struct(ts, seq, *payload)).alias("_w"))
+    last.select(*[F.col(c) if c == key else F.col(f"_w.{c}").alias(c) for c in schema.names]) \
+        .write.mode("overwrite").parquet(f"{snapshots}/v={upto}")
+    for v in have[:-1]:
+        _drop_folder(spark, f"{snapshots}/v={v}")
+    return spark.read.schema(schema).parquet(f"{snapshots}/v={upto}")
+
+
 def hourly_deposits(spark: SparkSession, changes: DataFrame, account_branch: DataFrame, key: str,
                     run_hour: str, root: str, balance: str = "balance") -> DataFrame:
     """The hourly task's body as an idempotent job: consume the account
@@ -363,7 +375,7 @@ def hourly_deposits(spark: SparkSession, changes: DataFrame, account_branch: Dat
     rows instead of repeating them). Returns the rows of this run."""
     from ..operators.versions import table_as_of
     data = run_cdc(spark, changes, "deposits", key, path=f"{root}/changes")
-    compacted = spark.read.schema(changes.schema).parquet(data).drop("_batch")
+    compacted = compacted_state(spark, data, f"{root}/state", changes.schema, key)
     current = table_as_of(compacted, key, "9999-12-31 00:00:00")
     rollup = (current.join(account_branch, key, "inner").groupBy("branch_name")
               .agg(F.sum(balance).cast("decimal(38,2)").alias("total_deposits"),
