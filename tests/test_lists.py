@@ -25,33 +25,63 @@ def _bank(spark):
     return SimpleNamespace(customers=cust, accounts=acc, spark=spark)
 
 
-def test_nested_accounts_split_for_hot_customer(spark):
+def test_nested_and_flat_accounts_have_one_shape(spark):
     b = _bank(spark)
-    out = lists.customer_accounts_nested(b, k=200, max_per_row=1000).collect()
-    hot = [r for r in out if r.id == "CUS0"]
-    assert len(hot) >= 3 and all(len(r.accounts) <= 1000 * 1.5 for r in hot)
-    got = sorted(a.account_number for r in hot for a in r.accounts)
-    assert got == [f"A{j:05d}" for j in range(2500)]
-    others = {r.id: r for r in out if r.id != "CUS0"}
-    assert [a.account_number for a in others["CUS1"].accounts] == ["B1"]
-    assert others["CUS4"].accounts == [] and others["CUS4"].accounts_part == 0
+    out = {r.id: r for r in lists.customer_accounts_nested(b, k=200).collect()}
+    assert len(out) == 5  # one row per customer, also for the one with 2500 accounts
+    assert [a.account_number for a in out["CUS0"].accounts] == [f"A{j:05d}" for j in range(2500)]
+    assert [a.account_number for a in out["CUS1"].accounts] == ["B1"] and out["CUS4"].accounts == []
+    flat = lists.customer_accounts_flat(b, k=200).collect()
+    assert len(flat) == 2500 + 3 + 1 and [r.account_number for r in flat if r.id == "CUS4"] == [None]
 
 
 def test_nested_accounts_top_k_first(spark):
-    b = _bank(spark)
-    out = lists.customer_accounts_nested(b, k=2, max_per_row=10000)
-    assert sorted(r.id for r in out.collect()) == ["CUS0", "CUS1"]
-    assert out.filter(F.col("id") == "CUS0").first().accounts_part == 0
+    out = lists.customer_accounts_nested(_bank(spark), k=2)
+    assert [r.id for r in out.collect()] == ["CUS0", "CUS1"]
 
 
-def test_lookup_by_keys_same_rows_on_both_sides_of_the_cap(spark):
+def test_lookup_by_keys_same_rows_whatever_the_bound(spark):
     from vaultline.operators.joins import lookup_by_keys, pin
     b = _bank(spark)
     keys = pin(b.customers.select("customer_id").limit(3))
-    small = lookup_by_keys(b.accounts, keys, "customer_id")
-    big = lookup_by_keys(b.accounts, keys, "customer_id", max_keys=0)
+    small = lookup_by_keys(b.accounts, keys, "customer_id", 3)
+    big = lookup_by_keys(b.accounts, keys, "customer_id", 10**9)
     assert sorted(small.collect()) == sorted(big.collect())
     assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_grid_sort_compares_like_a_person(spark):
+    from vaultline.operators import grid
+    names = ["bob", "Alice", "alice", "Bob", "\u00c9mile", "emil", None, "Zo\u00eb", "zoe"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = [r.name for r in grid.grid_sort(df, "name", True, "id").collect()]
+    assert got == ["alice", "Alice", "bob", "Bob", "emil", "\u00c9mile", "zoe", "Zo\u00eb", None]
+    page, seen = [], None
+    while True:  # paging by the last row seen gives the same order
+        rows = (grid.grid_page_after(df, "name", True, "id", seen.name, seen.id, 2) if seen else
+                grid.grid_page(df, "name", True, 1, "id", 2)).collect()
+        if not rows:
+            break
+        page += [r.name for r in rows]
+        seen = rows[-1]
+    assert page == got
+
+
+def test_deep_pages_are_not_a_large_limit(bank):
+    import pytest
+
+    from vaultline.operators import grid
+    with pytest.raises(ValueError):
+        grid.grid_page(bank.fraud_alerts, "risk_score", False, 1_000_000, "alert_id")
+    plan = grid.grid_page_after(bank.fraud_alerts, "risk_score", False, "alert_id", 3, "AL9")._jdf.queryExecution().executedPlan().toString()
+    assert "limit=6" in plan or "LIMIT 6" in plan.upper()
+
+
+def test_status_is_a_filter_not_a_search(bank):
+    assert lists.management_grid(bank, "fraud_alerts", "open").count() == 0
+    want = bank.fraud_alerts.filter("status = 'OPEN'").count()
+    assert lists.management_grid(bank, "fraud_alerts", None, "OPEN").count() == want > 0
 
 
 def test_search_by_matching_accounts_equals_whole_table_enrichment(bank):

@@ -381,31 +381,26 @@ def orphan_report(tables: dict) -> DataFrame:
 def key_constraints_report(tables: dict) -> DataFrame:
     """Primary key duplicates and NULL keys, unique and NOT NULL columns.
 
-    A key check is one hash aggregate per key column: ``groupBy(col).count()``
-    gives the duplicated keys and, in its NULL group, the NULL keys, so each
-    check reads its table once. NOT NULL checks of a table share one scan.
+    One hash aggregate per key column: ``groupBy(col).count()`` gives the
+    duplicated keys and, in its NULL group, the NULL keys. The NULL counts of
+    a table's other columns ride in the aggregate of its primary key, so each
+    key column costs one read of its table and nothing else does.
     """
     checks = [(t, "primary_key", pk) for t, pk in schemas.PRIMARY_KEYS.items()]
     checks += [("customers", "unique", "email"), ("branch_performance", "unique", "branch_name")]
-    not_null = [("customers", "name"), ("transactions", "amount"), ("records", "email")]
     parts = []
     for table, kind, col in checks:
-        g = tables[table].groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+        others = [f.name for f in schemas.BY_NAME[table].fields if not f.nullable and f.name != col] if kind == "primary_key" else []
+        g = tables[table].groupBy(col).agg(F.count(F.lit(1)).alias("n"),
+                                           *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in others])
         dup = F.when(F.col(col).isNotNull() & (F.col("n") > 1), F.col("n"))
-        nulls = F.when(F.col(col).isNull(), F.col("n"))
-        v = (F.coalesce(F.sum(dup), F.lit(0)) + F.coalesce(F.sum(nulls), F.lit(0))) if kind == "primary_key" \
-            else F.coalesce(F.sum(dup), F.lit(0))
-        parts.append(g.agg(v.cast("bigint").alias("violations")).select(
-            F.lit(table).alias("table_name"), F.lit(kind).alias("check_kind"), F.lit(col).alias("column"),
-            "violations"))
-    by_table: dict[str, list[str]] = {}
-    for table, col in not_null:
-        by_table.setdefault(table, []).append(col)
-    for table, cols in by_table.items():
-        counts = tables[table].agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
-        for c in cols:
-            parts.append(counts.select(F.lit(table).alias("table_name"), F.lit("not_null").alias("check_kind"),
-                                       F.lit(c).alias("column"), F.col(c).cast("bigint").alias("violations")))
+        bad = dup if kind == "unique" else F.when(F.col(col).isNull(), F.col("n")).otherwise(dup)
+        found = g.agg(F.coalesce(F.sum(bad), F.lit(0)).alias("_bad"),
+                      *[F.coalesce(F.sum(f"_null_{c}"), F.lit(0)).alias(f"_null_{c}") for c in others])
+        rows = [(kind, col, F.col("_bad"))] + [("not_null", c, F.col(f"_null_{c}")) for c in others]
+        parts.append(found.select(F.inline(F.array(*[F.struct(
+            F.lit(table).alias("table_name"), F.lit(k).alias("check_kind"), F.lit(c).alias("column"),
+            v.cast("bigint").alias("violations")) for k, c, v in rows]))))
     return reduce(DataFrame.unionByName, parts)
 
 

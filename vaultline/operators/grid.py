@@ -2,7 +2,7 @@
 
 The reference runs these in the browser on at most 200 rows; here they are
 DataFrame steps, so the search runs over the whole table before any limit
-and the page is a distributed top-(offset+size).
+and a page is a filter behind the last row seen plus a top-(page size).
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ PAGE_SIZE = 6
 GRID_SEARCH_COLUMNS = {
     "transactions": ["transaction_id", "account_number", "customer_name", "merchant_name"],
     "loans": ["loan_id", "customer_name", "category"],
-    "fraud_alerts": ["alert_id", "transaction_id", "customer_name", "alert_type", "details", "status"],
+    "fraud_alerts": ["alert_id", "transaction_id", "customer_name", "alert_type", "details"],
     "branches": ["branch_name", "city", "manager", "branch_id"],
-    "accounts": ["account_number", "customer_id", "customer_name", "status"],
+    "accounts": ["account_number", "customer_id", "customer_name"],
 }
+GRID_STATUS_FILTER = ("accounts", "fraud_alerts")
+GRID_KEY = {"transactions": "transaction_id", "loans": "loan_id", "fraud_alerts": "alert_id", "branches": "branch_id",
+            "accounts": "account_number"}
 GRID_DEFAULT_SORT = {
     "customers": ("name", True), "accounts": ("account_number", True),
     "transactions": ("timestamp", False), "loans": ("loan_id", True),
@@ -52,14 +55,43 @@ def grid_sort(df: DataFrame, column: str, ascending: bool = True, key: str | Non
     return df.orderBy(*order)
 
 
+def status_filter(df: DataFrame, status: str | None, column: str = "status") -> DataFrame:
+    """The grid's status choice: an exact match, 'ALL' (or none) for any."""
+    return df if status in (None, "ALL") else df.filter(F.col(column) == status)
+
+
+# Rows a page by number may skip: each is sorted into the top-(offset + size).
+MAX_OFFSET = 10_000
+
+
 def grid_page(df: DataFrame, column: str, ascending: bool, page: int, key: str,
               size: int = PAGE_SIZE) -> DataFrame:
-    """Rows of page ``page`` (1-based) under the grid sort."""
+    """Rows of page ``page`` (1-based) under the grid sort, for the first
+    pages of a grid. A page that skips more than ``MAX_OFFSET`` rows is
+    refused: go on from the last row seen with ``grid_page_after``."""
     page = max(int(page), 1)
+    if (page - 1) * size > MAX_OFFSET:
+        raise ValueError(f"page {page} skips more than {MAX_OFFSET} rows; use grid_page_after")
     ordered = grid_sort(df, column, ascending, key)
     return ordered.offset((page - 1) * size).limit(size)
 
 
+def grid_page_after(df: DataFrame, column: str, ascending: bool, key: str, last_value, last_key,
+                    size: int = PAGE_SIZE) -> DataFrame:
+    """The page that follows the row (``last_value``, ``last_key``): a filter
+    and a top-``size``, however deep the page is. Nulls sort last."""
+    c, v = F.col(column), F.lit(last_value)
+    if isinstance(df.schema[column].dataType, T.StringType):
+        c, v = F.collate(c, "UNICODE"), F.collate(v.cast("string"), "UNICODE")
+    next_key = F.col(key) > F.lit(last_key)
+    if last_value is None:
+        rest = F.col(column).isNull() & next_key
+    else:
+        beyond = (c > v) if ascending else (c < v)
+        rest = beyond | ((c == v) & next_key) | F.col(column).isNull()
+    return grid_sort(df.filter(rest), column, ascending, key).limit(size)
+
+
 def grid_page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """``ceil(n / size)``, at least 1, plus the row count."""
     n = F.count(F.lit(1))

@@ -30,58 +30,52 @@ def pin(bounded: DataFrame) -> DataFrame:
     return bounded.checkpoint(eager=True)
 
 
-# Most keys a lookup broadcasts; a larger key set is joined the way Spark
-# chooses from its size (a shuffle join beyond the broadcast threshold).
+# Most rows a caller may ask to have broadcast as a top-k.
 BROADCAST_MAX_KEYS = 100_000
 
 
-def lookup_by_keys(parent: DataFrame, keys: DataFrame, key: str, parent_key: str | None = None,
-                   max_keys: int = BROADCAST_MAX_KEYS) -> DataFrame:
-    """Rows of ``parent`` whose key occurs in the small ``keys`` frame.
+def bounded(df: DataFrame, k: int) -> DataFrame:
+    """``df`` has at most ``k`` rows by construction (a top-k): hint Spark to
+    broadcast it while ``k`` is small; a larger one is left to the planner."""
+    return F.broadcast(df) if k <= BROADCAST_MAX_KEYS else df
 
-    ``keys`` is a pinned, bounded frame (a top-k or its lookup), so counting
-    it reads its few stored rows. Under ``max_keys`` the keys are broadcast
-    and the parent is scanned with a hash probe and no shuffle; above it
-    the semi join is left to Spark's planner.
-    """
+
+def lookup_by_keys(parent: DataFrame, keys: DataFrame, key: str, k: int, parent_key: str | None = None) -> DataFrame:
+    """Rows of ``parent`` whose key occurs in ``keys``, a frame of at most
+    ``k`` rows. The parent is scanned with a hash probe and no shuffle."""
     parent_key = parent_key or key
-    k = keys.select(F.col(key).alias(parent_key)).dropna().distinct()
-    if keys.count() <= max_keys:
-        return parent.join(F.broadcast(k), parent_key, "left_semi")
-    return parent.join(k, parent_key, "left_semi")
+    return parent.join(bounded(keys.select(F.col(key).alias(parent_key)).dropna().distinct(), k), parent_key, "left_semi")
 
 
-def customer_names_for_accounts(accounts: DataFrame, customers: DataFrame, top: DataFrame,
+def customer_names_for_accounts(accounts: DataFrame, customers: DataFrame, top: DataFrame, k: int,
                                 account_col: str = "account_number") -> DataFrame:
     """``account_number -> customer name`` for the accounts used by ``top``.
 
-    Output has one row per matching account; customers are probed with the
-    (bounded) customer ids of those accounts only.
-    """
-    # at most one account per key of ``top``; it feeds two joins, so pin it
-    acc = pin(lookup_by_keys(accounts.select("account_number", "customer_id"), top, account_col, "account_number"))
-    cust = lookup_by_keys(customers.select("customer_id", "name"), acc, "customer_id")
-    return acc.join(cust, "customer_id", "left").select("account_number", F.col("name").alias("_customer_name"))
+    At most one account per key of ``top`` (k rows), so the customers are
+    probed with these few account rows; both parents are scanned once."""
+    acc = lookup_by_keys(accounts.select("account_number", "customer_id"), top, account_col, k, "account_number")
+    return (customers.select("customer_id", F.col("name").alias("_customer_name"))
+            .join(bounded(acc, k), "customer_id").select("account_number", "_customer_name"))
 
 
-def enrich_customer_name(top: DataFrame, accounts: DataFrame, customers: DataFrame,
+def enrich_customer_name(top: DataFrame, accounts: DataFrame, customers: DataFrame, k: int,
                          account_col: str = "account_number", default: str = "Unknown") -> DataFrame:
     """top LEFT JOIN accounts LEFT JOIN customers, COALESCE(name, default)."""
-    names = customer_names_for_accounts(accounts, customers, top, account_col)
+    names = customer_names_for_accounts(accounts, customers, top, k, account_col)
     if account_col != "account_number":
         names = names.withColumnRenamed("account_number", account_col)
-    return (top.join(names, account_col, "left")
+    return (top.join(bounded(names, k), account_col, "left")
             .withColumn("customer_name", F.coalesce(F.col("_customer_name"), F.lit(default)))
             .drop("_customer_name"))
 
 
-def enrich_customer_name_direct(top: DataFrame, customers: DataFrame, customer_col: str = "customer_id",
+def enrich_customer_name_direct(top: DataFrame, customers: DataFrame, k: int, customer_col: str = "customer_id",
                                 default: str = "Unknown", out: str = "customer_name") -> DataFrame:
     """top LEFT JOIN customers ON customer id, COALESCE(name, default)."""
-    cust = lookup_by_keys(customers.select("customer_id", "name"), top, customer_col, "customer_id")
+    cust = lookup_by_keys(customers.select("customer_id", "name"), top, customer_col, k, "customer_id")
     if customer_col != "customer_id":
         cust = cust.withColumnRenamed("customer_id", customer_col)
-    return (top.join(cust.withColumnRenamed("name", "_n"), customer_col, "left")
+    return (top.join(bounded(cust.withColumnRenamed("name", "_n"), k), customer_col, "left")
             .withColumn(out, F.coalesce(F.col("_n"), F.lit(default))).drop("_n"))
 
 

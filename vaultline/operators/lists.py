@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import all_of, contains_any, like_any, norm_param, optional_eq, to_char
-from .joins import enrich_customer_name, enrich_customer_name_direct, lookup_by_keys, pin
+from .joins import bounded, enrich_customer_name, enrich_customer_name_direct, lookup_by_keys, pin
 
 
 def _where(df: DataFrame, pred) -> DataFrame:
@@ -80,7 +80,7 @@ def txn_enriched(bank, tx_type=None, risk=None, k: int = 200, search: str | None
         own = contains_any(["transaction_id", "account_number", "merchant_name"], search)
         t = t.join(hits, "account_number", "left").filter(own | F.col("_name_hit").isNotNull()).drop("_name_hit")
     top = pin(top_k(t, NEWEST_FIRST(), k))
-    return _newest_first_out(_txn_out(enrich_customer_name(top, bank.accounts, bank.customers), TXN_COLUMNS()))
+    return _newest_first_out(_txn_out(enrich_customer_name(top, bank.accounts, bank.customers, k), TXN_COLUMNS()))
 
 
 def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
@@ -96,7 +96,7 @@ def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
 def recent_activity(bank, k: int = 10) -> DataFrame:
     """Dashboard feed: newest k transactions with customer name."""
     top = pin(top_k(bank.transactions, NEWEST_FIRST(), k))
-    e = enrich_customer_name(top, bank.accounts, bank.customers)
+    e = enrich_customer_name(top, bank.accounts, bank.customers, k)
     return _newest_first_out(e.select(
         F.col("transaction_id").alias("id"), F.col("transaction_type").alias("type"), "customer_name", "amount",
         to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"), "status", "risk_factor"))
@@ -108,7 +108,7 @@ def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
     """Loans with customer name, ORDER BY next_due_date ASC NULLS LAST."""
     l = _where(bank.loans, all_of(optional_eq("category", category), optional_eq("risk_rating", rating)))
     top = pin(top_k(l, [F.col("next_due_date").asc_nulls_last(), F.col("loan_id").asc()], k))
-    e = enrich_customer_name_direct(top, bank.customers)
+    e = enrich_customer_name_direct(top, bank.customers, k)
     return e.select(F.col("loan_id").alias("id"), "customer_id", "customer_name", "category", "amount",
                     "interest_rate", "term_months", "emi", "remaining_balance",
                     to_char("next_due_date", "YYYY-MM-DD").alias("next_due_date"),
@@ -120,7 +120,7 @@ def loans_list(bank, category=None, rating=None, k: int = 200) -> DataFrame:
 
 def fraud_alerts_list(bank, k: int = 200) -> DataFrame:
     top = pin(top_k(bank.fraud_alerts, [F.col("timestamp").desc_nulls_first(), F.col("alert_id").asc()], k))
-    e = enrich_customer_name_direct(top, bank.customers)
+    e = enrich_customer_name_direct(top, bank.customers, k)
     return e.select(F.col("alert_id").alias("id"), "transaction_id", "customer_name", "amount",
                     F.col("alert_type").alias("type"),
                     to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"),
@@ -189,52 +189,30 @@ def customers_page(bank, search: str | None = None, segment=None, k: int = 200)
     return top_k(c, [F.col("name").asc_nulls_last(), F.col("customer_id").asc()], k)
 
 
-def ACCOUNT_STRUCT():
-    return F.struct(F.col("account_number"), F.col("account_type").alias("type"),
-                    F.col("balance"), F.col("status"))
-
-
-# Most accounts one nested row carries; a customer with more is split over
-# several rows (``accounts_part``), so no array grows without bound.
-MAX_ACCOUNTS_PER_ROW = 10000
-
-
-def customer_accounts_nested(bank, search: str | None = None, segment=None, k: int = 200,
-                             max_per_row: int = MAX_ACCOUNTS_PER_ROW) -> DataFrame:
-    """First k customers, each with the array of its accounts ([] if none).
+def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
+    """First k customers with their accounts: one row per (customer,
+    account), customers without accounts once with NULL account columns. The
+    shape is the same however many accounts a customer has.
 
     The accounts of only those k customers are read (broadcast semi join on
-    k ids, replacing the reference's IN list) and grouped per customer. The
-    per-customer counts (at most k rows) decide how many parts a
-    customer's accounts are hashed into; ordinary customers get one row,
-    part 0, exactly as the reference's payload.
-    """
-    top = pin(customers_page(bank, search, segment, k))
-    acc = lookup_by_keys(bank.accounts, top, "customer_id")
-    counts = acc.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(max_per_row))
-    part = F.when(F.col("_n") > max_per_row,
-                  F.pmod(F.xxhash64("account_number"), parts)).otherwise(F.lit(0)).cast("int")
-    nested = (acc.join(counts, "customer_id", "inner")
-              .groupBy("customer_id", part.alias("accounts_part"))
-              .agg(F.sort_array(F.collect_list(ACCOUNT_STRUCT())).alias("accounts")))
-    empty = F.array().cast("array<struct<account_number:string,type:string,balance:decimal(15,2),status:string>>")
-    return (top.join(nested, "customer_id", "left")
-            .select(*CUSTOMER_COLUMNS(), F.coalesce(F.col("accounts_part"), F.lit(0)).alias("accounts_part"),
-                    F.coalesce(F.col("accounts"), empty).alias("accounts"))
-            .transform(lambda d: sorted_small(d, F.col("name").asc_nulls_last(), F.col("id").asc(),
-                                              F.col("accounts_part").asc())))
-
-
-def customer_accounts_flat(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
-    """Exploded form of the nested result: one row per (customer, account),
-    customers without accounts kept once with NULL account columns."""
+    k ids, replacing the reference's IN list)."""
     top = pin(customers_page(bank, search, segment, k))
-    acc = lookup_by_keys(bank.accounts, top, "customer_id").select(
+    acc = lookup_by_keys(bank.accounts, top, "customer_id", k).select(
         "customer_id", "account_number", F.col("account_type").alias("account_type"),
         F.col("balance"), F.col("status").alias("account_status"))
-    return top.join(acc, "customer_id", "left").select(*CUSTOMER_COLUMNS(), "account_number",
-                                                       "account_type", "balance", "account_status")
+    return acc.join(bounded(top, k), "customer_id", "right").select(*CUSTOMER_COLUMNS(), "account_number", "account_type",
+                                                                    "balance", "account_status")
+
+
+def customer_accounts_nested(bank, search: str | None = None, segment=None, k: int = 200) -> DataFrame:
+    """The flat rows rendered for a page: each customer with the array of its
+    accounts ([] if none), always one row per customer."""
+    flat = customer_accounts_flat(bank, search, segment, k)
+    own = [c for c in flat.columns if c not in ("account_number", "account_type", "balance", "account_status")]
+    account = F.when(F.col("account_number").isNotNull(), F.struct(
+        "account_number", F.col("account_type").alias("type"), "balance", F.col("account_status").alias("status")))
+    return (flat.groupBy(*own).agg(F.sort_array(F.collect_list(account)).alias("accounts"))
+            .orderBy(F.col("name").asc_nulls_last(), F.col("id").asc()))
 
 
 def render_accounts(nested: DataFrame) -> DataFrame:
@@ -261,22 +239,36 @@ def point_lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def in_list_filter(bank, k: int = 200) -> DataFrame:
     """Accounts of the first page of customers (``customer_id IN (...)``)."""
     top = pin(customers_page(bank, None, None, k))
-    return lookup_by_keys(bank.accounts, top, "customer_id").select(
+    return lookup_by_keys(bank.accounts, top, "customer_id", k).select(
         "account_number", F.col("account_type").alias("type"), "balance", "status", "customer_id")
 
 
 # -- management grids -----------------------------------------------------
 
-def fraud_alerts_grid(bank, search: str | None) -> DataFrame:
-    """The fraud-alert grid over the whole table: customer name joined (left,
-    'Unknown'), case-insensitive substring search over the grid's columns,
-    default order (risk score, highest first; alert id breaks ties)."""
-    from . import grid
+def _with_holder(df: DataFrame, bank, default: str) -> DataFrame:
     names = bank.customers.select("customer_id", F.col("name").alias("_n"))
-    e = (bank.fraud_alerts.join(names, "customer_id", "left")
-         .withColumn("customer_name", F.coalesce(F.col("_n"), F.lit("Unknown"))).drop("_n"))
-    hits = grid.grid_search(e, search, grid.GRID_SEARCH_COLUMNS["fraud_alerts"])
-    column, ascending = grid.GRID_DEFAULT_SORT["fraud_alerts"]
-    return grid.grid_sort(hits, column, ascending, key="alert_id").select(
-        F.col("alert_id").alias("id"), "transaction_id", "customer_name", "amount",
-        F.col("alert_type").alias("type"), "risk_score", "status", "details")
+    return (df.join(names, "customer_id", "left")
+            .withColumn("customer_name", F.coalesce(F.col("_n"), F.lit(default))).drop("_n"))
+
+
+def management_grid(bank, name: str, search: str | None = None, status: str | None = "ALL",
+                    sort: tuple[str, bool] | None = None) -> DataFrame:
+    """A management screen over its whole table: case-insensitive substring
+    search over the grid's columns (OR), the status filter ANDed to it as an
+    exact match ('ALL' for any), then the grid's sort."""
+    from . import grid
+    rows = {
+        "loans": lambda: _with_holder(bank.loans, bank, "Unknown").select(
+            "loan_id", "customer_name", "category", "amount", "risk_rating", "status"),
+        "branches": lambda: bank.branch_performance.select("branch_id", "branch_name", "city", "manager", "total_deposits"),
+        "accounts": lambda: _with_holder(bank.accounts, bank, "Unknown Customer").select(
+            "account_number", "customer_id", "customer_name", "account_type", "balance", "status"),
+        "transactions": lambda: enrich_all_customer_names(bank.transactions, bank).select(
+            "transaction_id", "account_number", "customer_name", "merchant_name", "amount", "timestamp", "status"),
+        "fraud_alerts": lambda: _with_holder(bank.fraud_alerts, bank, "Unknown").select(
+            "alert_id", "transaction_id", "customer_name", "amount", "alert_type", "risk_score", "status", "details"),
+    }[name]()
+    if name in grid.GRID_STATUS_FILTER:
+        rows = grid.status_filter(rows, status)
+    column, ascending = sort or grid.GRID_DEFAULT_SORT[name]
+    return grid.grid_sort(grid.grid_search(rows, search, grid.GRID_SEARCH_COLUMNS[name]), column, ascending, grid.GRID_KEY[name])

@@ -61,16 +61,60 @@ def _grid_search(b):
     return lists.txn_enriched(b, search="Merchant 1")
 
 
-@register("grid_search_alerts", """
-SELECT f.alert_id AS id, f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount,
- f.alert_type AS type, f.risk_score, f.status, f.details
-FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id
-WHERE contains(lower(COALESCE(f.alert_id, '')), 'velocity') OR contains(lower(COALESCE(f.transaction_id, '')), 'velocity')
-   OR contains(lower(COALESCE(c.name, 'Unknown')), 'velocity') OR contains(lower(COALESCE(f.alert_type, '')), 'velocity')
-   OR contains(lower(COALESCE(f.details, '')), 'velocity') OR contains(lower(COALESCE(f.status, '')), 'velocity')
+def _contains_sql(cols, text):
+    return "(" + " OR ".join(f"contains(lower(COALESCE({c}, '')), '{text.lower()}')" for c in cols) + ")"
+
+
+@register("grid_search_alerts", f"""
+SELECT f.alert_id, f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount, f.alert_type, f.risk_score,
+ f.status, f.details FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id
+WHERE {_contains_sql(["f.alert_id", "f.transaction_id", "COALESCE(c.name, 'Unknown')", "f.alert_type", "f.details"], "open")}
 ORDER BY f.risk_score DESC NULLS LAST, f.alert_id""")
 def _grid_search_alerts(b):
-    return lists.fraud_alerts_grid(b, "Velocity")
+    """The text of a status finds nothing by itself: status is a filter, not a searched column."""
+    return lists.management_grid(b, "fraud_alerts", "Open")
+
+
+@register("grid_filter_alerts", f"""
+SELECT f.alert_id, f.transaction_id, COALESCE(c.name, 'Unknown') AS customer_name, f.amount, f.alert_type, f.risk_score,
+ f.status, f.details FROM fraud_alerts f LEFT JOIN customers c ON f.customer_id = c.customer_id
+WHERE {_contains_sql(["f.alert_id", "f.transaction_id", "COALESCE(c.name, 'Unknown')", "f.alert_type", "f.details"], "al1")}
+ AND f.status = 'OPEN' ORDER BY f.risk_score DESC NULLS LAST, f.alert_id""")
+def _grid_filter_alerts(b):
+    return lists.management_grid(b, "fraud_alerts", "AL1", "OPEN")
+
+
+@register("grid_search_loans", f"""
+SELECT l.loan_id, COALESCE(c.name, 'Unknown') AS customer_name, l.category, l.amount, l.risk_rating, l.status
+FROM loans l LEFT JOIN customers c ON l.customer_id = c.customer_id
+WHERE {_contains_sql(["l.loan_id", "COALESCE(c.name, 'Unknown')", "l.category"], "auto")} ORDER BY l.loan_id""")
+def _grid_search_loans(b):
+    return lists.management_grid(b, "loans", "Auto")
+
+
+@register("grid_search_branches", f"""
+SELECT branch_id, branch_name, city, manager, total_deposits FROM branch_performance
+WHERE {_contains_sql(["branch_name", "city", "manager", "branch_id"], "asia")} ORDER BY branch_name, branch_id""")
+def _grid_search_branches(b):
+    return lists.management_grid(b, "branches", "aSia")
+
+
+@register("grid_search_accounts", f"""
+SELECT a.account_number, a.customer_id, COALESCE(c.name, 'Unknown Customer') AS customer_name, a.account_type, a.balance, a.status
+FROM accounts a LEFT JOIN customers c ON a.customer_id = c.customer_id
+WHERE {_contains_sql(["a.account_number", "a.customer_id", "COALESCE(c.name, 'Unknown Customer')"], "cus1")}
+ AND a.status = 'ACTIVE' ORDER BY a.account_number""")
+def _grid_search_accounts(b):
+    return lists.management_grid(b, "accounts", "cus1", "ACTIVE")
+
+
+@register("grid_search_transactions", f"""
+SELECT t.transaction_id, t.account_number, COALESCE(c.name, 'Unknown') AS customer_name, t.merchant_name, t.amount, t.timestamp,
+ t.status {TXN_SQL_FROM}
+WHERE {_contains_sql(["t.transaction_id", "t.account_number", "COALESCE(c.name, 'Unknown')", "t.merchant_name"], "merchant 3")}
+ORDER BY t.timestamp DESC, t.transaction_id""")
+def _grid_search_transactions(b):
+    return lists.management_grid(b, "transactions", "Merchant 3")
 
 
 @register("loans_list", """
@@ -143,7 +187,6 @@ WITH top AS (
   SELECT * FROM customers WHERE UPPER(segment) = 'GOLD' ORDER BY name NULLS LAST, customer_id LIMIT 200)
 SELECT t.customer_id AS id, t.name, t.email, t.phone, t.segment, t.lifetime_value, t.branch_name AS branch,
  t.risk_score, strftime(t.joined_date, '%Y-%m-%d') AS joined_date,
- 0 AS accounts_part,
  COALESCE(string_agg(a.account_number || ':' || a.account_type || ':' || CAST(a.balance AS VARCHAR) || ':' || a.status,
    ';' ORDER BY a.account_number, a.account_type, a.balance, a.status), '') AS accounts,
  CAST(count(a.account_number) AS BIGINT) AS n_accounts
@@ -153,6 +196,18 @@ def _customer_accounts_nested(b):
     return lists.render_accounts(lists.customer_accounts_nested(b, segment="gold"))
 
 
+@register("customer_accounts_flat", f"""
+WITH top AS (
+  SELECT * FROM customers WHERE UPPER(segment) = 'GOLD' ORDER BY name NULLS LAST, customer_id LIMIT 200)
+SELECT t.customer_id AS id, t.name, t.email, t.phone, t.segment, t.lifetime_value, t.branch_name AS branch,
+ t.risk_score, strftime(t.joined_date, '%Y-%m-%d') AS joined_date, a.account_number, a.account_type, a.balance,
+ a.status AS account_status
+FROM top t LEFT JOIN accounts a ON a.customer_id = t.customer_id""")
+def _customer_accounts_flat(b):
+    """The same page in its fixed shape: one row per customer and account."""
+    return lists.customer_accounts_flat(b, segment="gold")
+
+
 @register("in_list_filter", """
 WITH top AS (SELECT customer_id FROM customers ORDER BY name NULLS LAST, customer_id LIMIT 200)
 SELECT a.account_number, a.account_type AS type, a.balance, a.status, a.customer_id
@@ -302,17 +357,22 @@ def _loan_recovery(b):
     return metrics.loan_recovery(b)
 
 
-@register("branch_kpi_rollup", """
+@register("branch_kpi_rollup", f"""
 WITH cpb AS (SELECT branch_name, COUNT(*) AS customer_count FROM customers GROUP BY 1),
 lpb AS (SELECT c.branch_name, COUNT(*) AS active_loans FROM loans l JOIN customers c ON l.customer_id = c.customer_id
         WHERE l.status = 'ACTIVE' GROUP BY 1),
 dpb AS (SELECT c.branch_name, SUM(a.balance) AS total_deposits FROM accounts a JOIN customers c ON a.customer_id = c.customer_id
         WHERE a.status = 'ACTIVE' GROUP BY 1),
 tpb AS (SELECT c.branch_name, COUNT(*) AS transaction_count,
-        SUM(CASE WHEN t.status = 'COMPLETED' THEN t.amount END) AS total_revenue
-        FROM transactions t JOIN accounts a ON t.account_number = a.account_number
+        SUM(CASE WHEN t.status = 'COMPLETED' THEN t.amount END) AS total_revenue,
+        SUM(CASE WHEN t.status = 'COMPLETED' AND s >= 0 AND s < {90 * 86400} THEN t.amount END) AS rev_now,
+        SUM(CASE WHEN t.status = 'COMPLETED' AND s >= {90 * 86400} AND s < {180 * 86400} THEN t.amount END) AS rev_then
+        FROM (SELECT *, date_diff('second', timestamp, TIMESTAMP '{AS_OF_TXN}') AS s FROM transactions) t
+        JOIN accounts a ON t.account_number = a.account_number
         JOIN customers c ON a.customer_id = c.customer_id GROUP BY 1)
 SELECT b.branch_id, b.branch_name, b.city, b.manager,
+ CAST(COALESCE(ROUND(100 * (CAST(COALESCE(rev_now, 0) AS DOUBLE) - CAST(rev_then AS DOUBLE)) / CAST(NULLIF(rev_then, 0) AS DOUBLE), 2), 0)
+  AS DECIMAL(12,2)) AS growth_rate,
  CAST(COALESCE(cpb.customer_count, 0) AS BIGINT) AS customer_count,
  CAST(COALESCE(lpb.active_loans, 0) AS BIGINT) AS active_loans,
  CAST(COALESCE(dpb.total_deposits, 0) AS DECIMAL(38,2)) AS total_deposits,
@@ -322,7 +382,7 @@ FROM branch_performance b LEFT JOIN cpb ON b.branch_name = cpb.branch_name
 LEFT JOIN lpb ON b.branch_name = lpb.branch_name LEFT JOIN dpb ON b.branch_name = dpb.branch_name
 LEFT JOIN tpb ON b.branch_name = tpb.branch_name""")
 def _branch_kpi_rollup(b):
-    return metrics.branch_kpi_rollup(b)
+    return metrics.branch_kpi_rollup(b, AS_OF_TXN)
 
 
 # ---------------------------------------------------------------- 2.6 grid
@@ -331,10 +391,19 @@ from ..functions import scalars as S  # noqa: E402
 
 
 @register("grid_sort", """
-SELECT customer_id, name, segment FROM customers ORDER BY name DESC NULLS LAST, customer_id LIMIT 6""")
+SELECT customer_id, name, segment FROM customers ORDER BY name DESC NULLS LAST, customer_id""")
 def _grid_sort(b):
-    return grid.grid_sort(b.customers.select("customer_id", "name", "segment"), "name", False,
-                          "customer_id").limit(6)
+    return grid.grid_sort(b.customers.select("customer_id", "name", "segment"), "name", False, "customer_id")
+
+
+@register("grid_page_after", """
+SELECT alert_id, customer_id, alert_type, risk_score, status FROM fraud_alerts
+WHERE risk_score < 50 OR (risk_score = 50 AND alert_id > 'AL2')
+ORDER BY risk_score DESC NULLS LAST, alert_id LIMIT 6""")
+def _grid_page_after(b):
+    """The page behind a row, at any depth: no offset."""
+    a = b.fraud_alerts.select("alert_id", "customer_id", "alert_type", "risk_score", "status")
+    return grid.grid_page_after(a, "risk_score", False, "alert_id", 50, "AL2")
 
 
 @register("grid_page", """
@@ -973,7 +1042,9 @@ _KEY_CHECKS = [("customers", "customer_id", "primary_key"), ("accounts", "accoun
                ("records", "id", "primary_key"), ("branch_performance", "branch_id", "primary_key"),
                ("fraud_alerts", "alert_id", "primary_key"), ("customers", "email", "unique"),
                ("branch_performance", "branch_name", "unique"), ("customers", "name", "not_null"),
-               ("transactions", "amount", "not_null"), ("records", "email", "not_null")]
+               ("transactions", "amount", "not_null"), ("records", "name", "not_null"), ("records", "email", "not_null"),
+               ("loans", "amount", "not_null"), ("loans", "interest_rate", "not_null"), ("loans", "term_months", "not_null"),
+               ("loans", "emi", "not_null"), ("loans", "remaining_balance", "not_null")]
 
 
 @register("key_constraints_report", "\nUNION ALL\n".join(_pk_sql(*c) for c in _KEY_CHECKS))

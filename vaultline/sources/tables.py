@@ -23,6 +23,24 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
               "benchmark", "labels", "conversations")
 
 
+# Column types of the raw tables the banking tables are derived
+# from. A fixed schema costs no inference job per read.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                 "l_shipdate timestamp_ntz"),
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+}
+
+
 def prefixed(prefix: str, key: Column | str) -> Column:
     """``'CUS' || key`` style identifiers."""
     k = F.col(key) if isinstance(key, str) else key
@@ -47,9 +65,14 @@ class Bank:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            schema = RAW_SCHEMAS.get(name)
+            reader = self.spark.read.schema(schema) if schema else self.spark.read
+            self._raw[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
