@@ -9,6 +9,9 @@ read back; their oracle is the batch SQL of the same rule.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fraud as FR
@@ -20,6 +23,7 @@ from ..sources import batches as B
 from ..sources import ingest as I
 from ..sources import sinks as SK
 from ..sources import stored as ST
+from ..sources.tables import Bank
 from ..streaming import jobs as J
 from .catalog import DAILY_BRANCH_SQL
 from .registry import AS_OF_TXN, register
@@ -226,58 +230,84 @@ def _refresh_daily_branch(b):
 
 # ---------------------------------------------------------------- 2.1 file loads
 
-def _load_inputs(b):
-    """Customers written by Spark as the files of a load: a CSV with some
-    malformed amounts, a JSON and a PARQUET copy, and a CSV with an extra
-    column the destination lacks."""
+def _stage_files(b, *names):
+    """Customers written by Spark as the files of a load: a CSV in two files
+    with reordered columns and some malformed amounts, JSON (one row of one
+    file with a foreign key), PARQUET, and a CSV with a foreign column."""
     root = scratch_path(b.spark, "stage")
     c = b.customers
-    bad = F.substring("customer_id", 4, 20).cast("bigint") % 50 == 0
-    as_text = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns])
-    as_text.withColumn("lifetime_value", F.when(bad, F.lit("n/a")).otherwise(F.col("lifetime_value"))) \
-        .write.option("header", True).csv(f"{root}/customers_csv")
-    c.write.json(f"{root}/customers_json")
-    c.write.parquet(f"{root}/customers_parquet")
-    as_text.withColumn("nickname", F.col("name")).write.option("header", True).csv(f"{root}/customers_extra_csv")
-    return [(f"{root}/customers_csv", "CSV"), (f"{root}/customers_json", "JSON"),
-            (f"{root}/customers_parquet", "PARQUET"), (f"{root}/customers_extra_csv", "CSV")]
+    number = F.substring("customer_id", 4, 20).cast("bigint")
+    text = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns]).withColumn(
+        "lifetime_value", F.when(number % 50 == 0, F.lit("n/a")).otherwise(F.col("lifetime_value")))
+    write = {
+        "customers_csv/a": lambda p: text.filter(number % 2 == 0).coalesce(1).write.option("header", True).csv(p),
+        "customers_csv/b": lambda p: text.filter(number % 2 == 1).select(*reversed(text.columns)).coalesce(1)
+        .write.option("header", True).csv(p),
+        "customers_json": lambda p: c.coalesce(1).write.json(p),
+        "customers_late_json": lambda p: c.withColumn("nickname", F.when(number == 1490, F.col("name"))).coalesce(1).write.json(p),
+        "customers_parquet": lambda p: c.coalesce(1).write.parquet(p),
+        "customers_extra_csv": lambda p: text.withColumn("nickname", F.col("name")).coalesce(1).write.option("header", True).csv(p),
+    }
+    sources = []
+    for name in names:
+        write[name](f"{root}/{name}")
+        sources.append((f"{root}/{name}", "CSV" if "csv" in name else "JSON" if "json" in name else "PARQUET"))
+    return root, sources
+
+
+def _copy(b, *names, skip_header=1):
+    """COPY the named files into a table that holds the frozen customers already."""
+    root, sources = _stage_files(b, *names)
+    table, history = f"{root}/_table", f"{root}/_history"
+    b.customers.filter(F.col("risk_score") > 95).write.parquet(table)
+    return I.copy_into(b.spark, sources, b.customers.schema, root, table, history, now=LOAD_NOW, skip_header=skip_header)
 
 
 GOOD_CSV = "CAST(substr(customer_id, 4) AS BIGINT) % 50 <> 0"
+ODD = "CAST(substr(customer_id, 4) AS BIGINT) % 2"
+HELD = "SELECT * FROM customers WHERE risk_score > 95"
 
 
-@register("copy_into", f"SELECT * FROM customers WHERE {GOOD_CSV}")
+@register("copy_into", f"{HELD} UNION ALL SELECT * FROM customers WHERE {GOOD_CSV}")
 def _copy_into(b):
-    path, fmt = _load_inputs(b)[0]
-    df = I.copy_into(b.spark, path, fmt, b.customers.schema)
-    return I.good_rows(df, b.customers.schema)
+    """Two files with different column orders, appended to what the table holds."""
+    return _copy(b, "customers_csv/a", "customers_csv/b")[0]
 
 
 @register("copy_into_schema_check", f"""
-SELECT * FROM customers WHERE {GOOD_CSV} UNION ALL SELECT * FROM customers UNION ALL SELECT * FROM customers""")
+{HELD} UNION ALL SELECT * FROM customers WHERE {GOOD_CSV} UNION ALL SELECT * FROM customers UNION ALL SELECT * FROM customers
+UNION ALL SELECT * FROM customers WHERE NOT EXISTS (SELECT 1 FROM customers WHERE customer_id = 'CUS1490')""")
 def _copy_into_schema_check(b):
-    """All four files; the one with a foreign column loads nothing."""
-    good, _ = I.load_files(b.spark, _load_inputs(b), b.customers.schema, now=LOAD_NOW)
-    return good
+    """All files; the CSV with a foreign column and the JSON with a foreign
+    key in a late row load nothing."""
+    return _copy(b, "customers_csv/a", "customers_csv/b", "customers_json", "customers_late_json", "customers_parquet",
+                 "customers_extra_csv")[0]
 
 
 def _log_sql(name, fmt, status, rows, errors, message):
-    lid = f"'LD-' || upper(substr(sha256(concat_ws('|', '{name}', '{fmt}', '{LOAD_NOW}')), 1, 8))"
-    return (f"SELECT '{name}' AS file_name, '{fmt}' AS file_format, '@BANKING_STAGE' AS stage, '{status}' AS status, "
+    lid = f"'LD-' || upper(sha256(concat_ws('|', '{name}', '{fmt}', '{LOAD_NOW}')))"
+    return (f"SELECT '{name}' AS file_name, '{fmt}' AS file_format, '@BANKING_STAGE' AS stage, {status} AS status, "
             f"CAST({rows} AS BIGINT) AS rows_loaded, CAST({errors} AS BIGINT) AS errors, {message} AS message, "
             f"{lid} AS load_id, TIMESTAMP '{LOAD_NOW}' AS loaded_at")
 
 
+_N = "(SELECT COUNT(*) FROM customers WHERE {})".format
+_FOREIGN = "'field nickname not found in destination'"
+_LATE = "(SELECT COUNT(*) > 0 FROM customers WHERE customer_id = 'CUS1490')"
+
+
 @register("load_history", "\nUNION ALL\n".join([
-    _log_sql("customers_csv", "CSV", "LOADED", f"(SELECT COUNT(*) FROM customers WHERE {GOOD_CSV})",
-             f"(SELECT COUNT(*) FROM customers WHERE NOT ({GOOD_CSV}))", "CAST(NULL AS VARCHAR)"),
-    _log_sql("customers_json", "JSON", "LOADED", "(SELECT COUNT(*) FROM customers)", "0", "CAST(NULL AS VARCHAR)"),
-    _log_sql("customers_parquet", "PARQUET", "LOADED", "(SELECT COUNT(*) FROM customers)", "0",
-             "CAST(NULL AS VARCHAR)"),
-    _log_sql("customers_extra_csv", "CSV", "FAILED", "0", "0", "'field nickname not found in destination'")]))
+    *[_log_sql(f"customers_csv/{f}/part-00000", "CSV", "'LOADED'", _N(f"{GOOD_CSV} AND {ODD} = {k}"),
+               _N(f"NOT ({GOOD_CSV}) AND {ODD} = {k}"), "CAST(NULL AS VARCHAR)") for k, f in enumerate("ab")],
+    _log_sql("customers_json/part-00000", "JSON", "'LOADED'", _N("true"), "0", "CAST(NULL AS VARCHAR)"),
+    _log_sql("customers_late_json/part-00000", "JSON", f"CASE WHEN {_LATE} THEN 'FAILED' ELSE 'LOADED' END",
+             f"CASE WHEN {_LATE} THEN 0 ELSE {_N('true')} END", "0", f"CASE WHEN {_LATE} THEN {_FOREIGN} END"),
+    _log_sql("customers_parquet/part-00000", "PARQUET", "'LOADED'", _N("true"), "0", "CAST(NULL AS VARCHAR)"),
+    _log_sql("customers_extra_csv/part-00000", "CSV", "'FAILED'", "0", "0", _FOREIGN)]))
 def _load_history(b):
-    _, log = I.load_files(b.spark, _load_inputs(b), b.customers.schema, now=LOAD_NOW)
-    return log
+    """The stored log, one row per file."""
+    return _copy(b, "customers_csv/a", "customers_csv/b", "customers_json", "customers_late_json", "customers_parquet",
+                 "customers_extra_csv")[1]
 
 
 # ---------------------------------------------------------------- 2.11 governance reports
@@ -319,23 +349,19 @@ def _permission_matrix(b):
 
 # ---------------------------------------------------------------- 2.1 stored layout
 
-_STORED: dict = {}
+@lru_cache(8)
+def _stored_root(application: str, sf_dir: str, names: tuple) -> str:
+    """Written once per application and data folder, shared by the queries that read it."""
+    spark = SparkSession.getActiveSession()
+    root = scratch_path(spark, "stored")
+    ST.write_tables(Bank(spark, sf_dir), root, names)
+    return root
 
 
 def _stored(b, names):
     """The banking tables in the stored layout (fixed schemas, transactions
-    partitioned by day), written from the data once per data folder and
-    session, then shared by the queries that read it."""
-    import os
-
-    from ..session import local_dir
-    key = (id(b.spark), b.sf_dir, tuple(names))
-    root = _STORED.get(key)
-    if root is None or (not root.startswith(("s3", "gs", "abfs", "hdfs")) and not os.path.exists(local_dir(root))):
-        root = scratch_path(b.spark, "stored")
-        ST.write_tables(b, root, names)
-        _STORED[key] = root
-    return ST.StoredBank(b.spark, root)
+    partitioned by day)."""
+    return ST.StoredBank(b.spark, _stored_root(b.spark.sparkContext.applicationId, b.sf_dir, tuple(names)))
 
 
 @register("scan_stored_table", "SELECT *, CAST(timestamp AS DATE) AS transaction_date FROM transactions")

@@ -1,11 +1,20 @@
-"""File loads (COPY INTO) with a schema check and a load log.
+"""File loads (COPY INTO) by column name, with a schema check and a stored log.
 
 The reference only simulates loads (a fixed answer of 1245 rows). Here a
-load reads CSV / JSON / PARQUET with the target's fixed schema in
-PERMISSIVE mode, counts good and corrupt rows per input file with one
-aggregation, and appends the good rows to the target. The schema check
-reads file metadata only (CSV header line, parquet footer, the keys of the
-first JSON lines), never a share of the data.
+load takes CSV / JSON / PARQUET files, maps their columns to the target's by
+name, parses every file once into a staging table, logs each file from it,
+and appends the good rows of the accepted files to the target.
+
+A file is refused as a whole when its columns are not the target's:
+
+* CSV with a header line: another set of names (any order is fine). The
+  header is the last of the ``skip_header`` lines; without one
+  (``skip_header=0``) columns go by position.
+* JSON: a key the target lacks, in any row (keys of all rows are checked in
+  the pass that parses them). A missing key is NULL.
+* PARQUET: a column the target lacks, from the file's footer.
+
+Rows that do not parse under the target's types are counted as errors.
 """
 
 from __future__ import annotations
@@ -16,115 +25,184 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 CORRUPT = "_corrupt_record"
 FORMATS = ("CSV", "JSON", "PARQUET")
-JSON_SAMPLE_LINES = 1000
-
-
-def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None, skip_header: int = 1):
-    fmt = fmt.upper()
-    if fmt not in FORMATS:
-        raise ValueError(f"unsupported file format {fmt}")
-    r = spark.read.format(fmt.lower())
-    if schema is not None:
-        if fmt in ("CSV", "JSON"):
-            schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-            r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        r = r.schema(schema)
-    if fmt == "CSV":
-        r = r.option("header", skip_header >= 1)
-    return r
-
-
-def file_columns(spark: SparkSession, path: str, fmt: str) -> list[str]:
-    """Column names a file offers, from metadata or a small sample only."""
-    fmt = fmt.upper()
-    if fmt == "CSV":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    if fmt == "JSON":
-        # top-level keys of the first lines only: a bounded read, however
-        # large the file (a Spark-written JSON file omits NULL fields, so a
-        # key missing from the sample is not an error)
-        keys = (spark.read.text(path).limit(JSON_SAMPLE_LINES)
-                .select(F.explode(F.json_object_keys("value")).alias("k")).distinct())
-        return sorted(r.k for r in keys.collect())
-    return spark.read.parquet(path).columns
-
-
-def schema_check(spark: SparkSession, path: str, fmt: str, target: T.StructType) -> list[str]:
-    """Messages for file columns the destination does not have (empty = ok)."""
-    wanted = {f.name.lower() for f in target.fields}
-    return [f"field {c} not found in destination" for c in file_columns(spark, path, fmt)
-            if c.lower() not in wanted and c != CORRUPT]
-
-
-def copy_into(spark: SparkSession, path: str, fmt: str, target: T.StructType, skip_header: int = 1) -> DataFrame:
-    """Rows of ``path`` under the target schema plus the corrupt-record text
-    (NULL for good rows). Nothing is read until an action runs."""
-    df = _reader(spark, fmt, target, skip_header).load(path)
-    if CORRUPT not in df.columns:
-        df = df.withColumn(CORRUPT, F.lit(None).cast("string"))
-    return df.withColumn("_file", F.input_file_name())
-
-
-def good_rows(df: DataFrame, target: T.StructType) -> DataFrame:
-    """Rows that parsed, under the target schema.
-
-    The predicate also names every target column through a hash that the
-    optimizer cannot fold away (``greatest(0, h) >= 0`` is always true).
-    A bare ``_corrupt_record IS NULL`` would let a count prune the scan to
-    that column alone, which Spark refuses, and with CSV column pruning a
-    bad value in an unread column would go unnoticed. So each row is parsed
-    whole, without caching the input.
-    """
-    cols = [F.col(f.name) for f in target.fields]
-    parsed = F.greatest(F.lit(0).cast("bigint"), F.xxhash64(*cols)) >= 0
-    return df.filter(F.col(CORRUPT).isNull() & parsed).select(*[f.name for f in target.fields])
-
-
-def load_files(spark: SparkSession, files, target: T.StructType, stage: str = "@BANKING_STAGE",
-               now: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Load several (path, format) files. Returns (good rows, load log).
-
-    The log has one row per file: status LOADED or FAILED (schema mismatch),
-    rows_loaded and errors counted by Spark per input file.
-    """
-    now = now or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    loaded, logs = [], []
-    log_schema = ("file_name string, file_format string, stage string, status string, rows_loaded bigint, "
-                  "errors bigint, message string")
-    for path, fmt in files:
-        issues = schema_check(spark, path, fmt, target)
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        if issues:
-            logs.append(spark.createDataFrame([(name, fmt.upper(), stage, "FAILED", 0, 0, "; ".join(issues))],
-                                              log_schema))
-            continue
-        df = copy_into(spark, path, fmt, target)
-        loaded.append(good_rows(df, target))
-        # the good-row count names every target column (a struct is never
-        # NULL), so the scan does not read the corrupt column alone
-        good_row = F.when(F.col(CORRUPT).isNull(), F.struct(*[F.col(f.name) for f in target.fields]))
-        logs.append(df.agg(F.count(good_row).alias("rows_loaded"),
-                           F.count(F.col(CORRUPT)).alias("errors"))
-                    .select(F.lit(name).alias("file_name"), F.lit(fmt.upper()).alias("file_format"),
-                            F.lit(stage).alias("stage"), F.lit("LOADED").alias("status"),
-                            F.col("rows_loaded").cast("bigint"), F.col("errors").cast("bigint"),
-                            F.lit(None).cast("string").alias("message")))
-    good = None
-    for d in loaded:
-        good = d if good is None else good.unionByName(d)
-    if good is None:
-        good = spark.createDataFrame([], target)
-    log = logs[0]
-    for d in logs[1:]:
-        log = log.unionByName(d)
-    log = log.withColumn("load_id", F.concat(F.lit("LD-"), F.upper(F.substring(F.sha2(
-        F.concat_ws("|", "file_name", "file_format", F.lit(now)), 256), 1, 8)))) \
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files under ``path`` (the driver lists names, it reads none)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    it = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while it.hasNext():
+        f = it.next().getPath()
+        if f.getName()[:1] not in ("_", "."):
+            out.append(f.toString())
+    return sorted(out)
+
+
+def first_lines(spark: SparkSession, file: str, n: int) -> list[str]:
+    """The first ``n`` lines of a text file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        lines = [reader.readLine() for _ in range(n)]
+    finally:
+        reader.close()
+    return [x for x in lines if x is not None]
+
+
+def _header(spark: SparkSession, line: str) -> list[str]:
+    """Column names of a header line, by Spark's own CSV reader."""
+    row = spark.read.csv(spark.sparkContext.parallelize([line], 1)).first()
+    return [(v or "").strip() for v in row]
+
+
+def schema_issue(columns: list[str], target: T.StructType, whole: bool) -> str | None:
+    """Why a file with these columns is refused (None: it is not)."""
+    wanted, have = [f.name.lower() for f in target.fields], [c.lower() for c in columns]
+    issues = [f"field {c} not found in destination" for c, low in zip(columns, have, strict=True) if low not in wanted]
+    if whole:
+        issues += [f"field {w} missing in file" for w in wanted if w not in have]
+        issues += [f"field {c} given twice" for c in sorted({c for c in have if have.count(c) > 1})]
+    return "; ".join(issues) or None
+
+
+def _ordered(columns: list[str], target: T.StructType) -> T.StructType:
+    by_name = {f.name.lower(): f for f in target.fields}
+    return T.StructType([by_name[c.lower()] for c in columns])
+
+
+def _file_column() -> F.Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_file")
+
+
+def _out(df: DataFrame, target: T.StructType, corrupt=None, foreign=None) -> DataFrame:
+    return df.select(*[F.col(f.name) for f in target.fields],
+                     (F.lit(None).cast("string") if corrupt is None else corrupt).alias(CORRUPT),
+                     (F.array().cast("array<string>") if foreign is None else foreign).alias("_foreign"), "_file")
+
+
+def _csv(spark: SparkSession, files: list[str], schema: T.StructType, skip: list[str], target: T.StructType) -> DataFrame:
+    """Files with one column order. More than one line to skip: the lines are
+    dropped by their text, at the start of the file only."""
+    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+    if len(skip) <= 1:
+        df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .option("header", bool(skip)).csv(files).select("*", _file_column()))
+    else:
+        text = spark.read.text(files).select("value", "_metadata.file_block_start", _file_column())
+        text = text.filter((F.col("file_block_start") > 0) | ~F.col("value").isin(skip))
+        row = F.from_csv("value", full.simpleString()[7:-1].replace(":", " "),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        df = text.filter(F.length("value") > 0).select(row.alias("r"), "_file").select("r.*", "_file")
+    return _out(df, target, F.col(CORRUPT))
+
+
+def _json(spark: SparkSession, files: list[str], target: T.StructType) -> DataFrame:
+    """One JSON object per line; the keys of every row are kept with it."""
+    full = T.StructType(list(target.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+    text = spark.read.text(files).select("value", _file_column()).filter(F.trim("value") != "")
+    row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    names = F.array(*[F.lit(f.name.lower()) for f in target.fields])
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    foreign = F.filter(keys, lambda k: ~F.array_contains(names, F.lower(k)))
+    return _out(text.select(row.alias("r"), foreign.alias("_x"), "_file").select("r.*", "_x", "_file"), target,
+                F.col(CORRUPT), F.col("_x"))
+
+
+def _parquet(spark: SparkSession, files: list[str], target: T.StructType) -> DataFrame:
+    return _out(spark.read.schema(target).parquet(*files).select("*", _file_column()), target)
+
+
+def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Parse every file of ``sources`` [(path, format)] once.
+
+    Returns (parsed rows, files): the rows are a staging table in the shared
+    folder; files is (_file, file_format, message), with the reason of a
+    refusal that the columns alone give."""
+    target = T.StructType([T.StructField(f.name, f.dataType, True) for f in target.fields])
+    groups, listed = {}, []
+    for path, fmt in sources:
+        fmt = fmt.upper()
+        if fmt not in FORMATS:
+            raise ValueError(f"unsupported file format {fmt}")
+        for file in list_files(spark, path):
+            issue, key = None, (fmt, (), ())
+            if fmt == "CSV" and skip_header:
+                lines = first_lines(spark, file, skip_header)
+                columns = _header(spark, lines[-1]) if len(lines) == skip_header else []
+                issue = schema_issue(columns, target, whole=True)
+                key = (fmt, tuple(columns), tuple(lines))
+            elif fmt == "PARQUET":
+                issue = schema_issue(spark.read.parquet(file).columns, target, whole=False)
+            listed.append((file, fmt, issue))
+            if issue is None:
+                groups.setdefault(key, []).append(file)
+    parsed = spark.createDataFrame([], T.StructType(list(target.fields))).select(
+        "*", F.lit(None).cast("string").alias(CORRUPT), F.array().cast("array<string>").alias("_foreign"),
+        F.lit("").alias("_file"))
+    for (fmt, columns, lines), files in groups.items():
+        if fmt == "CSV":
+            df = _csv(spark, files, _ordered(list(columns), target) if columns else target, list(lines), target)
+        else:
+            df = _json(spark, files, target) if fmt == "JSON" else _parquet(spark, files, target)
+        parsed = parsed.unionByName(df)
+    root = scratch_path(spark, "staged")
+    parsed.write.parquet(root)
+    return (spark.read.schema(parsed.schema).parquet(root),
+            spark.createDataFrame(listed, "_file string, file_format string, message string"))
+
+
+def load_log(parsed: DataFrame, files: DataFrame, root: str, now: str, stage_name: str = "@BANKING_STAGE") -> DataFrame:
+    """One row per file: LOADED or FAILED with the reason, rows and errors.
+    ``file_name`` is the path below ``root``, without Spark's job suffix."""
+    good = F.col(CORRUPT).isNull()
+    found = parsed.groupBy("_file").agg(
+        F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_foreign")))).alias("foreign"))
+    names = F.transform("foreign", lambda k: F.concat(F.lit("field "), k, F.lit(" not found in destination")))
+    message = F.coalesce("message", F.when(F.size("foreign") > 0, F.array_join(names, "; ")))
+    rel = F.regexp_replace(F.substring("_file", len(_normal(root)) + 2, 4096), r"-[0-9a-f]{8}-[0-9a-f-]{27}.*$", "")
+    loaded = message.isNull()
+    log = files.join(found, "_file", "left").select(
+        "_file", rel.alias("file_name"), "file_format", F.lit(stage_name).alias("stage"),
+        F.when(loaded, "LOADED").otherwise("FAILED").alias("status"),
+        F.when(loaded, F.coalesce("good", F.lit(0))).otherwise(0).cast("bigint").alias("rows_loaded"),
+        F.when(loaded, F.coalesce("bad", F.lit(0))).otherwise(0).cast("bigint").alias("errors"), message.alias("message"))
+    return log.withColumn("load_id", F.concat(F.lit("LD-"), F.upper(F.sha2(
+        F.concat_ws("|", "file_name", "file_format", F.lit(now)), 256)))) \
         .withColumn("loaded_at", F.lit(now).cast("timestamp_ntz"))
-    return good, log
 
 
-def append_to(df: DataFrame, target_path: str) -> None:
-    """Append loaded rows to the target table folder."""
-    df.write.mode("append").parquet(target_path)
+def _normal(path: str) -> str:
+    """A path the way ``_file`` shows it."""
+    path = path.rstrip("/")
+    if path.startswith("file:"):
+        return "file:/" + path[5:].lstrip("/")
+    return "file:" + path if path.startswith("/") else path
+
+
+def load_files(spark: SparkSession, sources, target: T.StructType, root: str, stage_name: str = "@BANKING_STAGE",
+               now: str | None = None, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Load [(path, format)]: (good rows of the accepted files, log per file)."""
+    now = now or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    parsed, files = stage(spark, sources, target, skip_header)
+    log = load_log(parsed, files, root, now, stage_name)
+    accepted = log.filter("status = 'LOADED'").select("_file")
+    rows = parsed.filter(F.col(CORRUPT).isNull()).join(accepted, "_file", "left_semi")
+    return rows.select(*[f.name for f in target.fields]), log.drop("_file")
+
+
+def copy_into(spark: SparkSession, sources, target: T.StructType, root: str, table_path: str, history_path: str,
+              now: str | None = None, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Append the good rows to the table folder and the log to the history
+    folder; returns both tables as they are afterwards."""
+    rows, log = load_files(spark, sources, target, root, now=now, skip_header=skip_header)
+    rows.write.mode("append").parquet(table_path)
+    log.write.mode("append").parquet(history_path)
+    return spark.read.schema(rows.schema).parquet(table_path), spark.read.schema(log.schema).parquet(history_path)
