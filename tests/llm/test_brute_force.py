@@ -120,7 +120,7 @@ def simple_removal(rows, length):
 
 @pytest.mark.parametrize("most", [8000, 1])
 def test_suffix_removal(case, most, monkeypatch):
-    """most=1 deals every contested anchor over shards, whose windows then meet again."""
+    """most=1 refines every contested anchor down to single windows."""
     df, rows = case
     monkeypatch.setattr(suffix_dedup, "MAX_FRAGMENTS", most)
     got = tuples(suffix_dedup.removal_report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

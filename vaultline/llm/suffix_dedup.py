@@ -12,14 +12,19 @@ repeat if their anchor does. Hence:
 1. One scan lists every fragment's place, anchor hash and content hash.
 2. Anchors that occur once are dropped (counted by a partial aggregate).
 3. Equal fragments: all but the first are repeats as a whole.
-4. Different fragments of the same anchor are fetched and sorted into shards
-   by anchor; a shard's suffix array is built by two-stage sorting, and equal
-   windows are neighbours with a common prefix of at least ``length``.
-   An anchor with more than ``MAX_FRAGMENTS`` different fragments is dealt
-   over several shards; its windows that are first in their shard meet once
-   more by an aggregate on the window's 128-bit hash, so no task gets an
-   unbounded group and nothing is left out.
-5. Spans meet their documents, which are cut.
+4. Different fragments of the same anchor are fetched. An anchor with more
+   than ``MAX_FRAGMENTS`` of them (a common line in ever new contexts) is
+   refined by content: a window that holds the anchor has at least half of
+   its other bytes on one side of it, so the fragment is split into the
+   windows with more to the right and those with more to the left, and the
+   anchor grows by these bytes. Equal windows get equal grown anchors. Steps 2
+   and 3 follow again, until no anchor is too common; a fragment ends as a
+   single window at the latest, when all that are left are equal. So no group
+   is unbounded, no window is left out, and each round at most doubles rows.
+5. Fragments are sorted into shards by anchor; a shard's suffix array is built
+   by two-stage sorting, and equal windows are neighbours with a common prefix
+   of at least ``length``.
+6. Spans meet their documents, which are cut.
 
 Two-stage sorting: only suffixes smaller than their successors are sorted
 directly (by their first bytes); all others are induced by scanning the
@@ -43,7 +48,7 @@ from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, id_or_null, map_arro
 
 LENGTH = 100
 ANCHOR = 32              # bytes, a power of two
-MAX_FRAGMENTS = 8_000    # different fragments of one anchor in a shard
+MAX_FRAGMENTS = 8_000    # different fragments of one anchor
 SHARD_BYTES = 512 * 1024
 _CHUNK = 1 << 20         # windows looked at at a time
 _FENCE = 0xFF            # never occurs in UTF-8
@@ -119,16 +124,18 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     smaller = np.append(t, np.uint8(0))[nxt + 1] > t
     smaller[nxt == n - 1] = False
     # first stage: sort these directly
-    pick = np.flatnonzero(smaller)
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(depth, np.uint8)]), depth)
-    rows = np.ascontiguousarray(wide[pick]).view(f"S{depth}").ravel()
-    pick = pick[np.argsort(rows, kind="stable")]
-    del rows
+    pick = np.flatnonzero(smaller).astype(np.int32)
+    pick = pick[np.argsort(t[pick], kind="stable")]
     cuts = np.searchsorted(t[pick], np.arange(257))
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(depth, np.uint8)]), depth)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # one bucket's keys at a time
+        if b - a > 1:
+            keys = np.ascontiguousarray(wide[pick[a:b]]).view(f"S{depth}").ravel()
+            pick[a:b] = pick[a:b][np.argsort(keys, kind="stable")]
     # second stage: each suffix in order puts its larger predecessor next in the predecessor's bucket
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if n:
-        waiting[t[n - 1]].append(np.array([n - 1]))  # before the end comes nothing smaller
+        waiting[t[n - 1]].append(np.array([n - 1], np.int32))  # before the end comes nothing smaller
     out = []
     for c in range(256):
         induced = waiting[c]
@@ -213,47 +220,96 @@ def places(docs: DataFrame, length: int, k: int) -> DataFrame:
     return map_arrow(doc_texts(docs), run, f"h long, f long, {KEY_D} long, {KEY_H} long, a long, n int")
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted(h, shards, key, a, n)`` with the fragments' bytes and shard."""
-    per_doc = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("h", "shards", "a", "n")).alias("parts"))
+_PART = f"h long, f long, {KEY_D} long, {KEY_H} long, a long, part binary, core int, size int"
+_PART_COLUMNS = ["h", "f", *KEYS, "a", "part", "core", "size"]
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
+    """``wanted(h, f, key, a, n)`` with the fragments' bytes; ``core`` and
+    ``size`` say where in them the anchor lies."""
+    per_doc = wanted.groupBy(*KEYS).agg(F.collect_set(F.struct("h", "f", "a", "n")).alias("parts"))
 
     def run(batch):
         for d, hk, text, parts in zip(*(batch.column(i) for i in range(4)), strict=True):
             raw, d, hk, parts = text.as_py().encode("utf-8", "surrogatepass"), d.as_py(), hk.as_py(), parts.as_py()
-            salt = xxhash.xxh3_64_intdigest(f"{d}:{hk}".encode())
-            yield {"h": [p["h"] for p in parts], "shards": [p["shards"] for p in parts],
-                   "shard": [salt % p["shards"] for p in parts], KEY_D: [d] * len(parts), KEY_H: [hk] * len(parts),
-                   "a": [p["a"] for p in parts], "part": [raw[p["a"]:p["a"] + p["n"] + length - 1] for p in parts]}
-    return map_arrow(doc_texts(docs).join(per_doc, KEYS).select(*KEYS, "text", "parts"), run,
-                     f"h long, shards int, shard int, {KEY_D} long, {KEY_H} long, a long, part binary")
+            yield {"h": [p["h"] for p in parts], "f": [p["f"] for p in parts], KEY_D: [d] * len(parts),
+                   KEY_H: [hk] * len(parts), "a": [p["a"] for p in parts],
+                   "part": [raw[p["a"]:p["a"] + p["n"] + length - 1] for p in parts],
+                   "core": [-1] * len(parts), "size": [k] * len(parts)}
+    return map_arrow(doc_texts(docs).join(per_doc, KEYS).select(*KEYS, "text", "parts"), run, _PART)
+
+
+def grown(part: bytes, core: int, size: int, length: int) -> list[tuple[int, bytes, int, int, bytes]]:
+    """A fragment split by the side on which its windows have more bytes:
+    (offset, bytes, core, size, core bytes) with the core grown to that side."""
+    rest, n = length - size, len(part) - length + 1
+    right = -(-rest // 2)
+    left = rest - right + 1
+    edge = core - rest + right  # windows from here on have at least `right` bytes behind the core
+    out = []
+    for lo, hi, start, more in ((max(0, edge), n, core, right), (0, min(n, edge), core - left, left)):
+        if lo < hi:
+            end = start + size + more
+            out.append((lo, part[lo:hi - 1 + length], start - lo, size + more, part[start:end]))
+    return out
+
+
+def _refined(hot: DataFrame, length: int, k: int) -> DataFrame:
+    def run(batch):
+        out = {c: [] for c in _PART_COLUMNS}
+        for h, _, d, hk, a, part, core, size in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if core < 0:
+                core = int(anchors(np.frombuffer(part[:length], np.uint8), length, k)[1][0])
+            for at, sub, c, z, grew in grown(part, core, size, length):
+                name = h.to_bytes(8, "little", signed=True) + z.to_bytes(4, "little") + bytes([c == core - at]) + grew
+                for col, v in zip(_PART_COLUMNS, (int.from_bytes(xxhash.xxh3_64_digest(name), "little", signed=True),
+                                                  int.from_bytes(xxhash.xxh3_64_digest(sub), "little", signed=True),
+                                                  d, hk, a + at, sub, c, z), strict=True):
+                    out[col].append(v)
+        return out
+    return map_arrow(hot.select(*_PART_COLUMNS), run, _PART)
+
+
+def _not_too_common(parts: DataFrame, scratch: Scratch, length: int, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """``parts`` with every too common anchor refined, and the spans of
+    fragments that turned out equal on the way."""
+    spans, turn = None, 0
+    while True:
+        hot = scratch.save(parts.groupBy("h").count().where(F.col("count") > MAX_FRAGMENTS).select("h"), f"hot{turn}")
+        if hot.isEmpty():
+            return parts, spans
+        fine = scratch.save(_refined(parts.join(hot, "h"), length, k), f"fine{turn}")
+        pos = F.struct(*KEYS, "a")
+        first = scratch.save(fine.groupBy("h", "f").agg(F.min(pos).alias("first")), f"first{turn}")
+        mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+        kept = (fine.join(first, ["h", "f"]).where(pos == F.col("first")).join(mixed, "h", "left_semi").select(*_PART_COLUMNS))
+        again = fine.join(first, ["h", "f"]).where(pos != F.col("first")).select(
+            *KEYS, F.col("a").alias("s"), (F.col("a") + F.octet_length("part")).alias("e"))
+        again = scratch.save(again, f"again{turn}")
+        spans = again if spans is None else spans.unionByName(again)
+        cold = parts.join(hot, "h", "left_anti").select(*_PART_COLUMNS)
+        turn += 1
+        parts = scratch.save(cold.unionByName(kept), f"parts{turn}")
+        scratch.drop(f"fine{turn - 1}", f"first{turn - 1}", f"parts{turn - 1}")
 
 
 def _sorted_shards(parts: DataFrame, length: int) -> DataFrame:
-    """Repeats found in each shard as spans (key, s, e, no hash), and for anchors
-    in several shards each first window (key, s, e, w1, w2)."""
-    names = (KEY_D, KEY_H, "s", "e", "w1", "w2")
+    """Spans (key, s, e) of windows that repeat within their shard."""
+    names = (KEY_D, KEY_H, "s", "e")
 
     def solve(rows):
-        rows = sorted({(r[3], r[4], r[5]): r for r in rows}.values(), key=lambda r: r[3:6])  # corpus order, once each
-        number, offset, repeats = first_windows([r[6] for r in rows], length)
+        rows = sorted({(r[1], r[2], r[3], r[4]): r for r in rows}.values(), key=lambda r: r[1:4])  # corpus order
+        number, offset, repeats = first_windows([r[4] for r in rows], length)
         out = {c: [] for c in names}
-
-        def add(r, s, e, w1=None, w2=None):
-            for c, v in zip(names, (r[3], r[4], s, e, w1, w2), strict=True):
-                out[c].append(v)
         hit = np.flatnonzero(repeats)
         if len(hit):
             new = np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(number[hit]) > 0)))
             first = hit[new]
             last = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
             for i, j in zip(first.tolist(), last.tolist(), strict=True):
-                r = rows[number[i]]
-                add(r, r[5] + int(offset[i]), r[5] + int(offset[j]) + length)
-        shared = np.array([r[1] > 1 for r in rows])
-        for i in np.flatnonzero(~repeats & shared[number]).tolist():
-            r, o = rows[number[i]], int(offset[i])
-            w = np.frombuffer(xxhash.xxh3_128_digest(r[6][o:o + length]), "<i8")
-            add(r, r[5] + o, r[5] + o + length, int(w[0]), int(w[1]))
+                _, d, hk, a, _ = rows[number[i]]
+                for c, v in zip(names, (d, hk, a + int(offset[i]), a + int(offset[j]) + length), strict=True):
+                    out[c].append(v)
         return out
 
     def run(batches):
@@ -262,19 +318,18 @@ def _sorted_shards(parts: DataFrame, length: int) -> DataFrame:
         arrow = pa.schema([(c, pa.int64()) for c in names])
         rows, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if r[:3] != last and size >= SHARD_BYTES:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if r[0] != last and size >= SHARD_BYTES:
                     yield pa.RecordBatch.from_pydict(solve(rows), schema=arrow)
                     rows, size = [], 0
-                last = r[:3]
+                last = r[0]
                 rows.append(r)
-                size += len(r[6])
+                size += len(r[4])
         if rows:
             yield pa.RecordBatch.from_pydict(solve(rows), schema=arrow)
     small_batches(parts.sparkSession)
-    together = parts.repartition("h", "shard").sortWithinPartitions("h", "shard")
-    return together.select("h", "shards", "shard", *KEYS, "a", "part").mapInArrow(
-        run, ", ".join(f"{c} long" for c in names))
+    together = parts.repartition("h").sortWithinPartitions("h")
+    return together.select("h", *KEYS, "a", "part").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -290,17 +345,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
               .select(*KEYS, F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + length).alias("e")))
     copies = scratch.save(copies, "copies")
     scratch.drop("multi")
-    mixed = reps.where("mixed")
-    shards = mixed.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / MAX_FRAGMENTS).cast("int").alias("shards"))
-    wanted = mixed.join(shards, "h").select("h", "shards", "first.*", "n")
-    found = scratch.save(_sorted_shards(_fetched(docs, wanted, length), length), "found")
+    wanted = reps.where("mixed").select("h", "f", "first.*", "n")
+    parts = scratch.save(_fetched(docs, wanted, length, k), "parts0")
+    parts, equal = _not_too_common(parts, scratch, length, k)
+    found = scratch.save(_sorted_shards(parts, length), "found")
     scratch.drop("reps")
-    spans = found.where("w1 is null").select(*KEYS, "s", "e")
-    loose = found.where("w1 is not null")
-    at = F.struct(*KEYS, "s")
-    first = loose.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = loose.join(first, ["w1", "w2"]).where(at != F.col("first")).select(*KEYS, "s", "e")
-    return copies.unionByName(spans).unionByName(again)
+    out = copies.unionByName(found)
+    return out if equal is None else out.unionByName(equal)
 
 
 def merged(spans) -> list[tuple[int, int]]:
