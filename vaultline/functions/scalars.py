@@ -143,11 +143,6 @@ def growth_sign(rate) -> Column:
     return F.when(_c(rate) >= 0, "UP").otherwise("DOWN")
 
 
-def estimated_tax(amount) -> Column:
-    """CALCULATE_ESTIMATED_TAX(amount FLOAT) = amount * 0.15."""
-    return _c(amount).cast("double") * F.lit(0.15)
-
-
 def credit_risk(score) -> Column:
     """Credit risk procedure as a column: risk_score * 1.25 (float)."""
     return _c(score).cast("double") * F.lit(1.25)
@@ -190,8 +185,3 @@ def mask_email(c) -> Column:
 def mask_digits_keep_last4(c) -> Column:
     """Digit mask of the UI sample: ``1234567890`` -> ``***-***-7890``."""
     return F.regexp_replace(_c(c), r"^\d*(\d{4})$", "***-***-$1")
-
-
-def safe_concat(*cols) -> Column:
-    """CONCAT where NULL parts count as '' (warehouse CONCAT_WS-like)."""
-    return F.concat(*[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols])

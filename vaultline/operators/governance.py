@@ -23,15 +23,22 @@ ROLE_EDGES = [
     ("BANKING_ADMIN", "SYSADMIN"),
 ]
 
-# Grants of the setup script (privilege, object type, object, grantee).
-SETUP_GRANTS = [
-    ("USAGE", "DATABASE", "ENTERPRISE_BANKING_DB", "BANKING_BUSINESS_USER"),
-    ("USAGE", "SCHEMA", "ENTERPRISE_BANKING_DB.BANKING_SCHEMA", "BANKING_BUSINESS_USER"),
-    ("USAGE", "WAREHOUSE", "BANKING_ANALYTICS_WH", "BANKING_BUSINESS_USER"),
-    ("SELECT", "VIEW", "ALL VIEWS IN ENTERPRISE_BANKING_DB.BANKING_SCHEMA", "BANKING_ANALYST"),
-    ("ALL PRIVILEGES", "DATABASE", "ENTERPRISE_BANKING_DB", "BANKING_DATA_ENGINEER"),
-    ("USAGE", "WAREHOUSE", "DATA_INGEST_WH", "BANKING_DATA_ENGINEER"),
-]
+DATABASE, SCHEMA, ANALYTICS_WAREHOUSE, INGEST_WAREHOUSE = "BANK_DB", "BANK_DB.BANK_SCHEMA", "ANALYTICS_WH", "INGEST_WH"
+
+
+def setup_grant_rows(database: str = DATABASE, schema: str = SCHEMA, analytics: str = ANALYTICS_WAREHOUSE,
+                     ingest: str = INGEST_WAREHOUSE) -> list[tuple[str, str, str, str]]:
+    """Grants of the setup script (privilege, object type, object, grantee)
+    for the given object names."""
+    return [
+        ("USAGE", "DATABASE", database, "BANKING_BUSINESS_USER"),
+        ("USAGE", "SCHEMA", schema, "BANKING_BUSINESS_USER"),
+        ("USAGE", "WAREHOUSE", analytics, "BANKING_BUSINESS_USER"),
+        ("SELECT", "VIEW", f"ALL VIEWS IN {schema}", "BANKING_ANALYST"),
+        ("ALL PRIVILEGES", "DATABASE", database, "BANKING_DATA_ENGINEER"),
+        ("USAGE", "WAREHOUSE", ingest, "BANKING_DATA_ENGINEER"),
+    ]
+
 
 # Roles, actions and resources of the API permission check.
 ROLES = ("BANKING_ADMIN", "BANKING_DATA_ENGINEER", "BANKING_ANALYST", "BANKING_BUSINESS_USER")
@@ -43,6 +50,10 @@ FULL_ACCESS_ROLES = ("BANKING_ADMIN", "BANKING_DATA_ENGINEER")
 DEFAULT_POLICY_BRANCH = "Silicon Valley Branch"
 
 
+# Fixed value: a block comment before the first keyword of a statement.
+LEADING_COMMENT = r"^/\*[\s\S]*?\*/"
+
+
 # -- masked view and masking policies -------------------------------------
 
 def secure_customer_view(customers: DataFrame, short: bool = False) -> DataFrame:
@@ -94,21 +105,20 @@ def role_closure(spark: SparkSession, edges: DataFrame | None = None) -> DataFra
     """(role, effective_role, depth): every role a role inherits, itself
     included at depth 0, via a recursive CTE."""
     edges = edges if edges is not None else role_edges(spark)
-    edges.createOrReplaceTempView("_vl_role_edges")
     return spark.sql("""
         WITH RECURSIVE closure(role, effective_role, depth) AS (
-          SELECT child, child, 0 FROM _vl_role_edges
-          UNION SELECT parent, parent, 0 FROM _vl_role_edges
+          SELECT child, child, 0 FROM {edges}
+          UNION SELECT parent, parent, 0 FROM {edges}
           UNION ALL
-          SELECT c.role, e.parent, c.depth + 1 FROM closure c JOIN _vl_role_edges e ON c.effective_role = e.child
+          SELECT c.role, e.parent, c.depth + 1 FROM closure c JOIN {edges} e ON c.effective_role = e.child
         )
-        SELECT role, effective_role, depth FROM closure""")
+        SELECT role, effective_role, depth FROM closure""", edges=edges)
 
 
 def effective_roles(query_log: DataFrame, closure: DataFrame) -> DataFrame:
     """Effective roles of every (user, role) seen in the query log."""
     users = query_log.select("user_name", F.col("role_name").alias("role")).distinct()
-    return users.join(F.broadcast(closure), "role", "inner").select(
+    return users.join(closure, "role", "inner").select(
         "user_name", F.col("role").alias("role_name"), "effective_role", "depth")
 
 
@@ -129,8 +139,8 @@ def grants_report(grants: DataFrame, k: int = 100) -> DataFrame:
             .orderBy("grantee", "object_type", "privilege", "object_name").limit(k))
 
 
-def setup_grants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SETUP_GRANTS, "privilege string, object_type string, object_name string, grantee string")
+def setup_grants(spark: SparkSession, **names) -> DataFrame:
+    return spark.createDataFrame(setup_grant_rows(**names), "privilege string, object_type string, object_name string, grantee string")
 
 
 TABLE_REF = r"(?i)(FROM|INTO|UPDATE)\s+([A-Za-z_]+)"
@@ -181,7 +191,7 @@ def permission_matrix(spark: SparkSession) -> DataFrame:
 
 def statement_verb(text) -> F.Column:
     """First keyword of a statement after a leading block comment, upper."""
-    body = F.trim(F.regexp_replace(F.trim(F.col(text)), r"^/\*[\s\S]*?\*/", ""))
+    body = F.trim(F.regexp_replace(F.trim(F.col(text)), LEADING_COMMENT, ""))
     return F.upper(F.regexp_extract(body, r"^([A-Za-z]+)", 1))
 
 
@@ -189,7 +199,7 @@ def read_only_guard(role, text) -> F.Column:
     """SQL workspace rule: business users refused; analysts only statements
     starting with SELECT or SHOW (after a leading comment); others allowed.
     ``WITH ...`` is refused for analysts, as in the reference."""
-    body = F.upper(F.trim(F.regexp_replace(F.trim(F.col(text)), r"^/\*[\s\S]*?\*/", "")))
+    body = F.upper(F.trim(F.regexp_replace(F.trim(F.col(text)), LEADING_COMMENT, "")))
     ro = body.startswith("SELECT") | body.startswith("SHOW")
     r = F.col(role)
     return (F.when(r.isin("BANKING_BUSINESS_USER", "BUSINESS_USER"), False)
@@ -197,6 +207,17 @@ def read_only_guard(role, text) -> F.Column:
             .otherwise(True))
 
 
+# the resource that guards each table; statements on no table are the workspace's own ("sql")
+TABLE_RESOURCE = {"CUSTOMERS": "customers", "ACCOUNTS": "accounts", "TRANSACTIONS": "transactions", "LOANS": "loans",
+                  "BRANCH_PERFORMANCE": "branches", "FRAUD_ALERTS": "fraud", "QUERY_HISTORY": "query-history"}
+
+
+def statement_resource(text) -> F.Column:
+    """The resource of the first table a statement names, else "sql"."""
+    name = F.upper(F.regexp_extract(F.col(text), TABLE_REF, 2))
+    return F.coalesce(*[F.when(name == t, F.lit(r)) for t, r in TABLE_RESOURCE.items()], F.lit("sql"))
+
+
 VERB_ACTION = {"SELECT": "read", "SHOW": "read", "INSERT": "create", "UPDATE": "update",
                "MERGE": "update", "DELETE": "delete"}
 
@@ -215,10 +236,12 @@ def access_audit(query_log: DataFrame, spark: SparkSession) -> DataFrame:
             .withColumn("guard_allowed", read_only_guard("role_name", "query_text")))
 
 
-def permission_usage(query_log: DataFrame, spark: SparkSession) -> DataFrame:
-    """The permission matrix over the logged statements: (role, action,
-    resource, allowed) with the number of attempts. Partial counts per task
-    before the shuffle; the matrix itself is a broadcast literal."""
-    a = access_audit(query_log, spark)
-    return (a.groupBy(F.col("role_name").alias("role"), "action", "resource", F.col("permitted").alias("allowed"))
-            .agg(F.count(F.lit(1)).alias("attempts")))
+def permission_usage(query_log: DataFrame) -> DataFrame:
+    """The permission rule over the logged statements: (role, action,
+    resource, allowed) with the number of attempts, the resource taken from
+    the table each statement names. Partial counts per task before the shuffle."""
+    verb = statement_verb("query_text")
+    action = F.coalesce(*[F.when(verb == k, F.lit(v)) for k, v in VERB_ACTION.items()], F.lit("update"))
+    a = (query_log.groupBy(F.col("role_name").alias("role"), action.alias("action"),
+                           statement_resource("query_text").alias("resource")).agg(F.count(F.lit(1)).alias("attempts")))
+    return a.withColumn("allowed", permission_allowed("role", "action", "resource"))

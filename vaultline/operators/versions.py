@@ -15,14 +15,22 @@ ordered change log (key, op, payload, change_ts, _seq):
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+RETENTION_DAYS = 14
+
+
 def table_as_of(changes: DataFrame, key: str, as_of: str, ts: str = "change_ts", seq: str = "_seq",
-                op: str = "op") -> DataFrame:
+                op: str = "op", now: str | None = None, retention_days: int = RETENTION_DAYS) -> DataFrame:
+    """The table at ``as_of``. With ``now``, a time further back than the
+    retention is refused, as the warehouse does."""
+    if now is not None and dt.datetime.fromisoformat(as_of) < dt.datetime.fromisoformat(now) - dt.timedelta(days=retention_days):
+        raise ValueError(f"{as_of} is more than {retention_days} days before {now}")
     payload = [c for c in changes.columns if c not in (key, ts, seq, op)]
     c = changes.filter(F.col(ts) <= F.lit(as_of).cast(changes.schema[ts].dataType))
     w = c.groupBy(key).agg(F.max(F.struct(ts, seq, op, *payload)).alias("_w"))

@@ -533,11 +533,18 @@ _fn("fn_default",
              S.default_if_blank("status", "COMPLETED").alias("status")])
 
 
-@register("fn_now")
+@register("fn_now", """
+SELECT id, true AS today_is_now, updated_at IS NOT NULL AS kept_stored, true AS default_is_now, created_at AS stored_wins FROM records""")
 def _fn_now(b):
-    """CURRENT_DATE / CURRENT_TIMESTAMP defaults (non-deterministic: row check only)."""
-    return b.records.select("id", F.coalesce("updated_at", F.localtimestamp()).alias("updated_at"),
-                            F.current_date().alias("today"))
+    """CURRENT_DATE / CURRENT_TIMESTAMP defaults, as facts that hold at any
+    time: today is the date of now, a stored value is kept, a missing one
+    becomes now."""
+    now = F.localtimestamp()
+    filled = F.coalesce("updated_at", now)
+    return b.records.select(
+        "id", (F.current_date() == F.to_date(now)).alias("today_is_now"), F.col("updated_at").isNotNull().alias("kept_stored"),
+        F.when(F.col("updated_at").isNull(), filled == now).otherwise(filled == F.col("updated_at")).alias("default_is_now"),
+        F.coalesce("created_at", now).alias("stored_wins"))
 
 
 # ---------------------------------------------------------------- 2.11 governance
@@ -986,32 +993,36 @@ def _update_loans_keep_due(b):
     return C.update_loans(b.loans, B.loan_changes(b), b.customers).next
 
 
-@register("delete_cascade", """
-SELECT * FROM transactions WHERE account_number NOT IN (SELECT account_number FROM accounts WHERE status = 'FROZEN')""")
-def _delete_cascade(b):
-    """Delete the FROZEN accounts; their transactions go with them."""
-    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
-    keys = b.accounts.filter(F.col("status") == "FROZEN").select("account_number")
-    return C.delete_cascade(tables, "accounts", keys)["transactions"]
-
-
-@register("delete_cascade_transactions", """
-SELECT * FROM fraud_alerts WHERE transaction_id NOT IN (SELECT transaction_id FROM transactions WHERE status = 'FAILED')""")
-def _delete_cascade_transactions(b):
-    """Delete the FAILED transactions; their fraud alerts go with them."""
-    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
-    keys = b.transactions.filter(F.col("status") == "FAILED").select("transaction_id")
-    return C.delete_cascade(tables, "transactions", keys)["fraud_alerts"]
-
-
-@register("delete_cascade_customers", """
-SELECT * FROM accounts WHERE customer_id NOT IN (SELECT customer_id FROM customers WHERE risk_score > 95)""")
-def _delete_cascade_customers(b):
-    """Delete the customers above risk 95; their accounts go with them (one
-    level: their transactions stay, shown as 'Unknown' by the lists)."""
-    tables = {n: b.table(n) for n in ("customers", "accounts", "transactions", "fraud_alerts")}
-    keys = b.customers.filter(F.col("risk_score") > 95).select("customer_id")
-    return C.delete_cascade(tables, "customers", keys)["accounts"]
+_DELETE_KEYS = {
+    "accounts": ("account_number", "status = 'FROZEN'"), "transactions": ("transaction_id", "status = 'FAILED'"),
+    "customers": ("customer_id", "risk_score > 95"), "loans": ("loan_id", "status = 'FULLY_PAID'"),
+    "branch_performance": ("branch_id", "city = 'ASIA'"), "fraud_alerts": ("alert_id", "status = 'DISMISSED'"),
+    "records": ("id", "name LIKE '%/en/%'"),
+}
+
+
+def _deleted(table, out):
+    """``out`` after the rows of ``table`` that match its condition, and their direct children, are gone."""
+    def run(b):
+        tables = {n: b.table(n) for n in _DELETE_KEYS}
+        pk, cond = _DELETE_KEYS[table]
+        return C.delete_cascade(tables, table, tables[table].filter(cond).select(pk))[out]
+    run.__doc__ = f"Delete from {table}; what is left of {out}."
+    return run
+
+
+def _deleted_sql(table, out, child_key=None):
+    pk, cond = _DELETE_KEYS[table]
+    return f"SELECT * FROM {out} WHERE {child_key or pk} NOT IN (SELECT {pk} FROM {table} WHERE {cond})"
+
+
+for _name, _table, _out in [
+        ("delete_cascade", "accounts", "transactions"), ("delete_cascade_transactions", "transactions", "fraud_alerts"),
+        ("delete_cascade_customers", "customers", "accounts"), ("delete_accounts", "accounts", "accounts"),
+        ("delete_transactions", "transactions", "transactions"), ("delete_customers", "customers", "customers"),
+        ("delete_loans", "loans", "loans"), ("delete_branches", "branch_performance", "branch_performance"),
+        ("delete_fraud_alerts", "fraud_alerts", "fraud_alerts"), ("delete_records", "records", "records")]:
+    register(_name, _deleted_sql(_table, _out))(_deleted(_table, _out))
 
 
 @register("orphan_report", """

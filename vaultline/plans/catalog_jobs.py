@@ -155,8 +155,11 @@ def _as_of_sql(as_of):
   FROM ({CHANGE_LOG_SQL}) log WHERE change_ts <= TIMESTAMP '{as_of}') r WHERE rn = 1 AND op <> 'DELETE'"""
 
 
+NOW = "2024-01-24 00:00:00"
+
+
 def _as_of(b, as_of):
-    return V.table_as_of(B.account_change_log(b), "account_number", as_of)
+    return V.table_as_of(B.account_change_log(b), "account_number", as_of, now=NOW)
 
 
 @register("hourly_deposits", f"""
@@ -319,7 +322,7 @@ FROM query_log WHERE regexp_extract(query_text, '(?i)(FROM|INTO|UPDATE)\\s+([A-Z
 
 
 def _grants_values_sql():
-    rows = ", ".join(f"('{p}', '{t}', '{n}', '{g}')" for p, t, n, g in G.SETUP_GRANTS)
+    rows = ", ".join(f"('{p}', '{t}', '{n}', '{g}')" for p, t, n, g in G.setup_grant_rows())
     return f"SELECT * FROM (VALUES {rows}) v(privilege, object_type, object_name, grantee)"
 
 
@@ -331,20 +334,26 @@ def _grants_report(b):
     return G.grants_report(grants)
 
 
-@register("permission_matrix", """
-WITH v AS (SELECT *, upper(regexp_extract(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', '')),
-   '^([A-Za-z]+)', 1)) AS verb FROM query_log),
-a AS (SELECT role_name, CASE verb WHEN 'SELECT' THEN 'read' WHEN 'SHOW' THEN 'read' WHEN 'INSERT' THEN 'create'
-   WHEN 'UPDATE' THEN 'update' WHEN 'MERGE' THEN 'update' WHEN 'DELETE' THEN 'delete' ELSE 'update' END AS action FROM v)
-SELECT role_name AS role, action, 'sql' AS resource,
+_ACTION_SQL = """CASE upper(regexp_extract(trim(regexp_replace(trim(query_text), '^/\\*[\\s\\S]*?\\*/', '')), '^([A-Za-z]+)', 1))
+   WHEN 'SELECT' THEN 'read' WHEN 'SHOW' THEN 'read' WHEN 'INSERT' THEN 'create'
+   WHEN 'UPDATE' THEN 'update' WHEN 'MERGE' THEN 'update' WHEN 'DELETE' THEN 'delete' ELSE 'update' END"""
+
+
+@register("permission_matrix", f"""
+WITH a AS (SELECT role_name, {_ACTION_SQL} AS action,
+  CASE upper(regexp_extract(query_text, '(?i)(FROM|INTO|UPDATE)\\s+([A-Za-z_]+)', 2)) WHEN 'CUSTOMERS' THEN 'customers'
+   WHEN 'ACCOUNTS' THEN 'accounts' WHEN 'TRANSACTIONS' THEN 'transactions' WHEN 'LOANS' THEN 'loans'
+   WHEN 'BRANCH_PERFORMANCE' THEN 'branches' WHEN 'FRAUD_ALERTS' THEN 'fraud' WHEN 'QUERY_HISTORY' THEN 'query-history'
+   ELSE 'sql' END AS resource FROM query_log)
+SELECT role_name AS role, action, resource,
  CASE WHEN role_name = 'BANKING_ADMIN' THEN true
-      WHEN role_name = 'BANKING_DATA_ENGINEER' THEN action <> 'delete'
-      WHEN role_name = 'BANKING_ANALYST' THEN action = 'read'
-      ELSE false END AS allowed,
+      WHEN role_name = 'BANKING_DATA_ENGINEER' THEN action <> 'delete' AND resource <> 'security'
+      WHEN role_name = 'BANKING_ANALYST' THEN action = 'read' AND resource NOT IN ('security', 'monitoring', 'upload', 'recovery')
+      ELSE resource = 'dashboard' AND action = 'read' END AS allowed,
  COUNT(*) AS attempts
 FROM a GROUP BY 1, 2, 3, 4""")
 def _permission_matrix(b):
-    return G.permission_usage(b.query_log, b.spark)
+    return G.permission_usage(b.query_log)
 
 
 # ---------------------------------------------------------------- 2.1 stored layout

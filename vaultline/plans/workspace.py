@@ -11,7 +11,9 @@ import re
 
 from pyspark.sql import DataFrame
 
-_LEADING_COMMENT = re.compile(r"^/\*[\s\S]*?\*/")
+from ..operators.governance import LEADING_COMMENT
+
+_LEADING_COMMENT = re.compile(LEADING_COMMENT)
 
 
 class WorkspaceDenied(PermissionError):
@@ -21,16 +23,16 @@ class WorkspaceDenied(PermissionError):
 def check_guard(role: str, text: str) -> None:
     """Business users are refused; analysts may run SELECT/SHOW only."""
     if role in ("BANKING_BUSINESS_USER", "BUSINESS_USER"):
-        raise WorkspaceDenied("SQL Workspace is restricted for Business Users.")
+        raise WorkspaceDenied(f"role {role} has no SQL workspace")
     if role in ("BANKING_ANALYST", "ANALYST"):
         body = _LEADING_COMMENT.sub("", text.strip()).strip().upper()
         if not (body.startswith("SELECT") or body.startswith("SHOW")):
-            raise WorkspaceDenied("Analysts are restricted to read-only SELECT or SHOW queries.")
+            raise WorkspaceDenied(f"role {role} may only run SELECT and SHOW")
 
 
 def sql_workspace(bank, text: str, args=None, role: str = "BANKING_ADMIN") -> DataFrame:
     if not text or not text.strip():
-        raise ValueError("SQL query text is required.")
+        raise ValueError("empty statement")
     check_guard(role, text)
     bank.register_views()
     return bank.spark.sql(text.strip().rstrip(";"), args=list(args) if args is not None else None)

@@ -52,35 +52,40 @@ def get_session(master: str | None = None, app: str = "vaultline",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) do we create one.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
+    as is; without it a job can't start, since executors could not read what
+    the driver's disk holds. Only a local master (tests) gets a folder here.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - older API
-            root = None
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vaultline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(root)
-    except Exception:  # pragma: no cover
-        pass
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 
+_SCRATCH: dict[str, set[str]] = {}  # by application, so that nothing outlives its session
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint root."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/vaultline/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vaultline/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme so Python can look at a local path."""
-    return path[5:] if path.startswith("file:") else path
+def cleanup_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder this application made. Call it when no
+    result that reads one is needed any more; returns how many there were."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "local_dir"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "scratch_path", "cleanup_scratch"]
