@@ -7,7 +7,7 @@
    of 0.8 two lines share at least one of 7 bands of 3 rows with probability
    0.993, at 0.9 with 0.9999.
 3. Lines of a band bucket are compared with two leaders of the bucket, its
-   lowest and highest by a hash, so a large bucket gives a linear number of
+   lowest and highest line number, so a large bucket gives a linear number of
    pairs, and a group's buckets mostly give the same ones; leaders come from a
    partial aggregate and meet the rows in an equi-join that Spark can split.
    Lines that match neither leader meet again in finer buckets, which add one
@@ -36,7 +36,7 @@ from .components import connected
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 3
-_CHUNK = 1_000_000  # characters hashed at a time
+_CHUNK = 1 << 16  # characters hashed at a time: the arrays stay in the processor's cache
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -49,6 +49,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _rolled(code: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hash of every run of k codes: powers of two double, then they are put together."""
+    power, width, part = 0x9E3779B97F4A7C15, 1, code
+    done, have = None, 0
+    while width <= k:
+        if k & width:
+            if done is None:
+                done, have = part, width
+            else:
+                m = len(code) - have - width + 1
+                done, have = part[:m] * np.uint64(pow(0x9E3779B97F4A7C15, have, 2**64)) + done[width:width + m], have + width
+        if width * 2 <= k:
+            part = part[:-width] * np.uint64(power) + part[width:]
+            power = power * power % 2**64
+        width *= 2
+    return done
+
+
 def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(len(lines), bands) bucket keys; equal shingle sets have equal keys."""
     out = np.empty((len(lines), bands), np.int64)
@@ -69,16 +87,15 @@ def _band_keys(lines, k, bands, rows):
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lens = np.fromiter(map(len, padded), np.int64, len(padded))
     ends = np.cumsum(lens)
-    h = np.zeros(len(code) - k + 1, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j:len(code) - k + 1 + j]
-    line = np.repeat(np.arange(len(lines)), lens)[:len(h)]
-    inside = np.arange(len(h)) + k <= ends[line]
-    h, line = _mix(h[inside]), line[inside]
-    slot = line * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    low = np.full(len(lines) * bins, _EMPTY)
-    np.minimum.at(low, slot, h)
-    low = low.reshape(-1, bins)
+    h = _mix(_rolled(code, k))
+    slot = (h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
+    # shingles that reach into the next line go to a slot of their own
+    slot += np.repeat(np.arange(len(lines), dtype=np.uint64) * np.uint64(bins), lens)[:len(h)]
+    over = (ends - k + 1)[:-1, None] + np.arange(k - 1)
+    slot[over.ravel()] = len(lines) * bins
+    low = np.full(len(lines) * bins + 1, _EMPTY)
+    np.minimum.at(low, slot.view(np.int64), h)
+    low = low[:-1].reshape(-1, bins)
     for turn in range(1, 4 * bins):  # fill empty bins from bins picked by a fixed hash
         r, c = np.nonzero(low == _EMPTY)
         if not len(r):
@@ -100,6 +117,28 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def packed(line: str, k: int = SHINGLE) -> tuple[bool, frozenset]:
+    """(narrow, shingle set). For k = 8 and code points below 256 a shingle
+    is exactly a 64-bit number, which is quicker to make than a string."""
+    if k == 8 and len(line) >= k:
+        try:
+            raw = np.frombuffer(line.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return False, shingles(line, k)
+        eight = np.lib.stride_tricks.sliding_window_view(raw, k)
+        return True, frozenset(np.ascontiguousarray(eight).view(np.uint64).ravel().tolist())
+    return False, shingles(line, k)
+
+
+def similar(x: str, a: tuple, y: str, b: tuple, k: int, least: float) -> bool:
+    """Exact: the Jaccard similarity of lines x and y, packed as a and b, is at least ``least``."""
+    if min(len(a[1]), len(b[1])) < least * max(len(a[1]), len(b[1])):
+        return False
+    if a[0] != b[0]:
+        return jaccard(shingles(x, k), shingles(y, k)) >= least
+    return jaccard(a[1], b[1]) >= least
+
+
 def _id128(line: str) -> tuple[int, int]:
     d = np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8")
     return int(d[0]), int(d[1])
@@ -179,13 +218,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFra
             .join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
     def run(batch):
-        kept: dict[str, frozenset] = {}  # the last leader's shingles: its pairs mostly come together
-        same = []
+        last, kept, same = None, None, []  # a leader's pairs mostly come together
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            # a set has at most as many shingles as the line has places, and at least those of its share
-            if x not in kept:
-                kept = {x: shingles(x, k)}
-            same.append(len(kept[x]) * least <= max(1, len(y) - k + 1) and jaccard(kept[x], shingles(y, k)) >= least)
+            if x != last:
+                last, kept = x, packed(x, k)
+            # a line has at most as many different shingles as places for one
+            same.append(len(kept[1]) * least <= max(1, len(y) - k + 1) and similar(x, kept, y, packed(y, k), k, least))
         return {"a": batch.column(0), "b": batch.column(1), "same": same}
     return map_arrow(both, run, "a long, b long, same boolean")
 
@@ -193,34 +231,34 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFra
 def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
     """Verified links (a, b) between the distinct ``lines`` (line, first, bands)."""
     bands = F.array(*[F.col(f"b{i}") for i in range(BANDS)])
-    member = lines.select("line", F.posexplode(bands).alias("upto", "bucket"))
+    member = lines.select("line", F.explode(bands).alias("bucket"))
     found, texts, turn = None, None, 0
     while True:
-        pick = F.xxhash64("line")
-        leaders = (member.groupBy("bucket").agg(F.min_by("line", pick).alias("a1"), F.max_by("line", pick).alias("a2"))
-                   .where("a1 != a2"))
+        leaders = member.groupBy("bucket").agg(F.min("line").alias("a1"), F.max("line").alias("a2")).where("a1 != a2")
         joined = scratch.save(member.join(leaders, "bucket"), f"joined{turn}")
         if turn:
             scratch.drop(f"bands{turn}")
         if texts is None:
             wanted = joined.select("line").distinct().join(lines.select("line", "first.*"), "line")
             texts = scratch.save(_texts_of(docs, wanted).dropDuplicates(["line"]), "texts")
-        pairs = (joined.select("line", F.explode(F.array("a1", "a2")).alias("a")).where("a != line")
-                 .select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct())
+        first, second = joined.where("line != a1"), joined.where("line != a1 and line != a2")
+        pairs = (first.select(F.col("a1").alias("a"), F.col("line").alias("b"))
+                 .unionByName(second.select(F.col("a2").alias("a"), F.col("line").alias("b"))).distinct())
         checked = scratch.save(_verify(pairs, texts, k, least), f"checked{turn}")
         good = checked.where("same").select("a", "b")
         found = good if found is None else found.unionByName(good)
-        # who matched neither leader meets the others of its bucket that did not, if a further band agrees
-        pair = lambda x: [F.least(x, "line"), F.greatest(x, "line")]
-        rest = joined.where("line != a1 and line != a2")
-        for x in ("a1", "a2"):
-            ok = good.select(F.col("a").alias("p"), F.col("b").alias("q"))
-            lo, hi = pair(x)
-            rest = rest.join(ok, (lo == F.col("p")) & (hi == F.col("q")), "left_anti")
-        turn += 1
-        finer = (rest.select("line", "bucket", "upto").join(lines.select("line", bands.alias("bands")), "line")
-                 .select("line", "bucket", "upto", F.posexplode("bands").alias("next", "band")).where("next > upto")
+        # who matched neither leader meets the others of its bucket that did not, if a further band agrees.
+        # A line has at most two leaders per bucket, so the set of those it matched is small.
+        matched = good.groupBy(F.col("b").alias("line")).agg(F.collect_set("a").alias("with"))
+        rest = second.join(matched, "line", "left").where(
+            F.col("with").isNull() | ~(F.array_contains("with", F.col("a1")) | F.array_contains("with", F.col("a2"))))
+        own = lines.select("line", bands.alias("bands"))
+        rest = rest.select("line", "bucket", *(["upto"] if turn else [])).join(own, "line")
+        if not turn:
+            rest = rest.withColumn("upto", F.array_position("bands", F.col("bucket")).cast("int") - 1)
+        finer = (rest.select("line", "bucket", "upto", F.posexplode("bands").alias("next", "band")).where("next > upto")
                  .select("line", F.col("next").alias("upto"), F.xxhash64("bucket", "band").alias("bucket")))
+        turn += 1
         member = scratch.save(finer, f"bands{turn}")
         scratch.drop(f"joined{turn - 1}")
         if member.isEmpty():

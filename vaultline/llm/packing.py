@@ -37,8 +37,9 @@ from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, id_or_null, map_arro
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-_WORDS_KEPT = 500_000
-_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+_WORDS_KEPT = 1_000_000  # about 200 MB in each Python worker at most
+# UTF-8 of ASCII and Latin-1 letters with at most one mark behind them
+_SIMPLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").fullmatch
 _SEPARATOR = "<|startoftext|>"  # a special token: splits a text before anything else is applied
 
 
@@ -54,40 +55,48 @@ class WordEncoder:
         self.sep = self.tok.token_to_id(_SEPARATOR)
         self.closes = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._ids(m.decode()).tobytes() for m in (b"", b".", b",")}
-        self.seen: dict[bytes, bytes] = {}
+        self.marks = {m: self._ids(m.decode()).tobytes() for m in (b"", b".", b",")}  # by the mark behind a word
+        self.seen: dict[bytes, bytes] = {}   # words as they stand
+        self.bases: dict[bytes, bytes] = {}  # their letters in lower case
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, bases, plain = {}, {}, []
+        out, todo, plain, known, marks = {}, {}, [], self.bases, self.marks
         for w in words:
-            t = w.decode()
-            if _SIMPLE.fullmatch(t):
-                # letters are one pre-token, in lower case, and a mark after them is another
-                mark = w[-1:] if t[-1] in ".," else b""
-                base = w[:-1].lower() if mark else w.lower()
-                if base in self.seen:
-                    out[w] = self.seen[base] + self.marks[mark]
+            if _SIMPLE(w):
+                # letters are one pre-token, in lower case, and a mark behind them is another
+                mark = w[-1:]
+                if mark in marks:
+                    base = w[:-1].lower()
                 else:
-                    bases.setdefault(base, []).append((w, mark))
-            elif "<|" in t:
-                out[w] = self._ids(t).tobytes()
+                    base, mark = w.lower(), b""
+                if base in known:
+                    out[w] = known[base] + marks[mark]
+                elif base in todo:
+                    todo[base].append((w, mark))
+                else:
+                    todo[base] = [(w, mark)]
+            elif b"<|" in w:
+                out[w] = self._ids(w.decode()).tobytes()
             else:
                 plain.append(w)
-        todo = list(bases)
-        for at in range(0, len(todo), 5_000):
-            part = todo[at:at + 5_000]
+        names = list(todo)
+        for at in range(0, len(names), 5_000):
+            part = names[at:at + 5_000]
             ids = self._ids(b" ".join(part).decode())
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()  # one word-end piece closes each pre-token
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()  # one word-end piece closes each pre-token
             if len(ends) != len(part):  # not the vocabulary this rule is for
-                plain += [w for base in part for w, _ in bases[base]]
+                plain += [w for base in part for w, _ in todo[base]]
                 continue
+            raw, keep = ids.tobytes(), len(known) < _WORDS_KEPT
             for base, i, j in zip(part, [0, *ends], ends, strict=False):
-                out[base] = ids[i:j].tobytes()
-                for w, mark in bases[base]:
-                    out[w] = out[base] + self.marks[mark]
+                coded = raw[i:j]
+                if keep:
+                    known[base] = coded
+                for w, mark in todo[base]:
+                    out[w] = coded + marks[mark] if mark else coded
         for at in range(0, len(plain), 5_000):
             part = plain[at:at + 5_000]
             ids = self._ids(_SEPARATOR.join(w.decode() for w in part))
@@ -99,7 +108,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         docs = [t.encode().split() for t in texts]
         seen = self.seen
-        new = self._new([w for w in set().union(*docs) if w not in seen]) if docs else {}
+        new = self._new(list(set().union(*docs).difference(seen)))
         if new and len(seen) < _WORDS_KEPT:
             seen.update(new)
             new = {}
@@ -122,9 +131,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
     def run(batch):
         texts = batch.column(2).to_pylist()
-        for at in range(0, len(texts), 500):
+        for at in range(0, len(texts), 2000):
             rows = {c: [] for c in (KEY_D, KEY_H, "piece", "start", "length", "ids_crc32")}
-            for j, ids in enumerate(encoder(tokenizer).encode(texts[at:at + 500])):
+            for j, ids in enumerate(encoder(tokenizer).encode(texts[at:at + 2000])):
                 ids += end
                 for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[s:s + 4 * capacity]
