@@ -55,10 +55,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema) -> DataFrame:
     """``fn`` turns each Arrow batch into column dicts (arrays or lists).
 
-    Types come from ``schema``. Batches hold at most
+    Types come from ``schema`` (a StructType or DDL). Batches hold at most
     ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes (plus one row), which
     bounds a worker's memory; where nobody set it, ``BATCH_BYTES`` is used.
     """
@@ -66,7 +66,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    target = StructType.fromDDL(schema)
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
 
     def run(batches):

@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
     bad = hits(docs, benchmark, window, block).where(F.size("spans") > 0).select(*KEYS)
-    return keyed(docs).join(bad, KEYS, "left_anti").select(*docs.columns)
+    return keyed(docs).join(bad, KEYS, "left_anti").drop(*KEYS)
 
 
 # DuckDB form of contamination(); the word classes match the contract's bytes.

@@ -23,6 +23,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, small_batches
 
@@ -164,7 +165,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, m
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(kept columns, lang_pred, score) of every row; reads only the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema if f.name in keep]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]
+                          + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     src = docs.select(*keep, "text")
 
     def run(batch):
@@ -172,8 +174,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         got = [m.predict(t) if t is not None else (UNDETERMINED, 0.0) for t in batch.column(len(keep)).to_pylist()]
         return {**{c: batch.column(i) for i, c in enumerate(keep)},
                 "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
-    ddl = ", ".join([f"`{c}` {next(f for f in fields if f.name == c).dataType.simpleString()}" for c in keep])
-    return map_arrow(src, run, f"{ddl}, lang_pred string, score double")
+    return map_arrow(src, run, schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

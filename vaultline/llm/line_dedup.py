@@ -29,6 +29,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, keyed, map_arrow
 from .components import connected
@@ -286,10 +287,12 @@ def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scrat
 
 def _rebuilt(docs: DataFrame, k: int, least: float) -> DataFrame:
     """``docs`` with new text and the counts ``__llm_lines``, ``__llm_gone``."""
-    joined = keyed(docs).join(removals(docs, k, least), KEYS, "left").drop(*KEYS)
+    gone = removals(docs, k, least).withColumnRenamed("gone", "__llm_numbers")
+    joined = keyed(docs).join(gone, KEYS, "left").drop(*KEYS)
     docs_cols = docs.columns
     at = docs_cols.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]
+                          + [T.StructField(c, T.LongType()) for c in ("__llm_lines", "__llm_gone")])
 
     def run(batch):
         n, removed, text = [], [], []
@@ -301,15 +304,16 @@ def _rebuilt(docs: DataFrame, k: int, least: float) -> DataFrame:
             text.append("\n".join(x for i, x in enumerate(split) if i not in gone) if gone else t)
         cols = {c: batch.column(i) for i, c in enumerate(docs_cols)}
         return {**cols, "text": text, "__llm_lines": n, "__llm_gone": removed}
-    return map_arrow(joined, run, f"{schema}, __llm_lines long, __llm_gone long")
+    return map_arrow(joined, run, schema)
 
 
 def dedup_lines(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines removed; ``n_chars``, if there, follows the text."""
-    out = _rebuilt(docs, k, least).select(*docs.columns)
+    own = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    out = _rebuilt(docs, k, least).select(*own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own)
 
 
 def line_report(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

@@ -116,4 +116,4 @@ def keep_first(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
     # simhash_groups keeps fingerprints of any radius; only winners' keys join the texts
     g = simhash_groups(docs, k, max_bits)
     winners = g.select(F.col("low_d").alias(KEY_D), F.col("low_h").alias(KEY_H)).distinct()
-    return (keyed(docs).join(winners, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns))
+    return (keyed(docs).join(winners, KEYS, "left_semi").dropDuplicates(KEYS).drop(*KEYS))
