@@ -7,9 +7,8 @@ its pre-tokens: runs of space marks with what follows, and newlines.
 
 1. Each task emits the distinct pre-tokens of its rows; they meet in one
    aggregate, and the pieces of each distinct pre-token are counted once.
-2. Per-document pre-token frequencies join these counts. The pre-tokens that
-   occur in most places ("head", at most ``head`` entries of bounded length)
-   are joined inside the scan from a broadcast table; this keeps every
+2. Per-document pre-token frequencies join these counts. The most frequent
+   pre-tokens ("head", at most ``head`` entries of bounded length) are joined inside the scan from a broadcast table; this keeps every
    frequent key out of the shuffle. All others are joined by an equi-join on
    the pre-token.
 3. Frequencies times counts are summed per document.
@@ -62,8 +61,8 @@ def count_pieces(sp, pre: list[str]) -> list[int]:
 
 
 def vocabulary(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(pre, places, pieces) of every distinct pre-token; ``places`` counts
-    the scan batches that hold it."""
+    """(pre, places, pieces) of every distinct pre-token; ``places`` is how
+    often it occurs."""
     def distinct(batch):
         seen: Counter = Counter()
         for t in batch.column(2).to_pylist():
@@ -82,12 +81,25 @@ def vocabulary(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return map_arrow(once, count, "pre string, places long, pieces long")
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, the most frequent ones: all whose frequency class
+    (a sixteenth of a power of two) is above the cut that a histogram of the
+    classes gives. Only these rows are ever collected, from any number of tasks."""
+    level = F.floor(16 * F.log2("places")).cast("int")
+    total, cut = 0, None
+    for r in sorted(vocab.groupBy(level.alias("level")).count().collect(), reverse=True):  # about a thousand classes
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["level"]
+    return vocab.where(F.lit(False) if cut is None else level >= cut)
+
+
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per document row."""
     spark = docs.sparkSession
     vocab = Scratch(spark, "tokens").save(vocabulary(docs, model), "vocabulary")
-    top = (vocab.where(F.char_length("pre") <= HEAD_CHARS).orderBy(F.desc("places"), "pre").limit(head)
-           .select("pre", "pieces").toPandas())
+    top = most_frequent(vocab.where(F.char_length("pre") <= HEAD_CHARS), head).select("pre", "pieces").toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(top["pre"], top["pieces"].tolist(), strict=True)))
 
     def frequencies(batch):
