@@ -8,9 +8,9 @@ its pre-tokens: runs of space marks with what follows, and newlines.
 1. Each task emits the distinct pre-tokens of its rows; they meet in one
    aggregate, and the pieces of each distinct pre-token are counted once.
 2. Per-document pre-token frequencies join these counts. The most frequent
-   pre-tokens ("head", at most ``head`` entries of bounded length) are joined inside the scan from a broadcast table; this keeps every
-   frequent key out of the shuffle. All others are joined by an equi-join on
-   the pre-token.
+   pre-tokens ("head", at most ``head`` entries of bounded length) are joined
+   inside the scan from a broadcast table; this keeps every frequent key out
+   of the shuffle. All others are joined by an equi-join on the pre-token.
 3. Frequencies times counts are summed per document.
 
 Defined results: null reads as empty, which has no bytes and no tokens.
