@@ -365,16 +365,23 @@ def orphan_report(tables: dict) -> DataFrame:
 
     Child rows are first counted per key value (partial aggregation: a hot
     key collapses inside each task), so the anti join against the parent
-    keys sees each distinct value once instead of every child row."""
-    parts = []
+    keys sees each distinct value once instead of every child row. All
+    children of a parent meet its keys in one join, so a parent is read once."""
+    by_parent: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent in schemas.FOREIGN_KEYS:
-        pk = schemas.PRIMARY_KEYS[parent]
-        per_key = (tables[child].filter(F.col(col).isNotNull())
-                   .groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
-        orphans = per_key.join(tables[parent].select(F.col(pk).alias(col)), col, "left_anti")
-        parts.append(orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphans")).select(
+        by_parent.setdefault(parent, []).append((child, col))
+    parts = []
+    for parent, children in by_parent.items():
+        counted = reduce(DataFrame.unionByName, [
+            tables[child].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_key"))
+            .agg(F.count(F.lit(1)).alias("_n")).withColumn("_fk", F.lit(i)) for i, (child, col) in enumerate(children)])
+        keys = tables[parent].select(F.col(schemas.PRIMARY_KEYS[parent]).alias("_key"))
+        sums = counted.join(keys, "_key", "left_anti").agg(*[
+            F.coalesce(F.sum(F.when(F.col("_fk") == i, F.col("_n"))), F.lit(0)).cast("bigint").alias(f"_{i}")
+            for i in range(len(children))])
+        parts.append(sums.select(F.inline(F.array(*[F.struct(
             F.lit(child).alias("child_table"), F.lit(col).alias("column"), F.lit(parent).alias("parent_table"),
-            "orphans"))
+            F.col(f"_{i}").alias("orphans")) for i, (child, col) in enumerate(children)]))))
     return reduce(DataFrame.unionByName, parts)
 
 
