@@ -37,7 +37,8 @@ from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, id_or_null, map_arro
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-_WORDS_KEPT = 1_000_000  # about 200 MB in each Python worker at most
+# words as they stand, and their letters: together at most about 200 MB in a Python worker
+_WORDS_KEPT, _BASES_KEPT = 400_000, 600_000
 # UTF-8 of ASCII and Latin-1 letters with at most one mark behind them
 _SIMPLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").fullmatch
 _SEPARATOR = "<|startoftext|>"  # a special token: splits a text before anything else is applied
@@ -90,7 +91,7 @@ class WordEncoder:
             if len(ends) != len(part):  # not the vocabulary this rule is for
                 plain += [w for base in part for w, _ in todo[base]]
                 continue
-            raw, keep = ids.tobytes(), len(known) < _WORDS_KEPT
+            raw, keep = ids.tobytes(), len(known) < _BASES_KEPT
             for base, i, j in zip(part, [0, *ends], ends, strict=False):
                 coded = raw[i:j]
                 if keep:
