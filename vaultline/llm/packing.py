@@ -44,6 +44,14 @@ _SIMPLE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").f
 _SEPARATOR = "<|startoftext|>"  # a special token: splits a text before anything else is applied
 
 
+# byte-level BPE writes each byte as one visible character; these have no character of their own
+_SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _byte_level(word: bytes) -> str:
+    return word.decode().lower().encode().decode("latin-1").translate(_SHOWN)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes, word by word."""
 
@@ -54,8 +62,10 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
         self.sep = self.tok.token_to_id(_SEPARATOR)
-        self.closes = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
-        self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.model = self.tok.model
+        # letters go to the BPE model directly; only where that gives what the whole tokenizer gives
+        self.direct = all([t.id for t in self.model.tokenize(_byte_level(w.lower().encode()))] == self._ids(w).tolist()
+                          for w in ("the", "Ringing", "\u00c9tude", "na\u00efve", "stra\u00dfe"))
         self.marks = {m: self._ids(m.decode()).tobytes() for m in (b"", b".", b",")}  # by the mark behind a word
         self.seen: dict[bytes, bytes] = {}   # words as they stand
         self.bases: dict[bytes, bytes] = {}  # their letters in lower case
@@ -66,7 +76,7 @@ class WordEncoder:
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
         out, todo, plain, known, marks = {}, {}, [], self.bases, self.marks
         for w in words:
-            if _SIMPLE(w):
+            if self.direct and _SIMPLE(w):
                 # letters are one pre-token, in lower case, and a mark behind them is another
                 mark = w[-1:]
                 if mark in marks:
@@ -86,12 +96,11 @@ class WordEncoder:
         names = list(todo)
         for at in range(0, len(names), 5_000):
             part = names[at:at + 5_000]
-            ids = self._ids(b" ".join(part).decode())
-            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()  # one word-end piece closes each pre-token
-            if len(ends) != len(part):  # not the vocabulary this rule is for
-                plain += [w for base in part for w, _ in todo[base]]
-                continue
-            raw, keep = ids.tobytes(), len(known) < _BASES_KEPT
+            ids, ends, tokenize = [], [], self.model.tokenize
+            for base in part:
+                ids += [t.id for t in tokenize(_byte_level(base))]
+                ends.append(4 * len(ids))
+            raw, keep = np.array(ids, "<u4").tobytes(), len(known) < _BASES_KEPT
             for base, i, j in zip(part, [0, *ends], ends, strict=False):
                 coded = raw[i:j]
                 if keep:
