@@ -669,6 +669,7 @@ def _sql_workspace(b):
 @register("udf_estimated_tax", """
 SELECT transaction_id, CAST(amount AS DOUBLE) * 0.15 AS estimated_tax FROM transactions""")
 def _udf_estimated_tax(b):
+    b = b.isolated()
     W.register_estimated_tax(b.spark)
     b.register_views(["transactions"])
     return b.spark.sql("SELECT transaction_id, calculate_estimated_tax(CAST(amount AS DOUBLE)) AS estimated_tax "

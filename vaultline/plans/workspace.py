@@ -34,6 +34,7 @@ def sql_workspace(bank, text: str, args=None, role: str = "BANKING_ADMIN") -> Da
     if not text or not text.strip():
         raise ValueError("empty statement")
     check_guard(role, text)
+    bank = bank.isolated()
     bank.register_views()
     return bank.spark.sql(text.strip().rstrip(";"), args=list(args) if args is not None else None)
 

@@ -243,6 +243,14 @@ class Bank:
         return e.select(F.to_date("ts").alias("usage_date"),
                         (F.col("event_id") * F.lit(1024 * 1024)).cast("bigint").alias("bytes"))
 
+    def isolated(self) -> Bank:
+        """The same tables in a session of their own (same application), so
+        that views and functions of SQL text rebind nobody else's names."""
+        session = self.spark.newSession()
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+            session.conf.set(key, self.spark.conf.get(key))
+        return Bank(session, self.sf_dir)
+
     def register_views(self, names=None) -> None:
         """Expose the banking tables to ``spark.sql`` as temp views."""
         for name in names or ("customers", "accounts", "transactions", "loans", "records",
