@@ -3,9 +3,10 @@
 Each round rewires edges towards the smallest neighbour ("large star" for
 larger neighbours, "small star" for smaller ones) until every node points at
 the smallest node of its component. Rounds grow with the logarithm of the
-component size. The minimum per node is a partial aggregate; a hub's edges
-meet it in an ordinary equi-join that Spark can split, so no task holds all
-neighbours of a node. Every round is a stored table.
+component size. The minimum per node is a partial aggregate, stored before a
+hub's edges meet it in an equi-join: both sides then have an exchange, which
+Spark can split, so no task holds all neighbours of a node. Every round is a
+stored table.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.save(low, f"cc{k}a")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large, f"cc{k}l")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"cc{k}b")
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         new = scratch.save(small, f"cc{k + 1}")
-        scratch.drop(f"cc{k}", f"cc{k}l")
+        scratch.drop(f"cc{k}", f"cc{k}a", f"cc{k}l", f"cc{k}b")
         e, k, before = new, k + 1, state
         state = _state(e)
         if state == before:

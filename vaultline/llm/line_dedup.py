@@ -236,7 +236,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, leas
     found, texts, turn = None, None, 0
     while True:
         leaders = member.groupBy("bucket").agg(F.min("line").alias("a1"), F.max("line").alias("a2")).where("a1 != a2")
+        leaders = scratch.save(leaders, f"leaders{turn}")  # so that the join can be split at a common bucket
         joined = scratch.save(member.join(leaders, "bucket"), f"joined{turn}")
+        scratch.drop(f"leaders{turn}")
         if turn:
             scratch.drop(f"bands{turn}")
         if texts is None:
@@ -274,7 +276,7 @@ def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scrat
     parts = scratch.save(connected(links, scratch), "parts")
     ids = lines.select("l1", "l2", "line", "first", (F.col("first") != F.col("last")).alias("twice"))
     in_part = ids.join(parts.withColumnRenamed("node", "line"), "line").select("l1", "l2", "root", "first")
-    kept = in_part.groupBy("root").agg(F.min("first").alias("keep"))
+    kept = scratch.save(in_part.groupBy("root").agg(F.min("first").alias("keep")), "kept")
     fuzzy = in_part.select("l1", "l2", "root").join(kept, "root").select("l1", "l2", "keep")
     exact = (ids.where("twice").join(parts.select(F.col("node").alias("line")), "line", "left_anti")
              .select("l1", "l2", F.col("first").alias("keep")))

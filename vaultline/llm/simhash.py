@@ -95,7 +95,7 @@ def simhash_groups(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_
     nodes = connected(links(per_fp.select("fp"), max_bits), scratch).withColumnRenamed("node", "fp")
     rooted = per_fp.join(nodes, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     rooted = scratch.save(rooted, "rooted")
-    low = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    low = scratch.save(rooted.groupBy("root").agg(F.min("low").alias("first")), "first")
     per_root = rooted.select("fp", "root").join(low, "root")
     return f.join(per_root, "fp").select(*KEYS, "fp", "root", F.col(f"first.{KEY_D}").alias("low_d"),
                                          F.col(f"first.{KEY_H}").alias("low_h"))

@@ -337,8 +337,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: i
     place = scratch.save(places(docs, length, k), "places")
     often = (place.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("f").alias("lo"), F.max("f").alias("hi"))
              .where("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
-    multi = scratch.save(place.join(often, "h"), "multi")
-    scratch.drop("places")
+    # stored first: the join then has an exchange on both sides, which Spark can split at a common anchor,
+    # and the aggregate's shuffle is gone before the join's begins
+    multi = scratch.save(place.join(scratch.save(often, "often"), "h"), "multi")
+    scratch.drop("places", "often")
     pos = F.struct(*KEYS, "a")
     reps = scratch.save(multi.groupBy("h", "f", "n", "mixed").agg(F.min(pos).alias("first")), "reps")
     copies = (multi.join(reps.select("h", "f", "n", "first"), ["h", "f", "n"]).where(pos != F.col("first"))

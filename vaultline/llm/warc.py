@@ -127,14 +127,14 @@ def read_record(bundle: bytes, frame: int, offset: int, length: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bundle[start:start + size], max_output_size=full)[offset:offset + length]
 
 
-def _decided(pages: DataFrame, min_bytes: int) -> DataFrame:
+def _decided(pages: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
     """Page rows with payload, digest, n and (of repeated payloads) the response's page_id."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
     groups = (p.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
               .where("c > 1").drop("c"))
-    return p.join(groups, "digest", "left")
+    return p.join(scratch.save(groups, "groups"), "digest", "left")
 
 
 def write_bundles(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, frame_bytes: int = FRAME_BYTES,
@@ -171,7 +171,7 @@ def write_bundles(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES
     schema = StructType.fromDDL("bundle string, content binary, "
                                 "index array<struct<page_id:long,frame:int,offset:long,length:long>>")
     small_batches(pages.sparkSession)
-    rows = _decided(pages, min_bytes).select("page_id", "url", "payload", "digest", "n", "first")
+    rows = _decided(pages, scratch, min_bytes).select("page_id", "url", "payload", "digest", "n", "first")
     return scratch.save(rows.mapInArrow(batches, schema), "bundles")
 
 
