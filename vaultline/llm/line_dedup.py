@@ -8,10 +8,11 @@
    0.993, at 0.9 with 0.9999.
 3. Lines of a band bucket are compared with two leaders of the bucket, its
    lowest and highest line number, so a large bucket gives a linear number of
-   pairs, and a group's buckets mostly give the same ones; leaders come from a
-   partial aggregate and meet the rows in an equi-join that Spark can split.
-   Lines that match neither leader meet again in finer buckets, which add one
-   more shared band each round.
+   pairs, and a group's buckets mostly give the same ones. Before the shuffle
+   each batch keeps only its lowest and highest line of a bucket (the others
+   take these as leaders), so no task gets a large bucket whole. Lines that
+   match neither leader meet again in finer buckets, which add one more
+   shared band each round.
 4. Pairs are verified by exact Jaccard similarity on the lines' shingle sets.
 5. Verified links go through distributed connected components, and each
    component keeps the line that comes first (doc_id, then line number).
@@ -26,10 +27,13 @@ document (doc_id and text) lose the same lines. A null doc_id orders last.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, keyed, map_arrow
 from .components import connected
@@ -229,16 +233,51 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFra
     return map_arrow(both, run, "a long, b long, same boolean")
 
 
+_LED = "line long, bucket long, upto int, a1 long, a2 long"
+
+
+def _led(line: np.ndarray, bucket: np.ndarray, upto: np.ndarray) -> dict:
+    """Rows by bucket. Of a bucket's lines in this batch only the lowest and
+    the highest go on to meet the others of the bucket; those between already
+    have these two as leaders (a1, a2). So what reaches one task of a bucket
+    is bounded by the number of batches, whatever the bucket's size."""
+    order = np.lexsort((line, bucket))
+    line, bucket, upto = line[order], bucket[order], upto[order]
+    new = np.concatenate(([True], bucket[1:] != bucket[:-1])) if len(line) else np.empty(0, bool)
+    end = np.append(new[1:], True)[:len(line)]
+    group = np.cumsum(new) - 1
+    low, high = line[new][group], line[end][group]
+    free = pa.array((line == low) | (line == high))
+    none = pa.scalar(None, pa.int64())
+    return {"line": pa.array(line), "bucket": pa.array(bucket), "upto": pa.array(upto, pa.int32()),
+            "a1": pc.if_else(free, none, pa.array(low)), "a2": pc.if_else(free, none, pa.array(high))}
+
+
+def _led_bands(lines: DataFrame) -> DataFrame:
+    """Every line with each of its bands."""
+    def run(batch):
+        line = batch.column(0).to_numpy()
+        return _led(np.tile(line, BANDS), np.concatenate([batch.column(i + 1).to_numpy() for i in range(BANDS)]),
+                    np.repeat(np.arange(BANDS, dtype=np.int32), len(line)))
+    return map_arrow(lines.select("line", *[f"b{i}" for i in range(BANDS)]), run, _LED)
+
+
+def _led_rows(member: DataFrame) -> DataFrame:
+    return map_arrow(member.select("line", "bucket", "upto"), lambda b: _led(*(b.column(i).to_numpy() for i in range(3))), _LED)
+
+
 def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
     """Verified links (a, b) between the distinct ``lines`` (line, first, bands)."""
     bands = F.array(*[F.col(f"b{i}") for i in range(BANDS)])
-    member = lines.select("line", F.explode(bands).alias("bucket"))
+    led = _led_bands(lines)
     found, texts, turn = None, None, 0
     while True:
-        leaders = member.groupBy("bucket").agg(F.min("line").alias("a1"), F.max("line").alias("a2")).where("a1 != a2")
-        leaders = scratch.save(leaders, f"leaders{turn}")  # so that the join can be split at a common bucket
-        joined = scratch.save(member.join(leaders, "bucket"), f"joined{turn}")
-        scratch.drop(f"leaders{turn}")
+        spread = F.when(F.col("a1").isNull(), F.col("bucket")).otherwise(F.xxhash64("line", "bucket"))
+        w = Window.partitionBy("spread")
+        joined = led.withColumn("spread", spread).select(
+            "line", "bucket", "upto", F.coalesce("a1", F.min("line").over(w)).alias("a1"),
+            F.coalesce("a2", F.max("line").over(w)).alias("a2")).where("a1 != a2")
+        joined = scratch.save(joined, f"joined{turn}")
         if turn:
             scratch.drop(f"bands{turn}")
         if texts is None:
@@ -256,9 +295,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, leas
         rest = second.join(matched, "line", "left").where(
             F.col("with").isNull() | ~(F.array_contains("with", F.col("a1")) | F.array_contains("with", F.col("a2"))))
         own = lines.select("line", bands.alias("bands"))
-        rest = rest.select("line", "bucket", *(["upto"] if turn else [])).join(own, "line")
-        if not turn:
-            rest = rest.withColumn("upto", F.array_position("bands", F.col("bucket")).cast("int") - 1)
+        rest = rest.select("line", "bucket", "upto").join(own, "line")
         finer = (rest.select("line", "bucket", "upto", F.posexplode("bands").alias("next", "band")).where("next > upto")
                  .select("line", F.col("next").alias("upto"), F.xxhash64("bucket", "band").alias("bucket")))
         turn += 1
@@ -266,6 +303,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, leas
         scratch.drop(f"joined{turn - 1}")
         if member.isEmpty():
             return found
+        led = _led_rows(member)
 
 
 def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
