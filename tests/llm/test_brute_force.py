@@ -291,6 +291,40 @@ def test_band_recall():
     assert (x == y).any(1).mean() >= 0.98
 
 
+def edited(rng, line, n):
+    out = list(line)
+    for i in rng.choice(len(line), n, replace=False):
+        out[i] = "z"
+    return "".join(out)
+
+
+def letters(rng, n):
+    return "".join(rng.choice(list("abcdefghij"), n))
+
+
+@pytest.mark.parametrize("most", [1000, 4])
+def test_line_dedup_stars_and_chains(spark, most, monkeypatch):
+    """Groups that hang together only through lines that are neither first nor last of a bucket."""
+    monkeypatch.setattr(line_dedup, "MOST", most)
+    rng = np.random.default_rng(5)
+    lines = []
+    for _ in range(6):
+        template = letters(rng, 200)
+        lines += [template, *(edited(rng, template, 2) for _ in range(30))]
+        chain = [letters(rng, 200)]
+        for _ in range(20):
+            chain.append(edited(rng, chain[-1], 2))
+        lines += chain
+    order = rng.permutation(len(lines))
+    rows = [(i, "\n".join(lines[j] for j in order[i::40]), None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = tuples(line_dedup.line_report(docs), "doc_id", "n_lines", "n_removed", "text")
+    want = simple_lines(rows)
+    assert sum(w[2] for w in want) >= 290
+    missed = sum(w[2] for w in want) - sum(g[2] for g in got)
+    assert missed <= 2 and all(set(w[3].split("\n")) <= set(g[3].split("\n")) for g, w in zip(got, want, strict=True))
+
+
 # -- WARC --------------------------------------------------------------------------
 
 def page_rows():

@@ -6,13 +6,14 @@
    (empty bins are filled from other bins), cut into bands. At a similarity
    of 0.8 two lines share at least one of 7 bands of 3 rows with probability
    0.993, at 0.9 with 0.9999.
-3. Lines of a band bucket are compared with two leaders of the bucket, its
-   lowest and highest line number, so a large bucket gives a linear number of
-   pairs, and a group's buckets mostly give the same ones. Before the shuffle
-   each batch keeps only its lowest and highest line of a bucket (the others
-   take these as leaders), so no task gets a large bucket whole. Lines that
-   match neither leader meet again in finer buckets, which add one more
-   shared band each round.
+3. All lines of a band bucket are compared with each other. Buckets of
+   ordinary size are one cell each (buckets with the same lines share it). A
+   larger bucket is dealt into blocks by the line's hash. A first pass compares
+   the lines within each block, and each block with a few glue lines of the
+   bucket. Of a bucket whose lines are then in several components, a second
+   pass compares every two lines of different components, block by block; lines
+   already in one component need no further link. So a cell's size is bounded,
+   and a large group of near copies costs a number of pairs linear in its size.
 4. Pairs are verified by exact Jaccard similarity on the lines' shingle sets.
 5. Verified links go through distributed connected components, and each
    component keeps the line that comes first (doc_id, then line number).
@@ -27,13 +28,10 @@ document (doc_id and text) lose the same lines. A null doc_id orders last.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import KEY_D, KEY_H, KEYS, Scratch, doc_texts, keyed, map_arrow
 from .components import connected
@@ -41,6 +39,9 @@ from .components import connected
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 3
+MOST, MOST_CHARS = 1000, 1 << 18  # lines and characters of a block (on average)
+GLUE_LINES = 8
+WHOLE = 2  # the side of lines that are compared with every line of their cell
 _CHUNK = 1 << 16  # characters hashed at a time: the arrays stay in the processor's cache
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -122,16 +123,19 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _eights(raw: bytes) -> np.ndarray:
+    """Every run of eight bytes as a number, without copies."""
+    return np.ndarray((len(raw) - 7,), np.uint64, raw, 0, (1,))
+
+
 def packed(line: str, k: int = SHINGLE) -> tuple[bool, frozenset]:
     """(narrow, shingle set). For k = 8 and code points below 256 a shingle
     is exactly a 64-bit number, which is quicker to make than a string."""
     if k == 8 and len(line) >= k:
         try:
-            raw = np.frombuffer(line.encode("latin-1"), np.uint8)
+            return True, frozenset(_eights(line.encode("latin-1")).tolist())
         except UnicodeEncodeError:
             return False, shingles(line, k)
-        eight = np.lib.stride_tricks.sliding_window_view(raw, k)
-        return True, frozenset(np.ascontiguousarray(eight).view(np.uint64).ravel().tolist())
     return False, shingles(line, k)
 
 
@@ -174,8 +178,8 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(l1, l2, first, last, b0, b1, ...): every distinct line with its first
-    and last place and its band keys. Lines repeated within a part of a batch
+    """(l1, l2, first, last, size, b0, b1, ...): every distinct line with its first
+    and last place, its length and its band keys. Lines repeated within a part of a batch
     leave it once."""
     names = [f"b{i}" for i in range(BANDS)]
 
@@ -191,14 +195,14 @@ def distinct_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     got[1] = at
             ids = np.array([_id128(x) for x in low], np.int64).reshape(-1, 2)
             keys = band_keys(list(low), k) if low else np.empty((0, BANDS), np.int64)
-            cols = {"l1": ids[:, 0], "l2": ids[:, 1], **{n: np.ascontiguousarray(keys[:, i]) for i, n in enumerate(names)}}
+            cols = {"l1": ids[:, 0], "l2": ids[:, 1], "size": list(map(len, low)), **{n: np.ascontiguousarray(keys[:, i]) for i, n in enumerate(names)}}
             for j, name in enumerate(("first", "last")):
                 cols[name] = [dict(zip((KEY_D, KEY_H, "line_no"), v[j], strict=True)) for v in low.values()]
             yield cols
     place = f"struct<{KEY_D}:long,{KEY_H}:long,line_no:int>"
-    rows = map_arrow(doc_texts(docs), run, f"l1 long, l2 long, first {place}, last {place}, "
+    rows = map_arrow(doc_texts(docs), run, f"l1 long, l2 long, first {place}, last {place}, size int, "
                      + ", ".join(f"{n} long" for n in names))
-    return rows.groupBy("l1", "l2").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+    return rows.groupBy("l1", "l2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("size").alias("size"),
                                         *[F.max(n).alias(n) for n in names])
 
 
@@ -217,93 +221,142 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(doc_texts(docs).join(per_doc, KEYS).select("text", "lines"), run, "line long, text string")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``same``: exact Jaccard similarity is at least ``least``."""
-    both = (pairs.join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
+def _codes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts): each line's different shingles as numbers, equal for equal shingles."""
+    parts = []
+    if k == 8 and min(map(len, texts)) >= k:
+        try:
+            parts = [np.unique(_eights(x.encode("latin-1"))) for x in texts]
+        except UnicodeEncodeError:
+            parts = []
+    if parts:
+        codes = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    else:
+        known: dict[str, int] = {}
+        parts = [[known.setdefault(x, len(known)) for x in shingles(t, k)] for t in texts]
+        codes = np.concatenate(parts)
+    return codes, np.cumsum([0, *map(len, parts)])
+
+
+def cell_links(line: list[int], root: list[int], side: list[int], texts: list[str], k: int, least: float) -> list[tuple]:
+    """Verified links that join all lines of a cell which a chain of links
+    joins. Lines of equal ``root`` are joined already, and lines of one
+    ``side`` are not compared unless it is WHOLE."""
+    n, out = len(line), []
+    if n <= 8:
+        sets, comp = [packed(t, k) for t in texts], list(root)
+        for x in range(n):
+            for y in range(x + 1, n):
+                if comp[x] != comp[y] and (side[x] != side[y] or side[x] == WHOLE) and similar(
+                        texts[x], sets[x], texts[y], sets[y], k, least):
+                    out.append((line[x], line[y]))
+                    comp = [comp[x] if c == comp[y] else c for c in comp]
+        return out
+    codes, start = _codes(texts, k)
+    size, side = np.diff(start), np.array(side)
+    comp = np.unique(np.array(root), return_inverse=True)[1]
+    held = np.zeros(int(codes.max()) + 1, bool)
+    for x in range(n - 1):
+        if out and (comp == comp[0]).all():
+            break
+        s = size[x + 1:]
+        ok = (comp[x + 1:] != comp[x]) & (np.minimum(s, size[x]) >= least * np.maximum(s, size[x]))
+        if side[x] != WHOLE:
+            ok &= side[x + 1:] != side[x]
+        y = np.flatnonzero(ok) + x + 1
+        if not len(y):
+            continue
+        mine = codes[start[x]:start[x + 1]]
+        held[mine] = True
+        if 8 * len(y) > n - x:
+            both = np.add.reduceat(held[codes[start[x + 1]:]], start[x + 1:n] - start[x + 1], dtype=np.int64)[y - x - 1]
+        else:
+            both = np.array([np.count_nonzero(held[codes[start[j]:start[j + 1]]]) for j in y])
+        held[mine] = False
+        match = y[both / (size[x] + size[y] - both) >= least]
+        if len(match):
+            other, at = np.unique(comp[match], return_index=True)
+            out += [(line[x], line[j]) for j in match[at]]
+            comp[np.isin(comp, other)] = comp[x]
+    return out
+
+
+def _cell_links(cells: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (a, b) within ``cells`` (cell, line, root, side)."""
+    whole = cells.join(texts, "line").groupBy("cell").agg(F.collect_list(F.struct("line", "root", "side", "text")).alias("lines"))
 
     def run(batch):
-        last, kept, same = None, None, []  # a leader's pairs mostly come together
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if x != last:
-                last, kept = x, packed(x, k)
-            # a line has at most as many different shingles as places for one
-            same.append(len(kept[1]) * least <= max(1, len(y) - k + 1) and similar(x, kept, y, packed(y, k), k, least))
-        return {"a": batch.column(0), "b": batch.column(1), "same": same}
-    return map_arrow(both, run, "a long, b long, same boolean")
-
-
-_LED = "line long, bucket long, upto int, a1 long, a2 long"
-
-
-def _led(line: np.ndarray, bucket: np.ndarray, upto: np.ndarray) -> dict:
-    """Rows by bucket. Of a bucket's lines in this batch only the lowest and
-    the highest go on to meet the others of the bucket; those between already
-    have these two as leaders (a1, a2). So what reaches one task of a bucket
-    is bounded by the number of batches, whatever the bucket's size."""
-    order = np.lexsort((line, bucket))
-    line, bucket, upto = line[order], bucket[order], upto[order]
-    new = np.concatenate(([True], bucket[1:] != bucket[:-1])) if len(line) else np.empty(0, bool)
-    end = np.append(new[1:], True)[:len(line)]
-    group = np.cumsum(new) - 1
-    low, high = line[new][group], line[end][group]
-    free = pa.array((line == low) | (line == high))
-    none = pa.scalar(None, pa.int64())
-    return {"line": pa.array(line), "bucket": pa.array(bucket), "upto": pa.array(upto, pa.int32()),
-            "a1": pc.if_else(free, none, pa.array(low)), "a2": pc.if_else(free, none, pa.array(high))}
-
-
-def _led_bands(lines: DataFrame) -> DataFrame:
-    """Every line with each of its bands."""
-    def run(batch):
-        line = batch.column(0).to_numpy()
-        return _led(np.tile(line, BANDS), np.concatenate([batch.column(i + 1).to_numpy() for i in range(BANDS)]),
-                    np.repeat(np.arange(BANDS, dtype=np.int32), len(line)))
-    return map_arrow(lines.select("line", *[f"b{i}" for i in range(BANDS)]), run, _LED)
+        a, b, at = [], [], 0
+        rows = batch.column(0).flatten()
+        cols = [rows.field(i).to_pylist() for i in range(4)]
+        for n in batch.column(0).value_lengths().to_pylist():
+            kept = {cols[0][i]: i for i in range(at, at + n)}  # a glue line may come twice
+            order = [kept[x] for x in sorted(kept)]
+            at += n
+            for x, y in cell_links(*([c[i] for i in order] for c in cols), k, least):
+                a.append(x)
+                b.append(y)
+        return {"a": a, "b": b}
+    return map_arrow(whole.select("lines"), run, "a long, b long")
 
 
-def _led_rows(member: DataFrame) -> DataFrame:
-    return map_arrow(member.select("line", "bucket", "upto"), lambda b: _led(*(b.column(i).to_numpy() for i in range(3))), _LED)
+def _blocks(n, chars) -> F.Column:
+    """How many blocks hold so many lines and characters."""
+    return F.greatest(F.ceil(n / F.lit(MOST)), F.ceil(chars / F.lit(MOST_CHARS))).cast("int")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
-    """Verified links (a, b) between the distinct ``lines`` (line, first, bands)."""
-    bands = F.array(*[F.col(f"b{i}") for i in range(BANDS)])
-    led = _led_bands(lines)
-    found, texts, turn = None, None, 0
-    while True:
-        spread = F.when(F.col("a1").isNull(), F.col("bucket")).otherwise(F.xxhash64("line", "bucket"))
-        w = Window.partitionBy("spread")
-        joined = led.withColumn("spread", spread).select(
-            "line", "bucket", "upto", F.coalesce("a1", F.min("line").over(w)).alias("a1"),
-            F.coalesce("a2", F.max("line").over(w)).alias("a2")).where("a1 != a2")
-        joined = scratch.save(joined, f"joined{turn}")
-        if turn:
-            scratch.drop(f"bands{turn}")
-        if texts is None:
-            wanted = joined.select("line").distinct().join(lines.select("line", "first.*"), "line")
-            texts = scratch.save(_texts_of(docs, wanted).dropDuplicates(["line"]), "texts")
-        first, second = joined.where("line != a1"), joined.where("line != a1 and line != a2")
-        pairs = (first.select(F.col("a1").alias("a"), F.col("line").alias("b"))
-                 .unionByName(second.select(F.col("a2").alias("a"), F.col("line").alias("b"))).distinct())
-        checked = scratch.save(_verify(pairs, texts, k, least), f"checked{turn}")
-        good = checked.where("same").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        # who matched neither leader meets the others of its bucket that did not, if a further band agrees.
-        # A line has at most two leaders per bucket, so the set of those it matched is small.
-        matched = good.groupBy(F.col("b").alias("line")).agg(F.collect_set("a").alias("with"))
-        rest = second.join(matched, "line", "left").where(
-            F.col("with").isNull() | ~(F.array_contains("with", F.col("a1")) | F.array_contains("with", F.col("a2"))))
-        own = lines.select("line", bands.alias("bands"))
-        rest = rest.select("line", "bucket", "upto").join(own, "line")
-        finer = (rest.select("line", "bucket", "upto", F.posexplode("bands").alias("next", "band")).where("next > upto")
-                 .select("line", F.col("next").alias("upto"), F.xxhash64("bucket", "band").alias("bucket")))
-        turn += 1
-        member = scratch.save(finer, f"bands{turn}")
-        scratch.drop(f"joined{turn - 1}")
-        if member.isEmpty():
-            return found
-        led = _led_rows(member)
+    """Verified links (a, b) that join the distinct ``lines`` (line, first, size, bands)
+    of each component of the links between lines that share a bucket."""
+    member = lines.select("line", "size", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
+    counts = scratch.save(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1")
+                          .select("bucket", _blocks(F.col("n"), F.col("chars")).alias("parts")), "counts")
+    held = scratch.save(member.join(counts, "bucket"), "held")
+    wanted = held.select("line").distinct().join(lines.select("line", "first.*"), "line")
+    texts = scratch.save(_texts_of(docs, wanted).dropDuplicates(["line"]), "texts")
+    groups = (held.where("parts = 1").groupBy("bucket").agg(F.array_sort(F.collect_list("line")).alias("group"))
+              .select("group").distinct())
+    one = groups.select(F.xxhash64("group").alias("cell"), F.explode("group").alias("line"))
+    large = held.where("parts > 1")
+    glue = large.groupBy("bucket", "parts").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "line"), "line"))["line"]
+                                                          for i in range(GLUE_LINES)]).alias("line"))
+    glue = (glue.withColumn("line", F.explode(F.array_distinct("line")))
+            .select("bucket", "line", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block")))
+    dealt = large.select("bucket", "line", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int").alias("block")).unionByName(glue)
+    cells = one.unionByName(dealt.select(F.xxhash64("bucket", "block").alias("cell"), "line"))
+    links = scratch.save(_cell_links(cells.select("cell", "line", F.col("line").alias("root"), F.lit(WHOLE).alias("side")),
+                                     texts, k, least), "links0")
+    if large.isEmpty():
+        return links
+    return _across(large, links, texts, scratch, k, least)
+
+
+def _across(large: DataFrame, links: DataFrame, texts: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
+    """``links`` and those between lines of a large bucket that lie in different components of ``links``."""
+    parts = scratch.save(connected(links, Scratch(large.sparkSession, "lines0")), "parts0")
+    placed = scratch.save(large.join(parts.withColumnRenamed("node", "line"), "line", "left")
+                          .select("bucket", "line", "size", F.coalesce("root", "line").alias("root")), "placed0")
+    roots = scratch.save(placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")), "roots0")
+    several = roots.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket")
+    roots = roots.join(several, "bucket").withColumn("own", _blocks(F.col("n"), F.col("chars")))
+    # a component of more than one block has its own blocks; the others of a bucket are dealt into mixed blocks (solid -1)
+    mixed = roots.where("own = 1").groupBy("bucket").agg(_blocks(F.sum("n"), F.sum("chars")).alias("mixed"))
+    dealt = scratch.save(roots.join(scratch.save(mixed, "mixed"), "bucket", "left").select(
+        "bucket", "root", F.when(F.col("own") > 1, F.col("root")).otherwise(F.lit(-1)).alias("solid"),
+        F.when(F.col("own") > 1, F.col("own")).otherwise(F.col("mixed")).alias("of")), "dealt")
+    number = F.pmod(F.xxhash64(F.when(F.col("solid") < 0, F.col("root")).otherwise(F.col("line"))), F.col("of")).cast("int")
+    placed = scratch.save(placed.join(dealt, ["bucket", "root"]).select("bucket", "line", "root", "solid", number.alias("i")), "placed")
+    blocks = (dealt.select("bucket", "solid", "of").distinct()
+              .select("bucket", "solid", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i")))
+    x, y = (blocks.select("bucket", F.struct("solid", "i").alias(name)) for name in "xy")
+    met = scratch.save(x.join(y, "bucket").where("x <= y and (x.solid < 0 or x.solid != y.solid)")
+                       .withColumn("cell", F.xxhash64("bucket", "x", "y")), "met")
+    ends = (met.select("bucket", "cell", "x.*", F.when(F.expr("x = y"), WHOLE).otherwise(0).alias("side"))
+            .unionByName(met.where("x != y").select("bucket", "cell", "y.*", F.lit(1).alias("side"))))
+    cells = placed.join(ends, ["bucket", "solid", "i"]).select("cell", "line", "root", "side")
+    more = scratch.save(_cell_links(cells, texts, k, least), "links1")
+    scratch.drop("placed0", "roots0", "mixed", "dealt", "placed", "met")
+    return parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
@@ -319,7 +372,7 @@ def removals(docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, scrat
     exact = (ids.where("twice").join(parts.select(F.col("node").alias("line")), "line", "left_anti")
              .select("l1", "l2", F.col("first").alias("keep")))
     keep = scratch.save(fuzzy.unionByName(exact), "keep")
-    scratch.drop("lines", "texts")
+    scratch.drop("lines", "texts", "counts", "held")
     pos = F.struct(KEY_D, KEY_H, "line_no")
     gone = places(docs).join(keep, ["l1", "l2"]).where(pos != F.col("keep"))
     return scratch.save(gone.groupBy(*KEYS).agg(F.collect_set("line_no").alias("gone")), "gone")
