@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vaultline.llm import decontaminate, langid, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, warc
 
@@ -325,6 +326,40 @@ def test_line_dedup_stars_and_chains(spark, most, monkeypatch):
     assert missed <= 2 and all(set(w[3].split("\n")) <= set(g[3].split("\n")) for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("most", [1000, 40])
+def test_line_dedup_hot_mixed_bucket(spark, most, monkeypatch):
+    """Lines with common boilerplate that share one bucket only, in several batches: all true pairs are found."""
+    from vaultline.llm.common import Scratch
+    monkeypatch.setattr(line_dedup, "MOST", most)
+    rng = np.random.default_rng(6)
+    common = letters(rng, 80)
+    lines = []
+    for _ in range(150):
+        x = common + letters(rng, 120)
+        lines += [x, edited(rng, x, 1)]
+    lines = [lines[i] for i in rng.permutation(300)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::10])) for i in range(10)], "doc_id long, text string").repartition(3)
+    names = [f"b{i}" for i in range(line_dedup.BANDS)]
+    held = line_dedup.distinct_lines(docs).withColumn("line", F.monotonically_increasing_id())
+    held = held.withColumns({n: F.lit(0).cast("long") if n == "b3" else F.xxhash64("line", F.lit(n)) for n in names})
+    scratch = Scratch(spark, "lines")
+    held = scratch.save(held, "lines")
+    number = {r["line"]: lines[r["doc_id"]::10][r["line_no"]] for r in
+              held.select("line", F.col("first.__llm_d").alias("doc_id"), "first.line_no").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        links = [(number[r["a"]], number[r["b"]]) for r in line_dedup.near_lines(
+            docs, held, scratch, line_dedup.SHINGLE, line_dedup.SIMILARITY).select("a", "b").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = {x: line_dedup.shingles(x) for x in lines}
+    true = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if line_dedup.jaccard(sets[x], sets[y]) >= 0.8]
+    assert len(true) >= 140
+    got = groups(lines, links)
+    assert [p for p in true if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == len(set(groups(lines, true).values()))
+
+
 # -- WARC --------------------------------------------------------------------------
 
 def page_rows():
