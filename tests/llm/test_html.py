@@ -44,6 +44,38 @@ def test_host_consensus_outvotes_one_page(spark):
     assert html_extract.main_texts(pages.limit(0)).count() == 0
 
 
+def test_lists_tables_and_quotes_belong_to_their_section():
+    """Pages without article or main: what is longer than the paragraphs does not drive them out."""
+    items = "".join(f"<li>{i} {'item text ' * 5}</li>" for i in range(10))
+    rows = "".join(f"<tr><td>cell {i}<td>{'value ' * 9}<td><p>{'one ' * 9}<p>two</tr>" for i in range(10))
+    long = "<p>" + "quoted words " * 30 + "</p>"
+    for inner in (f"<ul>{items}</ul>", f"<ol><li><ul>{items}</ul></ol>", f"<table><tbody>{rows}</tbody></table>",
+                  f"<table><tr><td><ul>{items}</ul></td></tr></table>", f"<blockquote><div>{long}{long}</div></blockquote>",
+                  f"<figure><div>{long}</div><figcaption>caption</figcaption></figure>", f"<dl><dt>term<dd><div>{long}{long}</div></dl>"):
+        page = f"<body><div class=top><p>site</p></div><div class=post><h1>Title</h1><p>{'short ' * 16}</p>{inner}<p>The end</p></div>"
+        got = html_extract.extract(page, None)
+        assert html_extract.vote(page)[0] == "body>div.post"
+        assert got.startswith("Title\n\nshort short") and got.endswith("\n\nThe end") and "site" not in got
+        whole = html_extract.Page(inner)
+        assert all(block in got for _, block, _ in whole.blocks)
+
+
+def test_layout_table_cells_compete():
+    page = ("<body><table><tr><td class=left><a href=/>Home</a><br>menu text</td><td class=mid><h1>Title</h1><p>{0}</p>"
+            "<ul><li>{0}{0}</ul><p>end</p></td></tr></table>").format("main words " * 20)
+    assert html_extract.vote(page)[0] == "body>table>td.mid"
+    got = html_extract.extract(page, None)
+    assert got.startswith("Title") and got.endswith("end") and "menu" not in got
+
+
+def test_host_of_list_pages_keeps_paragraphs(spark):
+    page = "<body><div class=post><h1>T{0}</h1><p>intro {0}</p><ul>" + "<li>item of the list" * 30 + "</ul><p>end</p></div>"
+    pages = spark.createDataFrame([(i, "http://l.example/", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    for r in html_extract.main_texts(pages).collect():
+        i = r["page_id"]
+        assert r["text"].startswith(f"T{i}\n\nintro {i}\n\nitem") and r["text"].endswith("\n\nend")
+
+
 def test_whole_table_against_plain_article_cut(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.main_texts(pages).collect()}

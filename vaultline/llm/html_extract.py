@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-1. Each page is parsed once into text blocks and their containers. A
-   container's score is the text it holds less its links; semantic article
+1. Each page is parsed once into text blocks and their containers. Sections
+   (body, div, section, article, main, cells of a layout table) compete by the
+   text they hold less its links; text of lists, data tables, quotes and
+   figures counts fully for the section around them, and semantic article
    elements count the text of everything inside them. The page votes for its
-   best container's generalised path (tags with class names, digits masked).
+   best section's generalised path (tags with class names, digits masked).
 2. Spark adds up the votes per (host, path), a partial aggregate, and keeps
    the paths with at least ``min_share`` of their host's votes: at most
    1 / ``min_share`` paths per host.
@@ -40,6 +42,9 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "dt", "dd", "tr", "figcaption", "address", "summary", "caption"}
 _CONTAINER = {"html", "body", "div", "article", "section", "main", "td", "th", "ul", "ol", "dl", "table", "tbody", "thead",
               "blockquote", "figure", "details", "center", "fieldset", "header", "footer", "nav", "aside", "form"}
+_SECTION = {"#", "html", "body", "div", "article", "section", "main", "center"}
+_INSET = {"ul", "ol", "dl", "blockquote", "figure", "details"}  # with all that is in them, text of the section around them
+_CELL = {"td", "th"}
 _BLOCK = _LEAF | _CONTAINER | {"hr"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}}
@@ -62,7 +67,7 @@ class Page:
     """Blocks (container, text, link characters) and the element tree of one page."""
 
     def __init__(self, source: str):
-        self.label, self.parent, self.weight = ["#"], [-1], [0.0]
+        self.tag, self.label, self.parent, self.weight = ["#"], ["#"], [-1], [0.0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
 
@@ -166,20 +171,55 @@ class Page:
         node = up
         if tag in _CONTAINER:
             node = len(self.label)
+            self.tag.append(tag)
             self.label.append(f"{tag}.{classes.replace(' ', '.')}" if classes else tag)
             self.parent.append(up)
             self.weight.append(weight)
         count[tag] += 1
         stack.append((tag, node, dropped, headings))
 
+    def competing(self) -> list[bool]:
+        """Which containers may be the main text. A cell is one of a layout
+        table if it holds several blocks and the section around the table
+        holds no text but in tables; other cells are text of that section."""
+        n = len(self.tag)
+        held, beside = [0] * n, [False] * n
+        for owner, _, _ in self.blocks:
+            node, direct = owner, True
+            while node >= 0:
+                if self.tag[node] in _CELL:
+                    held[node] += 1
+                if direct and (self.tag[node] in _CELL or self.tag[node] in _SECTION):
+                    beside[node], direct = True, False
+                node = self.parent[node]
+        competes, inset, around = [False] * n, [False] * n, [0] * n
+        competes[0] = True
+        for k in range(1, n):  # parents come first
+            up, tag = self.parent[k], self.tag[k]
+            inset[k], around[k] = inset[up], around[up]
+            if self.weight[k]:
+                competes[k], inset[k] = True, False
+            elif tag in _SECTION:
+                competes[k] = not inset[k]
+            elif tag in _CELL:
+                competes[k] = not inset[k] and held[k] > 1 and not beside[around[k]]
+                inset[k] = not competes[k]
+            elif tag in _INSET:
+                inset[k] = True
+            if competes[k]:
+                around[k] = k
+        return competes
+
     def best(self) -> int:
-        """The best-scored container; of equals the outermost."""
-        score = [0.0] * len(self.label)
+        """The best-scored section; of equals the outermost."""
+        score, competes = [0.0] * len(self.label), self.competing()
         for node, text, links in self.blocks:
             value, share = len(text) - links, 1.0
             while node >= 0:
-                score[node] += value * max(share, self.weight[node])
-                node, share = self.parent[node], share / 2 if share > 0.3 else 0.0
+                if competes[node]:
+                    score[node] += value * max(share, self.weight[node])
+                    share = share / 2 if share > 0.3 else 0.0
+                node = self.parent[node]
         return max(range(len(score)), key=lambda k: (score[k], -k))
 
     def text(self, roots: set[int]) -> str:
