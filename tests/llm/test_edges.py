@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vaultline.llm import (decontaminate, langid, line_dedup, packing, quality, registry, simhash, suffix_dedup, token_counts,
@@ -73,6 +74,19 @@ def test_pipeline_stages(spark, real_docs):
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(ids)
 
 
+def test_pipeline_without_labels_keeps_texts(spark, odd_docs, odd_rows):
+    """No label at all, or all labelled rows held out: only what has no letter goes."""
+    want = Counter(r[1] for r in odd_rows if r[1] and any(c.isalpha() for c in r[1]))
+    no_label = F.lit(None).cast("string")
+    for lang in (no_label, F.when(langid.held_out(), "xx")):
+        docs = odd_docs.withColumn("lang", lang)
+        kept = corpus_pipeline.identify_language(spark, docs, SF_SMALL)
+        assert kept.columns == docs.columns and Counter(r["text"] for r in kept.collect()) == want
+    for _, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, "unlabelled").save(stage(spark, docs, SF_SMALL), "stage")
+    assert docs.count() > 0
+
+
 def test_pipeline_on_awkward_rows(spark, odd_docs):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES:

@@ -184,7 +184,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no language (``und``)."""
+    """``docs`` without the rows that have no language (``und``). Where there
+    was nothing to learn from, only null and letterless texts go."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
@@ -193,6 +194,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         m = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([t is not None and m.predict(t)[0] != UNDETERMINED for t in texts], pa.bool_()))
+            kept = [t is not None and (m.predict(t)[0] != UNDETERMINED if m.langs else bool(words_of(t))) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
