@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_extract, langid, line_dedup, packing, quality, simhash, suffix_dedup, token_counts,
-               warc)
+from . import (decontaminate, fingerprints, html_extract, langid, line_dedup, merkle, packing, phrases, quality, simhash,
+               suffix_dedup, token_counts, warc)
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -63,10 +63,26 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Merkle leaves, roots and proofs of all documents."""
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark, sf_dir):
+    """Collocations of all documents, by language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_html_extract, op2_token_counts, op3_simhash, op4_suffix_dedup, op5_language_id, op6_decontamination, op7_quality,
-    op8_line_dedup, op9_warc, op10_packing)}
-SQL: dict[str, str] = {"op6_decontamination": decontaminate.SQL, "op9_warc": warc.SQL}
+    op8_line_dedup, op9_warc, op10_packing, op11_merkle_manifest, op12_phrases, op13_fingerprints)}
+SQL: dict[str, str] = {"op6_decontamination": decontaminate.SQL, "op9_warc": warc.SQL, "op11_merkle_manifest": merkle.SQL,
+                       "op12_phrases": phrases.SQL}
 
 
 def queries() -> dict[str, QueryFn]:
