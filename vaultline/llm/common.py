@@ -100,6 +100,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()  # finished shuffles are released with their plan
         return self.spark.read.schema(schema).parquet(path)
 
+    def free(self) -> None:
+        """Once more let Spark release the shuffle files of finished steps: right
+        after a step, its last events can still hold its plan. For steps
+        before one that shuffles whole texts."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

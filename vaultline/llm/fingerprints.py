@@ -33,7 +33,7 @@ from pyspark.sql import Window
 
 from .common import Scratch
 
-SAMPLES = 48
+SAMPLES = 32
 BLOCK_BITS = 8
 _TAG = 24
 _AT_ONCE = 4  # samples in one row of generated code; methods beyond 8000 bytes of code are not compiled
@@ -65,11 +65,15 @@ def with_next(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     return flat.withColumn("next", F.lead("text").over(Window.partitionBy("block").orderBy("at")))
 
 
+def kept_chars() -> Column:
+    """Code points that the edit leaves."""
+    return (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
+
+
 def edited_text() -> Column:
     """The text with its last half replaced by the next text's beginning."""
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    return F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),
-                    F.substring(F.col("next"), F.lit(1), half))
+    return F.concat(F.substring(F.col("text"), F.lit(1), kept_chars()),
+                    F.substring(F.col("next"), F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
 
 
 def _uniform(h: Column, at: int, bits: int) -> Column:
@@ -95,13 +99,18 @@ def ranked_sample(ln_weight: Column, word: Column, r: Column, ln_c: Column, beta
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(keys, a, b): slots of the texts in columns ``a`` and ``b``. Rows of a
-    key must be on one partitioning by a part of the keys."""
-    blank = r"[\x20\x09-\x0D]+"
-    words = texts.select(*keys, F.split(F.lower("a"), blank).alias("a"), F.split(F.lower(F.coalesce("b", F.lit(""))), blank).alias("b"))
-    words = words.select(*keys, F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("i", "word"))
-    in_a, is_word = F.col("i") < F.col("n"), F.col("word") != ""  # a text without words still has its row
-    words = words.select(*keys, F.xxhash64("word").alias("word"), (in_a & is_word).cast("long").alias("a"), (~in_a & is_word).cast("long").alias("b"))
+    """(keys, a, b): slots of the texts in columns ``a`` and ``b``, which begin
+    with the same ``kept`` code points. Rows of a key must be on one
+    partitioning by a part of the keys."""
+    split = lambda c: F.split(F.lower(c), r"[\x20\x09-\x0D]+")
+    # all but the last word of what is kept are words of both texts and appear once, flagged for both
+    words = texts.select(*keys, split("a").alias("a"), split(F.coalesce("b", F.lit(""))).alias("b"),
+                         (F.size(split(F.substring(F.col("a"), F.lit(1), F.col("kept")))) - 1).alias("both"))
+    words = words.select(*keys, F.size("a").alias("n"), "both", F.posexplode(
+        F.concat("a", F.slice("b", F.col("both") + 1, F.size("b")))).alias("i", "word"))
+    is_word = F.col("word") != ""  # a text without words still has its row
+    in_a, in_b = F.col("i") < F.col("n"), (F.col("i") < F.col("both")) | (F.col("i") >= F.col("n"))
+    words = words.select(*keys, F.xxhash64("word").alias("word"), (in_a & is_word).cast("long").alias("a"), (in_b & is_word).cast("long").alias("b"))
     counts = words.groupBy(*keys, "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = counts.sortWithinPartitions(*keys)  # the minima of one document at a time stay in the processor's cache
     weighted = counts.select(*keys, "word", *[F.when(F.col(c) > 0, F.ln(F.col(c).cast("double"))).alias(c) for c in "ab"],
@@ -131,10 +140,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, bits: int = BLOCK_BITS
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows, keys = ordered(docs, scratch), ["block", "at"]
+    scratch.free()
     own = F.col("at") < _GUEST
     named = with_next(rows, bits).where(own).select(*keys, "doc_id", "n_chars", F.sha2(edited_text().cast("binary"), 256).alias("edited_sha256"))
     named = scratch.save(named, "edited")
-    signed = signatures(with_next(rows, bits).select(*keys, F.col("text").alias("a"), edited_text().alias("b")), keys, samples)
+    scratch.free()
+    signed = signatures(with_next(rows, bits).select(*keys, F.col("text").alias("a"), edited_text().alias("b"), kept_chars().alias("kept")), keys, samples)
     signed = signed.withColumn("next", F.lead("a").over(Window.partitionBy("block").orderBy("at"))).where(own)
     signed = signed.select(*keys, _text_of(F.col("a")).alias("fingerprint"), _text_of(F.col("b")).alias("edited_fingerprint"),
                            likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"))
