@@ -46,6 +46,7 @@ MAX_PAIRS = 2_000_000  # 16 MB of hashes
 WINDOWS_PER_TASK = 500_000
 _SALTS = 64
 _CHUNK = 50_000
+_BATCH_CHARS = 2_500_000  # a batch's rows are taken in parts of about this length (or one row)
 # bytes: A-Z to a-z, blanks to a space, piece ends to a newline
 _FOLD = bytes(0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b in (0x20, 0x09) else b + 32 if 0x41 <= b <= 0x5A else b
               for b in range(256))
@@ -121,18 +122,28 @@ class Words:
                    "f": pa.array(times[i: i + _CHUNK], pa.int64())}
 
 
+def parts_of(batch):
+    """The batch's words, in parts of bounded length."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BATCH_CHARS, side="right")))
+        yield Words(batch.column(0).slice(at, upto - at), batch.column(1).slice(at, upto - at))
+        at = upto
+
+
 COUNTS = "lang string, phrase string, m int, f long"
 
 
 def _lead_counts(batch):
     """A batch's words (m = 1), pairs (2) and numbers of words per language (0)."""
-    b = Words(batch.column(0), batch.column(1))
-    per_lang = np.bincount(b.lang, minlength=len(b.langs))
-    yield {"lang": b.langs, "phrase": [""] * len(b.langs), "m": [0] * len(b.langs), "f": per_lang.tolist()}
-    for m in (1, 2):
-        at = np.flatnonzero(b.left >= m)
-        first, times = b.grouped(at, np.full(len(at), m, np.int32))
-        yield from b.rows(at[first], np.full(len(first), m, np.int32), times)
+    for b in parts_of(batch):
+        per_lang = np.bincount(b.lang, minlength=len(b.langs))
+        yield {"lang": b.langs, "phrase": [""] * len(b.langs), "m": [0] * len(b.langs), "f": per_lang.tolist()}
+        for m in (1, 2):
+            at = np.flatnonzero(b.left >= m)
+            first, times = b.grouped(at, np.full(len(at), m, np.int32))
+            yield from b.rows(at[first], np.full(len(first), m, np.int32), times)
 
 
 def lead_counts(docs: DataFrame, min_count: int) -> DataFrame:
@@ -171,21 +182,24 @@ def pair_filter(leads: DataFrame, max_pairs: int = MAX_PAIRS):
 
 def windows(docs: DataFrame, frequent=None, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, phrase, m, f): distinct windows of three words or more, with their counts."""
-    def run(batch):
-        b = Words(batch.column(0), batch.column(1))
+    def reach(b):
+        """How far the window from each word goes."""
         length = np.minimum(b.left, max_words)
-        if frequent is not None and b.n:
-            h = b.hashes()[b.code]
-            mixed = _mix(_hash_of(b.langs)[b.lang[:-1]], h[:-1], h[1:])
-            known = frequent.value
-            spot = np.minimum(np.searchsorted(known, mixed), max(len(known) - 1, 0))
-            good = np.concatenate(((known[spot] == mixed) if len(known) else np.zeros(b.n - 1, bool), [False]))
-            stop = np.flatnonzero(~good)  # no window goes on after these words
-            length = np.minimum(length, stop[np.searchsorted(stop, np.arange(b.n))] - np.arange(b.n) + 1).astype(np.int32)
-            del h, mixed, spot, good, stop
-        at = np.flatnonzero(length >= 3)
-        first, times = b.grouped(at, length[at])
-        yield from b.rows(at[first], length[at[first]], times)
+        if frequent is None or not b.n:
+            return length
+        h, known = b.hashes()[b.code], frequent.value
+        mixed = _mix(_hash_of(b.langs)[b.lang[:-1]], h[:-1], h[1:])
+        spot = np.minimum(np.searchsorted(known, mixed), max(len(known) - 1, 0))
+        good = np.concatenate(((known[spot] == mixed) if len(known) else np.zeros(b.n - 1, bool), [False]))
+        stop = np.flatnonzero(~good)  # no window goes on after these words
+        return np.minimum(length, stop[np.searchsorted(stop, np.arange(b.n))] - np.arange(b.n) + 1).astype(np.int32)
+
+    def run(batch):
+        for b in parts_of(batch):
+            length = reach(b)
+            at = np.flatnonzero(length >= 3)
+            first, times = b.grouped(at, length[at])
+            yield from b.rows(at[first], length[at[first]], times)
     w = map_arrow(docs.select("lang", "text"), run, COUNTS)
     return w.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f"))
 
