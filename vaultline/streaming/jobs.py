@@ -17,9 +17,8 @@ Order of arrival: a table of many files arrives in order of file time, not
 of event time. The rollups and the velocity rule therefore keep no stream
 state and no watermark: each micro-batch writes its own partial counts and
 sums, and reading adds up all batches, which is exact in any order. The
-previous-event rules compare a row with the newest earlier one of its key; a
-row that arrives after a newer one of its key can't be judged any more and is
-named in a rejects table, never dropped in silence.
+previous-event rules (``previous``) judge again what a batch can change and
+write signed alerts; the views of ``views`` follow updates and deletes too.
 
 Event times stay ``timestamp_ntz``, so windows follow the event's own clock
 in any session time zone.
@@ -34,6 +33,9 @@ from pyspark.sql import types as T
 from ..operators import fraud
 from ..session import scratch_path
 from ..sources.tables import alerts_from_events, event_transactions
+from .deltas import drop_folder as _drop_folder
+from .deltas import numbered
+from .previous import run_previous_rule
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -217,76 +219,9 @@ def fraud_velocity_stream(spark: SparkSession, events: DataFrame, window: str =
     return out.filter(F.col("tx_count") > max_count).withColumn("alert_type", F.lit("VELOCITY_LIMIT"))
 
 
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def previous_event_sink(path: str, keys, minutes: int, carry, alerts):
-    """``foreachBatch`` writer of a previous-event rule (``alerts`` maps rows
-    with ``prev_*`` and ``gap_seconds`` to alerts).
-
-    State is a table, ``last/v=<batch>``: the newest row of every key, kept
-    while it is younger than twice the rule's width below the newest event.
-    A batch's rows meet it by the rule's whole key. Rows older than their
-    key's newest row, or older than one width below the newest event (their
-    key may have left the state), go to ``rejects``; the others get their
-    previous row from the batch and the state together, so gaps are never
-    negative and the state never goes back. All three outputs are written per
-    batch and rewritten when a batch is replayed; only the state of the batch
-    before is read."""
-    width = minutes * 60
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark, state = batch.sparkSession, f"{path}/last/v={batch_id}"
-        cols = list(dict.fromkeys(["transaction_id", "timestamp", *keys, *carry, *batch.columns]))
-        rows = batch.select(*cols).persist()
-        held = list(dict.fromkeys(["transaction_id", "timestamp", *keys, *carry]))
-        if batch_id:
-            last = spark.read.schema(T.StructType([rows.schema[c] for c in held])).parquet(f"{path}/last/v={batch_id - 1}")
-        else:
-            last = rows.select(*held).limit(0)
-        newest = last.agg(F.max("timestamp")).first()[0]
-        old = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                          F.struct("timestamp", "transaction_id").alias("_newest"))
-        j = rows.join(old, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
-        late = F.coalesce(F.struct("timestamp", "transaction_id") < F.col("_newest"), F.lit(False))
-        if newest is not None:
-            horizon = F.timestamp_add("SECOND", F.lit(-width), F.lit(newest).cast("timestamp_ntz"))
-            late = late | (F.col("timestamp") < horizon)
-        out = {"rejects": j.filter(late).select(*cols, F.lit("late").alias("reason"))}
-        fresh = j.filter(~late).select(*cols)
-        both = fresh.withColumn("_seed", F.lit(False)).unionByName(
-            last.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
-        out["alerts"] = alerts(fraud.previous_within(both, keys, minutes, carry).filter(~F.col("_seed")))
-        for name, df in out.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}/_batch={batch_id}")  # also when it is empty: it has the schema
-        top = both.agg(F.max("timestamp")).first()[0]
-        order = F.struct("timestamp", "transaction_id", *[c for c in held if c not in ("timestamp", "transaction_id", *keys)])
-        young = both.groupBy(*keys).agg(F.max(order).alias("_w")).select(
-            *[F.col(c) if c in keys else F.col(f"_w.{c}").alias(c) for c in held])
-        if top is not None:
-            young = young.filter(F.col("timestamp") >= F.timestamp_add("SECOND", F.lit(-2 * width), F.lit(top).cast("timestamp_ntz")))
-        young.write.mode("overwrite").parquet(state)
-        rows.unpersist()
-        if batch_id >= 2:
-            _drop_folder(spark, f"{path}/last/v={batch_id - 2}")
-    return write
-
-
-def run_previous_rule(spark: SparkSession, tx: DataFrame, name: str, keys, minutes: int, carry, alerts, path=None,
-                      trigger=None) -> tuple[DataFrame, DataFrame]:
-    """Run a previous-event rule to the end of its input: (alerts, rejects)."""
-    out = path or scratch_path(spark, name)
-    q = (tx.writeStream.option("checkpointLocation", f"{out}/_checkpoint").trigger(**(trigger or {"availableNow": True}))
-         .foreachBatch(previous_event_sink(out, list(keys), minutes, list(carry), alerts)).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/alerts").drop("_batch"), spark.read.parquet(f"{out}/rejects").drop("_batch")
-
-
 def fraud_geographic_stream(spark: SparkSession, events: DataFrame, minutes: int = 60, path: str | None = None,
                             trigger=None) -> tuple[DataFrame, DataFrame]:
-    """(alerts, rejects) of the geographic rule over the stream."""
+    """(alerts in force, signed changes) of the geographic rule over the stream."""
     tx = event_transactions(events).select("transaction_id", "timestamp", "account_number", "location")
     return run_previous_rule(spark, tx, "fraud_geographic", fraud.GEOGRAPHIC_KEYS, minutes, fraud.GEOGRAPHIC_CARRY,
                              fraud.geographic_alerts, path, trigger)
@@ -294,7 +229,7 @@ def fraud_geographic_stream(spark: SparkSession, events: DataFrame, minutes: int
 
 def fraud_duplicate_stream(spark: SparkSession, events: DataFrame, minutes: int = 30, amount_scale: int = 2,
                            path: str | None = None, trigger=None) -> tuple[DataFrame, DataFrame]:
-    """(alerts, rejects) of the duplicate rule over the stream."""
+    """(alerts in force, signed changes) of the duplicate rule over the stream."""
     tx = event_transactions(events).select("transaction_id", "timestamp", "account_number", "amount", "merchant_name")
     return run_previous_rule(spark, fraud.with_amount_key(tx, amount_scale), "fraud_duplicate", fraud.DUPLICATE_KEYS, minutes,
                              fraud.DUPLICATE_CARRY, fraud.duplicate_alerts, path, trigger)
@@ -331,13 +266,7 @@ def run_cdc(spark: SparkSession, changes: DataFrame, name: str, key: str, path:
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Complete version folders ``v=<n>`` of ``path``, ascending."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    done = [s.getPath() for s in fs.listStatus(p)]
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(q.getName()[2:]) for q in done if q.getName().startswith("v=") and fs.exists(make(q, "_SUCCESS")))
+    return numbered(spark, path, "v=")
 
 
 def compacted_state(spark: SparkSession, data: str, snapshots: str, schema: T.StructType, key: str, ts: str = "change_ts",
