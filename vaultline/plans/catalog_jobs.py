@@ -25,6 +25,7 @@ from ..sources import sinks as SK
 from ..sources import stored as ST
 from ..sources.tables import Bank
 from ..streaming import jobs as J
+from ..streaming import views as VW
 from .catalog import DAILY_BRANCH_SQL
 from .registry import AS_OF_TXN, register
 
@@ -142,6 +143,38 @@ def _hourly_consolidate(b):
     return J.hourly_consolidate(b.spark, _events(b), _account_branch(b))
 
 
+# The same views after a log of inserts, updates and deletes of all three tables.
+CHANGED_FROM = """FROM (SELECT transaction_id, account_number, timestamp, amount * CASE WHEN transaction_type = 'SIGNUP' THEN 2 ELSE 1 END AS amount
+  FROM event_transactions WHERE transaction_type <> 'ERROR') t
+ JOIN (SELECT * FROM accounts WHERE status <> 'DORMANT') a ON t.account_number = a.account_number
+ JOIN (SELECT customer_id, CASE WHEN segment = 'GOLD' THEN 'HEAD OFFICE' ELSE branch_name END AS branch_name FROM customers) c
+  ON a.customer_id = c.customer_id"""
+
+
+def _changed_view(b, make, name, count_name, sum_name):
+    """Load accounts and customers, follow the transactions' change stream, then close and move some."""
+    root = scratch_path(b.spark, name)
+    view = make(b.spark, f"{root}/view")
+    view.apply(0, accounts=B.account_opening(b), customers=B.customer_opening(b))
+    free = VW.follow(view, B.transaction_changes_from(_events(b)), root, first_batch=1)
+    view.apply(free, accounts=B.account_closing(b), customers=B.customer_moves(b))
+    return view.read(count_name, sum_name)
+
+
+@register("live_daily_branch_dml", f"""
+SELECT CAST(t.timestamp AS DATE) AS transaction_date, c.branch_name, COUNT(*) AS daily_count,
+ CAST(SUM(t.amount) AS DECIMAL(38,2)) AS daily_amount {CHANGED_FROM} GROUP BY 1, 2""")
+def _live_daily_branch_dml(b):
+    return _changed_view(b, VW.daily_view, "live_daily_branch_dml", "daily_count", "daily_amount")
+
+
+@register("hourly_consolidate_dml", f"""
+SELECT c.branch_name, date_trunc('hour', t.timestamp) AS hour_start, COUNT(*) AS transaction_count,
+ CAST(SUM(t.amount) AS DECIMAL(38,2)) AS total_amount {CHANGED_FROM} GROUP BY 1, 2""")
+def _hourly_consolidate_dml(b):
+    return _changed_view(b, VW.hourly_view, "hourly_consolidate_dml", "transaction_count", "total_amount")
+
+
 # ---------------------------------------------------------------- 2.12 table versions
 
 CHANGE_LOG_SQL = """SELECT concat('ACC', CAST(user_id AS VARCHAR)) AS account_number,

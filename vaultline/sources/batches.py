@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Bank, case_map, prefixed
+from .tables import Bank, case_map, event_transactions, prefixed
 
 
 def customers_batch(bank: Bank) -> DataFrame:
@@ -197,3 +197,46 @@ def account_changes_from(events: DataFrame) -> DataFrame:
         case_map(F.col("event_type"), {"signup": "INSERT", "error": "DELETE"}, "UPDATE").alias("op"),
         F.col("value").cast("decimal(15,2)").alias("balance"),
         F.col("ts").alias("change_ts"), F.col("event_id").alias("_seq"))
+
+
+def transaction_changes_from(events: DataFrame) -> DataFrame:
+    """A transaction change log over events (batch or streaming): each event
+    inserts its transaction; a signup then doubles its amount, an error deletes it."""
+    t = event_transactions(events)
+    kind, cols = F.col("transaction_type"), ["transaction_id", "account_number", "timestamp"]
+
+    def change(op, amount, seq):
+        return F.struct(F.lit(op).alias("op"), amount.cast("decimal(15,2)").alias("amount"), F.lit(seq).cast("long").alias("_seq"))
+    first = change("INSERT", F.col("amount"), 0)
+    both = F.when(kind == "SIGNUP", F.array(first, change("UPDATE", F.col("amount") * 2, 1))) \
+        .when(kind == "ERROR", F.array(first, change("DELETE", F.lit(None), 1))).otherwise(F.array(first))
+    return t.select(*cols, F.explode(both).alias("_c")).select("_c.op", *cols, "_c.amount", F.col("timestamp").alias("change_ts"), "_c._seq")
+
+
+LOADED_AT, CHANGED_AT = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+
+
+def account_opening(bank: Bank) -> DataFrame:
+    """All accounts as inserts."""
+    return _dated(bank.accounts.select(F.lit("INSERT").alias("op"), "account_number", "customer_id"), LOADED_AT)
+
+
+def account_closing(bank: Bank) -> DataFrame:
+    """Dormant accounts as deletes."""
+    gone = bank.accounts.where("status = 'DORMANT'")
+    return _dated(gone.select(F.lit("DELETE").alias("op"), "account_number", F.lit(None).cast("string").alias("customer_id")), CHANGED_AT)
+
+
+def customer_opening(bank: Bank) -> DataFrame:
+    """All customers as inserts."""
+    return _dated(bank.customers.select(F.lit("INSERT").alias("op"), "customer_id", "branch_name"), LOADED_AT)
+
+
+def customer_moves(bank: Bank) -> DataFrame:
+    """Gold customers move to the head office."""
+    gold = bank.customers.where("segment = 'GOLD'")
+    return _dated(gold.select(F.lit("UPDATE").alias("op"), "customer_id", F.lit("HEAD OFFICE").alias("branch_name")), CHANGED_AT)
+
+
+def _dated(changes: DataFrame, at: str) -> DataFrame:
+    return changes.withColumns({"change_ts": F.lit(at).cast("timestamp_ntz"), "_seq": F.lit(0).cast("long")})
