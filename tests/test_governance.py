@@ -55,3 +55,17 @@ def test_row_policy_default_branch(bank):
     df = G.row_policy(bank.customers, "BANKING_ANALYST", "branch_name")
     assert df.filter(F.col("branch_name") != G.DEFAULT_POLICY_BRANCH).count() == 0
     assert G.row_policy(bank.customers, "BANKING_ADMIN", "branch_name").count() == bank.customers.count()
+
+
+def test_role_closure_on_cycles_and_diamonds(spark):
+    """One row for each reachable role, with the least depth; cycles end and are named."""
+    from vaultline.operators import governance as G
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("c", "e"), ("d", "f"), ("e", "f"), ("f", "g"), ("c", "g"),
+                                   ("c", "g"), (None, "x")], "child string, parent string")
+    closure = G.role_closure(spark, edges)
+    got = {(r.role, r.effective_role): r.depth for r in closure.collect()}
+    want = {(x, x): 0 for x in "abcdefg"} | {("a", "b"): 1, ("b", "a"): 1, ("c", "d"): 1, ("c", "e"): 1, ("c", "f"): 2, ("c", "g"): 1,
+                                            ("d", "f"): 1, ("d", "g"): 2, ("e", "f"): 1, ("e", "g"): 2, ("f", "g"): 1}
+    assert got == want and closure.count() == len(want)
+    assert sorted(r.role for r in G.role_cycles(closure, edges).collect()) == ["a", "b"]

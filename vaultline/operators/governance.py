@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask_email, mask_name, mask_phone, mask_ssn, since, to_char
+from .joins import pin
 
 # Role inheritance (child, parent) as granted by the setup script.
 ROLE_EDGES = [
@@ -102,17 +103,28 @@ def role_edges(spark: SparkSession) -> DataFrame:
 
 
 def role_closure(spark: SparkSession, edges: DataFrame | None = None) -> DataFrame:
-    """(role, effective_role, depth): every role a role inherits, itself
-    included at depth 0, via a recursive CTE."""
-    edges = edges if edges is not None else role_edges(spark)
-    return spark.sql("""
-        WITH RECURSIVE closure(role, effective_role, depth) AS (
-          SELECT child, child, 0 FROM {edges}
-          UNION SELECT parent, parent, 0 FROM {edges}
-          UNION ALL
-          SELECT c.role, e.parent, c.depth + 1 FROM closure c JOIN {edges} e ON c.effective_role = e.child
-        )
-        SELECT role, effective_role, depth FROM closure""", edges=edges)
+    """(role, effective_role, depth): every role a role inherits, itself at
+    depth 0, each once with its least depth, on any graph (cycles too).
+
+    Semi-naive: a round extends only the pairs of the round before and drops
+    what was reached earlier; there are as many rounds as the longest of the
+    shortest ways. Every round's pairs are pinned in the checkpoint folder."""
+    edges = pin((edges if edges is not None else role_edges(spark)).dropna().distinct())
+    names = edges.select(F.col("child").alias("role")).union(edges.select("parent")).distinct()
+    reached = pin(names.select("role", F.col("role").alias("effective_role"), F.lit(0).alias("depth")))
+    last, depth = reached, 0
+    while not last.isEmpty():
+        depth += 1
+        step = last.join(edges, last.effective_role == edges.child).select("role", F.col("parent").alias("effective_role")).distinct()
+        last = pin(step.join(reached, ["role", "effective_role"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = reached.unionByName(last)
+    return reached
+
+
+def role_cycles(closure: DataFrame, edges: DataFrame) -> DataFrame:
+    """Roles that inherit themselves through others."""
+    back = closure.join(edges, (closure.effective_role == edges.child) & (closure.role == edges.parent))
+    return back.select("role").distinct()
 
 
 def effective_roles(query_log: DataFrame, closure: DataFrame) -> DataFrame:
