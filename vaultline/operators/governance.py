@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask_email, mask_name, mask_phone, mask_ssn, since, to_char
-from .joins import pin
+from .joins import bounded, pin
 
 # Role inheritance (child, parent) as granted by the setup script.
 ROLE_EDGES = [
@@ -110,14 +110,15 @@ def role_closure(spark: SparkSession, edges: DataFrame | None = None) -> DataFra
     what was reached earlier; there are as many rounds as the longest of the
     shortest ways. Every round's pairs are pinned in the checkpoint folder."""
     edges = pin((edges if edges is not None else role_edges(spark)).dropna().distinct())
-    names = edges.select(F.col("child").alias("role")).union(edges.select("parent")).distinct()
-    reached = pin(names.select("role", F.col("role").alias("effective_role"), F.lit(0).alias("depth")))
-    last, depth = reached, 0
-    while not last.isEmpty():
-        depth += 1
-        step = last.join(edges, last.effective_role == edges.child).select("role", F.col("parent").alias("effective_role")).distinct()
-        last = pin(step.join(reached, ["role", "effective_role"], "left_anti").withColumn("depth", F.lit(depth)))
-        reached = reached.unionByName(last)
+    both = F.explode(F.array("child", "parent")).alias("role")
+    reached = pin(edges.select(both).distinct().select("role", F.col("role").alias("effective_role"), F.lit(0).alias("depth")))
+    n_edges, n_new, n_reached, last, depth = edges.count(), reached.count(), 0, reached, 0
+    while n_new:
+        n_reached, depth = n_reached + n_new, depth + 1
+        step = last.join(bounded(edges, n_edges), last.effective_role == edges.child) \
+            .select("role", F.col("parent").alias("effective_role")).distinct()
+        last = pin(step.join(bounded(reached, n_reached), ["role", "effective_role"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached, n_new = reached.unionByName(last), last.count()
     return reached
 
 
