@@ -7,13 +7,20 @@
    elements count the text of everything inside them. The page votes for its
    best section's generalised path (tags with class names, digits masked).
 2. Spark adds up the votes per (host, path), a partial aggregate, and keeps
-   the paths with at least ``min_share`` of their host's votes: at most
-   1 / ``min_share`` paths per host.
+   the paths with ``min_share`` of their host's votes, or with ``min_votes``
+   votes and ``low_share`` of them: at most 1 / ``low_share`` paths per host.
 3. Pages meet their host's winning paths by an equi-join on the host (Spark
    broadcasts the stored winners only below its size threshold, and splits a
-   hot host otherwise) and are extracted again from the elements on the
-   highest-ranked path they have; a page with none of them, or without a
-   host, uses its own best container.
+   hot host otherwise) and are extracted again from the elements on one of
+   them: the one with the greatest product of votes and of the page's own
+   score there. A page with none of them, or without a host, uses its own best
+   container.
+
+Class and id names that speak of text beside the article (``_BESIDE``) only
+mark a block element. A marked element goes, unless it holds most of the page's
+unlinked text and the page's main heading, or (if the word is only a part of a
+name) hardly any text comes before it. Names such as ``no-sidebar`` or
+``comments-open`` speak of the page's state and mark nothing.
 
 Defined results: null html gives an empty text; null or hostless urls do not
 vote. Unclosed elements end with the page, an unclosed tag is dropped. A
@@ -32,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 
 MIN_SHARE = 0.1
+MIN_VOTES, LOW_SHARE = 20, 0.001
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>?", re.S)
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>?", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
@@ -48,7 +56,7 @@ _CELL = {"td", "th"}
 _BLOCK = _LEAF | _CONTAINER | {"hr"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}}
-_DROPPED = {"head", "nav", "footer", "aside", "form", "template", "svg", "math", "object", "canvas", "audio", "video",
+_DROPPED = {"head", "nav", "footer", "aside", "template", "svg", "math", "object", "canvas", "audio", "video",
             "button", "select", "dialog", "menu", "label"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar",
           "toolbar", "form"}
@@ -60,16 +68,67 @@ _BESIDE = {
     "overlay", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended",
     "widget", "pagination", "pager", "toolbar", "copyright", "form", "search", "skip", "tags",
 }
+# words before or after such a word that speak of the page's state
+_STATE_BEFORE = {"no", "not", "non", "without", "has", "with", "is", "hide", "hidden", "disable", "enable"}
+_STATE_AFTER = {"open", "opened", "closed", "enabled", "disabled", "on", "off", "result", "results", "left", "right"}
 _ARTICLE = {"article": 1.2, "main": 1.0}
 
 
+def beside(names: str) -> int:
+    """Whether class or id names speak of text beside the article: 2 if a
+    whole name does, 1 if a part of one does, else 0."""
+    found = 0
+    for name in names.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        hits = [k for k, w in enumerate(words) if w in _BESIDE]
+        if any(w in _STATE_BEFORE for w in words[:-1]) or any(w in _STATE_AFTER for w in words[1:]):
+            continue
+        if hits:
+            found = max(found, 2 if len(hits) == len(words) else 1)
+    return found
+
+
 class Page:
     """Blocks (container, text, link characters) and the element tree of one page."""
 
     def __init__(self, source: str):
-        self.tag, self.label, self.parent, self.weight = ["#"], ["#"], [-1], [0.0]
+        self.tag, self.label, self.parent, self.weight, self.depth = ["#"], ["#"], [-1], [0.0], [0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.mark_of: list[int] = []  # of each block: the innermost marked element, or 0
+        self.marks: list[list] = [[0, 0, False]]  # of each marked element: the one around it, beside(), an h1 inside
         self._parse(source)
+        if len(self.marks) > 1:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Decide which marked elements go, outer ones first, and drop their blocks."""
+        value = [len(t) - links for _, t, links in self.blocks]
+        n = len(self.marks)
+
+        def inside(gone: list[bool]) -> tuple[list[int], list[int], int]:
+            """Unlinked text in each element and before it, and of the page."""
+            held, before, total = [0] * n, [-1] * n, 0
+            for v, m in zip(value, self.mark_of, strict=True):
+                if not gone[m]:
+                    k = m
+                    while k and before[k] < 0:
+                        before[k], k = total, self.marks[k][0]
+                    held[m] += v
+                    total += v
+            for k in reversed(range(1, n)):
+                held[self.marks[k][0]] += held[k]
+            return held, before, total
+        for k in reversed(range(1, n)):
+            self.marks[self.marks[k][0]][2] |= self.marks[k][2]
+        gone = [False] * n
+        for k in range(1, n):
+            gone[k] = gone[self.marks[k][0]] or self.marks[k][1] == 2 and not self.marks[k][2]
+        held, before, total = inside(gone)
+        for k in range(1, n):
+            around, kind, h1 = self.marks[k]
+            keeps = 2 * held[k] > total and (h1 or kind == 1 and 50 * before[k] <= held[k])
+            gone[k] = gone[k] or gone[around] or not keeps
+        self.blocks = [b for b, m in zip(self.blocks, self.mark_of, strict=True) if not gone[m]]
 
     def path(self, node: int) -> str:
         parts = []
@@ -79,11 +138,11 @@ class Page:
         return ">".join(reversed(parts))
 
     def _parse(self, s: str) -> None:
-        # the open elements: (tag, node, dropped, heading text only)
-        stack: list[tuple[str, int, bool, bool]] = [("#", 0, False, False)]
+        # the open elements: (tag, container, dropped, heading text only, innermost mark)
+        stack: list[tuple[str, int, bool, bool, int]] = [("#", 0, False, False, 0)]
         count: Counter = Counter()
         text: list[str] = []
-        links = owner = 0
+        links = owner = mark = 0
 
         def flush():
             nonlocal links
@@ -91,16 +150,19 @@ class Page:
                 block = " ".join(html.unescape("".join(text)).split())
                 if block:
                     self.blocks.append((owner, block, min(links, len(block))))
+                    self.mark_of.append(mark)
                 text.clear()
             links = 0
 
         def put(chunk: str):
-            nonlocal links, owner
-            tag, _, dropped, headings = stack[-1]
+            nonlocal links, owner, mark
+            _, node, dropped, headings, inner = stack[-1]
             if dropped or not chunk or (headings and not any(count[h] for h in ("h1", "h2", "h3", "h4", "h5", "h6"))):
                 return
             if not text:
-                owner = next(n for t, n, _, _ in reversed(stack) if t in _CONTAINER or t == "#")
+                owner, mark = node, inner
+            if count["h1"] and inner and not chunk.isspace():
+                self.marks[inner][2] = True
             text.append(chunk)
             if count["a"]:
                 links += len(chunk)
@@ -152,22 +214,26 @@ class Page:
         flush()
 
     def _open(self, tag, attributes, stack, count) -> None:
-        _, up, dropped, headings = stack[-1]
+        _, up, dropped, headings, mark = stack[-1]
+        kind = 2 if tag == "form" else 0
         classes, weight = "", _ARTICLE.get(tag, 0.0)
         if attributes and not dropped:
             a = {k.lower(): d or q or u for k, d, q, u in _ATTR.findall(attributes)}
             classes = " ".join(sorted(set(_DIGITS.sub("#", a.get("class", "").lower()).split())))
-            names = {w.lower() for w in _NAME.findall(a.get("class", "") + " " + a.get("id", ""))}
+            if tag not in ("html", "body", "article", "main"):
+                kind = max(kind, beside(a.get("class", "") + " " + a.get("id", "")))
             role = a.get("role", "").lower()
             if "main" == role or "articlebody" in a.get("itemprop", "").lower():
                 weight = max(weight, 1.1)
             style = a.get("style", "").replace(" ", "").lower()
-            dropped = bool(tag not in ("html", "body", "article", "main") and names & _BESIDE or role in _ROLES
-                           or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style)
+            dropped = bool(role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style)
         if tag == "header":  # the page's header goes; of an article's, its headings stay
             inside = count["article"] > 0
             dropped, headings = dropped or not inside, inside
-        dropped = dropped or tag in _DROPPED
+        dropped = dropped or tag in _DROPPED or kind > 0 and tag not in _BLOCK  # an inline element is not weighed
+        if kind and not dropped:
+            self.marks.append([mark, kind, False])
+            mark = len(self.marks) - 1
         node = up
         if tag in _CONTAINER:
             node = len(self.label)
@@ -175,23 +241,23 @@ class Page:
             self.label.append(f"{tag}.{classes.replace(' ', '.')}" if classes else tag)
             self.parent.append(up)
             self.weight.append(weight)
+            self.depth.append(self.depth[up] + 1)
         count[tag] += 1
-        stack.append((tag, node, dropped, headings))
+        stack.append((tag, node, dropped, headings, mark))
 
     def competing(self) -> list[bool]:
         """Which containers may be the main text. A cell is one of a layout
         table if it holds several blocks and the section around the table
         holds no text but in tables; other cells are text of that section."""
         n = len(self.tag)
-        held, beside = [0] * n, [False] * n
+        held, near, holds = [0] * n, [0] * n, [False] * n
+        for k in range(1, n):  # parents come first
+            near[k] = k if self.tag[k] in _CELL or self.tag[k] in _SECTION else near[self.parent[k]]
         for owner, _, _ in self.blocks:
-            node, direct = owner, True
-            while node >= 0:
-                if self.tag[node] in _CELL:
-                    held[node] += 1
-                if direct and (self.tag[node] in _CELL or self.tag[node] in _SECTION):
-                    beside[node], direct = True, False
-                node = self.parent[node]
+            held[owner] += 1
+            holds[near[owner]] = True
+        for k in reversed(range(1, n)):
+            held[self.parent[k]] += held[k]
         competes, inset, around = [False] * n, [False] * n, [0] * n
         competes[0] = True
         for k in range(1, n):  # parents come first
@@ -202,7 +268,7 @@ class Page:
             elif tag in _SECTION:
                 competes[k] = not inset[k]
             elif tag in _CELL:
-                competes[k] = not inset[k] and held[k] > 1 and not beside[around[k]]
+                competes[k] = not inset[k] and held[k] > 1 and not holds[around[k]]
                 inset[k] = not competes[k]
             elif tag in _INSET:
                 inset[k] = True
@@ -210,18 +276,37 @@ class Page:
                 around[k] = k
         return competes
 
+    def scores(self) -> list[float]:
+        """A section's score: its own text, half and a quarter of the sections'
+        just below it; semantic elements count everything inside them."""
+        n, competes = len(self.label), self.competing()
+        score, total, up = [0.0] * n, [0] * n, [0] * n
+        for k in range(1, n):  # parents come first
+            up[k] = k if competes[k] else up[self.parent[k]]
+        for node, text, links in self.blocks:
+            value, share, k = len(text) - links, 1.0, up[node]
+            total[node] += value
+            while share and k >= 0:
+                if not self.weight[k]:
+                    score[k] += value * share
+                share = share / 2 if share > 0.3 else 0.0
+                k = up[self.parent[k]] if k else -1
+        for k in reversed(range(1, n)):
+            total[self.parent[k]] += total[k]
+            if self.weight[k]:
+                score[k] = total[k] * self.weight[k]
+        return score
+
     def best(self) -> int:
         """The best-scored section; of equals the outermost."""
-        score, competes = [0.0] * len(self.label), self.competing()
-        for node, text, links in self.blocks:
-            value, share = len(text) - links, 1.0
-            while node >= 0:
-                if competes[node]:
-                    score[node] += value * max(share, self.weight[node])
-                    share = share / 2 if share > 0.3 else 0.0
-                node = self.parent[node]
+        score = self.scores()
         return max(range(len(score)), key=lambda k: (score[k], -k))
 
+    def on_path(self, path: str) -> set[int]:
+        """The containers on a generalised path."""
+        parts = path.split(">")
+        return {k for k in range(1, len(self.label)) if self.depth[k] == len(parts) and self.label[k] == parts[-1] and self.path(k) == path}
+
     def text(self, roots: set[int]) -> str:
         """Blocks inside any of ``roots``, in page order."""
         inside = [False] * len(self.label)
@@ -236,20 +321,18 @@ def vote(source: str) -> tuple[str, float] | None:
     return (page.path(page.best()), 1.0) if page.blocks else None
 
 
-def extract(source: str, winners: list[str] | None) -> str:
-    """The main text, from the first winning path that holds text on the page."""
+def extract(source: str, winners: list[tuple[str, float]] | None) -> str:
+    """The main text, from the winning path (path, votes) that fits the page best."""
     page = Page(source)
     if not page.blocks:
         return ""
-    if winners:
-        paths: dict[str, set[int]] = {}
-        for k in range(1, len(page.label)):
-            paths.setdefault(page.path(k), set()).add(k)
-        for w in winners:
-            text = page.text(paths[w]) if w in paths else ""
-            if text:
-                return text
-    return page.text({page.best()})
+    score, best = page.scores(), (0.0, "")
+    for path, votes in winners or ():
+        roots = page.on_path(path)
+        rank = votes * sum(score[k] for k in roots)
+        if roots and (rank > best[0] or not best[1]) and (text := page.text(roots)):
+            best = (rank, text)
+    return best[1] or page.text({page.best()})
 
 
 def host_of(url) -> F.Column:
@@ -258,8 +341,8 @@ def host_of(url) -> F.Column:
     return F.when(host != "", host)
 
 
-def winning_paths(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, winners): paths by falling votes."""
+def winning_paths(pages: DataFrame, min_share: float = MIN_SHARE, min_votes: int = MIN_VOTES, low_share: float = LOW_SHARE) -> DataFrame:
+    """(host, winners): paths with their votes, by falling votes."""
     def run(batch):
         got: Counter = Counter()
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -270,9 +353,10 @@ def winning_paths(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     src = pages.select(host_of(F.col("url")).alias("host"), "html").dropna()
     votes = map_arrow(src, run, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     total = votes.groupBy("host").agg(F.sum("votes").alias("total"))
-    won = votes.join(total, "host").where(F.col("votes") >= min_share * F.col("total"))
+    won = votes.join(total, "host").where(
+        (F.col("votes") >= min_share * F.col("total")) | (F.col("votes") >= F.greatest(F.lit(min_votes), low_share * F.col("total"))))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
-    return won.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("winners"))
+    return won.groupBy("host").agg(F.transform(ranked, lambda x: F.struct(x["path"].alias("path"), (-x["v"]).alias("votes"))).alias("winners"))
 
 
 def main_texts(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -283,7 +367,7 @@ def main_texts(pages: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
         winners.withColumnRenamed("host", "__llm_host"), "__llm_host", "left").select("page_id", "url", "html", "winners")
 
     def run(batch):
-        text = [extract(s, w) if s else "" for s, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        text = [extract(s, [(x["path"], x["votes"]) for x in w or ()]) if s else "" for s, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": text, "n_chars": [len(t) for t in text]}
     kind = pages.schema["page_id"].dataType.simpleString()
     return map_arrow(joined, run, f"page_id {kind}, url string, text string, n_chars long")
