@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -228,6 +229,69 @@ def test_language_id(spark, odd_docs, odd_rows):
     assert Counter(r["text"] for r in kept.collect()) == Counter(r[1] for r in odd_rows if r[1] and any(c.isalpha() for c in r[1]))
 
 
+def test_words_are_letters_with_their_marks(spark):
+    for text in ("½", "²", "Ⅷ", "①", "12 ³", "_ 7 \u0301", "٣", ""):
+        assert langid.words_of(text) == [], text
+    assert langid.words_of("हिन्दी Été e\u0301te\u0301 x²y 漢字7_a ª") == ["हिन्दी", "été", "e\u0301te\u0301", "x", "y", "漢字", "a", "ª"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("plain words", "xx"), ("autres mots", "yy")] * 20 + [
+        ("½ ²", "xx"), ("Ⅷ", None), ("mots", None)])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(docs).collect()}
+    assert got[40] == got[41] == "und" and got[42] == "yy"
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_identified(docs).collect()}
+    assert 40 not in kept and 41 not in kept and kept[42] == "yy" and kept[0] == "xx"  # a missing label is filled in
+
+
+def test_language_scores_by_hand(spark):
+    """Counts, backoff and score of every document in plain Python, with a small vocabulary that is dealt over the languages."""
+    rnd = random.Random(9)
+    stems = {"aa": ["kal", "mor", "tip"], "bb": ["sen", "wul", "grak"], "cc": ["ixo", "ezu", "kal"]}
+    rows = []
+    for i in range(240):
+        lang = "aa" if i % 4 else "bb" if i % 8 else "cc"
+        rows.append((i, " ".join(rnd.choice(stems[lang]) + rnd.choice(["", "a", "om", "isti"]) for _ in range(rnd.randint(1, 30))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_words=15, max_grams=30)
+    langs = ["aa", "bb", "cc"]
+
+    def top(counts, most):
+        kept = set()
+        for c in counts.values():
+            order = sorted(c.values(), reverse=True)
+            bound = next((n for n in sorted(set(order)) if sum(x >= n for x in order) <= most // len(langs)), 2**62)
+            kept |= {g for g, n in c.items() if n >= bound}
+        total = {lang: sum(counts[lang][g] + .5 for g in kept) + .5 for lang in langs}
+        return {g: [np.log((counts[lang][g] + .5) / total[lang]) for lang in langs] for g in kept}
+    words = {lang: Counter() for lang in langs}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            words[lang].update(text.split())
+    known, grams = top(words, 15), {}
+    for n in langid.GRAMS:
+        c = {lang: Counter() for lang in langs}
+        for lang in langs:
+            for w, times in words[lang].items():
+                x = f"<{w}>" if n > 1 else w
+                for k in range(len(x) - n + 1):
+                    c[lang][x[k: k + n]] += times
+        grams[n] = top(c, 30)
+    assert set(model.words) == set(known) and all(set(model.grams[n][0]) == set(grams[n]) for n in langid.GRAMS)
+    for _, text, _ in [*rows, (0, "kalxyz qqq senna", None)]:
+        score, w = np.zeros(3), text.split()
+        for x in w:
+            if x in known:
+                score += known[x]
+                continue
+            for n in langid.GRAMS:
+                y = f"<{x}>" if n > 1 else x
+                hits = [grams[n][y[k: k + n]] for k in range(len(y) - n + 1) if y[k: k + n] in grams[n]]
+                if hits:
+                    score += np.mean(hits, axis=0)
+                    break
+        p = np.exp((score - score.max()) * min(len(w), 20) / len(w))
+        lang, s = model.predict(text)
+        assert lang == langs[int(score.argmax())] and abs(s - 1 / p.sum()) < 1e-9
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()

@@ -7,18 +7,27 @@ the sum over its words.
 
 The model is fitted on a bounded sample of labelled rows (``max_docs`` per
 language, chosen by a hash of the doc_id) and keeps the most frequent words
-and n-grams, so its size has a fixed bound and it can be broadcast. Word and
-n-gram counts are Spark aggregates; only the bounded tables reach the driver.
+and n-grams of each language, an equal share of the bound for each, so its
+size has a fixed bound and it can be broadcast. Word and n-gram counts are
+Spark aggregates; only the bounded tables reach the driver.
+
+A word is a letter with the letters and combining marks that follow it
+(Unicode categories L and M); digits, numerals and symbols are no letters.
 
 Defined results: null text, or text without a letter, is ``und`` with score
-0. A null doc_id is neither learned from nor held out. With nothing to learn
+0. An empty table returns no rows. Only doc_id, lang and text are read,
+whatever other columns there are. A null doc_id is neither learned from nor held out. With nothing to learn
 from, every document is ``und``. Ties go to the smallest language name.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from functools import cache
+from itertools import groupby
+from unicodedata import category
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,11 +38,11 @@ from .common import map_arrow, small_batches
 
 UNDETERMINED = "und"
 MAX_DOCS = 4_000      # labelled documents per language that are learned from
-MAX_LANGS = 256       # languages, the most frequent
-MAX_WORDS = 60_000    # words in the model
+MAX_LANGS = 4_000     # languages, the most frequent
+MAX_WORDS = 60_000    # words in the model, dealt over the languages
 MAX_GRAMS = 20_000    # n-grams in the model, for each n
+MAX_CELLS = 16_000_000  # words (or n-grams of one n) times languages: 128 MB
 GRAMS = (5, 4, 3, 2, 1)
-_WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 100_000
 _FLUSH = 200_000
 
@@ -43,8 +52,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@cache
+def _word() -> re.Pattern:
+    """A letter, then letters and marks, as ranges of the Unicode categories."""
+    ranges: dict[str, list[str]] = {"L": [], "M": []}
+    for kind, run in groupby(range(sys.maxunicode + 1), lambda c: category(chr(c))[0]):
+        if kind in ranges:
+            points = list(run)
+            ranges[kind].append(f"\\U{points[0]:08x}-\\U{points[-1]:08x}")
+    letters, marks = "".join(ranges["L"]), "".join(ranges["M"])
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _word().findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -103,11 +124,33 @@ class Model:
         return self.langs[best], float(1 / p.sum())
 
 
+def _least(counts: DataFrame, share: int) -> dict[str, int]:
+    """Per language, the least count at which at most ``share`` grams are as
+    frequent. It comes from the numbers of grams of each count, so no task
+    holds a language and equal counts are treated alike."""
+    sizes: dict[str, list] = {}
+    for lang, n, grams in counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams")).collect():
+        sizes.setdefault(lang, []).append((n, grams))
+    least = {}
+    for lang, rows in sizes.items():
+        total, least[lang] = 0, 2**62
+        for n, grams in sorted(rows, reverse=True):
+            total += grams
+            if total > share:
+                break
+            least[lang] = n
+    return least
+
+
 def _top(counts: DataFrame, langs: list[str], most: int) -> dict[str, list[float]]:
-    """The ``most`` frequent grams with their count per language (driver, bounded)."""
+    """Each language's most frequent grams, ``most`` in all, with their count
+    per language (driver, bounded)."""
+    least = _least(counts, max(1, min(most, MAX_CELLS // len(langs)) // len(langs)))
+    if not least:
+        return {}
+    needed = F.create_map(*[F.lit(x) for item in least.items() for x in item])[F.col("lang")]
     cols = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
-    rows = (counts.groupBy("gram").agg(F.sum("n").alias("total"), *cols)
-            .orderBy(F.desc("total"), "gram").limit(most).collect())
+    rows = counts.groupBy("gram").agg(F.max(F.col("n") >= needed).alias("kept"), *cols).where("kept").orderBy("gram").collect()
     return {r["gram"]: list(r[2:]) for r in rows}
 
 
@@ -157,8 +200,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, m
             for lang, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for g in grams_of(w, n):
                     yield (lang, g), c
-        grams[n] = _top(_counted(counts, of), langs, max_grams)
-    scratch.drop("words")
+        grams[n] = _top(scratch.save(_counted(counts, of), f"grams{n}"), langs, max_grams)
+    scratch.drop("words", *[f"grams{n}" for n in GRAMS])
     return Model(langs, words, grams)
 
 
@@ -184,17 +227,22 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no language (``und``). Where there
-    was nothing to learn from, only null and letterless texts go."""
+    """``docs`` without the rows that have no language (``und``); a null lang
+    becomes the predicted one. Where there was nothing to learn from, only
+    null and letterless texts go."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         m = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            kept = [t is not None and (m.predict(t)[0] != UNDETERMINED if m.langs else bool(words_of(t))) for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            text_at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            found = [UNDETERMINED if t is None else m.predict(t)[0] if m.langs else None if words_of(t) else UNDETERMINED
+                     for t in batch.column(text_at).to_pylist()]
+            field = batch.schema.field(lang_at)
+            lang = pc.coalesce(batch.column(lang_at), pa.array(found, field.type))
+            yield batch.set_column(lang_at, field, lang).filter(pa.array([x != UNDETERMINED for x in found], pa.bool_()))
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
