@@ -39,8 +39,8 @@ from .common import map_arrow, small_batches
 UNDETERMINED = "und"
 MAX_DOCS = 4_000      # labelled documents per language that are learned from
 MAX_LANGS = 4_000     # languages, the most frequent
-MAX_WORDS = 60_000    # words in the model, dealt over the languages
-MAX_GRAMS = 20_000    # n-grams in the model, for each n
+MAX_WORDS = 240_000   # words in the model, dealt over the languages
+MAX_GRAMS = 40_000    # n-grams in the model, for each n
 MAX_CELLS = 16_000_000  # words (or n-grams of one n) times languages: 128 MB
 GRAMS = (5, 4, 3, 2, 1)
 _CACHE = 100_000
