@@ -49,6 +49,22 @@ def test_skip_header(spark, schema, tmp_path):
     assert _load(spark, schema, tmp_path, [(bare, "CSV")], skip_header=0)[0] == [(1, "x"), (2, "y")]
 
 
+def test_lines_are_skipped_by_place_not_by_text(spark, schema, tmp_path):
+    """Data rows that equal the title or the header stay; files of many splits skip at their start only."""
+    body = "".join(f"{i},v{i}\n" for i in range(3000))
+    src = tmp_path / "p"
+    _write(src, "1.csv", "1,one\na,b\n1,one\n2,two\n1,one\n")
+    _write(src, "2.csv", "1,one\na,b\n" + body + "a,b\n1,one\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows, log = _load(spark, schema, tmp_path, [(str(src), "CSV")], skip_header=2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == sorted([(1, "one"), (2, "two"), (1, "one"), (1, "one")] + [(i, f"v{i}") for i in range(3000)])
+    assert (log["p/1.csv"].rows_loaded, log["p/2.csv"].rows_loaded, log["p/2.csv"].errors) == (3, 3001, 1)
+
+
 def test_a_foreign_json_key_in_a_late_row_refuses_the_file(spark, schema, tmp_path):
     lines = [f'{{"a": {i}, "b": "x"}}' for i in range(3000)]
     good = _write(tmp_path / "g", "g.json", "\n".join(lines) + "\nnot json\n")

@@ -89,14 +89,17 @@ def _out(df: DataFrame, target: T.StructType, corrupt=None, foreign=None) -> Dat
 
 def _csv(spark: SparkSession, files: list[str], schema: T.StructType, skip: list[str], target: T.StructType) -> DataFrame:
     """Files with one column order. More than one line to skip: the lines are
-    dropped by their text, at the start of the file only."""
+    dropped by their place in the file, so a data row may equal one of them."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     if len(skip) <= 1:
         df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
               .option("header", bool(skip)).csv(files).select("*", _file_column()))
     else:
-        text = spark.read.text(files).select("value", "_metadata.file_block_start", _file_column())
-        text = text.filter((F.col("file_block_start") > 0) | ~F.col("value").isin(skip))
+        # a split's lines get consecutive numbers; a file's first split starts at byte 0
+        text = spark.read.text(files).select("value", (F.col("_metadata.file_block_start") == 0).alias("_head"), _file_column(),
+                                             F.monotonically_increasing_id().alias("_row"))
+        first = text.filter("_head").groupBy("_file").agg(F.min("_row").alias("_first"))
+        text = text.join(first, "_file", "left").filter(~F.col("_head") | (F.col("_row") >= F.col("_first") + len(skip)))
         row = F.from_csv("value", full.simpleString()[7:-1].replace(":", " "),
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
         df = text.filter(F.length("value") > 0).select(row.alias("r"), "_file").select("r.*", "_file")
