@@ -28,6 +28,7 @@ document (doc_id and text) lose the same lines. A null doc_id orders last.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,9 +149,10 @@ def similar(x: str, a: tuple, y: str, b: tuple, k: int, least: float) -> bool:
     return jaccard(a[1], b[1]) >= least
 
 
-def _id128(line: str) -> tuple[int, int]:
-    d = np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8")
-    return int(d[0]), int(d[1])
+def _ids128(lines: list[str]) -> np.ndarray:
+    """(len(lines), 2) content hashes."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<i8").reshape(-1, 2)
 
 
 def _lines_of(batch, most: int = 1000):
@@ -172,7 +174,7 @@ def places(docs: DataFrame) -> DataFrame:
     """(l1, l2, key, line_no) of every line that is not blank."""
     def run(batch):
         for ds, hs, numbers, lines in _lines_of(batch):
-            ids = np.array([_id128(x) for x in lines], np.int64).reshape(-1, 2)
+            ids = _ids128(lines)
             yield {"l1": ids[:, 0], "l2": ids[:, 1], KEY_D: ds, KEY_H: hs, "line_no": numbers}
     return map_arrow(doc_texts(docs), run, f"l1 long, l2 long, {KEY_D} long, {KEY_H} long, line_no int")
 
@@ -185,19 +187,20 @@ def distinct_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batch):
         for ds, hs, numbers, lines in _lines_of(batch):
-            low: dict[str, list] = {}
-            for x, d, h, no in zip(lines, ds, hs, numbers, strict=True):
-                at = (d, h, no)
-                got = low.setdefault(x, [at, at])
-                if at < got[0]:
-                    got[0] = at
-                elif at > got[1]:
-                    got[1] = at
-            ids = np.array([_id128(x) for x in low], np.int64).reshape(-1, 2)
-            keys = band_keys(list(low), k) if low else np.empty((0, BANDS), np.int64)
-            cols = {"l1": ids[:, 0], "l2": ids[:, 1], "size": list(map(len, low)), **{n: np.ascontiguousarray(keys[:, i]) for i, n in enumerate(names)}}
-            for j, name in enumerate(("first", "last")):
-                cols[name] = [dict(zip((KEY_D, KEY_H, "line_no"), v[j], strict=True)) for v in low.values()]
+            known: dict[str, int] = {}
+            of = np.fromiter((known.setdefault(x, len(known)) for x in lines), np.int64, len(lines))
+            place = np.array(ds, np.int64), np.array(hs, np.int64), np.array(numbers, np.int32)
+            order = np.lexsort(place[::-1])  # the places in order: a line's first and last are its ends there
+            first, last = np.empty((2, len(known)), np.int64)
+            first[of[order[::-1]]] = order[::-1]
+            last[of[order]] = order
+            different = list(known)
+            ids = _ids128(different)
+            keys = band_keys(different, k) if known else np.empty((0, BANDS), np.int64)
+            cols = {"l1": ids[:, 0], "l2": ids[:, 1], "size": list(map(len, different)),
+                    **{n: np.ascontiguousarray(keys[:, i]) for i, n in enumerate(names)}}
+            for name, at in (("first", first), ("last", last)):
+                cols[name] = pa.StructArray.from_arrays([pa.array(x[at]) for x in place], [KEY_D, KEY_H, "line_no"])
             yield cols
     place = f"struct<{KEY_D}:long,{KEY_H}:long,line_no:int>"
     rows = map_arrow(doc_texts(docs), run, f"l1 long, l2 long, first {place}, last {place}, size int, "
