@@ -14,8 +14,10 @@ from functools import lru_cache
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import changes as C
 from ..operators import fraud as FR
 from ..operators import governance as G
+from ..operators import stored_changes as SC
 from ..operators import versions as V
 from ..operators.joins import account_branch_map
 from ..session import scratch_path
@@ -23,10 +25,11 @@ from ..sources import batches as B
 from ..sources import ingest as I
 from ..sources import sinks as SK
 from ..sources import stored as ST
+from ..sources.buckets import BucketTable
 from ..sources.tables import Bank
 from ..streaming import jobs as J
 from ..streaming import views as VW
-from .catalog import DAILY_BRANCH_SQL
+from .catalog import DAILY_BRANCH_SQL, NOW_TS
 from .registry import AS_OF_TXN, register
 
 # Parameters of the registered forms (ours: the reference names the rules
@@ -175,6 +178,42 @@ def _hourly_consolidate_dml(b):
     return _changed_view(b, VW.hourly_view, "hourly_consolidate_dml", "transaction_count", "total_amount")
 
 
+# ---------------------------------------------------------------- bulk changes on bucketed tables
+
+def _bucketed(b, job, *names):
+    root, tables = scratch_path(b.spark, job), []
+    for name in names:
+        tables.append(BucketTable(b.spark, f"{root}/{name}", name))
+        tables[-1].replace(b.table(name))
+    return tables
+
+
+@register("update_by_key_stored", same_as="update_by_key")
+def _update_by_key_stored(b):
+    """The update on tables in key buckets: only the buckets of the batch's keys are read and written."""
+    tx, accounts = _bucketed(b, "update_by_key", "transactions", "accounts")
+    return SC.apply(tx, B.transaction_changes(b), "transaction_id", C.update_transactions, [(accounts, "account_number")]).next
+
+
+@register("update_loans_stored", same_as="update_loans_keep_due")
+def _update_loans_stored(b):
+    loans, customers = _bucketed(b, "update_loans", "loans", "customers")
+    return SC.apply(loans, B.loan_changes(b), "loan_id", C.update_loans, [(customers, SC.loan_customers)]).next
+
+
+@register("upsert_records_stored", same_as="upsert_records")
+def _upsert_records_stored(b):
+    records, = _bucketed(b, "upsert_records", "records")
+    return SC.apply(records, B.records_batch(b), "id", lambda rows, batch: C.upsert_records(rows, batch, NOW_TS)).next
+
+
+@register("insert_loans_stored", same_as="insert_loans")
+def _insert_loans_stored(b):
+    loans, customers = _bucketed(b, "insert_loans", "loans", "customers")
+    return SC.apply(loans, B.loans_batch(b), C.hash_id("LOAN", "source_id"),
+                    lambda rows, batch, c: C.insert_loans(rows, batch, c, AS_OF_TXN), [(customers, "customer_id")]).next
+
+
 # ---------------------------------------------------------------- 2.12 table versions
 
 CHANGE_LOG_SQL = """SELECT concat('ACC', CAST(user_id AS VARCHAR)) AS account_number,
@@ -225,6 +264,14 @@ def _cdc_changes(b):
     return V.cdc_changes(_as_of(b, AS_OF_1), _as_of(b, AS_OF_2), "account_number", ["balance", "last_change_ts"])
 
 
+@register("cdc_net_changes", same_as="cdc_changes")
+def _cdc_net_changes(b):
+    """The same diff from the log's interval alone, by a consumer whose position is the first time."""
+    reader = V.ChangeReader(b.spark, scratch_path(b.spark, "net_changes"), "account_number", ["balance", "last_change_ts"])
+    reader.commit(AS_OF_1)
+    return reader.read(B.account_change_log(b), AS_OF_2)
+
+
 @register("cdc_stream", _as_of_sql("9999-12-31 00:00:00"))
 def _cdc_stream(b):
     """The change log consumed as a stream; the current table is the last

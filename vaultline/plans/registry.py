@@ -29,7 +29,8 @@ AS_OF_TXN = "2001-08-01"
 AS_OF_EVENTS = "2024-01-30"
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, same_as: str | None = None):
+    """``same_as`` names a query registered before, whose SQL must give the same rows."""
     def deco(fn: Callable[[Bank], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(Bank(spark, sf_dir))
@@ -39,6 +40,8 @@ def register(name: str, sql: str | None = None):
         _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = with_views(sql)
+        elif same_as is not None:
+            _SQL[name] = _SQL[same_as]
         return fn
     return deco
 
