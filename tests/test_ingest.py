@@ -88,10 +88,37 @@ def test_copy_appends_rows_and_log(spark, schema, tmp_path):
     src = _write(tmp_path / "in", "1.csv", "a,b\n1,x\n")
     table, history = str(tmp_path / "table"), str(tmp_path / "history")
     for n in (1, 2):
-        rows, log = I.copy_into(spark, [(src, "CSV")], schema, str(tmp_path), table, history)
+        rows, log = I.copy_into(spark, [(src, "CSV")], schema, str(tmp_path), table, history, force=True)
         assert rows.count() == n and log.count() == n
 
 
+def test_a_file_is_loaded_once(spark, schema, tmp_path):
+    src = _write(tmp_path / "in", "1.csv", "a,b\n1,x\n")
+    table, history = str(tmp_path / "table"), str(tmp_path / "history")
+
+    def load():
+        rows, log = I.copy_into(spark, [(src, "CSV")], schema, str(tmp_path), table, history)
+        return sorted(tuple(r) for r in rows.collect()), log.count()
+    assert load() == ([(1, "x")], 1)
+    assert load() == ([(1, "x")], 1)
+    _write(tmp_path / "in", "2.csv", "a,b\n2,y\n")
+    spark.createDataFrame([(9, "lost")], TARGET).write.parquet(f"{table}/load=died")  # died before its log
+    assert load() == ([(1, "x"), (2, "y")], 2)
+    _write(tmp_path / "in", "1.csv", "a,b\n1,changed\n")  # another length
+    assert load() == ([(1, "changed"), (1, "x"), (2, "y")], 3)
+
+
+def test_quoted_fields_that_span_lines(spark, schema, tmp_path):
+    src = _write(tmp_path / "in", "1.csv", 'a,b\n1,"two\nlines"\n2,"one, ""line"""\n')
+    _write(tmp_path / "in", "2.csv", 'a,b\n3,"x\\"y"\n')
+    rows, log = _load(spark, schema, tmp_path, [(src, "CSV")])
+    assert rows == [(3, 'x"y')] and log["in/1.csv"].message == I.SPANS
+    rows, log = _load(spark, schema, tmp_path, [(src, "CSV")], multi_line=True)
+    assert (1, "two\nlines") in rows and log["in/1.csv"].rows_loaded == 2
+    with pytest.raises(ValueError):
+        _load(spark, schema, tmp_path, [(src, "CSV")], multi_line=True, skip_header=2)
+
+
 def test_camel_case():
     from vaultline.sources import sinks as SK
     assert SK.camel_case("TRANSACTION_ID") == "transactionId"

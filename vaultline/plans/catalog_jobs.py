@@ -313,23 +313,31 @@ def _refresh_daily_branch(b):
 
 # ---------------------------------------------------------------- 2.1 file loads
 
+FILE_ROWS = 1000  # customer numbers of a staged file
+
+
 def _stage_files(b, *names):
-    """Customers written by Spark as the files of a load: a CSV in two files
-    with reordered columns and some malformed amounts, JSON (one row of one
-    file with a foreign key), PARQUET, and a CSV with a foreign column."""
+    """Customers written by Spark as the files of a load, ``FILE_ROWS`` customer
+    numbers to a file: CSV of two kinds with different column orders and some
+    malformed amounts, JSON (one row of one file with a foreign key), PARQUET,
+    and CSV with a foreign column."""
     root = scratch_path(b.spark, "stage")
     c = b.customers
     number = F.substring("customer_id", 4, 20).cast("bigint")
+    file = F.floor(number / FILE_ROWS).cast("int")
+    n = (c.agg(F.max(file)).first()[0] or 0) + 1
     text = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns]).withColumn(
         "lifetime_value", F.when(number % 50 == 0, F.lit("n/a")).otherwise(F.col("lifetime_value")))
+
+    def dealt(df):
+        return df.repartitionById(n, file).write
     write = {
-        "customers_csv/a": lambda p: text.filter(number % 2 == 0).coalesce(1).write.option("header", True).csv(p),
-        "customers_csv/b": lambda p: text.filter(number % 2 == 1).select(*reversed(text.columns)).coalesce(1)
-        .write.option("header", True).csv(p),
-        "customers_json": lambda p: c.coalesce(1).write.json(p),
-        "customers_late_json": lambda p: c.withColumn("nickname", F.when(number == 1490, F.col("name"))).coalesce(1).write.json(p),
-        "customers_parquet": lambda p: c.coalesce(1).write.parquet(p),
-        "customers_extra_csv": lambda p: text.withColumn("nickname", F.col("name")).coalesce(1).write.option("header", True).csv(p),
+        "customers_csv/a": lambda p: dealt(text.filter(number % 2 == 0)).option("header", True).csv(p),
+        "customers_csv/b": lambda p: dealt(text.filter(number % 2 == 1).select(*reversed(text.columns))).option("header", True).csv(p),
+        "customers_json": lambda p: dealt(c).json(p),
+        "customers_late_json": lambda p: dealt(c.withColumn("nickname", F.when(number == 1490, F.col("name")))).json(p),
+        "customers_parquet": lambda p: dealt(c).parquet(p),
+        "customers_extra_csv": lambda p: dealt(text.withColumn("nickname", F.col("name"))).option("header", True).csv(p),
     }
     sources = []
     for name in names:
@@ -348,6 +356,7 @@ def _copy(b, *names, skip_header=1):
 
 GOOD_CSV = "CAST(substr(customer_id, 4) AS BIGINT) % 50 <> 0"
 ODD = "CAST(substr(customer_id, 4) AS BIGINT) % 2"
+FILE = f"CAST(substr(customer_id, 4) AS BIGINT) // {FILE_ROWS}"
 HELD = "SELECT * FROM customers WHERE risk_score > 95"
 
 
@@ -359,7 +368,7 @@ def _copy_into(b):
 
 @register("copy_into_schema_check", f"""
 {HELD} UNION ALL SELECT * FROM customers WHERE {GOOD_CSV} UNION ALL SELECT * FROM customers UNION ALL SELECT * FROM customers
-UNION ALL SELECT * FROM customers WHERE NOT EXISTS (SELECT 1 FROM customers WHERE customer_id = 'CUS1490')""")
+UNION ALL SELECT * FROM customers WHERE {FILE} NOT IN (SELECT {FILE} FROM customers WHERE customer_id = 'CUS1490')""")
 def _copy_into_schema_check(b):
     """All files; the CSV with a foreign column and the JSON with a foreign
     key in a late row load nothing."""
@@ -367,30 +376,27 @@ def _copy_into_schema_check(b):
                  "customers_extra_csv")[0]
 
 
-def _log_sql(name, fmt, status, rows, errors, message):
-    lid = f"'LD-' || upper(sha256(concat_ws('|', '{name}', '{fmt}', '{LOAD_NOW}')))"
-    return (f"SELECT '{name}' AS file_name, '{fmt}' AS file_format, '@BANKING_STAGE' AS stage, {status} AS status, "
-            f"CAST({rows} AS BIGINT) AS rows_loaded, CAST({errors} AS BIGINT) AS errors, {message} AS message, "
-            f"{lid} AS load_id, TIMESTAMP '{LOAD_NOW}' AS loaded_at")
-
-
-_N = "(SELECT COUNT(*) FROM customers WHERE {})".format
-_FOREIGN = "'field nickname not found in destination'"
-_LATE = "(SELECT COUNT(*) > 0 FROM customers WHERE customer_id = 'CUS1490')"
+def _log_sql(folder, fmt, where="true", rows="n", errors="0", refused="false"):
+    """The log rows of a folder's files; ``rows``, ``errors`` and ``refused`` are of (n, good, late)."""
+    return f"""SELECT file_name, '{fmt}' AS file_format, '@BANKING_STAGE' AS stage,
+ CASE WHEN {refused} THEN 'FAILED' ELSE 'LOADED' END AS status,
+ CAST(CASE WHEN {refused} THEN 0 ELSE {rows} END AS BIGINT) AS rows_loaded,
+ CAST(CASE WHEN {refused} THEN 0 ELSE {errors} END AS BIGINT) AS errors,
+ CASE WHEN {refused} THEN 'field nickname not found in destination' END AS message,
+ 'LD-' || upper(sha256(concat_ws('|', file_name, '{fmt}', '{LOAD_NOW}'))) AS load_id, TIMESTAMP '{LOAD_NOW}' AS loaded_at
+FROM (SELECT '{folder}/part-' || lpad(CAST({FILE} AS VARCHAR), 5, '0') AS file_name, COUNT(*) AS n,
+ COUNT(*) FILTER (WHERE {GOOD_CSV}) AS good, COUNT(*) FILTER (WHERE customer_id = 'CUS1490') > 0 AS late
+ FROM customers WHERE {where} GROUP BY {FILE}) g"""
 
 
 @register("load_history", "\nUNION ALL\n".join([
-    *[_log_sql(f"customers_csv/{f}/part-00000", "CSV", "'LOADED'", _N(f"{GOOD_CSV} AND {ODD} = {k}"),
-               _N(f"NOT ({GOOD_CSV}) AND {ODD} = {k}"), "CAST(NULL AS VARCHAR)") for k, f in enumerate("ab")],
-    _log_sql("customers_json/part-00000", "JSON", "'LOADED'", _N("true"), "0", "CAST(NULL AS VARCHAR)"),
-    _log_sql("customers_late_json/part-00000", "JSON", f"CASE WHEN {_LATE} THEN 'FAILED' ELSE 'LOADED' END",
-             f"CASE WHEN {_LATE} THEN 0 ELSE {_N('true')} END", "0", f"CASE WHEN {_LATE} THEN {_FOREIGN} END"),
-    _log_sql("customers_parquet/part-00000", "PARQUET", "'LOADED'", _N("true"), "0", "CAST(NULL AS VARCHAR)"),
-    _log_sql("customers_extra_csv/part-00000", "CSV", "'FAILED'", "0", "0", _FOREIGN)]))
+    *[_log_sql(f"customers_csv/{f}", "CSV", f"{ODD} = {k}", "good", "n - good") for k, f in enumerate("ab")],
+    _log_sql("customers_json", "JSON"), _log_sql("customers_late_json", "JSON", refused="late"),
+    _log_sql("customers_parquet", "PARQUET"), _log_sql("customers_extra_csv", "CSV", refused="true")]))
 def _load_history(b):
     """The stored log, one row per file."""
     return _copy(b, "customers_csv/a", "customers_csv/b", "customers_json", "customers_late_json", "customers_parquet",
-                 "customers_extra_csv")[1]
+                 "customers_extra_csv")[1].drop("fingerprint")
 
 
 # ---------------------------------------------------------------- 2.11 governance reports

@@ -13,33 +13,51 @@ A file is refused as a whole when its columns are not the target's:
 * JSON: a key the target lacks, in any row (keys of all rows are checked in
   the pass that parses them). A missing key is NULL.
 * PARQUET: a column the target lacks, from the file's footer.
+* CSV with a quoted field that spans lines, unless ``multi_line`` is set (the
+  file is then parsed whole by one task).
 
 Rows that do not parse under the target's types are counted as errors.
+
+``copy_into`` loads a file once: files that the history has as loaded with the
+same path, length and time are left out, unless ``force`` is set. A load writes
+its rows to a folder of its own and then its log; the log is the commit. Rows
+of a load that died before it are never read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from ..streaming.deltas import hadoop_path
 
 CORRUPT = "_corrupt_record"
+SPANS = "a quoted field spans lines"
 FORMATS = ("CSV", "JSON", "PARQUET")
+HEADS_AT_ONCE = 16  # header lines and footers that are read at a time
+LOG = T.StructType([T.StructField(name, kind, True) for name, kind in (
+    ("file_name", T.StringType()), ("file_format", T.StringType()), ("stage", T.StringType()), ("status", T.StringType()),
+    ("rows_loaded", T.LongType()), ("errors", T.LongType()), ("message", T.StringType()), ("load_id", T.StringType()),
+    ("loaded_at", T.TimestampNTZType()), ("fingerprint", T.StringType()))])
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Data files under ``path`` (the driver lists names, it reads none)."""
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(data file, fingerprint) under ``path``; the driver lists names, it
+    reads none. The fingerprint is the file's path, length and time."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     it = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
     out = []
     while it.hasNext():
-        f = it.next().getPath()
+        status = it.next()
+        f = status.getPath()
         if f.getName()[:1] not in ("_", "."):
-            out.append(f.toString())
+            out.append((f.toString(), f"{f.toString()}|{status.getLen()}|{status.getModificationTime()}"))
     return sorted(out)
 
 
@@ -81,29 +99,32 @@ def _file_column() -> F.Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_file")
 
 
-def _out(df: DataFrame, target: T.StructType, corrupt=None, foreign=None) -> DataFrame:
+def _out(df: DataFrame, target: T.StructType, corrupt=None, issues=None) -> DataFrame:
     return df.select(*[F.col(f.name) for f in target.fields],
                      (F.lit(None).cast("string") if corrupt is None else corrupt).alias(CORRUPT),
-                     (F.array().cast("array<string>") if foreign is None else foreign).alias("_foreign"), "_file")
+                     (F.array().cast("array<string>") if issues is None else issues).alias("_issues"), "_file")
 
 
-def _csv(spark: SparkSession, files: list[str], schema: T.StructType, skip: list[str], target: T.StructType) -> DataFrame:
-    """Files with one column order. More than one line to skip: the lines are
-    dropped by their place in the file, so a data row may equal one of them."""
+def _csv(spark: SparkSession, files: list[str], schema: T.StructType, skip: int, target: T.StructType, multi_line: bool) -> DataFrame:
+    """Files with one column order. The first ``skip`` lines are dropped by
+    their place in the file, so a data row may equal one of them."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    if len(skip) <= 1:
+    if multi_line:
         df = (spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-              .option("header", bool(skip)).csv(files).select("*", _file_column()))
-    else:
-        # a split's lines get consecutive numbers; a file's first split starts at byte 0
-        text = spark.read.text(files).select("value", (F.col("_metadata.file_block_start") == 0).alias("_head"), _file_column(),
-                                             F.monotonically_increasing_id().alias("_row"))
+              .option("header", skip == 1).option("multiLine", True).csv(files).select("*", _file_column()))
+        return _out(df, target, F.col(CORRUPT))
+    # a split's lines get consecutive numbers; a file's first split starts at byte 0
+    text = spark.read.text(files).select("value", (F.col("_metadata.file_block_start") == 0).alias("_head"), _file_column(),
+                                         F.monotonically_increasing_id().alias("_row"))
+    if skip:
         first = text.filter("_head").groupBy("_file").agg(F.min("_row").alias("_first"))
-        text = text.join(first, "_file", "left").filter(~F.col("_head") | (F.col("_row") >= F.col("_first") + len(skip)))
-        row = F.from_csv("value", full.simpleString()[7:-1].replace(":", " "),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        df = text.filter(F.length("value") > 0).select(row.alias("r"), "_file").select("r.*", "_file")
-    return _out(df, target, F.col(CORRUPT))
+        text = text.join(first, "_file", "left").filter(~F.col("_head") | (F.col("_row") >= F.col("_first") + skip))
+    row = F.from_csv("value", full.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # a field that goes on in the next line leaves an odd number of quotes in its first
+    quotes = F.length(F.regexp_replace("value", r'\\.|[^"]', ""))
+    issues = F.when(quotes % 2 == 1, F.array(F.lit(SPANS))).otherwise(F.array().cast("array<string>"))
+    return _out(text.filter(F.length("value") > 0).select(row.alias("r"), issues.alias("_x"), "_file").select("r.*", "_x", "_file"), target,
+                F.col(CORRUPT), F.col("_x"))
 
 
 def _json(spark: SparkSession, files: list[str], target: T.StructType) -> DataFrame:
@@ -114,7 +135,8 @@ def _json(spark: SparkSession, files: list[str], target: T.StructType) -> DataFr
     names = F.array(*[F.lit(f.name.lower()) for f in target.fields])
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     foreign = F.filter(keys, lambda k: ~F.array_contains(names, F.lower(k)))
-    return _out(text.select(row.alias("r"), foreign.alias("_x"), "_file").select("r.*", "_x", "_file"), target,
+    issues = F.transform(foreign, lambda k: F.concat(F.lit("field "), k, F.lit(" not found in destination")))
+    return _out(text.select(row.alias("r"), issues.alias("_x"), "_file").select("r.*", "_x", "_file"), target,
                 F.col(CORRUPT), F.col("_x"))
 
 
@@ -122,43 +144,60 @@ def _parquet(spark: SparkSession, files: list[str], target: T.StructType) -> Dat
     return _out(spark.read.schema(target).parquet(*files).select("*", _file_column()), target)
 
 
-def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Parse every file of ``sources`` [(path, format)] once.
+def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int = 1, multi_line: bool = False,
+          done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parse every file of ``sources`` [(path, format)] once, but for those
+    whose fingerprint is in ``done``.
 
     Returns (parsed rows, files): the rows are a staging table in the shared
-    folder; files is (_file, file_format, message), with the reason of a
-    refusal that the columns alone give."""
+    folder; files is (_file, file_format, fingerprint, message), with the
+    reason of a refusal that the columns alone give."""
+    if multi_line and skip_header > 1:
+        raise ValueError("multi_line skips at most the header line")
     target = T.StructType([T.StructField(f.name, f.dataType, True) for f in target.fields])
-    groups, listed = {}, []
+    listed = []
     for path, fmt in sources:
-        fmt = fmt.upper()
-        if fmt not in FORMATS:
+        if fmt.upper() not in FORMATS:
             raise ValueError(f"unsupported file format {fmt}")
-        for file in list_files(spark, path):
-            issue, key = None, (fmt, (), ())
-            if fmt == "CSV" and skip_header:
-                lines = first_lines(spark, file, skip_header)
-                columns = _header(spark, lines[-1]) if len(lines) == skip_header else []
-                issue = schema_issue(columns, target, whole=True)
-                key = (fmt, tuple(columns), tuple(lines))
-            elif fmt == "PARQUET":
-                issue = schema_issue(spark.read.parquet(file).columns, target, whole=False)
-            listed.append((file, fmt, issue))
-            if issue is None:
-                groups.setdefault(key, []).append(file)
+        listed += [(file, fmt.upper(), mark) for file, mark in list_files(spark, path)]
+    if done is not None and listed:
+        given = spark.createDataFrame(listed, "file string, fmt string, fingerprint string")
+        listed = sorted(tuple(r) for r in given.join(done.select("fingerprint"), "fingerprint", "left_anti")
+                        .select("file", "fmt", "fingerprint").collect())
+
+    def head(item):
+        file, fmt, _ = item
+        if fmt == "CSV" and skip_header:
+            return first_lines(spark, file, skip_header)
+        return spark.read.parquet(file).columns if fmt == "PARQUET" else None
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        heads = list(pool.map(head, listed))
+    known = {line: _header(spark, line) for line in {h[-1] for x, h in zip(listed, heads, strict=True)
+                                                     if x[1] == "CSV" and skip_header and len(h) == skip_header}}
+    groups, files = {}, []
+    for (file, fmt, mark), found in zip(listed, heads, strict=True):
+        issue, columns = None, []
+        if fmt == "CSV" and skip_header:
+            columns = known[found[-1]] if len(found) == skip_header else []
+            issue = schema_issue(columns, target, whole=True)
+        elif fmt == "PARQUET":
+            issue = schema_issue(found, target, whole=False)
+        files.append((file, fmt, mark, issue))
+        if issue is None:
+            groups.setdefault((fmt, tuple(columns)), []).append(file)
     parsed = spark.createDataFrame([], T.StructType(list(target.fields))).select(
-        "*", F.lit(None).cast("string").alias(CORRUPT), F.array().cast("array<string>").alias("_foreign"),
+        "*", F.lit(None).cast("string").alias(CORRUPT), F.array().cast("array<string>").alias("_issues"),
         F.lit("").alias("_file"))
-    for (fmt, columns, lines), files in groups.items():
+    for (fmt, columns), some in groups.items():
         if fmt == "CSV":
-            df = _csv(spark, files, _ordered(list(columns), target) if columns else target, list(lines), target)
+            df = _csv(spark, some, _ordered(list(columns), target) if columns else target, skip_header, target, multi_line)
         else:
-            df = _json(spark, files, target) if fmt == "JSON" else _parquet(spark, files, target)
+            df = _json(spark, some, target) if fmt == "JSON" else _parquet(spark, some, target)
         parsed = parsed.unionByName(df)
     root = scratch_path(spark, "staged")
     parsed.write.parquet(root)
     return (spark.read.schema(parsed.schema).parquet(root),
-            spark.createDataFrame(listed, "_file string, file_format string, message string"))
+            spark.createDataFrame(files, "_file string, file_format string, fingerprint string, message string"))
 
 
 def load_log(parsed: DataFrame, files: DataFrame, root: str, now: str, stage_name: str = "@BANKING_STAGE") -> DataFrame:
@@ -167,13 +206,12 @@ def load_log(parsed: DataFrame, files: DataFrame, root: str, now: str, stage_nam
     good = F.col(CORRUPT).isNull()
     found = parsed.groupBy("_file").agg(
         F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_foreign")))).alias("foreign"))
-    names = F.transform("foreign", lambda k: F.concat(F.lit("field "), k, F.lit(" not found in destination")))
-    message = F.coalesce("message", F.when(F.size("foreign") > 0, F.array_join(names, "; ")))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_issues")))).alias("issues"))
+    message = F.coalesce("message", F.when(F.size("issues") > 0, F.array_join("issues", "; ")))
     rel = F.regexp_replace(F.substring("_file", len(_normal(root)) + 2, 4096), r"-[0-9a-f]{8}-[0-9a-f-]{27}.*$", "")
     loaded = message.isNull()
     log = files.join(found, "_file", "left").select(
-        "_file", rel.alias("file_name"), "file_format", F.lit(stage_name).alias("stage"),
+        "_file", "fingerprint", rel.alias("file_name"), "file_format", F.lit(stage_name).alias("stage"),
         F.when(loaded, "LOADED").otherwise("FAILED").alias("status"),
         F.when(loaded, F.coalesce("good", F.lit(0))).otherwise(0).cast("bigint").alias("rows_loaded"),
         F.when(loaded, F.coalesce("bad", F.lit(0))).otherwise(0).cast("bigint").alias("errors"), message.alias("message"))
@@ -191,21 +229,49 @@ def _normal(path: str) -> str:
 
 
 def load_files(spark: SparkSession, sources, target: T.StructType, root: str, stage_name: str = "@BANKING_STAGE",
-               now: str | None = None, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
+               now: str | None = None, skip_header: int = 1, multi_line: bool = False,
+               done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Load [(path, format)]: (good rows of the accepted files, log per file)."""
     now = now or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    parsed, files = stage(spark, sources, target, skip_header)
+    parsed, files = stage(spark, sources, target, skip_header, multi_line, done)
     log = load_log(parsed, files, root, now, stage_name)
     accepted = log.filter("status = 'LOADED'").select("_file")
     rows = parsed.filter(F.col(CORRUPT).isNull()).join(accepted, "_file", "left_semi")
     return rows.select(*[f.name for f in target.fields]), log.drop("_file")
 
 
+def _loads(spark: SparkSession, history_path: str) -> list[str]:
+    """Folder names of the committed loads."""
+    fs, p = hadoop_path(spark, history_path)
+    if not fs.exists(p):
+        return []
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)
+                  if s.getPath().getName().startswith("load=") and fs.exists(make(s.getPath(), "_SUCCESS")))
+
+
+def read_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """The log of all committed loads, one row per file and load."""
+    paths = [f"{history_path}/{x}" for x in _loads(spark, history_path)]
+    return spark.read.schema(LOG).parquet(*paths) if paths else spark.createDataFrame([], LOG)
+
+
+def read_loaded(spark: SparkSession, target: T.StructType, table_path: str, history_path: str) -> DataFrame:
+    """The table: files that were in its folder before, and the rows of all committed loads."""
+    fs, p = hadoop_path(spark, f"{table_path}/*.parquet")
+    paths = [f"{table_path}/*.parquet"] if fs.globStatus(p) else []
+    paths += [f"{table_path}/{x}" for x in _loads(spark, history_path)]
+    return spark.read.schema(target).parquet(*paths) if paths else spark.createDataFrame([], target)
+
+
 def copy_into(spark: SparkSession, sources, target: T.StructType, root: str, table_path: str, history_path: str,
-              now: str | None = None, skip_header: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Append the good rows to the table folder and the log to the history
-    folder; returns both tables as they are afterwards."""
-    rows, log = load_files(spark, sources, target, root, now=now, skip_header=skip_header)
-    rows.write.mode("append").parquet(table_path)
-    log.write.mode("append").parquet(history_path)
-    return spark.read.schema(rows.schema).parquet(table_path), spark.read.schema(log.schema).parquet(history_path)
+              now: str | None = None, skip_header: int = 1, multi_line: bool = False, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Load the files that are not loaded yet; returns the table and the
+    history as they are afterwards."""
+    done = None if force else read_history(spark, history_path).filter("status = 'LOADED'").select("fingerprint").distinct()
+    rows, log = load_files(spark, sources, target, root, now=now, skip_header=skip_header, multi_line=multi_line, done=done)
+    if not log.isEmpty():
+        load = f"load={uuid.uuid4().hex}"
+        rows.write.parquet(f"{table_path}/{load}")
+        log.select(*LOG.names).write.parquet(f"{history_path}/{load}")
+    return read_loaded(spark, target, table_path, history_path), read_history(spark, history_path)
