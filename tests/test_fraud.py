@@ -75,6 +75,15 @@ def test_duplicate_matches_brute_force(tx, scale):
     assert got == want and len(want) > 0
 
 
+@pytest.mark.parametrize("window, slide", [("1 hour", "10 minutes"), ("25 minutes", "10 minutes"), ("7 days", "1 day"), ("3 days", "7 hours")])
+def test_velocity_by_panes_equals_sliding_windows(tx, window, slide):
+    want = tx.groupBy("account_number", F.window("timestamp", window, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,2)").alias("s")).filter("n > 1")
+    want = sorted(map(repr, (tuple(r) for r in want.select("account_number", "w.start", "w.end", "n", "s").collect())))
+    got = FR.fraud_velocity(tx, window, slide, 1).drop("alert_type").collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == want and want
+
+
 def test_velocity_matches_brute_force(tx):
     rows = _fixture()
     counts = {}

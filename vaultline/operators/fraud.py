@@ -12,6 +12,8 @@ budget are cut into segments of about equal row count (see
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,54 @@ def fraud_high_value(tx: DataFrame, threshold: float = 45.0) -> DataFrame:
                     F.lit("HIGH_VALUE").alias("alert_type")))
 
 
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def duration_seconds(text: str) -> int:
+    """Seconds of a duration such as "10 minutes"."""
+    n, unit = text.split()
+    return int(n) * _UNIT_SECONDS[unit.rstrip("s")]
+
+
+def pane(ts: str, window: str, slide: str) -> F.Column:
+    """Start of the pane of a row: the longest stretch that every sliding window holds whole or not at all."""
+    return F.window(ts, f"{gcd(duration_seconds(window), duration_seconds(slide))} seconds")["start"]
+
+
+def velocity_alerts(panes: DataFrame, window: str, slide: str, max_count: int) -> DataFrame:
+    """Windows with more than ``max_count`` rows from ``panes``
+    (account_number, pane, tx_count, total_amount), one row per account and pane.
+
+    A pane goes to the (account, block of time) groups of the windows that hold
+    it, mostly one and two at a block's edge, and the windows are summed there.
+    So a hot account is spread over its blocks, and no row is sent once per window."""
+    size, step = duration_seconds(window), duration_seconds(slide)
+    if step > size:
+        raise ValueError("the slide is longer than the window")
+    block = step * max(1, max(size, 86400) // step)
+    at = _seconds("pane")
+    # windows start at multiples of the slide; the pane lies in those that start in (at - size, at]
+    first, last = F.floor((at - size) / step) + 1, F.floor(at / step)
+    blocks = F.sequence(F.floor(first * step / block), F.floor(last * step / block))
+    near = panes.select("*", at.alias("_at"), first.alias("_first"), last.alias("_last"), F.explode(blocks).alias("_block")) \
+        .repartition("account_number", "_block")
+    each = near.select("*", F.explode(F.sequence("_first", "_last")).alias("_k")).filter(F.floor(F.col("_k") * step / block) == F.col("_block"))
+    start = F.timestamp_add("SECOND", (F.col("_k") * step - F.col("_at")).cast("int"), F.col("pane"))
+    g = each.groupBy("account_number", "_block", start.alias("window_start")).agg(
+        F.sum("tx_count").alias("tx_count"), F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"))
+    return g.filter(F.col("tx_count") > max_count).select(
+        "account_number", "window_start", F.timestamp_add("SECOND", F.lit(size), F.col("window_start")).alias("window_end"),
+        "tx_count", "total_amount", F.lit("VELOCITY_LIMIT").alias("alert_type"))
+
+
 def fraud_velocity(tx: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
                    max_count: int = 2) -> DataFrame:
     """Accounts with more than ``max_count`` transactions in a sliding window.
-    A hash aggregate per (account, window): a hot account is pre-combined in
-    every task before the shuffle."""
-    g = tx.groupBy("account_number", F.window("timestamp", window, slide).alias("w")).agg(
+    Rows are summed per (account, pane) first, combined in every task before
+    the shuffle; the windows are then built from panes."""
+    panes = tx.select("account_number", "amount", pane("timestamp", window, slide).alias("pane")).groupBy("account_number", "pane").agg(
         F.count(F.lit(1)).alias("tx_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount"))
-    return g.filter(F.col("tx_count") > max_count).select(
-        "account_number", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        "tx_count", "total_amount", F.lit("VELOCITY_LIMIT").alias("alert_type"))
+    return velocity_alerts(panes, window, slide, max_count)
 
 
 # Most rows one (key, segment) group should hold.

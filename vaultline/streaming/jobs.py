@@ -207,16 +207,13 @@ def hourly_consolidate(spark: SparkSession, events: DataFrame, account_branch: D
 def fraud_velocity_stream(spark: SparkSession, events: DataFrame, window: str = "1 hour", slide: str = "10 minutes",
                           max_count: int = 2, path: str | None = None, trigger=None) -> DataFrame:
     """Sliding-window count per account over all batches; windows whose count
-    passed ``max_count``."""
-    tx = event_transactions(events).select("account_number", "amount", F.window("timestamp", window, slide).alias("w")) \
-        .select("account_number", "amount", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
-    ntz = T.TimestampNTZType()
-    schema = T.StructType([T.StructField("account_number", T.StringType()), T.StructField("window_start", ntz),
-                           T.StructField("window_end", ntz), T.StructField("tx_count", T.LongType()),
-                           T.StructField("total_amount", T.DecimalType(38, 2))])
+    passed ``max_count``. Batches store one row per account and pane."""
+    tx = event_transactions(events).select("account_number", "amount", fraud.pane("timestamp", window, slide).alias("pane"))
+    schema = T.StructType([T.StructField("account_number", T.StringType()), T.StructField("pane", T.TimestampNTZType()),
+                           T.StructField("tx_count", T.LongType()), T.StructField("total_amount", T.DecimalType(38, 2))])
     sums = [F.count(F.lit(1)).alias("tx_count"), F.sum("amount").cast("decimal(38,2)").alias("total_amount")]
-    out = run_partials(spark, tx, "fraud_velocity", ["account_number", "window_start", "window_end"], sums, schema, trigger, path)
-    return out.filter(F.col("tx_count") > max_count).withColumn("alert_type", F.lit("VELOCITY_LIMIT"))
+    out = run_partials(spark, tx, "fraud_velocity", ["account_number", "pane"], sums, schema, trigger, path)
+    return fraud.velocity_alerts(out, window, slide, max_count)
 
 
 def fraud_geographic_stream(spark: SparkSession, events: DataFrame, minutes: int = 60, path: str | None = None,
