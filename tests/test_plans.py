@@ -68,3 +68,10 @@ def test_stream_triggers_join_nothing(spark):
     ev = J.event_stream(spark, SF_SMALL)
     s = J.high_risk_alerts_stream(ev)
     assert "Join" not in s._jdf.queryExecution().analyzed().toString()
+
+
+def test_velocity_shuffles_panes_not_windows(bank):
+    """One exchange of partial panes and one of panes; windows are summed where these lie."""
+    from vaultline.operators import fraud as FR
+    text = FR.fraud_velocity(bank.event_transactions)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2, text
