@@ -6,6 +6,7 @@ import datetime as dt
 import decimal
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from vaultline.operators import lists
@@ -69,13 +70,39 @@ def test_grid_sort_compares_like_a_person(spark):
 
 
 def test_deep_pages_are_not_a_large_limit(bank):
-    import pytest
+    from vaultline.operators import grid
+    assert grid.grid_page(bank.fraud_alerts, "risk_score", False, 1_000_000, "alert_id").count() == 0
+    for page in (grid.grid_page(bank.fraud_alerts, "risk_score", False, 5, "alert_id"),
+                 grid.grid_page_after(bank.fraud_alerts, "risk_score", False, "alert_id", 3, "AL9")):
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "limit=6" in plan or "LIMIT 6" in plan.upper()
+        assert "offset" not in plan.lower()
+
 
+@pytest.mark.parametrize("column, ascending", [("name", True), ("name", False), ("amount", True), ("at", False), ("score", True),
+                                               ("id", False)])
+def test_any_page_equals_the_slice_of_the_whole_sort(spark, column, ascending):
+    from vaultline.operators import grid
+    df = spark.range(700).selectExpr(
+        "CAST(id * 7919 % 700 AS INT) AS id",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 'Zo\u00eb' WHEN id % 3 = 1 THEN concat('alice', id % 20) ELSE concat('Bob', id % 7) END AS name",
+        "CAST(id % 13 AS DECIMAL(12,2)) / 4 AS amount",
+        "CASE WHEN id % 5 > 0 THEN timestamp_seconds(1700000000 + (id * 31) % 97) END AS at",
+        "CASE WHEN id % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE (id % 19) / 7.0 END AS score")
+    order = [r.id for r in grid.grid_sort(df, column, ascending, "id").collect()]
+    for n in (0, 1, 99, 350, 641, 699):
+        place = grid.place_of(df, column, ascending, "id", n, sample=40, step=8)
+        page = grid.grid_sort(df.filter(~grid.stands_before(df, column, ascending, "id", place)), column, ascending, "id").limit(6)
+        assert [r.id for r in page.collect()] == order[n:n + 6]
+    assert grid.place_of(df, column, ascending, "id", 700, sample=40, step=8) is None
+    assert [r.id for r in grid.grid_page(df, column, ascending, 117, "id").collect()] == order[696:]
+
+
+def test_a_key_that_repeats_too_often_is_named(spark):
     from vaultline.operators import grid
-    with pytest.raises(ValueError):
-        grid.grid_page(bank.fraud_alerts, "risk_score", False, 1_000_000, "alert_id")
-    plan = grid.grid_page_after(bank.fraud_alerts, "risk_score", False, "alert_id", 3, "AL9")._jdf.queryExecution().executedPlan().toString()
-    assert "limit=6" in plan or "LIMIT 6" in plan.upper()
+    df = spark.range(500).selectExpr("1 AS id", "'x' AS name")
+    with pytest.raises(ValueError, match="not unique"):
+        grid.place_of(df, "name", True, "id", 300, sample=40, step=8)
 
 
 def test_status_is_a_filter_not_a_search(bank):

@@ -414,6 +414,15 @@ def _grid_page(b):
     return grid.grid_page(a, "risk_score", False, 3, "alert_id")
 
 
+@register("grid_page_last", """
+SELECT customer_id, name, segment FROM customers ORDER BY name DESC NULLS LAST, customer_id
+LIMIT 6 OFFSET (SELECT CAST((greatest(COUNT(*), 1) - 1) // 6 * 6 AS BIGINT) FROM customers)""")
+def _grid_page_last(b):
+    """The last page of a table, without an offset."""
+    c = b.customers.select("customer_id", "name", "segment")
+    return grid.grid_page(c, "name", False, grid.grid_page_count(c).first().pages, "customer_id")
+
+
 @register("grid_page_count", """
 SELECT COUNT(*) AS rows, CAST(greatest(ceil(COUNT(*) / 6), 1) AS BIGINT) AS pages
 FROM loans WHERE UPPER(category) = 'AUTO'""")
