@@ -228,6 +228,18 @@ def customer_search(bank, text: str, k: int = 200) -> DataFrame:
     return customers_page(bank, text, None, k).select(*CUSTOMER_COLUMNS())
 
 
+def customer_search_indexed(index, text: str, k: int = 200) -> DataFrame:
+    """``customer_search`` on a ``SearchIndex`` of customers (name, email)."""
+    return top_k(index.find_like(text), [F.col("name").asc_nulls_last(), F.col("customer_id").asc()], k).select(*CUSTOMER_COLUMNS())
+
+
+def txn_search_indexed(index, text: str, k: int = 200) -> DataFrame:
+    """The grid search on a ``SearchIndex`` of enriched transactions
+    (``enrich_all_customer_names``): names are those of the time a row was
+    added, so a renamed customer's transactions are added again."""
+    return _newest_first_out(_txn_out(top_k(index.find(text), NEWEST_FIRST(), k), TXN_COLUMNS()))
+
+
 def point_lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Batch form of ``WHERE pk = ?``: semi join on a frame of keys.
 

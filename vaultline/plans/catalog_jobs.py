@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import changes as C
 from ..operators import fraud as FR
 from ..operators import governance as G
+from ..operators import grid, lists
 from ..operators import stored_changes as SC
 from ..operators import versions as V
 from ..operators.joins import account_branch_map
@@ -26,10 +27,11 @@ from ..sources import ingest as I
 from ..sources import sinks as SK
 from ..sources import stored as ST
 from ..sources.buckets import BucketTable
+from ..sources.search_index import SearchIndex
 from ..sources.tables import Bank
 from ..streaming import jobs as J
 from ..streaming import views as VW
-from .catalog import DAILY_BRANCH_SQL, NOW_TS
+from .catalog import CUST_SQL_COLS, DAILY_BRANCH_SQL, NOW_TS, TXN_SQL_COLS, TXN_SQL_FROM
 from .registry import AS_OF_TXN, register
 
 # Parameters of the registered forms (ours: the reference names the rules
@@ -474,3 +476,67 @@ def _daily_transactions_stored(b):
     a partition filter, so only the last days' folders are read."""
     from ..operators import metrics
     return metrics.daily_transactions(_stored(b, ["transactions"]), AS_OF_TXN)
+
+
+# ---------------------------------------------------------------- 2.3 indexed search
+
+@lru_cache(8)
+def _index_root(application: str, sf_dir: str, name: str) -> str:
+    """Built once per application and data folder, shared by the searches."""
+    spark = SparkSession.getActiveSession()
+    root = scratch_path(spark, f"search-{name}")
+    rows, order, index = _searched(Bank(spark, sf_dir), name, root)
+    index.add(rows, order)
+    return root
+
+
+def _searched(b, name, root):
+    """Rows, sort order and index of a searched table."""
+    if name == "customers":
+        rows, key, columns, order = b.customers, "customer_id", ["name", "email"], ["name", "customer_id"]
+    else:
+        rows, key = lists.enrich_all_customer_names(b.transactions, b), "transaction_id"
+        columns, order = grid.GRID_SEARCH_COLUMNS["transactions"], ["merchant_name", "transaction_id"]
+    return rows, order, SearchIndex(b.spark, root, rows.schema, key, columns)
+
+
+def _index(b, name):
+    return _searched(b, name, _index_root(b.spark.sparkContext.applicationId, b.sf_dir, name))[2]
+
+
+@register("customer_search_indexed", same_as="customer_search")
+def _customer_search_indexed(b):
+    """The customer search by trigram postings: candidate segments only."""
+    return lists.customer_search_indexed(_index(b, "customers"), "eR#0000001")
+
+
+@register("customer_search_short", f"""
+SELECT {CUST_SQL_COLS} FROM customers
+WHERE LOWER(name) LIKE '%07%' OR LOWER(email) LIKE '%07%' ORDER BY name NULLS LAST, customer_id LIMIT 200""")
+def _customer_search_short(b):
+    """Two characters: looked up as the beginning of pieces."""
+    return lists.customer_search_indexed(_index(b, "customers"), "07")
+
+
+@register("customer_search_wildcard", f"""
+SELECT {CUST_SQL_COLS} FROM customers
+WHERE LOWER(name) LIKE '%r#%_12%' OR LOWER(email) LIKE '%r#%_12%' ORDER BY name NULLS LAST, customer_id LIMIT 200""")
+def _customer_search_wildcard(b):
+    return lists.customer_search_indexed(_index(b, "customers"), "r#%_12")
+
+
+@register("grid_search_indexed", same_as="grid_search")
+def _grid_search_indexed(b):
+    """The transactions grid's search by trigram postings."""
+    return lists.txn_search_indexed(_index(b, "transactions"), "Merchant 1")
+
+
+@register("grid_search_id", f"""
+SELECT {TXN_SQL_COLS} {TXN_SQL_FROM}
+WHERE contains(lower(COALESCE(t.transaction_id, '')), '777')
+   OR contains(lower(COALESCE(t.account_number, '')), '777')
+   OR contains(lower(COALESCE(c.name, 'Unknown')), '777')
+   OR contains(lower(COALESCE(t.merchant_name, '')), '777')
+ORDER BY t.timestamp DESC NULLS FIRST, t.transaction_id LIMIT 200""")
+def _grid_search_id(b):
+    return lists.txn_search_indexed(_index(b, "transactions"), "777")
