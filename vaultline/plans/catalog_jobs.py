@@ -27,6 +27,7 @@ from ..sources import ingest as I
 from ..sources import sinks as SK
 from ..sources import stored as ST
 from ..sources.buckets import BucketTable
+from ..sources.history import History
 from ..sources.search_index import SearchIndex
 from ..sources.tables import Bank
 from ..streaming import jobs as J
@@ -274,6 +275,49 @@ def _cdc_net_changes(b):
     return reader.read(B.account_change_log(b), AS_OF_2)
 
 
+@lru_cache(8)
+def _history_root(application: str, sf_dir: str) -> str:
+    """The change log in three appends, the last one with late changes, and
+    snapshots made before, between and after them."""
+    spark = SparkSession.getActiveSession()
+    root = scratch_path(spark, "history")
+    b = Bank(spark, sf_dir)
+    log, history = B.account_change_log(b), _history_of(b, root)
+    late, early = F.pmod(F.col("_seq"), F.lit(10)) == 3, F.col("change_ts") < F.lit(AS_OF_1).cast("timestamp_ntz")
+    history.append(log.filter(~late & early))
+    history.snapshot("2024-01-05 00:00:00")
+    history.append(log.filter(~late & ~early))
+    history.snapshot("2024-01-15 00:00:00")
+    history.append(log.filter(late))
+    history.snapshot("2024-01-08 00:00:00")
+    return root
+
+
+def _history_of(b, root):
+    return History(b.spark, root, B.account_change_log(b).schema, "account_number")
+
+
+def _history(b):
+    return _history_of(b, _history_root(b.spark.sparkContext.applicationId, b.sf_dir))
+
+
+@register("table_as_of_stored", same_as="table_as_of")
+def _table_as_of_stored(b):
+    """The version from the nearest snapshot, the later days and late appends."""
+    return _history(b).as_of(AS_OF_2)
+
+
+@register("table_as_of_stored_early", _as_of_sql("2024-01-03 12:00:00"))
+def _table_as_of_stored_early(b):
+    """Before every snapshot: replayed from the first days of the log."""
+    return _history(b).as_of("2024-01-03 12:00:00")
+
+
+@register("cdc_changes_stored", same_as="cdc_changes")
+def _cdc_changes_stored(b):
+    return V.cdc_changes(_history(b).as_of(AS_OF_1), _history(b).as_of(AS_OF_2), "account_number", ["balance", "last_change_ts"])
+
+
 @register("cdc_stream", _as_of_sql("9999-12-31 00:00:00"))
 def _cdc_stream(b):
     """The change log consumed as a stream; the current table is the last
