@@ -74,13 +74,24 @@ def txn_enriched(bank, tx_type=None, risk=None, k: int = 200, search: str | None
                                                  "merchant_name"], search))
         return _newest_first_out(_txn_out(top_k(enriched, NEWEST_FIRST(), k), TXN_COLUMNS()))
     if search:
-        named = bank.customers.filter(contains_any(["name"], search)).select("customer_id")
-        hits = (bank.accounts.select("account_number", "customer_id").join(named, "customer_id", "left_semi")
-                .select("account_number").distinct().withColumn("_name_hit", F.lit(True)))
-        own = contains_any(["transaction_id", "account_number", "merchant_name"], search)
-        t = t.join(hits, "account_number", "left").filter(own | F.col("_name_hit").isNotNull()).drop("_name_hit")
+        t = own_or_named(t, bank, search)
     top = pin(top_k(t, NEWEST_FIRST(), k))
-    return _newest_first_out(_txn_out(enrich_customer_name(top, bank.accounts, bank.customers, k), TXN_COLUMNS()))
+    return txn_feed(enrich_customer_name(top, bank.accounts, bank.customers, k))
+
+
+def txn_feed(enriched: DataFrame) -> DataFrame:
+    """The columns and order of the transactions list."""
+    return _newest_first_out(_txn_out(enriched, TXN_COLUMNS()))
+
+
+def own_or_named(t: DataFrame, bank, search: str) -> DataFrame:
+    """Transactions with the text in a column of their own or in the name of
+    their account's customer."""
+    named = bank.customers.filter(contains_any(["name"], search)).select("customer_id")
+    hits = (bank.accounts.select("account_number", "customer_id").join(named, "customer_id", "left_semi")
+            .select("account_number").distinct().withColumn("_name_hit", F.lit(True)))
+    own = contains_any(["transaction_id", "account_number", "merchant_name"], search)
+    return t.join(hits, "account_number", "left").filter(own | F.col("_name_hit").isNotNull()).drop("_name_hit")
 
 
 def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
@@ -96,8 +107,12 @@ def enrich_all_customer_names(t: DataFrame, bank) -> DataFrame:
 def recent_activity(bank, k: int = 10) -> DataFrame:
     """Dashboard feed: newest k transactions with customer name."""
     top = pin(top_k(bank.transactions, NEWEST_FIRST(), k))
-    e = enrich_customer_name(top, bank.accounts, bank.customers, k)
-    return _newest_first_out(e.select(
+    return activity_feed(enrich_customer_name(top, bank.accounts, bank.customers, k))
+
+
+def activity_feed(enriched: DataFrame) -> DataFrame:
+    """The columns and order of the dashboard feed."""
+    return _newest_first_out(enriched.select(
         F.col("transaction_id").alias("id"), F.col("transaction_type").alias("type"), "customer_name", "amount",
         to_char("timestamp", "YYYY-MM-DD HH24:MI:SS").alias("timestamp"), "status", "risk_factor"))
 

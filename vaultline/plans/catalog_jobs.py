@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators import feeds
 from ..operators import fraud as FR
 from ..operators import governance as G
 from ..operators import grid, lists
@@ -491,24 +492,25 @@ def _permission_matrix(b):
 # ---------------------------------------------------------------- 2.1 stored layout
 
 @lru_cache(8)
-def _stored_root(application: str, sf_dir: str, names: tuple) -> str:
+def _stored_root(application: str, sf_dir: str) -> str:
     """Written once per application and data folder, shared by the queries that read it."""
     spark = SparkSession.getActiveSession()
-    root = scratch_path(spark, "stored")
-    ST.write_tables(Bank(spark, sf_dir), root, names)
+    root, b = scratch_path(spark, "stored"), Bank(spark, sf_dir)
+    ST.write_tables(b, root, ("accounts", "customers"))
+    feeds.write_transactions(b.transactions, root)
     return root
 
 
-def _stored(b, names):
+def _stored(b):
     """The banking tables in the stored layout (fixed schemas, transactions
-    partitioned by day)."""
-    return ST.StoredBank(b.spark, _stored_root(b.spark.sparkContext.applicationId, b.sf_dir, tuple(names)))
+    partitioned by day, with their day counts)."""
+    return ST.StoredBank(b.spark, _stored_root(b.spark.sparkContext.applicationId, b.sf_dir))
 
 
 @register("scan_stored_table", "SELECT *, CAST(timestamp AS DATE) AS transaction_date FROM transactions")
 def _scan_stored_table(b):
     """scan(name): the stored table read with its fixed schema."""
-    return _stored(b, ["transactions"]).transactions
+    return _stored(b).transactions
 
 
 @register("daily_transactions_stored", f"""
@@ -519,7 +521,31 @@ def _daily_transactions_stored(b):
     """The dashboard's 7-day series on the stored layout: the window becomes
     a partition filter, so only the last days' folders are read."""
     from ..operators import metrics
-    return metrics.daily_transactions(_stored(b, ["transactions"]), AS_OF_TXN)
+    return metrics.daily_transactions(_stored(b), AS_OF_TXN)
+
+
+# ---------------------------------------------------------------- 2.3 feeds of the stored layout
+
+@register("recent_activity_stored", same_as="recent_activity")
+def _recent_activity_stored(b):
+    """The dashboard feed from the newest days only."""
+    return feeds.recent_activity(_stored(b))
+
+
+@register("txn_enriched_stored", same_as="txn_enriched")
+def _txn_enriched_stored(b):
+    return feeds.txn_enriched(_stored(b), tx_type="deposit", risk="ALL")
+
+
+@register("optional_filter_stored", same_as="optional_filter")
+def _optional_filter_stored(b):
+    return feeds.txn_enriched(_stored(b), tx_type=" transfer ", risk="high")
+
+
+@register("grid_search_stored", same_as="grid_search")
+def _grid_search_stored(b):
+    """A search reads days backwards, in growing steps, until k rows are found."""
+    return feeds.txn_enriched(_stored(b), search="Merchant 1")
 
 
 # ---------------------------------------------------------------- 2.3 indexed search
