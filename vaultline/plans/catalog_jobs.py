@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators import constraints as CN
 from ..operators import feeds
 from ..operators import fraud as FR
 from ..operators import governance as G
@@ -218,6 +219,51 @@ def _insert_loans_stored(b):
                     lambda rows, batch, c: C.insert_loans(rows, batch, c, AS_OF_TXN), [(customers, "customer_id")]).next
 
 
+# ---------------------------------------------------------------- maintained constraints
+
+@lru_cache(8)
+def _constraint_root(application: str, sf_dir: str) -> str:
+    """All rows of all tables in two batches; the second also takes some rows
+    out and puts them back."""
+    spark = SparkSession.getActiveSession()
+    root, b = scratch_path(spark, "constraints"), Bank(spark, sf_dir)
+    tables = {t: b.table(t) for t in CN.schemas.PRIMARY_KEYS}
+
+    def late(t):
+        return F.pmod(F.xxhash64(CN.schemas.PRIMARY_KEYS[t]), F.lit(10)) == 3
+    state = CN.ConstraintState(spark, root)
+    state.apply({t: CN.images(df.filter(~late(t))) for t, df in tables.items()}, 0)
+    accounts = tables["accounts"].filter(~late("accounts") & (F.col("status") == "ACTIVE"))
+    second = {t: CN.images(df.filter(late(t))) for t, df in tables.items()}
+    state.apply(second | {"accounts": second["accounts"].unionByName(CN.images(accounts, -1))}, 1)
+    state.apply({"accounts": CN.images(accounts)}, 2)
+    return root
+
+
+def _constraints(b):
+    return CN.ConstraintState(b.spark, _constraint_root(b.spark.sparkContext.applicationId, b.sf_dir))
+
+
+@register("key_constraints_kept", same_as="key_constraints_report")
+def _key_constraints_kept(b):
+    """The key report from sums per batch: no table is read for it."""
+    return _constraints(b).report().filter("check_kind <> 'foreign_key'").drop("parent_table")
+
+
+@register("orphan_report_kept", same_as="orphan_report")
+def _orphan_report_kept(b):
+    return _constraints(b).report().filter("check_kind = 'foreign_key'").select(
+        F.col("table_name").alias("child_table"), "column", "parent_table", F.col("violations").alias("orphans"))
+
+
+@register("fk_exists_kept", same_as="fk_exists")
+def _fk_exists_kept(b):
+    """Alerts of a batch without a customer, from the parts of its keys."""
+    check = next(c for c in CN.CHECKS if (c.table, c.column, c.kind) == ("fraud_alerts", "customer_id", "foreign_key"))
+    return _constraints(b).missing_parents(check, B.alerts_batch(b)).select(
+        C.hash_id("AL", "source_id").alias("change_key"), F.lit("parent not found: customer_id").alias("reason"))
+
+
 # ---------------------------------------------------------------- 2.12 table versions
 
 CHANGE_LOG_SQL = """SELECT concat('ACC', CAST(user_id AS VARCHAR)) AS account_number,
