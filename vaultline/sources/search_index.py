@@ -5,18 +5,21 @@ A ``SearchIndex`` keeps rows in segments (ranges of a sort order, each of about
 piece of a searched column the blocks of rows that have it:
 
     rows/g=<n>/_seg=<s>/       the rows of a segment, with their block number
-    postings/g=<n>/_b=<x>/     (gram, g, seg, block), sorted by gram; <x> is a
+    postings/g=<n>/_b=<x>/     (gram, g, seg, blocks), sorted by gram; <x> is a
                                hash of the gram's first character
     changes/g=<n>/             keys that the generation adds, replaces, removes
     manifest/g=<n>/            its segments; written last, so it is the commit
 
 A search looks up the text's pieces, keeps the blocks that have all of them,
 opens only the segments of these blocks and checks the text itself there, so
-the rows are exactly those of a whole scan. Postings of a frequent piece are
-rows like any other and are counted per block; only segment numbers, a part of
-the file listing, reach the driver. A value ends in two end marks, so that each
-of its characters starts a piece: a text of one or two characters is looked up
-as the beginning of pieces.
+the rows are exactly those of a whole scan. A posting row lists the blocks of
+one segment, at most ``segment_rows / block`` numbers however frequent the
+piece; only segment numbers, a part of the file listing, reach the driver. A
+value ends in two end marks, so that each of its characters starts a piece: a
+text of one or two characters is looked up as the beginning of pieces. Pieces
+are taken from a block's values joined; those across two values only add
+candidates. A task that builds postings holds one segment, whatever the number
+of segments.
 
 ``add`` writes a generation. A row of a later one replaces the row of the same
 key in earlier ones, and removed keys go; found rows are checked against the
@@ -35,11 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import contains_any, like_any
+from ..session import scratch_path
 from ..streaming.deltas import drop_folder, hadoop_path, numbered
 
 GRAM = 3
 END = "\0"
 SPREAD = 256  # folders of the postings of a generation
+POSTINGS = "gram string, g int, seg int, blocks array<int>"
+SEGMENTS_AT_ONCE = 8  # segments whose postings' rows a task sorts
 SEG, BLOCK, GEN, LAST = "_seg", "_block", "_g", "_last"
 
 
@@ -47,12 +53,14 @@ def _spread(gram: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(gram, 1, 1)), F.lit(SPREAD)).cast("int")
 
 
-def _grams(columns) -> Column:
-    """The pieces of all searched columns; a null has none."""
-    def pieces(c):
-        text = F.concat(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(END * (GRAM - 1)))
-        return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.array_distinct(F.flatten(F.array(*[pieces(c) for c in columns])))
+def _text(columns) -> Column:
+    """All searched columns of a row, each with its end marks."""
+    return F.concat(*[F.concat(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(END * (GRAM - 1))) for c in columns])
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def like_runs(text: str) -> list[str]:
@@ -77,17 +85,25 @@ class SearchIndex:
         end with the key."""
         g = (numbered(self.spark, f"{self.path}/manifest", "g=") or [-1])[-1] + 1
         folder = f"{self.path}/rows/g={g}"
+        given, found = scratch_path(self.spark, "rows"), scratch_path(self.spark, "postings")
+        # written first: they are counted, sampled for the ranges and dealt, and may come from a join
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).write.parquet(given)
+        rows = self.spark.read.schema(self.schema).parquet(given)
         segments = max(1, ceil(rows.count() / self.segment_rows))
         place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        (rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields], F.lit(g).alias(GEN))
+        (rows.withColumn(GEN, F.lit(g))
          .repartitionByRange(segments, *order).sortWithinPartitions(*order)
          .withColumn(BLOCK, (place / self.block).cast("int")).withColumn(SEG, F.spark_partition_id())
          .write.mode("overwrite").partitionBy(SEG).parquet(folder))
         stored = self.spark.read.schema(T.StructType([*self._rows_schema.fields, T.StructField(SEG, T.IntegerType())])).parquet(folder)
-        (stored.select(F.explode(_grams(self.columns)).alias("gram"), F.lit(g).alias("g"), F.col(SEG).alias("seg"),
-                       F.col(BLOCK).alias("block")).distinct()
-         .withColumn("_b", _spread(F.col("gram")))
-         .repartitionByRange("_b", "gram", "seg", "block").sortWithinPartitions("_b", "gram", "seg", "block")
+        texts = stored.select(SEG, BLOCK, _text(self.columns).alias("text")).repartitionById(segments, SEG)
+        blocks = texts.groupBy(SEG, BLOCK).agg(F.array_join(F.collect_list("text"), "").alias("text"))
+        (blocks.select(SEG, F.col(BLOCK).alias("block"), F.explode(_grams(F.col("text"))).alias("gram"))
+         .groupBy(SEG, "gram").agg(F.collect_list("block").alias("blocks"))
+         .select("gram", F.lit(g).alias("g"), F.col(SEG).alias("seg"), "blocks", _spread(F.col("gram")).alias("_b"))
+         .write.parquet(found))
+        (self.spark.read.schema(f"{POSTINGS}, _b int").parquet(found)
+         .repartitionByRange(ceil(segments / SEGMENTS_AT_ONCE), "_b", "gram", "seg").sortWithinPartitions("_b", "gram", "seg")
          .write.mode("overwrite").partitionBy("_b").parquet(f"{self.path}/postings/g={g}"))
         keys = stored.select(self.key)
         if removed is not None:
@@ -97,6 +113,8 @@ class SearchIndex:
         counted = stored.groupBy(F.lit(g).alias("g"), F.col(SEG).alias("seg")).agg(F.count(F.lit(1)).alias("n_rows"))
         (mark.unionByName(counted).withColumn("base", F.lit(base or g == 0))
          .write.mode("overwrite").parquet(f"{self.path}/manifest/g={g}"))
+        for path in (given, found):
+            drop_folder(self.spark, path)
         return g
 
     def compact(self, order: list[str]) -> int:
@@ -161,13 +179,14 @@ class SearchIndex:
                 paths += [f"{p.toString()}/{name}" for name in folders]
         if not paths:
             return []
-        postings = self.spark.read.schema("gram string, g int, seg int, block int").parquet(*paths)
+        postings = self.spark.read.schema(POSTINGS).parquet(*paths)
         gram = F.col("gram")
+        each = ("gram", "g", "seg", F.explode("blocks").alias("block"))
         if whole:
-            held = postings.filter(gram.isin(whole))
+            held = postings.filter(gram.isin(whole)).select(*each)
         else:  # no term begins another, so a piece belongs to one of them
             held = postings.withColumn("gram", F.coalesce(*[F.when(gram.startswith(t), F.lit(t)) for t in starts])) \
-                .filter(gram.isNotNull()).select("gram", "g", "seg", "block").distinct()
+                .filter(gram.isNotNull()).select(*each).distinct()
         both = held.groupBy("g", "seg", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(terms))
         return sorted(tuple(r) for r in both.select("g", "seg").distinct().collect())
 
