@@ -506,3 +506,11 @@ def test_plan_uses_patterns_and_covers_everything():
         fill[seq:seq + n] += length
     assert (used == hist).all() and fill.max() <= 256
     assert plan.n_sequences <= -(-int((hist * np.arange(257)).sum()) // 256) * 1.02
+
+
+def test_words_beyond_the_first_plane():
+    """Emoji separate words and texts without letters beyond the first plane are cut by its ranges alone."""
+    whole, first = langid._word(0x10FFFF), langid._word(0xFFFF)
+    assert len(first.pattern) < len(whole.pattern) and first.findall("a\U00010428b") == ["a", "b"]
+    for text in ("a\U0001f600b \U0001f600 Été", "\U00010400x \U0001f600y\U00010428", "x\U0001e8d0y", "\U00020000漢 हिन्दी\U0001f600", "\U0001f600", "plain words, no more"):
+        assert langid.words_of(text) == whole.findall(text.lower()), text

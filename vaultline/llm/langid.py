@@ -26,7 +26,7 @@ import re
 import sys
 from collections import Counter
 from functools import cache
-from itertools import groupby
+from itertools import compress, groupby, repeat
 from unicodedata import category
 
 import numpy as np
@@ -45,6 +45,7 @@ MAX_CELLS = 16_000_000  # words (or n-grams of one n) times languages: 128 MB
 GRAMS = (5, 4, 3, 2, 1)
 _CACHE = 100_000
 _FLUSH = 200_000
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")  # beyond the first plane
 
 
 def held_out() -> F.Column:
@@ -53,10 +54,11 @@ def held_out() -> F.Column:
 
 
 @cache
-def _word() -> re.Pattern:
-    """A letter, then letters and marks, as ranges of the Unicode categories."""
+def _word(last: int) -> re.Pattern:
+    """A letter, then letters and marks, as ranges of the Unicode categories
+    up to code point ``last``."""
     ranges: dict[str, list[str]] = {"L": [], "M": []}
-    for kind, run in groupby(range(sys.maxunicode + 1), lambda c: category(chr(c))[0]):
+    for kind, run in groupby(range(last + 1), lambda c: category(chr(c))[0]):
         if kind in ranges:
             points = list(run)
             ranges[kind].append(f"\\U{points[0]:08x}-\\U{points[-1]:08x}")
@@ -65,7 +67,15 @@ def _word() -> re.Pattern:
 
 
 def words_of(text: str) -> list[str]:
-    return _word().findall(text.lower())
+    """The words in order. Ranges beyond the first plane are tried one by one
+    at every space, ten times the work, so only texts with letters there get them."""
+    text, last = text.lower(), 0xFFFF
+    for c in set(_ASTRAL.findall(text)):
+        if category(c)[0] in "LM":
+            last = sys.maxunicode
+        else:  # separates words, like a space
+            text = text.replace(c, " ")
+    return _word(last).findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -107,17 +117,13 @@ class Model:
         counts = Counter(words_of(text))
         if not counts or not self.langs:
             return UNDETERMINED, 0.0
-        at, times, score, n = [], [], np.zeros(len(self.langs)), 0
-        for w, c in counts.items():
-            n += c
-            i = self.words.get(w)
-            if i is None:
-                score += c * self.unseen(w)
-            else:
-                at.append(i)
-                times.append(c)
-        if at:
-            score += np.array(times, np.float64) @ self.wlog[at]
+        at = np.fromiter(map(self.words.get, counts, repeat(-1)), np.intp, len(counts))
+        times, known, score = np.fromiter(counts.values(), np.float64, len(counts)), at >= 0, np.zeros(len(self.langs))
+        n = int(times.sum())
+        for w, c in zip(compress(counts, ~known), times[~known], strict=True):
+            score += c * self.unseen(w)
+        if known.any():
+            score += times[known] @ self.wlog[at[known]]
         best = int(score.argmax())
         # posterior of at most 20 words: a long text must not saturate
         p = np.exp((score - score[best]) * (min(n, 20) / n))
