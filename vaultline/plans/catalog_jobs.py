@@ -419,23 +419,23 @@ def _stage_files(b, *names):
     number = F.substring("customer_id", 4, 20).cast("bigint")
     file = F.floor(number / FILE_ROWS).cast("int")
     n = (c.agg(F.max(file)).first()[0] or 0) + 1
+    c = c.repartitionById(n, file).persist()  # dealt to the files once, for all folders
     text = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns]).withColumn(
         "lifetime_value", F.when(number % 50 == 0, F.lit("n/a")).otherwise(F.col("lifetime_value")))
 
-    def dealt(df):
-        return df.repartitionById(n, file).write
     write = {
-        "customers_csv/a": lambda p: dealt(text.filter(number % 2 == 0)).option("header", True).csv(p),
-        "customers_csv/b": lambda p: dealt(text.filter(number % 2 == 1).select(*reversed(text.columns))).option("header", True).csv(p),
-        "customers_json": lambda p: dealt(c).json(p),
-        "customers_late_json": lambda p: dealt(c.withColumn("nickname", F.when(number == 1490, F.col("name")))).json(p),
-        "customers_parquet": lambda p: dealt(c).parquet(p),
-        "customers_extra_csv": lambda p: dealt(text.withColumn("nickname", F.col("name"))).option("header", True).csv(p),
+        "customers_csv/a": lambda p: text.filter(number % 2 == 0).write.option("header", True).csv(p),
+        "customers_csv/b": lambda p: text.filter(number % 2 == 1).select(*reversed(text.columns)).write.option("header", True).csv(p),
+        "customers_json": lambda p: c.write.json(p),
+        "customers_late_json": lambda p: c.withColumn("nickname", F.when(number == 1490, F.col("name"))).write.json(p),
+        "customers_parquet": lambda p: c.write.parquet(p),
+        "customers_extra_csv": lambda p: text.withColumn("nickname", F.col("name")).write.option("header", True).csv(p),
     }
     sources = []
     for name in names:
         write[name](f"{root}/{name}")
         sources.append((f"{root}/{name}", "CSV" if "csv" in name else "JSON" if "json" in name else "PARQUET"))
+    c.unpersist()
     return root, sources
 
 

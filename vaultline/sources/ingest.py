@@ -12,7 +12,8 @@ A file is refused as a whole when its columns are not the target's:
   (``skip_header=0``) columns go by position.
 * JSON: a key the target lacks, in any row (keys of all rows are checked in
   the pass that parses them). A missing key is NULL.
-* PARQUET: a column the target lacks, from the file's footer.
+* PARQUET: a column the target lacks, from the file's footer. One job merges
+  the footers of all files; only where that finds an issue are they halved.
 * CSV with a quoted field that spans lines, unless ``multi_line`` is set (the
   file is then parsed whole by one task).
 
@@ -30,6 +31,8 @@ import datetime as dt
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +43,7 @@ from ..streaming.deltas import hadoop_path
 CORRUPT = "_corrupt_record"
 SPANS = "a quoted field spans lines"
 FORMATS = ("CSV", "JSON", "PARQUET")
-HEADS_AT_ONCE = 16  # header lines and footers that are read at a time
+HEADS_AT_ONCE = 16  # folders, header lines and groups of footers that are read at a time
 LOG = T.StructType([T.StructField(name, kind, True) for name, kind in (
     ("file_name", T.StringType()), ("file_format", T.StringType()), ("stage", T.StringType()), ("status", T.StringType()),
     ("rows_loaded", T.LongType()), ("errors", T.LongType()), ("message", T.StringType()), ("load_id", T.StringType()),
@@ -144,6 +147,29 @@ def _parquet(spark: SparkSession, files: list[str], target: T.StructType) -> Dat
     return _out(spark.read.schema(target).parquet(*files).select("*", _file_column()), target)
 
 
+def _footer_issues(spark: SparkSession, files: list[str], target: T.StructType) -> dict[str, str | None]:
+    """Why each PARQUET file is refused. A group whose merged columns are the
+    target's is accepted whole; another one is halved, down to single files."""
+    def columns(some):
+        try:
+            return spark.read.option("mergeSchema", len(some) > 1).parquet(*some).columns
+        except (PySparkException, Py4JJavaError):  # types that do not merge
+            if len(some) == 1:
+                raise
+    out, groups = {}, [files] if files else []
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        while groups:
+            halves = []
+            for some, found in zip(groups, list(pool.map(columns, groups)), strict=True):
+                issue = found and schema_issue(found, target, whole=False)
+                if len(some) > 1 and (found is None or issue):
+                    halves += [some[:len(some) // 2], some[len(some) // 2:]]
+                else:
+                    out |= dict.fromkeys(some, issue or None)
+            groups = halves
+    return out
+
+
 def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int = 1, multi_line: bool = False,
           done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse every file of ``sources`` [(path, format)] once, but for those
@@ -155,11 +181,12 @@ def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int =
     if multi_line and skip_header > 1:
         raise ValueError("multi_line skips at most the header line")
     target = T.StructType([T.StructField(f.name, f.dataType, True) for f in target.fields])
-    listed = []
-    for path, fmt in sources:
+    for _, fmt in sources:
         if fmt.upper() not in FORMATS:
             raise ValueError(f"unsupported file format {fmt}")
-        listed += [(file, fmt.upper(), mark) for file, mark in list_files(spark, path)]
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        folders = list(pool.map(lambda source: list_files(spark, source[0]), sources))
+    listed = [(file, fmt.upper(), mark) for (_, fmt), some in zip(sources, folders, strict=True) for file, mark in some]
     if done is not None and listed:
         given = spark.createDataFrame(listed, "file string, fmt string, fingerprint string")
         listed = sorted(tuple(r) for r in given.join(done.select("fingerprint"), "fingerprint", "left_anti")
@@ -167,9 +194,8 @@ def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int =
 
     def head(item):
         file, fmt, _ = item
-        if fmt == "CSV" and skip_header:
-            return first_lines(spark, file, skip_header)
-        return spark.read.parquet(file).columns if fmt == "PARQUET" else None
+        return first_lines(spark, file, skip_header) if fmt == "CSV" and skip_header else None
+    footers = _footer_issues(spark, [file for file, fmt, _ in listed if fmt == "PARQUET"], target)
     with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
         heads = list(pool.map(head, listed))
     known = {line: _header(spark, line) for line in {h[-1] for x, h in zip(listed, heads, strict=True)
@@ -181,7 +207,7 @@ def stage(spark: SparkSession, sources, target: T.StructType, skip_header: int =
             columns = known[found[-1]] if len(found) == skip_header else []
             issue = schema_issue(columns, target, whole=True)
         elif fmt == "PARQUET":
-            issue = schema_issue(found, target, whole=False)
+            issue = footers[file]
         files.append((file, fmt, mark, issue))
         if issue is None:
             groups.setdefault((fmt, tuple(columns)), []).append(file)
